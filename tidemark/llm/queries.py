@@ -127,18 +127,18 @@ chosen AS (SELECT level FROM leveled WHERE level * weight <= cap ORDER BY ratio,
 plan AS (
   SELECT source, ss, least(cap, (SELECT level FROM chosen) * weight) AS target, greatest(1, least(128, floor(ss / 256.0)))::BIGINT AS bs FROM leveled),
 quota AS (SELECT source, ceil(ss::DOUBLE / bs)::BIGINT AS n, floor(target * ceil(ss::DOUBLE / bs) / ss + 0.5)::BIGINT AS q FROM plan WHERE ss > 0),
-slot AS (SELECT source, n, (g // n) AS epoch, (g % n) AS i, '0:' || coalesce(source, chr(0)) || ':' || (g // n) AS label FROM quota, LATERAL (SELECT unnest(range(q)) AS g)),
+slot AS (SELECT source, n, floor(g / n)::BIGINT AS epoch, (g % n) AS i, '0:' || coalesce(source, chr(0)) || ':' || floor(g / n)::BIGINT AS label FROM quota, LATERAL (SELECT unnest(range(q)) AS g)),
 uses AS (
   SELECT source, ((i::HUGEINT * ([{primes}][1 + ({hex_of("a")} % 16)] % n) + ({hex_of("b")} % n)) % n)::BIGINT AS block, count(*) AS times
   FROM slot GROUP BY ALL),
 laid AS (
-  SELECT doc_id, d.source, size, row_number() OVER w AS r, (sum(size) OVER w - size)::BIGINT AS at
+  SELECT doc_id, d.source, size, row_number() OVER w AS r, (sum(size) OVER w - size)::BIGINT AS pos
   FROM d WINDOW w AS (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 piece AS (
-  SELECT l.*, bs, ss, target, unnest(range(at // bs, greatest(at // bs, (at + size - 1) // bs) + 1)) AS block
+  SELECT l.*, bs, ss, target, unnest(range(floor(pos / bs)::BIGINT, greatest(floor(pos / bs)::BIGINT, floor((pos + size - 1) / bs)::BIGINT) + 1)) AS block
   FROM laid l JOIN plan p ON l.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, ss AS source_size, target,
-  sum(coalesce(times, 0) * greatest(0, least(at + size, (block + 1) * bs) - greatest(at, block * bs)))::BIGINT AS taken
+  sum(coalesce(times, 0) * greatest(0, least(pos + size, (block + 1) * bs) - greatest(pos, block * bs)))::BIGINT AS taken
 FROM piece LEFT JOIN uses ON uses.source IS NOT DISTINCT FROM piece.source AND uses.block = piece.block
 GROUP BY doc_id, piece.source, r, size, ss, target"""
 
@@ -149,7 +149,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(text, {AZ}), {SOLID}) AS ws FROM documents),
 sh AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w),
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
 link AS (SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE x::DOUBLE / (p.n + q.n - x) >= 0.8),
@@ -166,7 +166,7 @@ def _op4() -> str:
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, {AZ}), {word}), []) AS ws FROM documents),
 b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, {AZ}), {word}) AS ws FROM benchmark WHERE text IS NOT NULL),
 bw AS (
-  SELECT DISTINCT item, least(13, len(ws)) AS size, unnest(list_transform(range(1, len(ws) - least(13, len(ws)) + 2), i -> array_to_string(ws[i:i + least(13, len(ws)) - 1], ' '))) AS t
+  SELECT DISTINCT item, least(13, len(ws)) AS size, unnest(list_transform(range(1, len(ws) - least(13, len(ws)) + 2), lambda i: array_to_string(ws[i:i + least(13, len(ws)) - 1], ' '))) AS t
   FROM b WHERE len(ws) > 0),
 sizes AS (SELECT DISTINCT size FROM bw),
 dw AS (
@@ -226,7 +226,7 @@ FROM marked m LEFT JOIN near ON near.dir = m.dir"""
 def _op9() -> str:
     return """
 WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-ok AS (SELECT * FROM e WHERE v IS NOT NULL AND len(list_filter(v, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, x -> x <> 0)) > 0),
+ok AS (SELECT * FROM e WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
 link AS (SELECT a.r AS a, b.r AS b, b.vec_id AS id FROM ok a JOIN ok b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
 reach AS (SELECT a, b, id FROM link UNION SELECT reach.a, link.b, link.id FROM reach JOIN link ON link.a = reach.b),
 low AS (SELECT a, min(id) AS low FROM reach GROUP BY a), per AS (SELECT a, count(*) AS n FROM link GROUP BY a)
