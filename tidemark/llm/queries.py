@@ -138,7 +138,7 @@ piece AS (
   SELECT l.*, bs, ss, target, unnest(range(floor(pos / bs)::BIGINT, greatest(floor(pos / bs)::BIGINT, floor((pos + size - 1) / bs)::BIGINT) + 1)) AS block
   FROM laid l JOIN plan p ON l.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, ss AS source_size, target,
-  sum(coalesce(times, 0) * greatest(0, least(pos + size, (block + 1) * bs) - greatest(pos, block * bs)))::BIGINT AS taken
+  sum(coalesce(times, 0) * greatest(0, least(pos + size, (piece.block + 1) * bs) - greatest(pos, piece.block * bs)))::BIGINT AS taken
 FROM piece LEFT JOIN uses ON uses.source IS NOT DISTINCT FROM piece.source AND uses.block = piece.block
 GROUP BY doc_id, piece.source, r, size, ss, target"""
 
