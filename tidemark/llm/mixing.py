@@ -28,11 +28,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.sharding import key_hash, unit_hash
+from tidemark.llm.stage import settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_HEX = 3
 #: Tokens of a block, and slots of an output shard, unless the caller names others.
-BLOCK, SLOTS = 128, 65_536
+BLOCK, SLOTS = 128, 16_384
 FEWEST = 256
 
 
@@ -152,7 +153,7 @@ def draw(plan: DataFrame, source: str, slots: int = SLOTS, seed: int = 0) -> Dat
         quota.agg(F.sum("__quota").alias("__all"), F.array_sort(F.collect_list("__cum")).alias("__cums"))
         .filter("__all > 0")
         .withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__all") - 1) / slots).cast("long"))))
-        .repartition("shard")
+        .repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
     )
     u = unit_hash(F.concat_ws(":", F.lit(seed), "shard", "slot"))
     drawn = (
@@ -162,6 +163,7 @@ def draw(plan: DataFrame, source: str, slots: int = SLOTS, seed: int = 0) -> Dat
         .groupBy("shard", "__k")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
+    drawn = settle(drawn)
     running = W.partitionBy("__k").orderBy("shard")
     counted = drawn.join(quota.select("__k", "__quota"), "__k").withColumn("__before", F.sum("__c").over(running) - F.col("__c"))
     kept = counted.withColumn("__keep", F.greatest(F.lit(0).cast("long"), F.least("__c", F.col("__quota") - F.col("__before"))))
@@ -201,7 +203,8 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: str
     slot = draw(plan, source, slots, seed)
     pieces = pack(docs, plan, key, source, size)
     same = F.col(source).eqNullSafe(F.col("__source")) & (F.col("block") == F.col("__block"))
-    return pieces.join(slot, same, "left").drop("__source", "__block")
+    # Slots come from a few rows by explode(), so their size can't be told beforehand: never broadcast them.
+    return pieces.join(slot.hint("merge"), same, "left").drop("__source", "__block")
 
 
 def taken_words(mixed: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size") -> DataFrame:
