@@ -2,17 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places by floor(x * 1e6 + 0.5), and dates as text, so that two engines can be compared."""
+    cols = []
+    for name, kind in df.dtypes:
+        c = F.col(name)
+        cols.append((F.floor(c * 1e6 + 0.5) / 1e6).alias(name) if kind == "double" else c.cast("string").alias(name) if kind == "date" else c)
+    return df.select(*cols)
+
+
+def query(name: str, sql: str | None = None, doubles: Sequence[str] = (), dates: Sequence[str] = ("dt",)):
+    """Registers a query; the SQL's named columns are rounded, or made text, like the query's."""
+
+    def keep(f):
+        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        QUERIES[name].__doc__ = f.__doc__
+        if sql is not None:
+            made = [f"floor({c} * 1e6 + 0.5) / 1e6 AS {c}" for c in doubles] + [f"{c}::DATE::VARCHAR AS {c}" for c in dates]
+            ORACLES[name] = f"SELECT * REPLACE ({', '.join(made)}) FROM ({sql}) AS q" if made else sql
+        return f
+
+    return keep
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tidemark.plans import boards, event_plans, series_plans  # noqa: F401
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)
