@@ -62,7 +62,8 @@ def token_counts(df: DataFrame, address: str, tokens: Sequence[str]) -> dict[str
 
 
 def judge(df: DataFrame, rules: Sequence[Rule], url: str = "url", default: str = "allow", inline: int = INLINE_RULES) -> DataFrame:
-    """Adds host, path, rule and verdict."""
+    """Adds host, path, rule and verdict; columns of these names are replaced."""
+    df = df.drop("host", "path", "rule", "verdict")
     host, path = parts(F.col(url))
     df = df.withColumn("host", host).withColumn("path", path)
     if not rules:
