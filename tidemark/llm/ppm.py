@@ -34,7 +34,9 @@ from tidemark.llm.stage import settle
 #: Context bytes, bits of a symbol, the symbols of a text's end and of what stands before its begin.
 ORDER, BITS, END, PAD = 4, 9, 256, 257
 SYMBOLS = 257
-BATCH_BYTES = 40 << 20
+BATCH_BYTES = 16 << 20
+#: Bytes of text whose arrays are in memory at a time.
+CHUNK = 1 << 19
 #: Stands for the end of a text among the hashes of words.
 END_WORD = np.uint64(0x1F3D5B79A2C4E608)
 WORD, GRAM = 0, 1
@@ -107,28 +109,42 @@ def grams(data: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, n
 
 def _uniques(table: pa.Table, order: int) -> pa.RecordBatch:
     """batch, kind, item and training count of the distinct words and grams of each batch."""
-    batch = table.column("batch").to_numpy()
-    train = table.column("train").to_numpy(zero_copy_only=False).astype(bool)
-    bounds = [0, *(np.flatnonzero(batch[1:] != batch[:-1]) + 1).tolist(), len(batch)]
-    text = table.column("text").combine_chunks()
-    cols: list[list[np.ndarray]] = [[], [], [], []]
-    for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-        seen: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {WORD: [], GRAM: []}
-        for i, j, data, offs in B.chunks(text.slice(s, e - s)):
-            use = train[s + i : s + j]
-            w = B.Words(data, offs)
-            words = np.concatenate([w.hashes(), np.full(j - i, END_WORD)]).view(np.int64)
-            g, at = grams(data, offs, order)
-            for kind, items, on in ((WORD, words, np.concatenate([use[w.doc], use])), (GRAM, g, np.repeat(use, np.diff(at)))):
-                u, n = np.unique(items[on], return_counts=True)
-                rest = np.unique(items[~on])
-                seen[kind].append((np.concatenate([u, rest]), np.concatenate([n, np.zeros(len(rest), np.int64)])))
-        for kind, parts in seen.items():
-            items, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(items)).astype(np.int64)
-            for c, x in zip(cols, (np.full(len(items), batch[s]), np.full(len(items), kind, np.int32), items, n), strict=True):
-                c.append(x)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["batch", "kind", "item", "n"])
+    out: list[pa.RecordBatch] = []
+    seen: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {WORD: [], GRAM: []}
+    current = None
+
+    def summed(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        items, inverse = np.unique(np.concatenate([p[0] for p in seen[kind]]), return_inverse=True)
+        return items, np.bincount(inverse, np.concatenate([p[1] for p in seen[kind]]), len(items)).astype(np.int64)
+
+    def flush() -> None:
+        for kind in seen:
+            items, n = summed(kind)
+            seen[kind] = []
+            out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(items), current)), pa.array(np.full(len(items), kind, np.int32)), pa.array(items), pa.array(n)], names=["batch", "kind", "item", "n"]))
+
+    for rows in table.to_batches():
+        batch = rows.column("batch").to_numpy()
+        train = rows.column("train").to_numpy(zero_copy_only=False).astype(bool)
+        bounds = [0, *(np.flatnonzero(batch[1:] != batch[:-1]) + 1).tolist(), len(batch)]
+        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+            if current is not None and current != batch[s]:
+                flush()
+            current = batch[s]
+            for i, j, data, offs in B.chunks(rows.column("text").slice(s, e - s), CHUNK):
+                use = train[s + i : s + j]
+                w = B.Words(data, offs)
+                words = np.concatenate([w.hashes(), np.full(j - i, END_WORD)]).view(np.int64)
+                g, at = grams(data, offs, order)
+                for kind, items, on in ((WORD, words, np.concatenate([use[w.doc], use])), (GRAM, g, np.repeat(use, np.diff(at)))):
+                    u, n = np.unique(items[on], return_counts=True)
+                    rest = np.unique(items[~on])
+                    seen[kind].append((np.concatenate([u, rest]), np.concatenate([n, np.zeros(len(rest), np.int64)])))
+                    if len(seen[kind]) >= 12:
+                        seen[kind] = [summed(kind)]
+    flush()
+    pa.default_memory_pool().release_unused()
+    return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
 
 def trie(counts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -175,6 +191,8 @@ def gram_scores(wanted: DataFrame, counts: DataFrame, order: int = ORDER) -> Dat
 
 def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", order: int = ORDER, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """key, train, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    # Texts are long: small Arrow batches keep the buffers of both sides small.
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     batches = max(1, math.ceil(size / batch_bytes))
     kind = docs.schema[key].dataType.simpleString()
@@ -208,7 +226,8 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
             keys.append(group.column("key").slice(g0, e - g0).combine_chunks())
             trains.append(group.column("train").slice(g0, e - g0).combine_chunks())
             end_n = of_word.get(np.array([END_WORD]).view(np.int64), 0.0)[0]
-            for i, j, data, offs in B.chunks(group.column("text").slice(g0, e - g0)):
+            chunks = (c for rows in group.column("text").slice(g0, e - g0).chunks for c in B.chunks(rows, CHUNK))
+            for _, _, data, offs in chunks:
                 w = B.Words(data, offs)
                 n = of_word.get(w.hashes().view(np.int64), 0.0)
                 sums = lambda x, at: np.diff(np.concatenate([[0], np.cumsum(x)])[at])
@@ -216,6 +235,7 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
                 g, at = grams(data, offs, order)
                 value = np.add.reduceat(of_gram.get(g, math.nan), at[:-1])
                 out.append((w.count + 1, sums(n > 0, w.at) + (end_n > 0), sums(each(n), w.at) + each(end_n), value))
+        pa.default_memory_pool().release_unused()
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
         arrays = [pa.chunked_array(keys).combine_chunks(), pa.chunked_array(trains).combine_chunks(), pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2]), pa.array(cols[3])]
         return pa.RecordBatch.from_arrays(arrays, names=["key", "train", "n_tokens", "n_known", "base_score", "score"])
