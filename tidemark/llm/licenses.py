@@ -60,7 +60,7 @@ class Templates:
             norm = math.sqrt(sum(x * x for x in v.values()))
             self.unit[k] = {t: x / norm for t, x in v.items()}
             rest = 1.0
-            for t, x in sorted(self.unit[k].items(), key=lambda e: (-self.idf[e[0]], -e[1], e[0])):
+            for t, x in sorted(self.unit[k].items(), key=lambda e: (-self.idf[e[0]], -len(e[0]), e[0])):
                 if rest < (least * 0.999) ** 2:
                     break
                 heavy.add(t)
