@@ -138,19 +138,23 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshol
         for batch in batches:
             vectors = [np.asarray(v, float) for v in batch.column("v").to_pylist()]
             u, n = batch.column("u").to_pylist(), batch.column("n").to_pylist()
-            cols: dict[str, list] = {k: [] for k in ("d", "f", "u", "n", "v", "fs")}
             for d in {len(v) for v in vectors}:
                 at = [r for r, v in enumerate(vectors) if len(v) == d]
-                code = codes.setdefault(d, Code(d, *dims[d], seed)) if d not in codes else codes[d]
-                for s in range(0, len(at), 512):
-                    part = at[s : s + 512]
+                if d not in codes:
+                    codes[d] = Code(d, *dims[d], seed)
+                # A vector has many rows, so few vectors make a batch.
+                for s in range(0, len(at), 128):
+                    part = at[s : s + 128]
                     x = np.stack([vectors[r] / np.abs(vectors[r]).max() for r in part])
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    for r, row, fs in zip(part, x, code.decode(x), strict=True):
-                        for f in fs.tolist():
-                            cols["d"].append(d), cols["f"].append(f), cols["u"].append(u[r]), cols["n"].append(n[r])
-                            cols["v"].append(row.tobytes()), cols["fs"].append(fs.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cols[k], t) for k, t in (("d", pa.int32()), ("f", pa.int32()), ("u", pa.int64()), ("n", pa.int64()), ("v", pa.binary()), ("fs", pa.binary()))], names=list(cols))
+                    found = codes[d].decode(x)
+                    row = np.repeat(np.arange(len(part)), [len(f) for f in found])
+                    f = np.concatenate(found)
+                    take = lambda values, kind: pa.array(values, kind).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(f), d, np.int32)), pa.array(f), take([u[r] for r in part], pa.int64()), take([n[r] for r in part], pa.int64()), take([v.tobytes() for v in x], pa.binary()), take([y.tobytes() for y in found], pa.binary())],
+                        names=["d", "f", "u", "n", "v", "fs"],
+                    )
 
     filed = reps.select("u", "n", "v").mapInArrow(file, "d int, f int, u long, n long, v binary, fs binary")
     sizes = filed.groupBy("d", "f").count().filter("count > 1").select(F.col("d").alias("d2"), F.col("f").alias("f2"), F.ceil(F.col("count") / block).cast("int").alias("blocks"))
