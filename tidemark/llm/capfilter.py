@@ -27,14 +27,17 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
+from tidemark.llm.grouped import map_groups
 from tidemark.llm.stage import settle
 
+#: Hot filters that are broadcast at most; beyond it, a join does the same.
+BROADCAST_ROWS = 200_000
+
 
 def tail(x: float) -> float:
     """P(Z > x) of a standard normal."""
@@ -107,21 +110,44 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     return kept
 
 
-def first_common(lists: list[np.ndarray], a: np.ndarray, b: np.ndarray, number: int) -> np.ndarray:
-    """Of the pairs (a, b), those with no common filter before `number`."""
+def met_before(lists: list[np.ndarray], left: np.ndarray, right: np.ndarray, number: int, step: int = 2048) -> np.ndarray:
+    """Which rows of `left` and `right` share a filter before `number`, from products of their membership matrices."""
     before = [x[: np.searchsorted(x, number)] for x in lists]
-    width = max(1, max((len(x) for x in before), default=1))
-    table = np.full((len(lists), width), -1, np.int32)
-    for r, x in enumerate(before):
-        table[r, : len(x)] = x
-    out = np.ones(len(a), bool)
-    step = max(1, (1 << 22) // (width * width))
-    for k in range(0, len(a), step):
-        p, q = table[a[k : k + step]], table[b[k : k + step]]
-        out[k : k + step] = ~((p[:, :, None] == q[:, None, :]) & (p[:, :, None] >= 0)).any(axis=(1, 2))
+    rows = np.repeat(np.arange(len(before)), [len(x) for x in before])
+    out = np.zeros((len(left), len(right)), bool)
+    if not len(rows):
+        return out
+    names, cols = np.unique(np.concatenate(before), return_inverse=True)
+    for start in range(0, len(names), step):
+        some = (cols >= start) & (cols < start + step)
+        member = np.zeros((len(lists), min(step, len(names) - start)), np.float32)
+        member[rows[some], cols[some] - start] = 1
+        out |= member[left] @ member[right].T > 0.5
     return out
 
 
+def compare(number: int, k1: int, k2: int, k: np.ndarray, u: np.ndarray, n: np.ndarray, x: np.ndarray, fs: list[bytes], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """a, b and links of one pair of blocks: (u, u, links) of vectors whose first common filter is this one, and a forest with 0 links."""
+    left, right = np.flatnonzero(k == k1), np.flatnonzero(k == k2)
+    near = x[left] @ x[right].T >= threshold
+    if k1 == k2:
+        near = np.triu(near, 1)
+    keep, meet = near.any(axis=1), near.any(axis=0)
+    left, right, near = left[keep], right[meet], near[np.ix_(keep, meet)]
+    if not len(left):
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    a, b = np.nonzero(near)
+    tree = np.array(forest(left[a], right[b], len(u)), np.int64)
+    used, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    near &= ~met_before([np.frombuffer(fs[r], np.int32) for r in used], at[: len(left)], at[len(left) :], number)
+    links = np.zeros(len(u), np.int64)
+    links[left] += near @ n[right]
+    links[right] += near.T @ n[left]
+    some = np.flatnonzero(links)
+    return np.concatenate([u[some], u[tree[:, 0]]]), np.concatenate([u[some], u[tree[:, 1]]]), np.concatenate([links[some], np.zeros(len(tree), np.int64)])
+
+
 def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, per_filter: float = 48, shared: float = 32, block: int = 1024, seed: int = 0) -> DataFrame:
     """key, n_links, component_id and kept of every row."""
     good = F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -157,40 +183,33 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshol
                     )
 
     filed = reps.select("u", "n", "v").mapInArrow(file, "d int, f int, u long, n long, v binary, fs binary")
-    sizes = filed.groupBy("d", "f").count().filter("count > 1").select(F.col("d").alias("d2"), F.col("f").alias("f2"), F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    # Only filters that need more than one block are looked up: one for each `block` filed rows at most.
+    hot = filed.groupBy("d", "f").count().filter(F.col("count") > block)
+    hot = settle(hot.select(F.col("d").alias("d2"), F.col("f").alias("f2"), F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
     # A vector of block k meets every block: groups (min, max) of block numbers.
     spread = (
-        filed.join(sizes, (F.col("d") == F.col("d2")) & (F.col("f") == F.col("f2")))
+        filed.join(hot, (F.col("d") == F.col("d2")) & (F.col("f") == F.col("f2")), "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("k", F.pmod(F.xxhash64("u", "f"), F.col("blocks")).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("d", "f", F.least("k", "o").alias("k1"), F.greatest("k", "o").alias("k2"), "k", "u", "n", "v", "fs")
     )
 
-    def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        number, k1, k2 = int(key[1]), int(key[2]), int(key[3])
-        x = np.stack([np.frombuffer(v) for v in part["v"]])
-        k, u, n = part["k"].to_numpy(), part["u"].to_numpy(), part["n"].to_numpy()
-        left, right = np.flatnonzero(k == k1), np.flatnonzero(k == k2)
-        near = x[left] @ x[right].T >= threshold
-        a, b = np.nonzero(near)
-        a, b = left[a], right[b]
-        once = a < b if k1 == k2 else np.ones(len(a), bool)
-        a, b = a[once], b[once]
-        out = {"a": [], "b": [], "links": []}
-        if len(a):
-            tree = forest(a, b, len(u))
-            first = first_common([np.frombuffer(f, np.int32) for f in part["fs"]], a, b, number)
-            a, b = a[first], b[first]
-            links = np.zeros(len(u), np.int64)
-            np.add.at(links, a, n[b])
-            np.add.at(links, b, n[a])
-            some = np.flatnonzero(links)
-            out["a"] = [*u[some].tolist(), *(int(u[p]) for p, _ in tree)]
-            out["b"] = [*u[some].tolist(), *(int(u[q]) for _, q in tree)]
-            out["links"] = [*links[some].tolist(), *[0] * len(tree)]
-        return pd.DataFrame(out).astype("int64")
-
-    found = settle(spread.groupBy("d", "f", "k1", "k2").applyInPandas(compare, "a long, b long, links long").groupBy("a", "b").agg(F.sum("links").alias("links")))
+    def whole(table: pa.Table) -> pa.RecordBatch:
+        """Compares every group of a table of whole groups."""
+        d, f, k1, k2, k, u, n = (table.column(c).to_numpy() for c in ("d", "f", "k1", "k2", "k", "u", "n"))
+        v, fs = table.column("v").to_pylist(), table.column("fs").to_pylist()
+        new = np.flatnonzero((np.diff(d) != 0) | (np.diff(f) != 0) | (np.diff(k1) != 0) | (np.diff(k2) != 0)) + 1
+        parts = []
+        for s, e in zip([0, *new.tolist()], [*new.tolist(), len(f)], strict=True):
+            if e - s > 1:
+                x = np.frombuffer(b"".join(v[s:e])).reshape(e - s, -1)
+                parts.append(compare(int(f[s]), int(k1[s]), int(k2[s]), k[s:e], u[s:e], n[s:e], x, fs[s:e], threshold))
+        columns = [np.concatenate([np.zeros(0, np.int64), *(p[c] for p in parts)]) for c in range(3)]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "links"])
+
+    found = settle(map_groups(spread, ["d", "f", "k1", "k2"], whole, "a long, b long, links long").groupBy("a", "b").agg(F.sum("links").alias("links")))
     counts = found.filter("a = b").select(F.col("a").alias("cu"), "links")
     names = reps.select("u", "rep")
     edges = (
