@@ -46,10 +46,17 @@ def decayed_score(days: DataFrame, events: DataFrame, crisis: float = 2.0) -> Da
 
 
 def dedupe(events: DataFrame, key: Column, order: str, ts: str, hours: float = 6) -> DataFrame:
-    """Of each key's events in arrival order, those at least `hours` after the last one kept."""
+    """Of each key's events in arrival order, those at least `hours` after the last one kept.
+
+    An event that late after all before it is kept whatever they are, so each such event begins a group of its own, and a
+    group holds one burst, not all of a key.
+    """
     gap = int(hours * 3600e6)
     rows = events.withColumn("__k", key).withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp")))
-    packed = rows.groupBy("__k").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("__t").alias("t")))).alias("__e"))
+    arrival = W.partitionBy("__k").orderBy(order)
+    latest = F.max("__t").over(arrival.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("__new", F.coalesce(F.col("__t") - latest >= gap, F.lit(True)).cast("int")).withColumn("__g", F.sum("__new").over(arrival.rowsBetween(W.unboundedPreceding, 0)))
+    packed = rows.groupBy("__k", "__g").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("__t").alias("t")))).alias("__e"))
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{dict(events.dtypes)[order]}>").alias("kept"))
     step = lambda a, e: F.when(a["last"].isNull() | (e["t"] - a["last"] >= gap), F.struct(e["t"].alias("last"), F.array_append(a["kept"], e["o"]).alias("kept"))).otherwise(a)
     kept = packed.select(F.explode(F.aggregate("__e", start, step)["kept"]).alias(order))
