@@ -102,19 +102,19 @@ def fiscal_record(spark, sf):
     return y.select("k", "y", F.coalesce(a, b).alias("balance"), F.when(a.isNotNull(), "primary").when(b.isNotNull(), "alternate").alias("source"), part(F.coalesce(a, b), "gdp").alias("pct_gdp"), (b - a).alias("interest"), part(b - a, "revenue").alias("interest_pct"))
 
 
-_YEARS = "y AS (SELECT c_nationkey AS k, year(o_orderdate) AS y, sum(o_totalprice) AS v, count(DISTINCT o_custkey) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL), p AS (SELECT k, y, v, n, v / 1e6 / nullif(n, 0) * 1000 AS x FROM y)"
+_YEARS = "y AS (SELECT c_nationkey AS k, year(o_orderdate) AS y, sum(o_totalprice) AS v, count(DISTINCT o_custkey) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL), p AS (SELECT k, y, v, n, v / 365.25 / nullif(n, 0) AS x FROM y)"
 
 
 def years(spark, sf):
     o = table(spark, sf, "orders").join(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("k")), "o_custkey")
     y = o.groupBy("k", F.year("o_orderdate").alias("y")).agg(F.sum("o_totalprice").alias("v"), F.countDistinct("o_custkey").alias("n"))
-    return y.withColumn("x", F.col("v") / 1e6 / F.nullif(F.col("n"), F.lit(0)) * 1000)
+    return y.withColumn("x", F.col("v") / 365.25 / F.nullif(F.col("n"), F.lit(0)))
 
 
 @query("bd10_productivity", f"""WITH {_YEARS} SELECT k, y, x, (x / lag(x) OVER w - 1) * 100 AS yoy, regr_slope(x, y - 1995) OVER (PARTITION BY k) * (y - 1995) + regr_intercept(x, y - 1995) OVER (PARTITION BY k) AS trend,
   (pow(last_value(x) OVER f / first_value(x) OVER f, 1.0 / nullif(max(y) OVER f - min(y) OVER f, 0)) - 1) * 100 AS cagr FROM p WINDOW w AS (PARTITION BY k ORDER BY y), f AS (PARTITION BY k ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""", ["x", "yoy", "trend", "cagr"], ())
 def productivity(spark, sf):
-    """BD10: annual value per head, its growth, straight trend and compound rate."""
+    """BD10: daily value per head by year, its growth, straight trend and compound rate."""
     y, x = F.col("y"), F.col("x")
     of = W.partitionBy("k")
     w = of.orderBy("y")

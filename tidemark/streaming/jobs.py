@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def ohlc_bars(ticks: DataFrame, width: str = "30 minutes", late: str = "1 hour") -> DataFrame:
@@ -19,3 +23,37 @@ def ohlc_bars(ticks: DataFrame, width: str = "30 minutes", late: str = "1 hour")
 def once_per_key(events: DataFrame, key: str, ts: str = "ts", within: str = "6 hours") -> DataFrame:
     """The first event of each key within a watermark; unlike the batch dedupe, the clock is event time."""
     return events.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
+
+
+def positions(rows: DataFrame, entry: float, leave: float, sign: int = -1) -> DataFrame:
+    """series_id, dt, z and position of a stream of (series_id, dt, z), each series in the order of dt within a batch.
+
+    The state of a series is one number, whatever its length; the rule is that of operators.state.hysteresis.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get[0] if state.exists else 0
+        part = pd.concat(list(parts)).sort_values("dt")
+        out = []
+        for z in part["z"]:
+            if pd.isna(z):
+                out.append(0)
+                continue
+            if held and abs(z) < leave:
+                held = 0
+            elif not held and abs(z) > entry:
+                held = sign if z > 0 else -sign
+            out.append(held)
+        state.update((held,))
+        yield pd.DataFrame({"series_id": key[0], "dt": part["dt"], "z": part["z"], "position": out})
+
+    kinds = dict(rows.dtypes)
+    schema = f"series_id {kinds['series_id']}, dt {kinds['dt']}, z double, position int"
+    return rows.groupBy("series_id").applyInPandasWithState(step, schema, "held int", "append", GroupStateTimeout.NoTimeout)
+
+
+def filed(submissions: DataFrame, closed: DataFrame) -> DataFrame:
+    """Submissions (day, ts, raw) that are not blank; late where their day is in the table `closed`."""
+    rows = submissions.filter(F.trim("raw") != "")
+    marks = closed.select("day").distinct().withColumn("late", F.lit(True))
+    return rows.join(marks, "day", "left").withColumn("late", F.coalesce("late", F.lit(False)))
