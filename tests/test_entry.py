@@ -1,5 +1,11 @@
+import os
+import subprocess
+import sys
+
 import __spark_entry__ as entry
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
@@ -7,3 +13,9 @@ def test_every_sql_has_a_query():
 
 def test_flagship_runs(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_registry_needs_no_session():
+    """The driver may list queries and SQL before it starts Spark."""
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.operators.ewm import ewm, span
 from tidemark.operators.rolling import lag, roll
 
-C = F.col("close")
 
 
 def change() -> Column:
-    return C - lag(C)
+    return F.col("close") - lag(F.col("close"))
 
 
 def rsi(df: DataFrame, n: int = 14, adjust: bool = True, out: str = "rsi") -> DataFrame:
@@ -31,19 +30,19 @@ def rsi_simple(n: int = 14) -> Column:
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    df = ewm(df, C, "__fast", span(fast), adjust=False)
-    df = ewm(df, C, "__slow", span(slow), adjust=False).withColumn("macd", F.col("__fast") - F.col("__slow"))
+    df = ewm(df, F.col("close"), "__fast", span(fast), adjust=False)
+    df = ewm(df, F.col("close"), "__slow", span(slow), adjust=False).withColumn("macd", F.col("__fast") - F.col("__slow"))
     return ewm(df, F.col("macd"), "macd_signal", span(signal), adjust=False).withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("__fast", "__slow")
 
 
 def bollinger(n: int = 20, k: float = 2.0) -> dict[str, Column]:
-    mid, dev = roll(C, n), roll(C, n, F.stddev_samp)
-    return {"bb_mid": mid, "bb_upper": mid + k * dev, "bb_lower": mid - k * dev, "bb_pct": (C - (mid - k * dev)) / F.nullif(2 * k * dev, F.lit(0.0)), "bb_width": 2 * k * dev / mid}
+    mid, dev = roll(F.col("close"), n), roll(F.col("close"), n, F.stddev_samp)
+    return {"bb_mid": mid, "bb_upper": mid + k * dev, "bb_lower": mid - k * dev, "bb_pct": (F.col("close") - (mid - k * dev)) / F.nullif(2 * k * dev, F.lit(0.0)), "bb_width": 2 * k * dev / mid}
 
 
 def adx(df: DataFrame, n: int = 14) -> DataFrame:
     """ADX with the asymmetric tie rule: -DM is compared with +DM after that has been zeroed."""
-    h, low, before = F.col("high"), F.col("low"), lag(C)
+    h, low, before = F.col("high"), F.col("low"), lag(F.col("close"))
     up, down = F.greatest(h - lag(h), F.lit(0.0)) + lag(h) * 0, F.greatest(lag(low) - low, F.lit(0.0)) + lag(low) * 0
     df = df.withColumns({"__up": up, "__dn": down, "__tr": F.greatest(h - low, F.abs(h - before), F.abs(low - before))})
     df = df.withColumn("__p", F.when(F.col("__up") > F.col("__dn"), F.col("__up")).when(F.col("__up").isNotNull(), 0.0))
@@ -58,9 +57,9 @@ def adx(df: DataFrame, n: int = 14) -> DataFrame:
 
 def estimators(n: int = 21, year: float = 252.0) -> dict[str, Column]:
     """Annualised volatilities in percent: close-to-close, Parkinson, Garman-Klass, Rogers-Satchell, Yang-Zhang."""
-    o, h, low, before = F.col("open"), F.col("high"), F.col("low"), lag(C)
-    hl, co = F.log(h / low), F.log(C / o)
-    rs = F.log(h / C) * F.log(h / o) + F.log(low / C) * F.log(low / o)
+    o, h, low, before = F.col("open"), F.col("high"), F.col("low"), lag(F.col("close"))
+    hl, co = F.log(h / low), F.log(F.col("close") / o)
+    rs = F.log(h / F.col("close")) * F.log(h / o) + F.log(low / F.col("close")) * F.log(low / o)
     k = 0.34 / (1.34 + (n + 1) / (n - 1))
     gap = F.col("gap")
     scale = lambda v: F.sqrt(F.greatest(v, F.lit(0.0)) * year) * 100

@@ -11,7 +11,7 @@ from tidemark.operators import indicators, rolling, state
 from tidemark.operators.rolling import lag, roll, series
 from tidemark.plans import sqltext as S
 from tidemark.plans.registry import query
-from tidemark.plans.series_plans import B, C, bars
+from tidemark.plans.series_plans import B, bars
 from tidemark.sources import views
 
 LAST = "QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY dt DESC) = 1"
@@ -29,7 +29,7 @@ _COLS = {"z_21": S.z("close", 21), "z_63": S.z("close", 63), "sma_20": S.roll("c
 def technical(spark, sf):
     """BD1: the latest indicators of each series with 60 rows or more."""
     b = bars(spark, sf).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("series_id")))
-    cols = {"z_21": rolling.zscore(C, 21), "z_63": rolling.zscore(C, 63), "sma_20": roll(C, 20), "roc_21": (C / lag(C, 21) - 1) * 100, "bb_width": indicators.bollinger()["bb_width"]}
+    cols = {"z_21": rolling.zscore(F.col("close"), 21), "z_63": rolling.zscore(F.col("close"), 63), "sma_20": roll(F.col("close"), 20), "roc_21": (F.col("close") / lag(F.col("close"), 21) - 1) * 100, "bb_width": indicators.bollinger()["bb_width"]}
     return last(b.select("series_id", "dt", "close", "n", *(v.alias(k) for k, v in cols.items())).filter("n >= 60"), ["close", *cols])
 
 
@@ -62,12 +62,12 @@ d AS (SELECT series_id, dt, held, contracts, coalesce(gross, 0) AS gross, cost,
 
 def strategy(spark, sf):
     """Reversion positions, held from the next row, in volatility-targeted contracts, with costs on changes."""
-    b = bars(spark, sf).withColumn("z", rolling.zscore(C, 60, 30))
+    b = bars(spark, sf).withColumn("z", rolling.zscore(F.col("close"), 60, 30))
     b = state.hysteresis(b, F.col("z"), 1.5, 0.5)
     b = b.withColumn("held", F.coalesce(lag(F.col("position")), F.lit(0))).withColumn("sigma", roll(F.col("r"), 20, F.stddev_samp, 5))
     size = F.greatest(F.lit(1), F.least(F.lit(10), F.floor(0.1 / F.nullif(F.col("sigma"), F.lit(0.0)) + 0.5)))
     b = b.withColumn("contracts", F.when((F.col("held") == 0) | F.col("sigma").isNull(), 0).otherwise(F.col("held") * size).cast("double"))
-    b = b.withColumn("gross", F.coalesce(F.col("contracts") * (C - lag(C)), F.lit(0.0))).withColumn("cost", F.abs(F.col("contracts") - F.coalesce(lag(F.col("contracts")), F.lit(0.0))) * 2.5)
+    b = b.withColumn("gross", F.coalesce(F.col("contracts") * (F.col("close") - lag(F.col("close"))), F.lit(0.0))).withColumn("cost", F.abs(F.col("contracts") - F.coalesce(lag(F.col("contracts")), F.lit(0.0))) * 2.5)
     return b.withColumn("net", F.col("gross") - F.col("cost"))
 
 

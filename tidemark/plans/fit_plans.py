@@ -7,11 +7,11 @@ from itertools import product
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import regimes, rolling
+from tidemark.operators import regimes, rolling, state
 from tidemark.operators.rolling import roll
 from tidemark.plans import sqltext as S
-from tidemark.plans.registry import query
-from tidemark.plans.series_plans import B, bars
+from tidemark.plans.registry import ORACLES, query
+from tidemark.plans.series_plans import B, _walk, bars, ou_fit
 
 _X = ("d", "w", "m")
 
@@ -48,3 +48,14 @@ def rolling_regimes(spark, sf):
     """ST13, ST14: a switching model refitted as the weeks go on; no SQL can express the fit."""
     b = bars(spark, sf).filter("r is not null").withColumn("rn", F.row_number().over(W.partitionBy("series_id").orderBy("dt")))
     return regimes.rolling_regimes(b.select("series_id", "dt", "rn", "r"), "r", 208, 26)
+
+
+@query("st16_reversion_assembly", f"""SELECT w.series_id, w.dt, w.z, g.half_life, CASE WHEN NOT g.t_stat < -2.86 AND (coalesce(g.half_life, 1e9) < 3 OR coalesce(g.half_life, 1e9) > 120) THEN 0 ELSE w.position END AS position
+FROM ({_walk(S.z("close", 60, 30), 1.5, 0.5, -1)}) w LEFT JOIN ({ORACLES["ag3_ou_fit"]}) g USING (series_id)""", ["z", "half_life"])
+def reversion_assembly(spark, sf):
+    """ST16: reversion positions, none in series whose fit neither reverts nor has a usable half-life."""
+    b = bars(spark, sf).withColumn("z", rolling.zscore(F.col("close"), 60, 30))
+    p = state.hysteresis(b, F.col("z"), 1.5, 0.5).join(ou_fit(spark, sf).select("series_id", "t_stat", "half_life"), "series_id", "left")
+    life = F.coalesce("half_life", F.lit(1e9))
+    idle = ~(F.col("t_stat") < -2.86) & ((life < 3) | (life > 120))
+    return p.select("series_id", "dt", "z", "half_life", F.when(idle, 0).otherwise(F.col("position")).alias("position"))

@@ -14,13 +14,12 @@ from tidemark.plans import sqltext as S
 from tidemark.plans.registry import query
 from tidemark.sources import views
 
-C = F.col("close")
 B = S.bars()
 
 
 def bars(spark, sf, unit="week"):
     b = views.bars(spark, sf, unit)
-    return b.withColumn("r", F.log(C / lag(C))).withColumn("rn", F.row_number().over(series()))
+    return b.withColumn("r", F.log(F.col("close") / lag(F.col("close")))).withColumn("rn", F.row_number().over(series()))
 
 
 def simple(name, columns, unit="week"):
@@ -32,28 +31,28 @@ def simple(name, columns, unit="week"):
         return bars(spark, sf, unit).select("series_id", "dt", *(f().cast("double").alias(c) for c, (f, _) in columns.items()))
 
 
-simple("pr2_returns", {"log_return": (lambda: F.col("r"), "r"), "price_change": (lambda: C - lag(C), f"close - lag(close) {S.W}")})
-simple("wn1_zscore", {"z": (lambda: rolling.zscore(C, 60, 30), S.z("close", 60, 30))})
+simple("pr2_returns", {"log_return": (lambda: F.col("r"), "r"), "price_change": (lambda: F.col("close") - lag(F.col("close")), f"close - lag(close) {S.W}")})
+simple("wn1_zscore", {"z": (lambda: rolling.zscore(F.col("close"), 60, 30), S.z("close", 60, 30))})
 simple("wn2_zscore_momentum", {"z": (lambda: rolling.zscore(F.col("volume"), 52, 26), S.z("volume", 52, 26))})
-simple("wn3_zscore_strict", {"z": (lambda: rolling.zscore(C, 180, 144), S.z("close", 180, 144))})
+simple("wn3_zscore_strict", {"z": (lambda: rolling.zscore(F.col("close"), 180, 144), S.z("close", 180, 144))})
 simple("wn4_zscore_filled", {"z": (lambda: F.coalesce(rolling.zscore(F.col("r"), 63, 10), F.lit(0.0)), f"coalesce({S.z('r', 63, 10)}, 0)")})
-simple("wn7_zscore_90", {"z": (lambda: rolling.zscore(C, 90), S.z("close", 90))})
+simple("wn7_zscore_90", {"z": (lambda: rolling.zscore(F.col("close"), 90), S.z("close", 90))})
 simple("wn8_realised_vol", {f"rv_{n}": (lambda n=n: rolling.realised_vol(F.col("r"), n), f"({S.roll('r', n, 'stddev_samp')}) * sqrt(252::DOUBLE) * 100") for n in (20, 21, 63)})
-simple("wn16_sma", {f"sma_{n}": (lambda n=n: roll(C, n), S.roll("close", n)) for n in (20, 50, 200)})
-simple("wn19_roc", {f"roc_{n}": (lambda n=n: (C / lag(C, n) - 1) * 100, f"(close / lag(close, {n}) {S.W} - 1) * 100") for n in (5, 21)})
-simple("wn23_breakout", {"breakout": (lambda: F.when(lag(C, 63).isNotNull(), F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.log(C / lag(C, 63)) / F.nullif(roll(F.col("r"), 63, F.stddev_samp) * math.sqrt(63), F.lit(0.0)))) / 2),
+simple("wn16_sma", {f"sma_{n}": (lambda n=n: roll(F.col("close"), n), S.roll("close", n)) for n in (20, 50, 200)})
+simple("wn19_roc", {f"roc_{n}": (lambda n=n: (F.col("close") / lag(F.col("close"), n) - 1) * 100, f"(close / lag(close, {n}) {S.W} - 1) * 100") for n in (5, 21)})
+simple("wn23_breakout", {"breakout": (lambda: F.when(lag(F.col("close"), 63).isNotNull(), F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.log(F.col("close") / lag(F.col("close"), 63)) / F.nullif(roll(F.col("r"), 63, F.stddev_samp) * math.sqrt(63), F.lit(0.0)))) / 2),
     f"CASE WHEN lag(close, 63) {S.W} IS NOT NULL THEN greatest(-2, least(2, ln(close / lag(close, 63) {S.W}) / nullif(({S.roll('r', 63, 'stddev_samp')}) * sqrt(63::DOUBLE), 0))) / 2 END")})
-simple("wn25_iv_bands", {f"band_{int(k * 10)}_{s}": (lambda k=k, g=g: C * F.exp(g * k * F.col("iv") / 100 * math.sqrt(7 / 365)), f"close * exp({g * k!r}::DOUBLE * iv / 100 * sqrt(7 / 365::DOUBLE))") for k in (1.0, 1.5, 2.0) for s, g in (("up", 1), ("dn", -1))}
+simple("wn25_iv_bands", {f"band_{int(k * 10)}_{s}": (lambda k=k, g=g: F.col("close") * F.exp(g * k * F.col("iv") / 100 * math.sqrt(7 / 365)), f"close * exp({g * k!r}::DOUBLE * iv / 100 * sqrt(7 / 365::DOUBLE))") for k in (1.0, 1.5, 2.0) for s, g in (("up", 1), ("dn", -1))}
     | {"sigma_used": (lambda: F.abs(F.col("r")) / (lag(F.col("iv")) / 100 * math.sqrt(7 / 365)), f"abs(r) / (lag(iv) {S.W} / 100 * sqrt(7 / 365::DOUBLE))")})
 simple("wn27_forward_mean", {"fwd": (lambda: rolling.forward_mean(F.col("r") * F.col("r") * 1e4, 5), "CASE WHEN count(r) OVER f = 5 THEN avg(r * r * 1e4) OVER f END")})
-simple("wn29_changes", {f"chg_{n}": (lambda n=n: C - lag(C, n), f"close - lag(close, {n}) {S.W}") for n in (1, 20)} | {"pct_52": (lambda: (C / lag(C, 52) - 1) * 100, f"(close / lag(close, 52) {S.W} - 1) * 100")})
-simple("wn31_drawdown", {"cum": (lambda: F.sum("r").over(state.running()), f"sum(r) {S.ALL}"), "peak": (lambda: F.max("close").over(state.running()), f"max(close) {S.ALL}"), "drawdown": (lambda: state.drawdown(C), f"close - max(close) {S.ALL}")})
+simple("wn29_changes", {f"chg_{n}": (lambda n=n: F.col("close") - lag(F.col("close"), n), f"close - lag(close, {n}) {S.W}") for n in (1, 20)} | {"pct_52": (lambda: (F.col("close") / lag(F.col("close"), 52) - 1) * 100, f"(close / lag(close, 52) {S.W} - 1) * 100")})
+simple("wn31_drawdown", {"cum": (lambda: F.sum("r").over(state.running()), f"sum(r) {S.ALL}"), "peak": (lambda: F.max("close").over(state.running()), f"max(close) {S.ALL}"), "drawdown": (lambda: state.drawdown(F.col("close")), f"close - max(close) {S.ALL}")})
 simple("wn34_iv_rv", {"ratio": (lambda: F.col("iv") / F.nullif(rolling.realised_vol(F.col("r"), 20), F.lit(0.0)), f"iv / nullif(({S.roll('r', 20, 'stddev_samp')}) * sqrt(252::DOUBLE) * 100, 0)"),
     "log_ratio": (lambda: F.log(F.col("iv") / F.nullif(rolling.realised_vol(F.col("r"), 20), F.lit(0.0))), f"ln(iv / nullif(({S.roll('r', 20, 'stddev_samp')}) * sqrt(252::DOUBLE) * 100, 0))"),
     "spread": (lambda: F.col("iv") - rolling.realised_vol(F.col("r"), 20), f"iv - ({S.roll('r', 20, 'stddev_samp')}) * sqrt(252::DOUBLE) * 100")})
-simple("ag16_range_position", {"pos": (lambda: F.when(F.count("close").over(series().rowsBetween(-62, 0)) >= 5, F.coalesce((C - F.min("close").over(series().rowsBetween(-62, 0))) / F.nullif(F.max("close").over(series().rowsBetween(-62, 0)) - F.min("close").over(series().rowsBetween(-62, 0)), F.lit(0.0)) * 100, F.lit(50.0))),
+simple("ag16_range_position", {"pos": (lambda: F.when(F.count("close").over(series().rowsBetween(-62, 0)) >= 5, F.coalesce((F.col("close") - F.min("close").over(series().rowsBetween(-62, 0))) / F.nullif(F.max("close").over(series().rowsBetween(-62, 0)) - F.min("close").over(series().rowsBetween(-62, 0)), F.lit(0.0)) * 100, F.lit(50.0))),
     f"CASE WHEN count(close) {S.frame(63)} >= 5 THEN coalesce((close - min(close) {S.frame(63)}) / nullif(max(close) {S.frame(63)} - min(close) {S.frame(63)}, 0) * 100, 50) END")})
-simple("pr1_implied_rate", {"rate": (lambda: 100 - C / 100, "100 - close / 100")})
+simple("pr1_implied_rate", {"rate": (lambda: 100 - F.col("close") / 100, "100 - close / 100")})
 from tidemark.plans.registry import ORACLES  # noqa: E402
 
 ORACLES["wn27_forward_mean"] = ORACLES["wn27_forward_mean"].replace(" FROM b) AS q", " FROM b WINDOW f AS (PARTITION BY series_id ORDER BY dt ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)) AS q")
@@ -73,9 +72,9 @@ v AS (SELECT series_id, dt, {S.roll('r', 21, 'stddev_samp')} AS cc, {S.roll('hl
 SELECT series_id, dt, cc * sqrt(252::DOUBLE) * 100 AS vol_cc, CASE WHEN pk IS NOT NULL THEN {_vol(f'pk / {4 * LN2!r}')} END AS vol_parkinson, CASE WHEN gk IS NOT NULL THEN {_vol('gk')} END AS vol_gk,
   CASE WHEN rs IS NOT NULL THEN {_vol('rs')} END AS vol_rs, CASE WHEN yz IS NOT NULL THEN {_vol('yz')} END AS vol_yz FROM v""", ["vol_cc", "vol_parkinson", "vol_gk", "vol_rs", "vol_yz"])
 def vol_estimators(spark, sf):
-    b = bars(spark, sf).withColumn("gap", F.log(F.col("open") / lag(C)))
+    b = bars(spark, sf).withColumn("gap", F.log(F.col("open") / lag(F.col("close"))))
     cols = indicators.estimators(21)
-    has = {"vol_cc": F.col("r"), "vol_parkinson": C, "vol_gk": C, "vol_rs": C}
+    has = {"vol_cc": F.col("r"), "vol_parkinson": F.col("close"), "vol_gk": F.col("close"), "vol_rs": F.col("close")}
     return b.select("series_id", "dt", *(F.when(F.count(has[k]).over(series().rowsBetween(-20, 0)) >= 21, v).alias(k) if k in has else v.alias(k) for k, v in cols.items()))
 
 
@@ -103,7 +102,7 @@ def squeeze(spark, sf):
   CASE WHEN count(*) = 52 THEN 100.0 * sum((p.close < c.close)::INT) / 51 END AS below FROM b c JOIN b p ON p.series_id = c.series_id AND p.rn BETWEEN c.rn - 51 AND c.rn GROUP BY ALL)
 SELECT series_id, dt, CASE WHEN rn >= 52 THEN pct END AS rank_pct, below AS rank_below FROM k""", ["rank_pct", "rank_below"])
 def ranks(spark, sf):
-    return bars(spark, sf).select("series_id", "dt", rolling.rank_pct(C, 52, 52).alias("rank_pct"), rolling.rank_below(C, 52).alias("rank_below"))
+    return bars(spark, sf).select("series_id", "dt", rolling.rank_pct(F.col("close"), 52, 52).alias("rank_pct"), rolling.rank_below(F.col("close"), 52).alias("rank_below"))
 
 
 @query("wn12_ewma_vol", f"{B}, x AS (SELECT series_id, dt, r * r AS x, row_number() {S.W} AS rn FROM b WHERE r IS NOT NULL), e AS {S.ewm('x', 'x', 'v', 1 - 0.94, False)} SELECT series_id, dt, sqrt(v * 252) * 100 AS ewma_vol FROM e", ["ewma_vol"])
@@ -115,7 +114,7 @@ def ewma_vol(spark, sf):
 @query("wn13_ewm_means", f"{B}, a AS {S.ewm('b', 'r', 'trend', halflife(10), True, 10)}, s AS {S.ewm('b', 'close', 'ema', span(12), False)} SELECT a.series_id, a.dt, trend, ema FROM a JOIN s USING (series_id, dt)", ["trend", "ema"])
 def ewm_means(spark, sf):
     b = ewm(bars(spark, sf), F.col("r"), "trend", halflife(10), True, 10)
-    return ewm(b, C, "ema", span(12), adjust=False).select("series_id", "dt", "trend", "ema")
+    return ewm(b, F.col("close"), "ema", span(12), adjust=False).select("series_id", "dt", "trend", "ema")
 
 
 def _rsi_sql(adjust: bool) -> str:
@@ -127,7 +126,7 @@ g AS {S.ewm('d', 'u', 'g', 1 / 14, adjust)}, s AS {S.ewm('d', 'l', 's', 1 / 14,
 SELECT g.series_id, g.dt, 100 - 100 / (1 + g / nullif(s, 0)) AS rsi_ewm, 100 - 100 / (1 + g2 / nullif(s2, 0)) AS rsi_wilder, CASE WHEN c > 0 THEN 100 - 100 / (1 + a / c) WHEN a > 0 THEN 100 END AS rsi_simple
 FROM g JOIN s USING (series_id, dt) JOIN q USING (series_id, dt) JOIN g2 USING (series_id, dt) JOIN s2 USING (series_id, dt)""", ["rsi_ewm", "rsi_wilder", "rsi_simple"])
 def rsi(spark, sf):
-    b = indicators.rsi(indicators.rsi(bars(spark, sf), out="rsi_ewm"), adjust=False, out="rsi_wilder").withColumn("d", C - lag(C))
+    b = indicators.rsi(indicators.rsi(bars(spark, sf), out="rsi_ewm"), adjust=False, out="rsi_wilder").withColumn("d", F.col("close") - lag(F.col("close")))
     return b.select("series_id", "dt", "rsi_ewm", "rsi_wilder", indicators.rsi_simple().alias("rsi_simple"))
 
 
@@ -158,13 +157,13 @@ SELECT series_id, dt, z, CASE WHEN z IS NULL THEN 0 ELSE state END AS position F
 
 @query("st1_reversion_position", _walk(S.z("close", 60, 30), 1.5, 0.5, -1), ["z"])
 def reversion(spark, sf):
-    b = bars(spark, sf).withColumn("z", rolling.zscore(C, 60, 30))
+    b = bars(spark, sf).withColumn("z", rolling.zscore(F.col("close"), 60, 30))
     return state.hysteresis(b, F.col("z"), 1.5, 0.5).select("series_id", "dt", "z", "position")
 
 
 @query("st2_trend_position", _walk(S.z("close", 26, 13), 1.2, 0.4, 1), ["z"])
 def trend(spark, sf):
-    b = bars(spark, sf).withColumn("z", rolling.zscore(C, 26, 13))
+    b = bars(spark, sf).withColumn("z", rolling.zscore(F.col("close"), 26, 13))
     return state.hysteresis(b, F.col("z"), 1.2, 0.4, sign=1).select("series_id", "dt", "z", "position")
 
 
@@ -181,7 +180,7 @@ SELECT series_id, sum(pnl) AS total, avg(pnl) * 252 AS ann_ret, stddev_samp(pnl)
 def threshold(spark, sf):
     """AG9: the z-score strategy's statistics per series."""
     z = F.col("z")
-    b = bars(spark, sf).withColumn("z", rolling.zscore(C, 90)).withColumn("sig", F.when(z > 1, -1).when(z < -1, 1).when(z.isNotNull(), 0))
+    b = bars(spark, sf).withColumn("z", rolling.zscore(F.col("close"), 90)).withColumn("sig", F.when(z > 1, -1).when(z < -1, 1).when(z.isNotNull(), 0))
     b = b.withColumn("pos", lag(F.col("sig"))).withColumn("pnl", F.col("pos") * F.col("r")).withColumn("cum", F.sum("pnl").over(state.running()))
     b = b.withColumn("dd", state.drawdown(F.col("cum")))
     vol = F.stddev_samp("pnl") * math.sqrt(252)
@@ -191,7 +190,7 @@ def threshold(spark, sf):
 @query("wn32_longest_underwater", f"""{B}, d AS (SELECT series_id, rn, close < max(close) {S.ALL} AS f FROM b), g AS (SELECT series_id, f, rn - row_number() OVER (PARTITION BY series_id, f ORDER BY rn) AS g FROM d)
 SELECT series_id, coalesce(max(CASE WHEN f THEN n END), 0)::BIGINT AS longest FROM (SELECT series_id, f, g, count(*) AS n FROM g GROUP BY ALL) GROUP BY series_id""", (), ())
 def underwater(spark, sf):
-    return state.longest_run(bars(spark, sf).withColumn("f", C < F.max("close").over(state.running())), F.col("f"))
+    return state.longest_run(bars(spark, sf).withColumn("f", F.col("close") < F.max("close").over(state.running())), F.col("f"))
 
 
 @query("ag3_ou_fit", f"""{B}, p AS (SELECT series_id, close - lag(close) {S.W} AS y, lag(close) {S.W} AS x FROM b), f AS (SELECT * FROM p WHERE x IS NOT NULL),
@@ -201,7 +200,7 @@ SELECT series_id, n, sxy / sxx AS slope, my - sxy / sxx * mx AS intercept, sxy *
   -(sxy / sxx) * 252 AS kappa, -(my - sxy / sxx * mx) / (sxy / sxx) AS mu, CASE WHEN sxy < 0 THEN ln(2) / -(sxy / sxx) END AS half_life FROM s WHERE n >= 30""", ["slope", "intercept", "r2", "resid_std", "t_stat", "kappa", "mu", "half_life"], ())
 def ou_fit(spark, sf):
     """OU parameters from the regression of changes on levels, one aggregate per series."""
-    p = bars(spark, sf).select("series_id", (C - lag(C)).alias("y"), lag(C).alias("x")).filter("x is not null")
+    p = bars(spark, sf).select("series_id", (F.col("close") - lag(F.col("close"))).alias("y"), lag(F.col("close")).alias("x")).filter("x is not null")
     s = p.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"), F.regr_sxy("y", "x").alias("sxy")).filter("n >= 30")
     sse = F.col("syy") - F.col("slope") * F.col("sxy")
     b = F.col("slope")
@@ -245,7 +244,7 @@ def spine(spark, sf):
     b = views.bars(spark, sf, "day").select("series_id", "dt", "close")
     ends = b.groupBy("series_id").agg(F.min("dt").alias("a"), F.max("dt").alias("z"))
     rows = align.business_days(ends, "a", "z").select("series_id", "dt").join(b, ["series_id", "dt"], "left")
-    return rows.select("series_id", "dt", "close", rolling.fill(C).alias("carried"), rolling.fill(C, 2).alias("carried_2"))
+    return rows.select("series_id", "dt", "close", rolling.fill(F.col("close")).alias("carried"), rolling.fill(F.col("close"), 2).alias("carried_2"))
 
 
 @query("jn12_walk_forward_folds", f"{B}, n AS (SELECT series_id, max(rn) AS n FROM b GROUP BY ALL), f AS (SELECT series_id, unnest(range(0, 40)) AS fold, n FROM n) SELECT f.series_id, fold, sum(((rn - 1) < fold * 26 + 104)::INT)::BIGINT AS n_train, sum(((rn - 1) >= fold * 26 + 104)::INT)::BIGINT AS n_test, avg(CASE WHEN (rn - 1) < fold * 26 + 104 THEN close END) AS train_mean FROM f JOIN b ON b.series_id = f.series_id AND rn - 1 >= fold * 26 AND rn - 1 < fold * 26 + 130 WHERE fold * 26 + 104 < n GROUP BY ALL", ["train_mean"], ())
@@ -253,4 +252,4 @@ def folds(spark, sf):
     """JN12: train 104, test 26, step 26 rows; statistics of each fold."""
     f = align.folds(bars(spark, sf).drop("rn"), 104, 26, 26, 52)
     train = F.col("part") == "train"
-    return f.groupBy("series_id", "fold").agg(F.count(F.when(train, 1)).alias("n_train"), F.count(F.when(~train, 1)).alias("n_test"), F.avg(F.when(train, C)).alias("train_mean"))
+    return f.groupBy("series_id", "fold").agg(F.count(F.when(train, 1)).alias("n_train"), F.count(F.when(~train, 1)).alias("n_test"), F.avg(F.when(train, F.col("close"))).alias("train_mean"))

@@ -9,7 +9,7 @@ from tidemark.operators import indicators, rolling, state
 from tidemark.operators.rolling import lag, roll
 from tidemark.plans import sqltext as S
 from tidemark.plans.registry import query
-from tidemark.plans.series_plans import B, C, _walk, bars
+from tidemark.plans.series_plans import B, _walk, bars
 
 ENTER, COVER = 75, 55
 
@@ -25,7 +25,7 @@ t AS (SELECT o.series_id, entry_dt, p.close AS entry_price, q.dt AS exit_dt, q.c
 
 def trades(spark, sf):
     """Short when the RSI is above ENTER, covered below COVER; a trade that is still open is marked at the last row."""
-    b = bars(spark, sf).withColumn("d", C - lag(C)).withColumn("x", indicators.rsi_simple())
+    b = bars(spark, sf).withColumn("d", F.col("close") - lag(F.col("close"))).withColumn("x", indicators.rsi_simple())
     t = state.episodes(b, F.col("x"), ENTER, COVER)
     return t.withColumn("pnl_pct", (F.col("entry_price") - F.col("exit_price")) / F.col("entry_price") * 100)
 
@@ -66,7 +66,7 @@ SELECT series_id, component, regime, count(pnl) AS n, coalesce(sum(pnl), 0) AS p
 def attribution(spark, sf):
     """AG8: one contract per component, held from the next row, by regime."""
     b = bars(spark, sf).select(
-        "series_id", "dt", (C - lag(C)).alias("move"), (-F.signum(rolling.zscore(C, 60, 30))).alias("reversion"), F.signum(rolling.zscore(F.col("volume"), 52, 26)).alias("flow"),
+        "series_id", "dt", (F.col("close") - lag(F.col("close"))).alias("move"), (-F.signum(rolling.zscore(F.col("close"), 60, 30))).alias("reversion"), F.signum(rolling.zscore(F.col("volume"), 52, 26)).alias("flow"),
         F.when(F.abs("r") > roll(F.col("r"), 20, F.stddev_samp), "wild").otherwise("calm").alias("regime"),
     )
     long = b.unpivot(["series_id", "dt", "move", "regime"], ["reversion", "flow"], "component", "signal")
@@ -81,7 +81,7 @@ _Z, _ZV = S.z("close", 26, 13), S.z("volume", 52, 26)
 @query("st17_momentum", _walk(f"CASE WHEN {_ZV} IS NULL THEN {_Z} ELSE 0.7::DOUBLE * {_Z} + 0.3::DOUBLE * {_ZV} END", 1.2, 0.4, 1), ["z"])
 def momentum(spark, sf):
     """ST17: the price's z, with the positions' z for 0.3 of it where there is one, then held with hysteresis."""
-    z, v = rolling.zscore(C, 26, 13), rolling.zscore(F.col("volume"), 52, 26)
+    z, v = rolling.zscore(F.col("close"), 26, 13), rolling.zscore(F.col("volume"), 52, 26)
     b = bars(spark, sf).withColumn("z", F.when(v.isNull(), z).otherwise(0.7 * z + 0.3 * v))
     return state.hysteresis(b, F.col("z"), 1.2, 0.4, sign=1).select("series_id", "dt", "z", "position")
 
@@ -98,7 +98,7 @@ def ensemble(spark, sf):
     p0, q = 1 / (1 + F.col("q")), F.col("q")
     total = p0 + q + q * q
     a, t, c = p0 / total, q / total, q * q / total
-    blend = -(0.70 * a + 0.15 * t + 0.15 * c) * rolling.zscore(C, 60, 30) + (0.20 * a + 0.75 * t + 0.10 * c) * rolling.zscore(F.col("volume"), 52, 26)
+    blend = -(0.70 * a + 0.15 * t + 0.15 * c) * rolling.zscore(F.col("close"), 60, 30) + (0.20 * a + 0.75 * t + 0.10 * c) * rolling.zscore(F.col("volume"), 52, 26)
     b = b.withColumn("z", F.when(c > 0.6, 0.0).otherwise(blend))
     return state.hysteresis(b, F.col("z"), 0.6, 0.2, sign=1).select("series_id", "dt", "z", "position")
 
