@@ -7,11 +7,13 @@ d / (n + d)), and the followers of the longer context are excluded from the coun
 context all symbols that are not excluded are equally likely.  The log10 probabilities of a text's bytes and of its end
 add up to its score.
 
-The trie is a set of tables, one per length, keyed by the context and its follower; every context's shorter ones are
-suffixes of it, so all counts come from the counts of the longest grams.  A gram has the same probability wherever it
-stands, so texts are taken in batches of about `batch_bytes`: a batch's distinct grams (and words, for the unigram
-score) are looked up in the tables with joins, and come back to the batch.  Nothing of the model is broadcast or
-collected: it grows with the corpus and is spread like any table.
+The trie is one table of the longest grams (a context and its follower) and their counts; every context's shorter ones
+are suffixes of it, so all counts come from these.  It is dealt by the two symbols before the follower: a part then
+holds every context of two symbols or more that its grams need, and works out their probabilities.  Only the counts of
+pairs of symbols go to all parts; the alphabet bounds them.  A gram has the same probability wherever it stands, so
+texts are taken in batches of about `batch_bytes`, which pass by in chunks: a batch's distinct grams (and words, for the
+unigram score) are joined with their values, and come back to the batch.  The model grows with the corpus and is spread
+like any table.
 
 Defined results: a null text is scored as an empty one: its end alone; a null key or training flag leaves a row out of
 training; without training rows all symbols are equally likely; equal rows are scored alike.
@@ -32,9 +34,9 @@ from tidemark.llm.grouped import map_groups
 from tidemark.llm.stage import settle
 
 #: Context bytes, bits of a symbol, the symbols of a text's end and of what stands before its begin.
-ORDER, BITS, END, PAD = 4, 9, 256, 257
+ORDER, BITS, END, PAD = 5, 9, 256, 257
 SYMBOLS = 257
-BATCH_BYTES = 16 << 20
+BATCH_BYTES, LEAST_BYTES = 64 << 20, 4 << 20
 #: Bytes of text whose arrays are in memory at a time.
 CHUNK = 1 << 19
 #: Stands for the end of a text among the hashes of words.
@@ -107,86 +109,123 @@ def grams(data: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, n
     return g[keep], np.concatenate([[0], np.cumsum(size + 1)])
 
 
-def _uniques(table: pa.Table, order: int) -> pa.RecordBatch:
-    """batch, kind, item and training count of the distinct words and grams of each batch."""
-    out: list[pa.RecordBatch] = []
-    seen: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {WORD: [], GRAM: []}
-    current = None
-
-    def summed(kind: int) -> tuple[np.ndarray, np.ndarray]:
-        items, inverse = np.unique(np.concatenate([p[0] for p in seen[kind]]), return_inverse=True)
-        return items, np.bincount(inverse, np.concatenate([p[1] for p in seen[kind]]), len(items)).astype(np.int64)
-
-    def flush() -> None:
-        for kind in seen:
-            items, n = summed(kind)
-            seen[kind] = []
-            out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(items), current)), pa.array(np.full(len(items), kind, np.int32)), pa.array(items), pa.array(n)], names=["batch", "kind", "item", "n"]))
-
-    for rows in table.to_batches():
-        batch = rows.column("batch").to_numpy()
-        train = rows.column("train").to_numpy(zero_copy_only=False).astype(bool)
-        bounds = [0, *(np.flatnonzero(batch[1:] != batch[:-1]) + 1).tolist(), len(batch)]
-        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-            if current is not None and current != batch[s]:
-                flush()
-            current = batch[s]
-            for i, j, data, offs in B.chunks(rows.column("text").slice(s, e - s), CHUNK):
-                use = train[s + i : s + j]
-                w = B.Words(data, offs)
-                words = np.concatenate([w.hashes(), np.full(j - i, END_WORD)]).view(np.int64)
+class Tally:
+    """Counts of 64-bit items, merged whenever as much is waiting as is held."""
+
+    def __init__(self):
+        self.items, self.n, self.waiting, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def add(self, items: np.ndarray, counted: np.ndarray) -> None:
+        """Counts the items that are `counted`; the others are only listed."""
+        u, n = np.unique(items[counted], return_counts=True)
+        rest = np.unique(items[~counted])
+        self.waiting += [(u, n), (rest, np.zeros(len(rest), np.int64))]
+        self.size += len(u) + len(rest)
+        if self.size > max(1 << 20, len(self.items)):
+            self.merge()
+
+    def merge(self) -> None:
+        parts = [(self.items, self.n), *self.waiting]
+        items, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        self.waiting, self.size = [], 0
+        if len(items):
+            by = np.argsort(items, kind="stable")
+            items = items[by]
+            first = np.flatnonzero(np.concatenate([[True], items[1:] != items[:-1]]))
+            self.items, self.n = items[first], np.add.reduceat(n[by], first)
+
+
+def _segments(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Rows of one batch of texts each, in order; `batch` is the first column."""
+    for r in rows:
+        batch = r.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(batch[1:] != batch[:-1]) + 1).tolist(), len(batch)]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if e > s:
+                yield int(batch[s]), r.slice(s, e - s)
+
+
+def _items(order: int):
+    """batch, kind, item and training count of the distinct words and grams of each batch; texts pass by in chunks."""
+
+    def flushed(batch: int, seen: dict[int, Tally]) -> Iterator[pa.RecordBatch]:
+        for kind, tally in seen.items():
+            tally.merge()
+            for i in range(0, len(tally.items), 1 << 16):
+                item, n = tally.items[i : i + (1 << 16)], tally.n[i : i + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(item), batch)), pa.array(np.full(len(item), kind, np.int32)), pa.array(item), pa.array(n)], names=["batch", "kind", "item", "n"])
+
+    def each(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, seen = None, {}
+        for batch, r in _segments(rows):
+            if batch != current:
+                yield from flushed(current, seen)
+                current, seen = batch, {WORD: Tally(), GRAM: Tally()}
+            train = r.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for i, j, data, offs in B.chunks(r.column(1), CHUNK):
+                use, w = train[i:j], B.Words(data, offs)
+                seen[WORD].add(np.concatenate([w.hashes(), np.full(j - i, END_WORD)]).view(np.int64), np.concatenate([use[w.doc], use]))
                 g, at = grams(data, offs, order)
-                for kind, items, on in ((WORD, words, np.concatenate([use[w.doc], use])), (GRAM, g, np.repeat(use, np.diff(at)))):
-                    u, n = np.unique(items[on], return_counts=True)
-                    rest = np.unique(items[~on])
-                    seen[kind].append((np.concatenate([u, rest]), np.concatenate([n, np.zeros(len(rest), np.int64)])))
-                    if len(seen[kind]) >= 12:
-                        seen[kind] = [summed(kind)]
-    flush()
-    pa.default_memory_pool().release_unused()
-    return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+                seen[GRAM].add(g, np.repeat(use, np.diff(at)))
+        yield from flushed(current, seen)
+        pa.default_memory_pool().release_unused()
+
+    return each
 
 
-def trie(counts: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[DataFrame]]:
-    """From training grams (item, n): by length 0..order, followers (g, n) and contexts (c, total, distinct, below).
+def _context_values(order: int, pairs: np.ndarray):
+    """item and value from tables of the items (c2, item, n) of whole contexts of two symbols.
 
-    `below` is the count, in the next shorter context, of the followers of this one.
+    All grams whose contexts share their two latest symbols are in one table, so it holds every context of two symbols
+    or more that they look up; `pairs` has the counts of followers by the symbol before them.
     """
-    followers = [
-        counts.groupBy(F.col("item").bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1)).alias("g")).agg(F.sum("n").alias("n")) for k in range(order + 1)
+    single = pairs.sum(0)
+    short = [
+        (np.array([single.sum()]), np.array([(single > 0).sum()]), np.zeros(1, np.int64)),
+        (pairs.sum(1), (pairs > 0).sum(1), np.where(pairs > 0, single, 0).sum(1)),
     ]
-    contexts = []
-    for k, f in enumerate(followers):
-        rows = f.withColumn("c", F.shiftright("g", BITS))
-        if k:
-            shorter = followers[k - 1].select(F.col("g").alias("g1"), F.col("n").alias("n1"))
-            rows = rows.join(shorter, F.col("g").bitwiseAND(F.lit((1 << BITS * k) - 1)) == F.col("g1"))
-        contexts.append(rows.groupBy("c").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"), F.sum("n1" if k else F.lit(0)).alias("below")))
-    return followers, contexts
-
-
-def gram_scores(wanted: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """item and value: the log10 probability of each gram's last symbol after its context."""
-    followers, contexts = trie(counts, order)
-    q = wanted.select("item").distinct().withColumns({"value": F.lit(0.0), "open": F.lit(True), "ex_n": F.lit(0).cast("long"), "ex_d": F.lit(0).cast("long")})
-    for k in range(order, -1, -1):
-        mask = F.lit((1 << BITS * (k + 1)) - 1)
-        q = (
-            q.withColumn("gk", F.col("item").bitwiseAND(mask)).withColumn("ck", F.shiftright("gk", BITS))
-            .join(followers[k], F.col("gk") == F.col("g"), "left")
-            .join(contexts[k], F.col("ck") == F.col("c"), "left")
-        )
-        seen, new = F.col("total").isNotNull(), F.col("distinct") - F.col("ex_d")
-        all_n = F.col("total") - F.col("ex_n") + new
-        hit = F.col("open") & F.col("n").isNotNull()
-        q = q.select(
-            "item",
-            (F.col("value") + F.when(F.col("open") & seen & (new > 0), F.log10(F.coalesce("n", new) / all_n)).otherwise(0.0)).alias("value"),
-            (F.col("open") & ~hit).alias("open"),
-            F.when(seen, F.col("below")).otherwise(F.col("ex_n")).alias("ex_n"),
-            F.when(seen, F.col("distinct")).otherwise(F.col("ex_d")).alias("ex_d"),
-        )
-    return q.select("item", (F.col("value") + F.when(F.col("open"), -F.log10(SYMBOLS - F.col("ex_d"))).otherwise(0.0)).alias("value"))
+
+    def each(table: pa.Table) -> pa.RecordBatch:
+        item, n = table.column("item").to_numpy(), table.column("n").to_numpy()
+        last, before = item & ((1 << BITS) - 1), (item >> BITS) & ((1 << BITS) - 1)
+        counts = [single[last], pairs[before, last]]
+        found = []
+        for k in range(2, order + 1):
+            u, at, inv = np.unique(item & ((1 << BITS * (k + 1)) - 1), return_index=True, return_inverse=True)
+            nu = np.bincount(inv, n, len(u)).astype(np.int64)
+            new = np.concatenate([[True], (u[1:] >> BITS) != (u[:-1] >> BITS)])
+            first, c = np.flatnonzero(new), (np.cumsum(new) - 1)[inv]
+            found.append(tuple(np.add.reduceat(x.astype(np.int64), first)[c] for x in (nu, nu > 0, np.where(nu > 0, counts[k - 1][at], 0))))
+            counts.append(nu[inv])
+        value, open_ = np.zeros(len(item)), np.ones(len(item), bool)
+        ex_n, ex_d = np.zeros(len(item), np.int64), np.zeros(len(item), np.int64)
+        for k in range(order, -1, -1):
+            total, distinct, below = found[k - 2] if k > 1 else (x[before if k else np.zeros(len(item), np.int64)] for x in short[k])
+            new = distinct - ex_d
+            on = open_ & (total > 0) & (new > 0)
+            share = np.where(counts[k] > 0, counts[k], new)[on] / (total - ex_n + new)[on]
+            value[on] += np.log10(share)
+            open_ &= counts[k] == 0
+            ex_n, ex_d = np.where(total > 0, below, ex_n), np.where(total > 0, distinct, ex_d)
+        value[open_] -= np.log10(SYMBOLS - ex_d[open_])
+        return pa.RecordBatch.from_arrays([pa.array(item), pa.array(value)], names=["item", "value"])
+
+    return each
+
+
+def gram_scores(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """item and value: the log10 probability of each gram's last symbol after its context.
+
+    `counts` has every gram that is asked for once, with its training count, which may be 0.
+    """
+    symbol = F.lit((1 << BITS) - 1)
+    pairs = np.zeros((1 << BITS, 1 << BITS), np.int64)
+    # At most one row for each two symbols.
+    ends = counts.groupBy(F.shiftright("item", BITS).bitwiseAND(symbol).alias("a"), F.col("item").bitwiseAND(symbol).alias("b")).agg(F.sum("n").alias("n"))
+    for r in ends.filter("n > 0").collect():
+        pairs[r.a, r.b] = r.n
+    by = counts.select(F.shiftright("item", BITS).bitwiseAND(F.lit((1 << 2 * BITS) - 1)).alias("c2"), "item", "n")
+    return map_groups(by, ["c2"], _context_values(order, pairs), "item long, value double")
 
 
 def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", order: int = ORDER, batch_bytes: int = BATCH_BYTES) -> DataFrame:
@@ -194,7 +233,9 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
     # Texts are long: small Arrow batches keep the buffers of both sides small.
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    batches = max(1, math.ceil(size / batch_bytes))
+    # Large batches share more grams; every core has a batch unless those get too small.
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    batches = max(1, min(math.ceil(size / LEAST_BYTES), max(math.ceil(size / batch_bytes), cores)))
     kind = docs.schema[key].dataType.simpleString()
     work = docs.select(
         F.pmod(F.xxhash64(key, text), F.lit(batches)).alias("batch"),
@@ -202,55 +243,60 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         F.coalesce(F.col(text), F.lit("")).alias("text"),
         F.coalesce(train, F.lit(False)).alias("train"),
     )
-    items = settle(map_groups(work.select("batch", "text", "train"), ["batch"], lambda t: _uniques(t, order), "batch long, kind int, item long, n long"))
-    counts = settle(items.filter("n > 0").groupBy("kind", "item").agg(F.sum("n").alias("n")))
-    total = counts.filter(F.col("kind") == WORD).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    whole = work.select("batch", "text", "train").repartition("batch").sortWithinPartitions("batch")
+    items = settle(whole.mapInArrow(_items(order), "batch long, kind int, item long, n long"), packed=True)
+    counts = settle(items.groupBy("kind", "item").agg(F.sum("n").alias("n")), packed=True)
+    known_words = (F.col("kind") == WORD) & (F.col("n") > 0)
+    total = counts.filter(known_words).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     tokens, distinct = int(total[0]), int(total[1])
-    words = counts.filter(F.col("kind") == WORD).select("item", F.col("n").cast("double").alias("value"))
-    values = gram_scores(items.filter(F.col("kind") == GRAM), counts.filter(F.col("kind") == GRAM).select("item", "n"), order)
-    named = settle(words.withColumn("kind", F.lit(WORD)).union(values.withColumn("kind", F.lit(GRAM)))).select(F.col("kind").alias("k2"), F.col("item").alias("i2"), "value")
+    words = counts.filter(known_words).select("item", F.col("n").cast("double").alias("value"))
+    values = gram_scores(counts.filter(F.col("kind") == GRAM).select("item", "n"), order)
+    named = settle(words.withColumn("kind", F.lit(WORD)).union(values.withColumn("kind", F.lit(GRAM))), packed=True).select(F.col("kind").alias("k2"), F.col("item").alias("i2"), "value")
     known = items.join(named, (F.col("kind") == F.col("k2")) & (F.col("item") == F.col("i2")))
     nothing = F.lit(None)
     stream = known.select("batch", "kind", "item", "value", nothing.cast(kind).alias("key"), nothing.cast("string").alias("text"), nothing.cast("boolean").alias("train")).union(
         work.select("batch", F.lit(2).alias("kind"), nothing.cast("long"), nothing.cast("double"), "key", "text", "train")
     )
 
-    def rate(group: pa.Table) -> pa.RecordBatch:
-        batch, what = group.column("batch").to_numpy(), group.column("kind").to_numpy()
-        bounds = [0, *(np.flatnonzero(batch[1:] != batch[:-1]) + 1).tolist(), len(batch)]
-        keys, trains, out = [], [], []
-        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-            w0, g0 = s + np.searchsorted(what[s:e], GRAM), s + np.searchsorted(what[s:e], 2)
-            part = lambda a, b: Table(*(group.column(c).slice(a, b - a).to_numpy() for c in ("item", "value")))
-            of_word, of_gram = part(s, w0), part(w0, g0)
-            keys.append(group.column("key").slice(g0, e - g0).combine_chunks())
-            trains.append(group.column("train").slice(g0, e - g0).combine_chunks())
-            end_n = of_word.get(np.array([END_WORD]).view(np.int64), 0.0)[0]
-            chunks = (c for rows in group.column("text").slice(g0, e - g0).chunks for c in B.chunks(rows, CHUNK))
-            for _, _, data, offs in chunks:
+    def rate(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parts, tables = None, {}, {}
+        for batch, r in _segments(rows):
+            if batch != current:
+                current, parts, tables = batch, {WORD: [], GRAM: []}, {}
+            what = r.column(1).to_numpy()
+            cuts = np.searchsorted(what, [WORD, GRAM, 2, 3])
+            for k in (WORD, GRAM):
+                if cuts[k + 1] > cuts[k]:
+                    parts[k].append([r.column(c).slice(cuts[k], cuts[k + 1] - cuts[k]).to_numpy(zero_copy_only=False) for c in (2, 3)])
+            asked = r.slice(cuts[2])
+            if not asked.num_rows:
+                continue
+            if not tables:
+                # Texts come after all of their batch's words and grams.
+                for k, held in parts.items():
+                    tables[k] = Table(*(np.concatenate([np.zeros(0, t), *(p[i] for p in held)]) for i, t in ((0, np.int64), (1, np.float64))))
+                parts = {WORD: [], GRAM: []}
+            out = []
+            end_n = tables[WORD].get(np.array([END_WORD]).view(np.int64), 0.0)[0]
+            for _, _, data, offs in B.chunks(asked.column(5), CHUNK):
                 w = B.Words(data, offs)
-                n = of_word.get(w.hashes().view(np.int64), 0.0)
+                n = tables[WORD].get(w.hashes().view(np.int64), 0.0)
                 sums = lambda x, at: np.diff(np.concatenate([[0], np.cumsum(x)])[at])
                 each = lambda x: np.log10((x + 1) / (tokens + distinct + 1))
                 g, at = grams(data, offs, order)
-                value = np.add.reduceat(of_gram.get(g, math.nan), at[:-1])
+                value = np.add.reduceat(tables[GRAM].get(g, math.nan), at[:-1])
                 out.append((w.count + 1, sums(n > 0, w.at) + (end_n > 0), sums(each(n), w.at) + each(end_n), value))
+            counted = [np.concatenate(c) for c in zip(*out, strict=True)]
+            types = (np.int64, np.int64, np.float64, np.float64)
+            yield pa.RecordBatch.from_arrays(
+                [asked.column(4), asked.column(6), *(pa.array(x.astype(t)) for x, t in zip(counted, types, strict=True))],
+                names=["key", "train", "n_tokens", "n_known", "base_score", "score"],
+            )
         pa.default_memory_pool().release_unused()
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
-        arrays = [pa.chunked_array(keys).combine_chunks(), pa.chunked_array(trains).combine_chunks(), pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2]), pa.array(cols[3])]
-        return pa.RecordBatch.from_arrays(arrays, names=["key", "train", "n_tokens", "n_known", "base_score", "score"])
 
     scored = (
         stream.repartition("batch").sortWithinPartitions("batch", "kind")
-        .mapInArrow(_by_batch(rate), f"key {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
-    )
+        .mapInArrow(rate, f"key {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
+    )
     return scored.select(F.col("key").alias(key), "train", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
-
-def _by_batch(f):
-    from tidemark.llm.grouped import runs
-
-    def each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return map(f, runs(it, 1))
-
-    return each
