@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators.events import CLASSES
+from tidemark.operators.tags import currencies
+
 
 def ohlc_bars(ticks: DataFrame, width: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Bars of ticks (series_id, ts, price, event_id); a stream gets a watermark and emits bars once they are closed."""
@@ -53,7 +57,34 @@ def positions(rows: DataFrame, entry: float, leave: float, sign: int = -1) -> Da
 
 
 def filed(submissions: DataFrame, closed: DataFrame) -> DataFrame:
-    """Submissions (day, ts, raw) that are not blank; late where their day is in the table `closed`."""
-    rows = submissions.filter(F.trim("raw") != "")
+    """Submissions (day, ts, raw) that are not blank, with their currency tags; late where their day is in the table `closed`."""
+    rows = submissions.filter(F.trim("raw") != "").withColumn("tags", currencies(F.col("raw")))
     marks = closed.select("day").distinct().withColumn("late", F.lit(True))
     return rows.join(marks, "day", "left").withColumn("late", F.coalesce("late", F.lit(False)))
+
+
+def decayed_totals(events: DataFrame) -> DataFrame:
+    """event_class, ts and score after each event of a stream of (event_class, ts, imp), each class in the order of ts.
+
+    The state of a class is its fast and slow sums and the time they stand for: an event decays both to its own time and
+    adds its weighted impulse, so nothing of the past is kept.  Events of a later batch that are older than the state
+    are added as if they came at its time.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        fast, slow, weight, _ = CLASSES.get(key[0], CLASSES["noise"])
+        f, s, at = state.get if state.exists else (0.0, 0.0, None)
+        part = pd.concat(list(parts)).dropna(subset=["ts"]).sort_values("ts")
+        out = []
+        for ts, imp in zip(part["ts"], part["imp"].fillna(0.0), strict=True):
+            now = ts.value / 86400e9
+            days = max(0.0, now - at) if at is not None else 0.0
+            at = now if at is None else max(at, now)
+            f = f * math.exp(-math.log(2) / fast * days) + weight * imp
+            s = s * math.exp(-math.log(2) / slow * days) + (1 - weight) * imp
+            out.append(f + s)
+        if out:
+            state.update((f, s, at))
+        yield pd.DataFrame({"event_class": key[0], "ts": part["ts"], "score": out})
+
+    return events.groupBy("event_class").applyInPandasWithState(step, "event_class string, ts timestamp, score double", "f double, s double, at double", "append", GroupStateTimeout.NoTimeout)
