@@ -48,22 +48,19 @@ class Table:
     """A hash table of 64-bit keys, built and read a whole array at a time."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(math.ceil(math.log2(max(1, len(keys)) * 3))))
+        self.bits = max(4, int(math.ceil(math.log2(max(1, len(keys)) * 1.5))))
         self.key = np.zeros(1 << self.bits, np.int64)
         self.value = np.zeros(1 << self.bits)
         self.used = np.zeros(1 << self.bits, bool)
-        left, owner, n = np.arange(len(keys)), np.zeros(1 << self.bits, np.int64), 0
+        left, owner, n = np.arange(len(keys), dtype=np.int32), np.zeros(1 << self.bits, np.int32), 0
         while len(left):
             s = self.slot(keys[left], n)
             free = ~self.used[s]
-            who, s = left[free], s[free]
-            owner[s] = who
-            won = owner[s] == who
-            at, who = s[won], who[won]
+            owner[s[free]] = left[free]
+            won = free & (owner[s] == left)
+            at, who = s[won], left[won]
             self.key[at], self.value[at], self.used[at] = keys[who], values[who], True
-            gone = np.zeros(len(keys), bool)
-            gone[who] = True
-            left = left[~gone[left]]
+            left = left[~won]
             n += 1
         self.rounds = n
 
@@ -262,20 +259,25 @@ def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text
         current, parts, tables = None, {}, {}
         for batch, r in _segments(rows):
             if batch != current:
-                current, parts, tables = batch, {WORD: [], GRAM: []}, {}
+                tables.clear()
+                current, parts = batch, {WORD: [], GRAM: []}
             what = r.column(1).to_numpy()
             cuts = np.searchsorted(what, [WORD, GRAM, 2, 3])
             for k in (WORD, GRAM):
                 if cuts[k + 1] > cuts[k]:
-                    parts[k].append([r.column(c).slice(cuts[k], cuts[k + 1] - cuts[k]).to_numpy(zero_copy_only=False) for c in (2, 3)])
+                    # Copies: a slice would keep all columns of its Arrow batch.
+                    parts[k].append([r.column(c).slice(cuts[k], cuts[k + 1] - cuts[k]).to_numpy(zero_copy_only=False).copy() for c in (2, 3)])
             asked = r.slice(cuts[2])
             if not asked.num_rows:
                 continue
             if not tables:
                 # Texts come after all of their batch's words and grams.
-                for k, held in parts.items():
-                    tables[k] = Table(*(np.concatenate([np.zeros(0, t), *(p[i] for p in held)]) for i, t in ((0, np.int64), (1, np.float64))))
-                parts = {WORD: [], GRAM: []}
+                for k in (WORD, GRAM):
+                    held = parts.pop(k)
+                    items, values = (np.concatenate([np.zeros(0, t), *(p[i] for p in held)]) for i, t in ((0, np.int64), (1, np.float64)))
+                    held.clear()
+                    tables[k] = Table(items, values)
+                    del items, values
             out = []
             end_n = tables[WORD].get(np.array([END_WORD]).view(np.int64), 0.0)[0]
             for _, _, data, offs in B.chunks(asked.column(5), CHUNK):
