@@ -34,3 +34,17 @@ def test_each_pair_counts_in_its_first_common_filter_only():
     near = x @ x.T >= 0.95
     want = [sum(n[q] for q in range(30) if q != p and near[p, q] and set(filters[p]) & set(filters[q])) for p in range(30)]
     assert links.tolist() == want and sum(want) > 0
+
+
+def test_pairs_at_the_threshold_share_filters_at_any_count():
+    rng = np.random.default_rng(3)
+    for count, dim in ((80_000, 64), (1_000_000, 64), (1_000_000, 6)):
+        words, cap, number = capfilter.codes_for(count, dim, 0.9, 48, 32, 1e-5)
+        x, y = rng.standard_normal((2, 300, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        y = 0.9 * x + np.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        codes = capfilter.Codes(dim, words, cap, number, 0)
+        shared = [len(np.intersect1d(a, b, True)) for a, b in zip(codes.decode(x), codes.decode(y), strict=True)]
+        assert min(shared) > 0 and np.mean(shared) > 28
+        assert all(len(f) == len(set(f.tolist())) and (np.diff(f) > 0).all() for f in codes.decode(x[:9]))

@@ -7,9 +7,12 @@ without trying all pairs of codewords: codewords of a half are tried in the orde
 the first half is dropped as soon as the best one of the second can't lift it over the cap.  Vectors that share a
 filter are compared in double precision.
 
-The number of codewords grows with the number of vectors, and the cap with it, so that a filter holds about as many
-vectors at any size (`per_filter`) and a pair at the threshold still shares `shared` filters on average; the chance
-that it shares none is about exp(-shared).
+Rotated at random, a vector's inner product with a direction follows the exact law of the sphere (a beta law), and so do
+those of a pair.  From these tails `plan` takes a cap at which a filter holds about as many vectors at any size
+(`per_filter`) and the number of codewords at which a pair at the threshold shares `shared` filters on average.  Filters of
+one code share codewords, so a pair may well share none of them: a code's chance of that is measured on random pairs at the
+threshold, for these very numbers, and codes with rotations and codebooks of their own are added until the chance that
+all of them miss a pair is under `miss`.
 
 Equal vectors are filed once, by their bytes.  A filter with more than `block` vectors is split into blocks, and every pair of
 blocks is one group, so that no task holds a hot filter and none is cut short.  Groups give no pairs: only each
@@ -37,30 +40,69 @@ from tidemark.llm.stage import settle
 
 #: Hot filters that are broadcast at most; beyond it, a join does the same.
 BROADCAST_ROWS = 200_000
+#: Codes at least, filters of a vector on average at most, and filters at most (a few codes more still have 31-bit numbers).
+CODES, FILED, MOST = 16, 256, 1 << 29
 
 
-def tail(x: float) -> float:
-    """P(Z > x) of a standard normal."""
-    return 0.5 * math.erfc(x / math.sqrt(2))
+def tail(cap: float, dim: int) -> float:
+    """P(X > cap) of a random direction's inner product with a unit vector."""
+    if cap >= 1:
+        return 0.0
+    if cap <= -1:
+        return 1.0
+    if dim == 1:
+        return 0.5
+    turn = math.acos(cap)
+    return _arc(0, turn, dim) / (_arc(0, turn, dim) + _arc(turn, math.pi, dim))
 
 
-def both_tail(x: float, rho: float) -> float:
-    """P(Z > x and Z' > x) of normals with correlation rho, by Simpson's rule."""
-    if rho >= 1:
-        return tail(x)
-    s, n, top = math.sqrt(1 - rho * rho), 400, x + 8
-    f = lambda z: math.exp(-z * z / 2) / math.sqrt(2 * math.pi) * tail((x - rho * z) / s)
-    h = (top - x) / n
-    return h / 3 * sum((1 if k in (0, n) else 4 if k % 2 else 2) * f(x + k * h) for k in range(n + 1))
+def _arc(low: float, high: float, dim: int, n: int = 2000) -> float:
+    """The integral of sin ** (dim - 2), by Simpson's rule."""
+    x = np.linspace(low, high, n + 1)
+    weight = np.where(np.arange(n + 1) % 2, 4.0, 2.0)
+    weight[[0, -1]] = 1
+    return float((np.sin(x).clip(0) ** (dim - 2) * weight).sum() * (high - low) / n / 3)
 
 
-def plan(count: int, dim: int, threshold: float, per_filter: float, shared: float) -> tuple[int, float]:
-    """Codewords of a half and the cap (an inner product with a unit direction)."""
-    z = 1.2
-    while count * tail(z) > per_filter and z < 6:
-        z += 0.02
-    filters = shared / both_tail(z, threshold)
-    return max(4, math.ceil(math.sqrt(filters))), z / math.sqrt(dim)
+def both_tail(cap: float, rho: float, dim: int) -> float:
+    """P(X > cap and X' > cap) of a random direction's inner products with two unit vectors whose own is rho."""
+    if rho >= 1 or dim == 1:
+        return tail(cap, dim)
+    turn, s, n = math.acos(cap), math.sqrt(1 - rho * rho), 400
+    # At an angle of x to the first vector, the rest of the direction is uniform on a sphere of a dimension less.
+    x = (np.arange(n) + 0.5) * turn / n
+    rest = np.array([tail((cap - rho * math.cos(t)) / (s * math.sin(t)), dim - 1) for t in x])
+    return float((np.sin(x) ** (dim - 2) * rest).sum() * turn / n / (_arc(0, turn, dim) + _arc(turn, math.pi, dim)))
+
+
+def plan(count: int, dim: int, threshold: float, per_filter: float, shared: float, top: float = 1.0) -> tuple[int, float]:
+    """Codewords of a half of each of CODES codes, and the cap (an inner product with a unit direction), at most `top`."""
+    low, high = 0.0, top
+    for _ in range(40):
+        cap = (low + high) / 2
+        one = tail(cap, dim)
+        both = both_tail(cap, threshold, dim) if count * one >= per_filter else 0
+        # In few dimensions small caps of two near vectors hardly meet, so a cap may hold more than `per_filter` vectors.
+        fits = both > 0 and shared * one <= FILED * both and shared <= MOST * both
+        low, high = (cap, high) if fits else (low, cap)
+    return max(2, math.ceil(math.sqrt(shared / CODES / both_tail(low, threshold, dim)))), low
+
+
+def missed(dim: int, words: int, cap: float, threshold: float, pairs: int = 2000, seed: int = 1) -> float:
+    """The chance that a pair at the threshold shares no filter of a code, measured (and set high by three of its standard errors)."""
+    rng, books, lost = np.random.default_rng([seed, dim]), 8, 0
+    for b in range(books):
+        x, y = rng.standard_normal((2, pairs // books, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        if dim > 1:
+            y -= (x * y).sum(axis=1, keepdims=True) * x
+            y = threshold * x + math.sqrt(max(0, 1 - threshold * threshold)) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        else:
+            y = x
+        code = Code(dim, words, cap, seed + b)
+        lost += sum(not len(np.intersect1d(p, q, True)) for p, q in zip(code.decode(x), code.decode(y), strict=True))
+    p = (lost + 1) / (pairs + 2)
+    return min(0.99, p + 3 * math.sqrt(p * (1 - p) / pairs))
 
 
 class Code:
@@ -93,6 +135,27 @@ class Code:
         return out
 
 
+class Codes:
+    """`number` product codes of one dimension, each with a rotation and codebooks of its own."""
+
+    def __init__(self, dim: int, words: int, cap: float, number: int, seed: int):
+        self.codes = [Code(dim, words, cap, seed * 10_000 + k) for k in range(number)]
+
+    def decode(self, x: np.ndarray) -> list[np.ndarray]:
+        """Sorted numbers of the filters that each row exceeds, over all codes."""
+        of = [code.decode(x) for code in self.codes]
+        return [np.concatenate([f[r] + np.int32(k * code.words**2) for k, (f, code) in enumerate(zip(of, self.codes, strict=True))]) for r in range(len(x))]
+
+
+def codes_for(count: int, dim: int, threshold: float, per_filter: float, shared: float, miss: float) -> tuple[int, float, int]:
+    """Codewords of a half, the cap, and the number of codes that together miss a pair at the threshold with a chance under `miss`."""
+    words, cap = plan(count, dim, threshold, per_filter, shared)
+    # Codebooks of few dimensions have few directions, so that codes would be added without end: wider caps instead.
+    while (p := missed(dim, words, cap, threshold)) > 0.75 and cap > 0.01:
+        words, cap = plan(count, dim, threshold, per_filter, shared, cap * 0.9)
+    return words, cap, max(CODES, math.ceil(math.log(miss) / math.log(p)))
+
+
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between nodes 0..n-1."""
     top = np.arange(n)
@@ -148,7 +211,7 @@ def compare(number: int, k1: int, k2: int, k: np.ndarray, u: np.ndarray, n: np.n
     return np.concatenate([u[some], u[tree[:, 0]]]), np.concatenate([u[some], u[tree[:, 1]]]), np.concatenate([links[some], np.zeros(len(tree), np.int64)])
 
 
-def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, per_filter: float = 48, shared: float = 32, block: int = 1024, seed: int = 0) -> DataFrame:
+def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, per_filter: float = 48, shared: float = 32, block: int = 1024, seed: int = 0, miss: float = 1e-5) -> DataFrame:
     """key, n_links, component_id and kept of every row."""
     good = F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = good & F.exists(vector, lambda x: x != 0)
@@ -157,17 +220,17 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshol
     rows = settle(rows)
     reps = rows.filter("h is not null").groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
     reps = settle(reps.withColumn("u", F.xxhash64("h")))
-    dims = {r["d"]: plan(r["c"], r["d"], threshold, per_filter, shared) for r in reps.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    dims = {r["d"]: codes_for(r["c"], r["d"], threshold, per_filter, shared, miss) for r in reps.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("c")).collect()}
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[int, Code] = {}
+        codes: dict[int, Codes] = {}
         for batch in batches:
             vectors = [np.asarray(v, float) for v in batch.column("v").to_pylist()]
             u, n = batch.column("u").to_pylist(), batch.column("n").to_pylist()
             for d in {len(v) for v in vectors}:
                 at = [r for r, v in enumerate(vectors) if len(v) == d]
                 if d not in codes:
-                    codes[d] = Code(d, *dims[d], seed)
+                    codes[d] = Codes(d, *dims[d], seed)
                 # A vector has many rows, so few vectors make a batch.
                 for s in range(0, len(at), 128):
                     part = at[s : s + 128]
