@@ -194,6 +194,13 @@ def test_lines(spark, docs, empty):
     assert got[50].text is None and got[51].text == "" and linedrop.drop(empty).count() == 0 and linedrop.drop(docs).count() == docs.count()
 
 
+def test_a_template_of_a_hot_leaf_is_dropped(spark):
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    rows = [(i, f"failed login for {name(i)} from host a b c d\n{name(i * 7)} {name(i * 11)} {name(i * 13)} {name(i * 17)} {i}") for i in range(2 * linedrop.LEAF + 100)]
+    got = linedrop.drop(spark.createDataFrame(rows, "doc_id long, text string")).agg(F.min("n_dropped"), F.max("n_dropped")).first()
+    assert tuple(got) == (1, 1)
+
+
 def test_licenses(spark):
     rows = [(1, "Released under the MIT License.", "a/b/1"), (2, "plain text", "a/b/c/2"), (3, None, "a/3"), (4, "x\nAll rights reserved.\n" + words(1, 90), "a/b/4"), (5, "y", None)]
     got = {r.doc_id: (r.license, r.origin, r.origin_dir) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}

@@ -5,8 +5,10 @@ counts as a variable.  Lines of a leaf that agree in `alike` or more of their pl
 places become variables.  Templates that recur in `min_docs` or more documents are dropped from all of them.
 
 Equal lines (but for variables) are counted first, so a leaf holds distinct lines only; a leaf in which fewer than
-`min_docs` documents meet, or that has one distinct line, needs no tree search.  A leaf with more than `LEAF` distinct lines goes
-on by `MORE` more leading tokens.  Lines of under `min_tokens` tokens are never dropped.  Documents with equal texts count
+`min_docs` documents meet, or that has one distinct line, needs no tree search.  The lines of a leaf with more than `LEAF`
+distinct lines are dealt by hash to blocks; each block's lines are made into templates in its own task, and the
+templates of all blocks are merged by the same rule, in blocks again while they still get fewer, then over the whole
+leaf.  So the depth is the same at every size, and a template that lies in several blocks is found.  Lines of under `min_tokens` tokens are never dropped.  Documents with equal texts count
 once, as copies of one document are no boilerplate.
 
 Defined results: a null text stays null and has no lines, an empty one has one empty line; ties between templates go to the older, and
@@ -26,7 +28,7 @@ from tidemark.llm import textbytes as B
 from tidemark.llm.grouped import map_groups
 from tidemark.llm.stage import settle
 
-LEAD, MORE, LEAF = 3, 3, 2048
+LEAD, LEAF = 3, 2048
 #: Rows (of 8 or 16 bytes) that are broadcast at most; beyond it, a join does the same.
 BROADCAST_ROWS = 1_000_000
 VARIABLE = np.uint64(0x5BF03635)
@@ -35,7 +37,7 @@ DIGITS[48:58] = True
 
 
 class Lines:
-    """Of a chunk's lines: begin, end, doc, number of tokens, form (hash of all tokens, variables masked), leaf and deep leaf."""
+    """Of a chunk's lines: begin, end, doc, number of tokens, form (hash of all tokens, variables masked) and leaf."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray):
         w = B.Words(data, offs, B.SOLID)
@@ -68,11 +70,10 @@ class Lines:
 
         self.form = upto(self.count)
         self.leaf = upto(np.minimum(self.count, LEAD))
-        self.deep = upto(np.minimum(self.count, LEAD + MORE))
 
 
 def _ids(docs: DataFrame, text: str, min_tokens: int) -> DataFrame:
-    """form, leaf, deep and doc (hash of the text) of every distinct line of a document with enough tokens."""
+    """form, leaf and doc (hash of the text) of every distinct line of a document with enough tokens."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,9 +81,9 @@ def _ids(docs: DataFrame, text: str, min_tokens: int) -> DataFrame:
             for i, _, data, offs in B.chunks(batch.column(1)):
                 x = Lines(data, offs)
                 on = np.flatnonzero(x.count >= min_tokens)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x.form[on], x.leaf[on], x.deep[on], doc[i + x.doc[on]])], names=["form", "leaf", "deep", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x.form[on], x.leaf[on], doc[i + x.doc[on]])], names=["form", "leaf", "doc"])
 
-    return docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("doc"), text).mapInArrow(emit, "form long, leaf long, deep long, doc long").distinct()
+    return docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("doc"), text).mapInArrow(emit, "form long, leaf long, doc long").distinct()
 
 
 def _tokens(docs: DataFrame, text: str, min_tokens: int) -> DataFrame:
@@ -101,8 +102,11 @@ def _tokens(docs: DataFrame, text: str, min_tokens: int) -> DataFrame:
     return docs.filter(F.col(text).isNotNull()).select(text).mapInArrow(emit, "form long, leaf long, tokens binary")
 
 
-def search(lines: list[np.ndarray], alike: float) -> list[int]:
-    """The template of each line of a leaf, as the number of the line that began it."""
+def search(lines: list[np.ndarray], alike: float, known: list[np.ndarray] | None = None) -> tuple[list[int], dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """The template of each line of a leaf, as the number of the line that began it, and the tokens and fixed places of each template.
+
+    `known` has the fixed places of lines that are templates themselves.
+    """
     templates = np.zeros((16, len(lines[0])), np.uint32)
     fixed = np.zeros((16, len(lines[0])), bool)
     began: list[int] = []
@@ -110,6 +114,8 @@ def search(lines: list[np.ndarray], alike: float) -> list[int]:
     for k, line in enumerate(lines):
         n = len(began)
         same = (templates[:n] == line) & fixed[:n]
+        if known is not None:
+            same &= known[k]
         share = same.mean(axis=1) if n else np.zeros(0)
         best = int(share.argmax()) if n else 0
         if n and share[best] >= alike:
@@ -118,39 +124,72 @@ def search(lines: list[np.ndarray], alike: float) -> list[int]:
             continue
         if n == len(templates):
             templates, fixed = np.concatenate([templates, templates * 0]), np.concatenate([fixed, fixed & False])
-        templates[n], fixed[n] = line, True
+        templates[n], fixed[n] = line, True if known is None else known[k]
         began.append(k)
         out.append(k)
-    return out
+    return out, {k: (templates[r], fixed[r]) for r, k in enumerate(began)}
+
+
+def _merged(table: pa.Table, alike: float) -> pa.RecordBatch:
+    """f and template of each row; rows of templates whose leaf has more blocks keep what the next pass needs."""
+    at, block = table.column("at").to_numpy(), table.column("block").to_numpy()
+    n, form, blocks = (table.column(c).to_numpy() for c in ("n", "form", "blocks"))
+    tokens, places = table.column("tokens").to_pylist(), table.column("fixed").to_pylist()
+    rows: list[tuple] = []
+    bounds = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), len(at)]
+    for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+        order = sorted(range(s, e), key=lambda r: (-n[r], form[r]))
+        # A hash that two lengths share must not mix them.
+        for size in {len(tokens[r]) for r in order}:
+            of = [r for r in order if len(tokens[r]) == size]
+            known = None if places[of[0]] is None else [np.frombuffer(places[r], bool) for r in of]
+            found, kept = search([np.frombuffer(tokens[r], np.uint32) for r in of], alike, known)
+            total = np.bincount(found, n[of], len(of)).astype(np.int64)
+            for j, (r, k) in enumerate(zip(of, found, strict=True)):
+                if blocks[r] > 1 and j == k:
+                    rows.append((form[r], form[r], at[r], blocks[r], total[k], kept[k][0].tobytes(), kept[k][1].tobytes()))
+                elif j != k:
+                    rows.append((form[r], form[of[k]], at[r], blocks[r], None, None, None))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["f", "template", "at", "blocks", "n", "tokens", "fixed"])
+
+
+def _templates(lines: DataFrame, alike: float) -> DataFrame:
+    """f, template of the lines that others' templates took.  `lines` has at, blocks, n, form, tokens and fixed."""
+    named: DataFrame | None = None
+    salt = 0
+    while True:
+        block = F.pmod(F.xxhash64("form", F.lit(salt)), F.col("blocks")).cast("int")
+        dealt = lines.select("at", block.alias("block"), "blocks", "n", "form", "tokens", "fixed")
+        out = settle(map_groups(dealt, ["at", "block"], lambda t: _merged(t, alike), "f long, template long, at long, blocks int, n long, tokens binary, fixed binary"))
+        moves = out.filter("f <> template").select("f", "template")
+        if named is None:
+            named = moves
+        else:
+            later = moves.select(F.col("f").alias("f2"), F.col("template").alias("t2"))
+            named = settle(named.join(later, F.col("template") == F.col("f2"), "left").select("f", F.coalesce("t2", "template").alias("template")).union(moves))
+        top = out.filter("f = template")
+        if top.isEmpty():
+            return named
+        # Blocks are halved at least from pass to pass; where templates don't get as few, one pass takes the whole leaf.
+        fewer = F.ceil(F.count(F.lit(1)) / LEAF).cast("int")
+        counts = top.groupBy("at").agg(F.when(fewer <= F.max("blocks") / 2, fewer).otherwise(1).alias("blocks2")).withColumnRenamed("at", "at2")
+        lines = top.join(counts, F.col("at") == F.col("at2")).select("at", F.col("blocks2").alias("blocks"), "n", F.col("f").alias("form"), "tokens", "fixed")
+        salt += 1
 
 
 def recurring(docs: DataFrame, text: str = "text", min_docs: int = 5, min_tokens: int = 4, alike: float = 0.7) -> DataFrame:
     """form: the lines whose templates recur."""
     ids = settle(_ids(docs, text, min_tokens))
-    forms = ids.groupBy("form", "leaf", "deep").agg(F.count(F.lit(1)).alias("n"))
+    forms = ids.groupBy("form", "leaf").agg(F.count(F.lit(1)).alias("n"))
     leaves = forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("n")).filter((F.col("forms") > 1) & (F.col("n") >= min_docs))
-    leaves = settle(leaves.select(F.col("leaf").alias("leaf2"), (F.col("forms") > LEAF).alias("big")))
+    leaves = settle(leaves.select(F.col("leaf").alias("leaf2"), F.ceil(F.col("forms") / LEAF).cast("int").alias("blocks")))
     few = leaves.count() <= BROADCAST_ROWS
     within = F.broadcast(leaves) if few else leaves
-    tokens = _tokens(docs, text, min_tokens).join(within, F.col("leaf") == F.col("leaf2")).groupBy("form").agg(F.first("tokens").alias("tokens"), F.first("big").alias("big"))
-    ordered = tokens.join(forms.withColumnRenamed("form", "f2"), F.col("form") == F.col("f2")).select(F.when(F.col("big"), F.col("deep")).otherwise(F.col("leaf")).alias("at"), "n", "form", "tokens")
-
-    def leaf(table: pa.Table) -> pa.RecordBatch:
-        at = table.column("at").to_numpy()
-        n, form = table.column("n").to_numpy(), table.column("form").to_numpy()
-        tokens = table.column("tokens").to_pylist()
-        a, b = [], []
-        bounds = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
-        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-            order = sorted(range(s, e), key=lambda r: (-n[r], form[r]))
-            # A hash that two lengths share must not mix them.
-            for size in {len(tokens[r]) for r in order}:
-                rows = [r for r in order if len(tokens[r]) == size]
-                for r, k in zip(rows, search([np.frombuffer(tokens[r], np.uint32) for r in rows], alike), strict=True):
-                    a.append(form[r]), b.append(form[rows[k]])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["f", "template"])
-
-    templates = map_groups(ordered, ["at"], leaf, "f long, template long").filter("f <> template")
+    tokens = _tokens(docs, text, min_tokens).join(within, F.col("leaf") == F.col("leaf2")).groupBy("form").agg(F.first("tokens").alias("tokens"), F.first("blocks").alias("blocks"))
+    lines = tokens.join(forms.withColumnRenamed("form", "f2"), F.col("form") == F.col("f2"))
+    templates = _templates(lines.select(F.col("leaf").alias("at"), "blocks", "n", "form", "tokens", F.lit(None).cast("binary").alias("fixed")), alike)
     named = ids.select("form", "doc").join(templates, F.col("form") == F.col("f"), "left").withColumn("t", F.coalesce("template", "form"))
     often = named.select("t", "doc").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select(F.col("t").alias("t2"))
     return named.select("t", "form").distinct().join(often, F.col("t") == F.col("t2")).select("form").distinct()
