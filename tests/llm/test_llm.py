@@ -201,6 +201,14 @@ def test_a_template_of_a_hot_leaf_is_dropped(spark):
     assert tuple(got) == (1, 1)
 
 
+def test_long_lines_go_from_two_documents_on(spark):
+    long, near, edge, short = words(1, 51), words(2, 60), words(3, 50), "three four five short"
+    rows = [(1, f"{long}\n{edge}\n{short}"), (2, f"own\n{long}\n{edge}\n{short}"), (3, f"a\n{near}"), (4, "b\n" + near.replace(near.split()[40], "changed", 1)), (5, words(4, 70)), (6, words(4, 70))]
+    got = {r.doc_id: r.text for r in linedrop.drop(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # Equal texts count as one document, so 5 and 6 keep theirs.
+    assert got == {1: f"{edge}\n{short}", 2: f"own\n{edge}\n{short}", 3: "a", 4: "b", 5: words(4, 70), 6: words(4, 70)}
+
+
 def test_licenses(spark):
     rows = [(1, "Released under the MIT License.", "a/b/1"), (2, "plain text", "a/b/c/2"), (3, None, "a/3"), (4, "x\nAll rights reserved.\n" + words(1, 90), "a/b/4"), (5, "y", None)]
     got = {r.doc_id: (r.license, r.origin, r.origin_dir) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}

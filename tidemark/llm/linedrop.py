@@ -2,10 +2,11 @@
 
 A line's tokens go down a tree: first by their number, then by the `LEAD` leading tokens, where a token with a digit
 counts as a variable.  Lines of a leaf that agree in `alike` or more of their places are one template, whose other
-places become variables.  Templates that recur in `min_docs` or more documents are dropped from all of them.
+places become variables.  Templates that recur in `min_docs` or more documents are dropped from all of them; of those
+with more than `long_tokens` tokens, `long_docs` documents are enough, as such passages do not recur by chance.
 
 Equal lines (but for variables) are counted first, so a leaf holds distinct lines only; a leaf in which fewer than
-`min_docs` documents meet, or that has one distinct line, needs no tree search.  The lines of a leaf with more than `LEAF`
+that many documents meet, or that has one distinct line, needs no tree search.  The lines of a leaf with more than `LEAF`
 distinct lines are dealt by hash to blocks; each block's lines are made into templates in its own task, and the
 templates of all blocks are merged by the same rule, in blocks again while they still get fewer, then over the whole
 leaf.  So the depth is the same at every size, and a template that lies in several blocks is found.  Lines of under `min_tokens` tokens are never dropped.  Documents with equal texts count
@@ -72,8 +73,8 @@ class Lines:
         self.leaf = upto(np.minimum(self.count, LEAD))
 
 
-def _ids(docs: DataFrame, text: str, min_tokens: int) -> DataFrame:
-    """form, leaf and doc (hash of the text) of every distinct line of a document with enough tokens."""
+def _ids(docs: DataFrame, text: str, min_tokens: int, long_tokens: int = 50) -> DataFrame:
+    """form, leaf, long (over `long_tokens` tokens) and doc (hash of the text) of every distinct line of a document with enough tokens."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,9 +82,9 @@ def _ids(docs: DataFrame, text: str, min_tokens: int) -> DataFrame:
             for i, _, data, offs in B.chunks(batch.column(1)):
                 x = Lines(data, offs)
                 on = np.flatnonzero(x.count >= min_tokens)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x.form[on], x.leaf[on], doc[i + x.doc[on]])], names=["form", "leaf", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x.form[on], x.leaf[on], x.count[on] > long_tokens, doc[i + x.doc[on]])], names=["form", "leaf", "long", "doc"])
 
-    return docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("doc"), text).mapInArrow(emit, "form long, leaf long, doc long").distinct()
+    return docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("doc"), text).mapInArrow(emit, "form long, leaf long, long boolean, doc long").distinct()
 
 
 def _tokens(docs: DataFrame, text: str, min_tokens: int) -> DataFrame:
@@ -179,25 +180,26 @@ def _templates(lines: DataFrame, alike: float) -> DataFrame:
         salt += 1
 
 
-def recurring(docs: DataFrame, text: str = "text", min_docs: int = 5, min_tokens: int = 4, alike: float = 0.7) -> DataFrame:
+def recurring(docs: DataFrame, text: str = "text", min_docs: int = 5, min_tokens: int = 4, alike: float = 0.7, long_tokens: int = 50, long_docs: int = 2) -> DataFrame:
     """form: the lines whose templates recur."""
-    ids = settle(_ids(docs, text, min_tokens))
-    forms = ids.groupBy("form", "leaf").agg(F.count(F.lit(1)).alias("n"))
-    leaves = forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("n")).filter((F.col("forms") > 1) & (F.col("n") >= min_docs))
+    ids = settle(_ids(docs, text, min_tokens, long_tokens))
+    enough = F.when(F.col("long"), long_docs).otherwise(min_docs)
+    forms = ids.groupBy("form", "leaf", "long").agg(F.count(F.lit(1)).alias("n"))
+    leaves = forms.groupBy("leaf", "long").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("n")).filter((F.col("forms") > 1) & (F.col("n") >= enough))
     leaves = settle(leaves.select(F.col("leaf").alias("leaf2"), F.ceil(F.col("forms") / LEAF).cast("int").alias("blocks")))
     few = leaves.count() <= BROADCAST_ROWS
     within = F.broadcast(leaves) if few else leaves
     tokens = _tokens(docs, text, min_tokens).join(within, F.col("leaf") == F.col("leaf2")).groupBy("form").agg(F.first("tokens").alias("tokens"), F.first("blocks").alias("blocks"))
     lines = tokens.join(forms.withColumnRenamed("form", "f2"), F.col("form") == F.col("f2"))
     templates = _templates(lines.select(F.col("leaf").alias("at"), "blocks", "n", "form", "tokens", F.lit(None).cast("binary").alias("fixed")), alike)
-    named = ids.select("form", "doc").join(templates, F.col("form") == F.col("f"), "left").withColumn("t", F.coalesce("template", "form"))
-    often = named.select("t", "doc").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select(F.col("t").alias("t2"))
+    named = ids.select("form", "long", "doc").join(templates, F.col("form") == F.col("f"), "left").withColumn("t", F.coalesce("template", "form"))
+    often = named.select("t", "long", "doc").distinct().groupBy("t", "long").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select(F.col("t").alias("t2"))
     return named.select("t", "form").distinct().join(often, F.col("t") == F.col("t2")).select("form").distinct()
 
 
-def drop(docs: DataFrame, text: str = "text", min_docs: int = 5, min_tokens: int = 4, alike: float = 0.7) -> DataFrame:
+def drop(docs: DataFrame, text: str = "text", min_docs: int = 5, min_tokens: int = 4, alike: float = 0.7, long_tokens: int = 50, long_docs: int = 2) -> DataFrame:
     """The documents with `text` less its recurring lines; adds n_lines, n_dropped and words_dropped."""
-    bad = settle(recurring(docs, text, min_docs, min_tokens, alike))
+    bad = settle(recurring(docs, text, min_docs, min_tokens, alike, long_tokens, long_docs))
     new = ["n_lines", "n_dropped", "words_dropped"]
     df = docs.drop(*new)
     names = df.columns
