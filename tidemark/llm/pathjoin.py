@@ -4,7 +4,9 @@ Documents are sets of shingles (n consecutive words, lower-cased).  Each set has
 tokens.  In one run every set walks down a tree: a node samples one token position, and sets that share the token
 there go to the same child.  A node with at most `BRUTE` sets is compared by brute force on the signatures; a larger
 one is split again, to depth `DEPTHS[-1]`.  Two sets with Jaccard similarity s stay together for d levels with
-probability s ** d, so the run is repeated, each time with other samples, until the recall asked for is met.
+probability s ** d, so the run is repeated, each time with other samples, until the recall asked for is met.  The
+first runs meet it for depth 3; sets whose nodes went deeper have more parts of runs, each with minhash tokens of its
+own, as many as their depth needs.
 
 What the runs find are candidates: links of a forest over each node, and a node that no depth splits is taken as one
 candidate group whole.  Candidate groups are then compared exactly, set by set, in blocks if they are large; so links
@@ -22,7 +24,7 @@ documents have null keys; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ from tidemark.llm.stage import settle
 COORDS, BRUTE = 64, 128
 #: Depths at which nodes are counted.
 DEPTHS = (1, 2, 3, 5, 8, 12)
+#: The depth for which the first runs are enough.
+FIRST = 3
 #: Sets, and bytes of shingles, of a block of a candidate group.
 BLOCK, BLOCK_BYTES = 2048, 48 << 20
 #: Keys that are broadcast at most; beyond it, a join does the same.
@@ -49,6 +53,13 @@ def runs_for(recall: float, similarity: float, depth: int = 3) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**depth))
 
 
+def parts_for(recall: float, similarity: float, depth: int, runs: int) -> int:
+    """Parts of `runs` runs, each on COORDS tokens of its own, after which a pair that must share `depth` tokens has been together, with probability `recall`."""
+    k = range(COORDS + 1)
+    apart = sum(math.comb(COORDS, i) * similarity**i * (1 - similarity) ** (COORDS - i) * (1 - (i / COORDS) ** depth) ** runs for i in k)
+    return math.ceil(math.log(1 - recall) / math.log(apart))
+
+
 class Sets:
     """Shingle hashes of a chunk's documents, and the first of each (with the end of the last)."""
 
@@ -150,51 +161,81 @@ def _alike(table: pa.Table, least: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def candidates(sets: DataFrame, similarity: float, recall: float, seed: int = 0) -> DataFrame:
-    """Links (a, b) whose components hold every pair that the runs bring together.  `sets` has u and sig."""
+def candidates(sets: DataFrame, similarity: float, recall: float, more: Callable[[DataFrame], DataFrame], seed: int = 0) -> DataFrame:
+    """Links (a, b) whose components hold every pair that the runs bring together.
+
+    `sets` has u and sig; `more` gives u, part and sig of the parts low to high (exclusive) of each row of u, low and high.
+    """
     runs = runs_for(recall, similarity)
+    need = {d: max(1, parts_for(recall, similarity, d, runs)) for d in DEPTHS if d > FIRST}
+    links, deep = _walk(sets.select("u", F.lit(0).alias("part"), "sig"), similarity, runs, seed)
+    had: DataFrame | None = None
+    while deep is not None:
+        high = F.create_map(*(F.lit(x) for e in need.items() for x in e))[F.max("depth")]
+        wanted = deep.groupBy("u").agg(high.alias("high"))
+        if had is None:
+            wanted = wanted.withColumn("low", F.lit(1))
+        else:
+            wanted = wanted.join(had.select(F.col("u").alias("u1"), F.col("high").alias("low")), F.col("u") == F.col("u1")).drop("u1")
+        had = settle(wanted.filter("high > low").select("u", "low", "high"))
+        if had.isEmpty():
+            break
+        # A pair that was in one deep node has both of its sets in the same parts, up to the smaller need of the two.
+        found, deep = _walk(settle(more(had)), similarity, runs, seed)
+        links = links.union(found)
+    return links
+
+
+def _walk(sets: DataFrame, similarity: float, runs: int, seed: int) -> tuple[DataFrame, DataFrame | None]:
+    """Links (a, b) of all runs of each part, and u and depth of sets whose nodes went deeper than FIRST.  `sets` has u, part and sig."""
     # A pair at the threshold agrees in fewer places than this about once in 1e5.
     least = max(1, math.floor(COORDS * similarity - 4.4 * math.sqrt(COORDS * similarity * (1 - similarity))))
-    roots = B.mixed(np.arange(1, runs + 1, dtype=np.uint64) + np.uint64(seed * 1000 + 77))
+    roots = np.arange(1, runs + 1, dtype=np.uint64) + np.uint64(seed * 1000 + 77)
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig, u = _sig(batch.column(1)), batch.column(0).to_numpy()
-            nodes = [step(np.full(len(u), r, np.uint64), sig).view(np.int64) for r in roots]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.tile(u, runs))], names=["node", "u"])
+            sig, u, part = _sig(batch.column(2)), batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            nodes = [step(B.mixed(r + part.astype(np.uint64) * np.uint64(1 << 40)), sig).view(np.int64) for r in roots]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.tile(u, runs)), pa.array(np.tile(part, runs), pa.int32())], names=["node", "u", "part"])
 
     def deeper(levels: int):
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                node, sig = batch.column(0).to_numpy().view(np.uint64), _sig(batch.column(2))
+                node, sig = batch.column(0).to_numpy().view(np.uint64), _sig(batch.column(3))
                 for _ in range(levels):
                     node = step(node, sig)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column(1)], names=["node", "u"])
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column(1), batch.column(2)], names=["node", "u", "part"])
 
         return walk
 
-    at = settle(sets.select("u", "sig").mapInArrow(start, "node long, u long"))
+    at = settle(sets.select("u", "part", "sig").mapInArrow(start, "node long, u long, part int"))
     links: DataFrame | None = None
+    deep: DataFrame | None = None
+    tokens = sets.select("u", F.col("part").alias("part2"), "sig")
+    same = (F.col("u1") == F.col("u")) & (F.col("part") == F.col("part2"))
     for k, depth in enumerate(DEPTHS):
         counts = at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("node").alias("node2"), "n")
-        active = settle(at.join(counts, F.col("node") == F.col("node2")).select("node", "u", "n"))
-        small = active.filter(F.col("n") <= BRUTE).select("node", F.col("u").alias("u1")).join(sets.select("u", "sig"), F.col("u1") == F.col("u")).select("node", "u", "sig")
+        active = settle(at.join(counts, F.col("node") == F.col("node2")).select("node", "u", "part", "n"))
+        small = active.filter(F.col("n") <= BRUTE).select("node", F.col("u").alias("u1"), "part").join(tokens, same).select("node", "u", "sig")
         found = map_groups(small, ["node"], lambda t: _alike(t, least), "a long, b long").distinct()
         links = found if links is None else links.union(found)
-        big = active.filter(F.col("n") > BRUTE).select("node", "u")
+        big = active.filter(F.col("n") > BRUTE).select("node", "u", "part")
         if big.isEmpty():
             break
         if k + 1 == len(DEPTHS):
             low = big.groupBy("node").agg(F.min("u").alias("a")).withColumnRenamed("node", "node2")
             links = links.union(big.join(low, F.col("node") == F.col("node2")).select("a", F.col("u").alias("b")).filter("a <> b").distinct())
             break
-        joined = big.withColumnRenamed("u", "u1").join(sets.select("u", "sig"), F.col("u1") == F.col("u")).select("node", "u", "sig")
-        at = settle(joined.mapInArrow(deeper(DEPTHS[k + 1] - depth), "node long, u long"))
-    return links
+        if depth >= FIRST:
+            now = big.groupBy("u").agg(F.lit(DEPTHS[k + 1]).alias("depth"))
+            deep = now if deep is None else deep.union(now)
+        joined = big.withColumnRenamed("u", "u1").join(tokens, same).select("node", "u", "part", "sig")
+        at = settle(joined.mapInArrow(deeper(DEPTHS[k + 1] - depth), "node long, u long, part int"))
+    return links, deep
 
 
 def _exact(table: pa.Table, similarity: float) -> pa.RecordBatch:
@@ -246,7 +287,26 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, s
     """key, class_id (the smallest key that links reach), n_links (other rows linked directly) and kept, of every row."""
     rows = settle(_features(docs, key, text, n))
     reps = settle(rows.filter("u is not null").groupBy("u").agg(F.min(F.struct("key", "sig")).alias("s"), F.min("key").alias("rep"), F.count(F.lit(1)).alias("n")).select("u", "rep", "n", F.col("s.sig").alias("sig"), F.col("s.key").alias("holder")))
-    rough = components(candidates(reps, similarity, recall, seed))
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offs in B.chunks(batch.column(3), 2 << 20):
+                s = Sets(data, offs, n)
+                u, low, high = (batch.column(k).slice(i, j - i).to_numpy() for k in range(3))
+                at = np.flatnonzero(s.words > 0)
+                for part in range(int(low.min()), int(high.max())):
+                    on = np.flatnonzero((s.whole == u)[at] & (low[at] <= part) & (part < high[at]))
+                    if len(on):
+                        sig = s.signatures(part)
+                        yield pa.RecordBatch.from_arrays([pa.array(u[at[on]]), pa.array(np.full(len(on), part, np.int32)), pa.array([sig[r].tobytes() for r in on], pa.binary())], names=["u", "part", "sig"])
+
+    def more(wanted: DataFrame) -> DataFrame:
+        of = wanted.join(reps.select(F.col("u").alias("u1"), "holder"), F.col("u") == F.col("u1")).drop("u1")
+        of = F.broadcast(of) if wanted.count() <= BROADCAST_ROWS else of
+        texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(of, F.col("key").eqNullSafe(F.col("holder"))).select("u", "low", "high", "text")
+        return texts.mapInArrow(signed, "u long, part int, sig binary").dropDuplicates(["u", "part"])
+
+    rough = components(candidates(reps, similarity, recall, more, seed))
     group = settle(rough.join(reps, F.col("node") == F.col("u")).select(F.col("component").alias("group"), "u", "n", "holder"))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
