@@ -1,9 +1,10 @@
 """Benchmark decontamination: n-gram windows of test items, found in documents, verified and removed.
 
 The windows of the items are hashed into a set that goes to the executors; documents' windows are looked up in it, and
-each hit is compared word by word.  Items are taken in blocks of at most `block_bytes` of text, each with its own
-set, so what is broadcast is bounded however large the benchmark is; documents pass through one scan for each block,
-without a shuffle.
+each hit is compared by its bytes.  Items are taken in blocks of at most `block_bytes` of UTF-8 text (or one item), each
+with its own set, so what is broadcast at once and held by a worker is bounded however large the benchmark is: the driver
+makes one block after the other, and a worker that has passed a batch of documents through a block drops it before it
+loads the next.  Documents pass through one scan, without a shuffle.
 
 Words are runs of digits, lower-cased letters and characters above ASCII.  A window is n words; an item of fewer words
 (but not none) is one window.
@@ -26,63 +27,72 @@ from pyspark.sql import types as T
 
 from tidemark.llm import textbytes as B
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 
 
 class Block:
-    """The windows of some items: by length, sorted hashes; by words, item ids."""
+    """The windows of some items as arrays: by length, sorted hashes, and the item and the place of each.
+
+    `text` has the items' words, lower-cased and parted by single spaces, so a window is a slice of it.  An item's
+    repeats of a window are one.  A window takes 16 bytes (18 while they are made), so a block of n bytes of text, with
+    a window for each four bytes at most, takes about 5 n.
+    """
 
     def __init__(self, items: list[tuple[str, str]], n: int):
-        self.items: dict[bytes, list[str]] = defaultdict(list)
-        hashes: dict[int, list[np.ndarray]] = defaultdict(list)
-        if items:
-            for i, j, data, offs in B.chunks(pa.array([t for _, t in items], pa.large_string())):
-                w = B.Words(data, offs, B.ALNUM)
-                h = w.hashes()
-                for k in range(j - i):
-                    a, b = int(w.at[k]), int(w.at[k + 1])
-                    if a == b:
-                        continue
-                    size = min(n, b - a)
-                    hashes[size].append(B.windows(h[a:b], w.doc[a:b], size)[1])
-                    text = [w.data[s:e].tobytes() for s, e in zip(w.begin[a:b], w.end[a:b], strict=True)]
-                    for x in range(b - a - size + 1):
-                        ids = self.items[b" ".join(text[x : x + size])]
-                        if items[i + k][0] not in ids:
-                            ids.append(items[i + k][0])
-        self.items = dict(self.items)
-        self.hashes = {size: np.unique(np.concatenate(x)) for size, x in hashes.items()}
-        self.seen = {}
-        for size, x in self.hashes.items():
+        self.names = sorted({i for i, _ in items})
+        number = {i: k for k, i in enumerate(self.names)}
+        texts, found, base = [], defaultdict(list), 0
+        for i, j, data, offs in B.chunks(pa.array([t for _, t in items], pa.large_string()), 1 << 20) if items else ():
+            w = B.Words(data, offs, B.ALNUM)
+            if not len(w.begin):
+                continue
+            spaced, begin = w.spaced()
+            size_of = np.minimum(w.count, n)
+            for size in np.unique(size_of[size_of > 0]).tolist():
+                first, h = B.windows(w.hashes(), w.doc, size)
+                mine = size_of[w.doc[first]] == size
+                first, h = first[mine], h[mine]
+                who = np.array([number[items[i + d][0]] for d in range(j - i)], np.uint32)[w.doc[first]]
+                found[size].append((h, who, (base + begin[first]).astype(np.uint32)))
+            texts.append(spaced)
+            base += len(spaced)
+        self.text = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.seen: dict[int, np.ndarray] = {}
+        for size, parts in found.items():
+            h, who, at = (np.concatenate([p[k] for p in parts]) for k in range(3))
+            parts.clear()
+            order = np.lexsort((who, h))
+            h, who, at = h[order], who[order], at[order]
+            once = np.ones(len(h), bool)
+            once[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
+            self.windows[size] = h[once], who[once], at[once]
             self.seen[size] = np.zeros(1 << 20, bool)
-            self.seen[size][(x >> np.uint64(44)).astype(np.int64)] = True
+            self.seen[size][(h >> np.uint64(44)).astype(np.int64)] = True
 
     def scan(self, w: B.Words) -> tuple[dict[int, list[tuple[int, int]]], dict[int, set[str]]]:
-        """By row: windows that occur (first word, word after the last; of the chunk), and ids of their items."""
+        """By row: windows that occur (first word, word after the last; of the row), and ids of their items."""
         spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
         ids: dict[int, set[str]] = defaultdict(set)
-        if not self.hashes or not len(w.begin):
+        if not self.windows or not len(w.begin):
             return spans, ids
         h = w.hashes()
-        normal: dict[int, tuple[bytes, np.ndarray]] = {}
-        for size, table in self.hashes.items():
+        spaced, begin = w.spaced()
+        end = begin + w.end - w.begin
+        for size, (table, who, at) in self.windows.items():
             first, got = B.windows(h, w.doc, size)
             maybe = self.seen[size][(got >> np.uint64(44)).astype(np.int64)]
             first, got = first[maybe], got[maybe]
-            there = table[np.minimum(np.searchsorted(table, got), len(table) - 1)] == got
-            for x in first[there].tolist():
-                d = int(w.doc[x])
-                if d not in normal:
-                    a, b = int(w.at[d]), int(w.at[d + 1])
-                    begin, end = w.begin[a:b], w.end[a:b]
-                    text = b" ".join([w.data[s:e].tobytes() for s, e in zip(begin.tolist(), end.tolist(), strict=True)])
-                    normal[d] = text, np.concatenate([[0], np.cumsum(end - begin + 1)])
-                text, at = normal[d]
-                x0 = x - int(w.at[d])
-                found = self.items.get(text[at[x0] : at[x0 + size] - 1])
-                if found:
+            low, high = np.searchsorted(table, got, "left"), np.searchsorted(table, got, "right")
+            on = np.flatnonzero(high > low)
+            for x, lo, hi in zip(first[on].tolist(), low[on].tolist(), high[on].tolist(), strict=True):
+                text = spaced[begin[x] : end[x + size - 1]]
+                same = [k for k in range(lo, hi) if np.array_equal(self.text[at[k] : at[k] + len(text)], text) and (at[k] + len(text) == len(self.text) or self.text[at[k] + len(text)] == 32)]
+                if same:
+                    d = int(w.doc[x])
+                    x0 = x - int(w.at[d])
                     spans[d].append((x0, x0 + size))
-                    ids[d].update(found)
+                    ids[d].update(self.names[who[k]] for k in same)
         return spans, ids
 
 
@@ -102,13 +112,14 @@ SPANS = T.ArrayType(T.StructType([T.StructField("from", T.IntegerType()), T.Stru
 def item_blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[list[tuple[str, str]]]:
     rows: list[tuple[str, str]] = []
     size = 0
-    for r in benchmark.select(F.col(item).cast("string"), F.col(text)).filter(F.col(text).isNotNull()).toLocalIterator():
-        if rows and size + len(r[1]) > most:
+    for r in benchmark.select(F.col(item).cast("string"), F.col(text), F.octet_length(text)).filter(F.col(text).isNotNull()).toLocalIterator():
+        if rows and size + r[2] > most:
             yield rows
             rows, size = [], 0
         rows.append((r[0] or "", r[1]))
-        size += len(r[1])
-    yield rows
+        size += r[2]
+    if rows:
+        yield rows
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 13, block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
@@ -118,29 +129,34 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     """
     df = docs.drop("n_words", "hits", "items")
     names = df.columns
-    df = df.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast(SPANS), "items": F.array().cast("array<string>")})
-    schema = df.schema
+    schema = df.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast(SPANS), "items": F.array().cast("array<string>")}).schema
     sc = docs.sparkSession.sparkContext
     blocks = [sc.broadcast(Block(rows, n)) for rows in item_blocks(benchmark, item, item_text, block_bytes)]
+    kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 
-    def scan(batches: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            old_hits, old_items = batch.column(len(names) + 1).to_pylist(), batch.column(len(names) + 2).to_pylist()
             counts = np.zeros(batch.num_rows, np.int64)
-            for i, j, data, offs in B.chunks(batch.column(names.index(text))):
-                w = B.Words(data, offs, B.ALNUM)
-                counts[i:j] = w.count
-                spans, ids = block.value.scan(w)
-                for d, s in spans.items():
-                    x = [(y["from"], y["to"]) for y in old_hits[i + d]]
-                    old_hits[i + d] = [{"from": a, "to": b} for a, b in merged(x + s)]
-                    old_items[i + d] = sorted({*old_items[i + d], *ids[d]})
-            columns = [*batch.columns[: len(names)], pa.array(counts), pa.array(old_hits, kind), pa.array(old_items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_words", "hits", "items"])
-
-    for block in blocks:
-        df = df.mapInArrow(lambda it, b=block: scan(it, b), schema)
+            hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            items: dict[int, set[str]] = defaultdict(set)
+            for b in blocks or [None]:
+                block = b.value if b is not None else None
+                for i, j, data, offs in B.chunks(batch.column(names.index(text))):
+                    w = B.Words(data, offs, B.ALNUM)
+                    counts[i:j] = w.count
+                    spans, ids = block.scan(w) if block is not None else ({}, {})
+                    for d, s in spans.items():
+                        hits[i + d] = merged(hits[i + d] + s)
+                        items[i + d] |= ids[d]
+                if len(blocks) > 1:
+                    del block
+                    # The worker keeps what it has loaded: with more than one block, the next use loads it anew.
+                    b.__dict__.pop("_value", None)
+            found = pa.array([[{"from": x, "to": y} for x, y in hits[r]] if r in hits else [] for r in range(batch.num_rows)], kind)
+            named = pa.array([sorted(items[r]) if r in items else [] for r in range(batch.num_rows)], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts), found, named], names=[*names, "n_words", "hits", "items"])
+
+    df = df.mapInArrow(scan, schema)
     return df.mapInArrow(lambda it: map(lambda b: cut_spans(b, text), it), schema) if cut else df
 
 

@@ -88,6 +88,21 @@ class Words:
         self.doc = np.repeat(np.arange(len(offs) - 1), self.count)
         self._sum: np.ndarray | None = None
 
+    def spaced(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all words with a space after each, and where each word begins there."""
+        size = self.end - self.begin
+        at = np.zeros(len(size), np.int64)
+        np.cumsum(size[:-1] + 1, out=at[1:])
+        out = np.full(int(size.sum()) + len(size), 32, np.uint8)
+        mark = np.zeros(len(out) + 1, np.int8)
+        mark[at] = 1
+        mark[at + size] -= 1
+        held = np.zeros(len(self.data) + 1, np.int8)
+        held[self.begin] = 1
+        held[self.end] -= 1
+        out[np.cumsum(mark[:-1], dtype=np.int8).astype(bool)] = self.data[np.cumsum(held[:-1], dtype=np.int8).astype(bool)]
+        return out, at
+
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
         return self.hash_of(self.begin, self.end)
