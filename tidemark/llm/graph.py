@@ -1,43 +1,49 @@
-"""Connected components by contraction to smallest neighbours."""
+"""Connected components by contraction to neighbours of the smallest hash."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.stage import settle
+from tidemark.llm.stage import discard, settle
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node that links reach), of every node in an edge (a, b).
 
-    In each round every node moves to the smallest of itself and its neighbours, and edges move with their ends; a
-    round leaves at most half of the nodes of a component, so rounds are few.  Minima combine before the shuffle, so
-    a hub's edges never meet in one task; labels are composed from the rounds' moves, last to first.
+    In each round every node moves to the one of itself and its neighbours whose hash is smallest, and edges move with
+    their ends.  Hashes have nothing to do with the order of the nodes, so about half of the nodes of a chain are left
+    after a round, in whichever order they stand in it; two rounds share their hashes, so that all leaves of a hub follow
+    once the hub has moved.  A component loses a node a round at least, so rounds end without a limit.  The moves are
+    composed from last to first, and a component is named by its smallest node in the end.  Smallest hashes combine
+    before the shuffle, and the joins that move edges are plain equality joins, which Spark may split at a hub.
     """
-    left = edges.select(F.col("a").alias("a"), F.col("b").alias("b")).filter("a is not null and b is not null and a <> b").distinct()
-    left = settle(left)
-    moves: list[DataFrame] = []
-    for _ in range(most_rounds):
-        if left.isEmpty():
-            break
+    a, b = F.col("a"), F.col("b")
+    left = settle(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a is not null and b is not null and a <> b").distinct())
+    first, moves = left, []
+    while not left.isEmpty():
+        rank = lambda c, salt=len(moves) // 2: F.struct(F.xxhash64(c, F.lit(salt)).alias("h"), c.alias("c"))
         both = left.union(left.select("b", "a"))
-        move = settle(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")))
+        move = settle(both.groupBy("a").agg(F.least(F.min(rank(b)), rank(a))["c"].alias("to")).withColumnRenamed("a", "node"))
         moves.append(move)
-        left = (
-            left.join(move, F.col("a") == F.col("node")).select(F.col("to").alias("x"), "b")
-            .join(move, F.col("b") == F.col("node")).select(F.col("x").alias("a"), F.col("to").alias("b"))
+        ends = move.select(F.col("node").alias("n"), "to")
+        moved = (
+            left.join(ends, a == F.col("n")).select(F.col("to").alias("x"), "b")
+            .join(ends, b == F.col("n")).select(F.least("x", "to").alias("a"), F.greatest("x", "to").alias("b"))
             .filter("a <> b")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .distinct()
-        )
-        left = settle(left)
-    else:
-        raise RuntimeError("edges are left after the last round")
+        )
+        before, left = left, settle(moved)
+        if before is not first:
+            discard(before)
     if not moves:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    found = moves[-1].withColumnRenamed("to", "component")
+    found = moves[-1].withColumnRenamed("to", "root")
     for move in reversed(moves[:-1]):
-        later = found.select(F.col("node").alias("__n"), F.col("component").alias("__c"))
-        found = move.join(later, F.col("to") == F.col("__n"), "left").select("node", F.coalesce("__c", "to").alias("component"))
-    return found
+        later = found.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
+        found = move.join(later, F.col("to") == F.col("__n"), "left").select("node", F.coalesce("__r", "to").alias("root"))
+    found = settle(found)
+    names = found.groupBy(F.col("root").alias("__root")).agg(F.min("node").alias("component"))
+    out = settle(found.join(names, F.col("root") == F.col("__root")).select("node", "component"))
+    discard(found, first, *moves)
+    return out

@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where nothing is set, as in tests on one machine."""
+    """The folder in spark.checkpoint.dir.  Where nothing is set: a local one on a local master, as in tests, else an error."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
         known = sc._jsc.sc().getCheckpointDir()
     return known.get()
 
@@ -23,10 +26,20 @@ PACKED = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false",
 
 
 def settle(df: DataFrame, packed: bool = False) -> DataFrame:
-    """Writes `df` as a table into the shared folder and reads it back; the table goes when the application ends."""
+    """Writes `df` as a table into the shared folder and reads it back; the table goes when the application ends, if not discarded before."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.options(**(PACKED if packed else {})).parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = where
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes settled tables of which nothing will be read again."""
+    for t in tables:
+        where = getattr(t, "_settled", None)
+        if where is not None:
+            where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
