@@ -171,12 +171,12 @@ def candidates(sets: DataFrame, similarity: float, recall: float, more: Callable
     links, deep = _walk(sets.select("u", F.lit(0).alias("part"), "sig"), similarity, runs, seed)
     had: DataFrame | None = None
     while deep is not None:
-        high = F.create_map(*(F.lit(x) for e in need.items() for x in e))[F.max("depth")]
-        wanted = deep.groupBy("u").agg(high.alias("high"))
+        links = settle(links)
+        wanted = _apart(deep, components(links)).withColumn("high", F.create_map(*(F.lit(x) for e in need.items() for x in e))[F.col("depth")]).drop("depth")
         if had is None:
             wanted = wanted.withColumn("low", F.lit(1))
         else:
-            wanted = wanted.join(had.select(F.col("u").alias("u1"), F.col("high").alias("low")), F.col("u") == F.col("u1")).drop("u1")
+            wanted = wanted.join(had.select(F.col("u").alias("u1"), F.col("high").alias("low")), F.col("u") == F.col("u1"), "left").drop("u1").withColumn("low", F.coalesce("low", F.lit(1)))
         had = settle(wanted.filter("high > low").select("u", "low", "high"))
         if had.isEmpty():
             break
@@ -186,8 +186,18 @@ def candidates(sets: DataFrame, similarity: float, recall: float, more: Callable
     return links
 
 
+def _apart(deep: DataFrame, joined: DataFrame) -> DataFrame:
+    """u and the greatest depth of sets in deep nodes whose sets aren't all in one component yet.
+
+    Sets of one component are compared whatever more runs find, so a node of one group of near copies is done.
+    """
+    named = deep.join(joined.withColumnRenamed("node", "u1"), F.col("u") == F.col("u1"), "left").withColumn("c", F.coalesce("component", "u"))
+    mixed = named.groupBy("node").agg(F.min("c").alias("low"), F.max("c").alias("top")).filter("low <> top").select(F.col("node").alias("node2"))
+    return deep.join(mixed, F.col("node") == F.col("node2")).groupBy("u").agg(F.max("depth").alias("depth"))
+
+
 def _walk(sets: DataFrame, similarity: float, runs: int, seed: int) -> tuple[DataFrame, DataFrame | None]:
-    """Links (a, b) of all runs of each part, and u and depth of sets whose nodes went deeper than FIRST.  `sets` has u, part and sig."""
+    """Links (a, b) of all runs of each part; and node, u and depth of the sets of nodes that went deeper than FIRST.  `sets` has u, part and sig."""
     # A pair at the threshold agrees in fewer places than this about once in 1e5.
     least = max(1, math.floor(COORDS * similarity - 4.4 * math.sqrt(COORDS * similarity * (1 - similarity))))
     roots = np.arange(1, runs + 1, dtype=np.uint64) + np.uint64(seed * 1000 + 77)
@@ -231,7 +241,7 @@ def _walk(sets: DataFrame, similarity: float, runs: int, seed: int) -> tuple[Dat
             links = links.union(big.join(low, F.col("node") == F.col("node2")).select("a", F.col("u").alias("b")).filter("a <> b").distinct())
             break
         if depth >= FIRST:
-            now = big.groupBy("u").agg(F.lit(DEPTHS[k + 1]).alias("depth"))
+            now = big.select("node", "u", F.lit(DEPTHS[k + 1]).alias("depth"))
             deep = now if deep is None else deep.union(now)
         joined = big.withColumnRenamed("u", "u1").join(tokens, same).select("node", "u", "part", "sig")
         at = settle(joined.mapInArrow(deeper(DEPTHS[k + 1] - depth), "node long, u long, part int"))
