@@ -29,7 +29,7 @@ def test_each_pair_counts_in_its_first_common_filter_only():
         at = np.array([r for r in range(30) if number in filters[r]], int)
         for k1, k2 in ((0, 0), (0, 1), (1, 1)):
             of = at[np.isin(at % 2, (k1, k2))]
-            a, b, c = capfilter.compare(number, k1, k2, of % 2, u[of], n[of], x[of], [filters[r].tobytes() for r in of], 0.95)
+            a, b, c = capfilter.compare(number, k1, k2, of % 2, u[of], n[of], x[of], [filters[r] for r in of], 0.95)
             np.add.at(links, a[a == b], c[a == b])
     near = x @ x.T >= 0.95
     want = [sum(n[q] for q in range(30) if q != p and near[p, q] and set(filters[p]) & set(filters[q])) for p in range(30)]

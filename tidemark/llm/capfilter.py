@@ -19,9 +19,9 @@ blocks is one group, so that no task holds a hot filter and none is cut short.
 vector's count of links whose first common filter is this one, and the links of a spanning forest.
 
 Defined results: a vector that is null, zero, or holds null or non-finite components links with nothing, itself
-included, and is kept; a vector of another length than the most frequent one links only with equal bytes' cosine if
-its length is shared, since each length is a space of its own; repeated ids count as vectors of their own, and the
-smallest id of a component names it; an empty table gives an empty result.
+included, and is kept; vectors link only with vectors of their own length; repeated ids count as vectors of their own, and
+the smallest id of a component names it (a null id does so only where all of its ids are null); other columns, whatever
+their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,7 +40,8 @@ from tidemark.llm.stage import settle
 
 #: Hot filters that are broadcast at most; beyond it, a join does the same.
 BROADCAST_ROWS = 200_000
-#: Codes at least, filters of a vector on average at most, and filters at most (a few codes more still have 31-bit numbers).
+#: Codes at least, filters of a vector on average at most, and filters at most, as codebooks must stay small: with vectors
+#: beyond that, filters hold more of them.
 CODES, FILED, MOST = 16, 256, 1 << 29
 
 
@@ -131,20 +132,26 @@ class Code:
             sizes = np.searchsorted(-ranked, first[r, live] - self.cap, "left")
             rows = np.repeat(live, sizes)
             ranks = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            out.append(np.sort(rows * self.words + order[r][ranks]).astype(np.int32))
+            out.append(np.sort(rows * self.words + order[r][ranks]))
         return out
 
 
+def number_kind(words: int, number: int) -> type:
+    """The type that holds the numbers of all filters of `number` codes."""
+    return np.int32 if number * words**2 < 1 << 31 else np.int64
+
+
 class Codes:
     """`number` product codes of one dimension, each with a rotation and codebooks of its own."""
 
     def __init__(self, dim: int, words: int, cap: float, number: int, seed: int):
         self.codes = [Code(dim, words, cap, seed * 10_000 + k) for k in range(number)]
+        self.kind = number_kind(words, number)
 
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
         """Sorted numbers of the filters that each row exceeds, over all codes."""
         of = [code.decode(x) for code in self.codes]
-        return [np.concatenate([f[r] + np.int32(k * code.words**2) for k, (f, code) in enumerate(zip(of, self.codes, strict=True))]) for r in range(len(x))]
+        return [np.concatenate([f[r] + k * code.words**2 for k, (f, code) in enumerate(zip(of, self.codes, strict=True))]).astype(self.kind) for r in range(len(x))]
 
 
 def codes_for(count: int, dim: int, threshold: float, per_filter: float, shared: float, miss: float) -> tuple[int, float, int]:
@@ -189,7 +196,7 @@ def met_before(lists: list[np.ndarray], left: np.ndarray, right: np.ndarray, num
     return out
 
 
-def compare(number: int, k1: int, k2: int, k: np.ndarray, u: np.ndarray, n: np.ndarray, x: np.ndarray, fs: list[bytes], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compare(number: int, k1: int, k2: int, k: np.ndarray, u: np.ndarray, n: np.ndarray, x: np.ndarray, fs: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """a, b and links of one pair of blocks: (u, u, links) of vectors whose first common filter is this one, and a forest with 0 links."""
     left, right = np.flatnonzero(k == k1), np.flatnonzero(k == k2)
     near = x[left] @ x[right].T >= threshold
@@ -203,7 +210,7 @@ def compare(number: int, k1: int, k2: int, k: np.ndarray, u: np.ndarray, n: np.n
     a, b = np.nonzero(near)
     tree = np.array(forest(left[a], right[b], len(u)), np.int64)
     used, at = np.unique(np.concatenate([left, right]), return_inverse=True)
-    near &= ~met_before([np.frombuffer(fs[r], np.int32) for r in used], at[: len(left)], at[len(left) :], number)
+    near &= ~met_before([fs[r] for r in used], at[: len(left)], at[len(left) :], number)
     links = np.zeros(len(u), np.int64)
     links[left] += near @ n[right]
     links[right] += near.T @ n[left]
@@ -222,32 +229,35 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshol
     reps = settle(reps.withColumn("u", F.xxhash64("h")))
     dims = {r["d"]: codes_for(r["c"], r["d"], threshold, per_filter, shared, miss) for r in reps.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("c")).collect()}
 
+    wide = any(number_kind(words, number) is np.int64 for words, _, number in dims.values())
+    kind, width = (pa.int64(), np.int64) if wide else (pa.int32(), np.int32)
+
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, Codes] = {}
         for batch in batches:
             vectors = [np.asarray(v, float) for v in batch.column("v").to_pylist()]
-            u, n = batch.column("u").to_pylist(), batch.column("n").to_pylist()
+            u, n = batch.column("u"), batch.column("n")
             for d in {len(v) for v in vectors}:
                 at = [r for r, v in enumerate(vectors) if len(v) == d]
                 if d not in codes:
                     codes[d] = Codes(d, *dims[d], seed)
-                # A vector has many rows, so few vectors make a batch.
-                for s in range(0, len(at), 128):
-                    part = at[s : s + 128]
+                for s in range(0, len(at), 512):
+                    part = at[s : s + 512]
                     x = np.stack([vectors[r] / np.abs(vectors[r]).max() for r in part])
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
                     found = codes[d].decode(x)
-                    row = np.repeat(np.arange(len(part)), [len(f) for f in found])
-                    f = np.concatenate(found)
-                    take = lambda values, kind: pa.array(values, kind).take(pa.array(row))
+                    ends = np.cumsum([0, *(len(f) for f in found)]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(width), kind))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(f), d, np.int32)), pa.array(f), take([u[r] for r in part], pa.int64()), take([n[r] for r in part], pa.int64()), take([v.tobytes() for v in x], pa.binary()), take([y.tobytes() for y in found], pa.binary())],
-                        names=["d", "f", "u", "n", "v", "fs"],
+                        [pa.array(np.full(len(part), d, np.int32)), u.take(pa.array(part)), n.take(pa.array(part)), pa.array([v.tobytes() for v in x], pa.binary()), lists],
+                        names=["d", "u", "n", "v", "fs"],
                     )
 
-    filed = reps.select("u", "n", "v").mapInArrow(file, "d int, f int, u long, n long, v binary, fs binary")
+    # Vectors are filed once; what follows reads their lists.
+    coded = settle(reps.select("u", "n", "v").mapInArrow(file, f"d int, u long, n long, v binary, fs array<{'long' if wide else 'int'}>"))
+    filed = coded.select("d", F.explode("fs").alias("f"), "u", "n", "v", "fs")
     # Only filters that need more than one block are looked up: one for each `block` filed rows at most.
-    hot = filed.groupBy("d", "f").count().filter(F.col("count") > block)
+    hot = coded.select("d", F.explode("fs").alias("f")).groupBy("d", "f").count().filter(F.col("count") > block)
     hot = settle(hot.select(F.col("d").alias("d2"), F.col("f").alias("f2"), F.ceil(F.col("count") / block).cast("int").alias("blocks")))
     hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
     # A vector of block k meets every block: groups (min, max) of block numbers.
@@ -262,7 +272,9 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshol
     def whole(table: pa.Table) -> pa.RecordBatch:
         """Compares every group of a table of whole groups."""
         d, f, k1, k2, k, u, n = (table.column(c).to_numpy() for c in ("d", "f", "k1", "k2", "k", "u", "n"))
-        v, fs = table.column("v").to_pylist(), table.column("fs").to_pylist()
+        v, lists = table.column("v").to_pylist(), table.column("fs").combine_chunks()
+        ends, numbers = lists.offsets.to_numpy(), lists.values.to_numpy()
+        fs = [numbers[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         new = np.flatnonzero((np.diff(d) != 0) | (np.diff(f) != 0) | (np.diff(k1) != 0) | (np.diff(k2) != 0)) + 1
         parts = []
         for s, e in zip([0, *new.tolist()], [*new.tolist(), len(f)], strict=True):
@@ -274,21 +286,17 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshol
 
     found = settle(map_groups(spread, ["d", "f", "k1", "k2"], whole, "a long, b long, links long").groupBy("a", "b").agg(F.sum("links").alias("links")))
     counts = found.filter("a = b").select(F.col("a").alias("cu"), "links")
-    names = reps.select("u", "rep")
-    edges = (
-        found.filter("a <> b")
-        .join(names, F.col("a") == F.col("u")).select(F.col("rep").alias("x"), "b")
-        .join(names, F.col("b") == F.col("u")).select(F.col("x").alias("a"), F.col("rep").alias("b"))
-    )
-    comp = components(edges)
+    # Components go by vector, as different vectors may share an id; each is named by its smallest id.
+    named = reps.join(components(found.filter("a <> b").select("a", "b")), F.col("u") == F.col("node"), "left").withColumn("c", F.coalesce("component", "u"))
+    names = named.groupBy(F.col("c").alias("c2")).agg(F.min("rep").alias("component_id"))
     per = (
-        reps.join(counts, F.col("u") == F.col("cu"), "left")
-        .join(comp, F.col("rep") == F.col("node"), "left")
-        .select(F.col("h").alias("__h"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        named.join(names, F.col("c") == F.col("c2"))
+        .join(counts, F.col("u") == F.col("cu"), "left")
+        .select(F.col("h").alias("__h"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     )
     return rows.join(per, F.col("h") == F.col("__h"), "left").select(
         F.col("id").alias(key),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "id").alias("component_id"),
-        (F.col("id") == F.coalesce("component_id", "id")).alias("kept"),
+        F.col("id").eqNullSafe(F.coalesce("component_id", "id")).alias("kept"),
     )
