@@ -8,12 +8,16 @@ with more than `long_tokens` tokens, `long_docs` documents are enough, as such p
 Equal lines (but for variables) are counted first, so a leaf holds distinct lines only; a leaf in which fewer than
 that many documents meet, or that has one distinct line, needs no tree search.  The lines of a leaf with more than `LEAF`
 distinct lines are dealt by hash to blocks; each block's lines are made into templates in its own task, and the
-templates of all blocks are merged by the same rule, in blocks again while they still get fewer, then over the whole
-leaf.  So the depth is the same at every size, and a template that lies in several blocks is found.  Lines of under `min_tokens` tokens are never dropped.  Documents with equal texts count
-once, as copies of one document are no boilerplate.
-
-Defined results: a null text stays null and has no lines, an empty one has one empty line; ties between templates go to the older, and
-templates are made in the order of their lines' document counts, then hashes; other columns are kept.
+templates of all blocks are merged by the same rule, in blocks again while they get fewer.  Those that get no fewer are
+compared in pairs of blocks: each joins the alike one that most documents have, and what is joined is one template.
+So the depth is the same at every size, a template that lies in several blocks is found, and no task holds more than two
+blocks.  Lines of under `min_tokens` tokens are never dropped.  Documents with equal texts count once, as copies of one
+document are no boilerplate.
+
+Defined results: a null text stays null and has no lines, an empty one has one empty line; ties between templates go to
+the older, and templates are made in the order of their lines' document counts, then hashes; repeated rows are documents
+with equal texts; other columns are kept, but n_lines, n_dropped and words_dropped replace columns of these names; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textbytes as B
+from tidemark.llm.graph import components
 from tidemark.llm.grouped import map_groups
 from tidemark.llm.stage import settle
 
@@ -156,50 +161,92 @@ def _merged(table: pa.Table, alike: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["f", "template", "at", "blocks", "n", "tokens", "fixed"])
 
 
-def _templates(lines: DataFrame, alike: float) -> DataFrame:
+def _nearest(table: pa.Table, alike: float) -> pa.RecordBatch:
+    """f and template (another row's form) of the rows of each pair of blocks that an alike row of more documents can take."""
+    at, k1, k2 = (table.column(c).to_numpy() for c in ("at", "k1", "k2"))
+    block, n, form = (table.column(c).to_numpy() for c in ("block", "n", "form"))
+    tokens, places = table.column("tokens").to_pylist(), table.column("fixed").to_pylist()
+    change = (at[1:] != at[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+    bounds = [0, *(np.flatnonzero(change) + 1).tolist(), len(at)]
+    out: list[tuple[int, int, int]] = []
+    for s, e in zip(bounds[:-1], bounds[1:], strict=True):
+        order = sorted(range(s, e), key=lambda r: (-n[r], form[r]))
+        for size in {len(tokens[r]) for r in order}:
+            of = [r for r in order if len(tokens[r]) == size]
+            line = np.stack([np.frombuffer(tokens[r], np.uint32) for r in of])
+            fixed = np.stack([np.frombuffer(places[r], bool) for r in of])
+            one = block[of] == k1[s]
+            for j in range(1, len(of)):
+                share = ((line[:j] == line[j]) & fixed[:j] & fixed[j]).mean(axis=1)
+                share[(one[:j] == one[j]) & (k1[s] != k2[s])] = 0
+                first = int(np.argmax(share >= alike))
+                if share[first] >= alike:
+                    out.append((form[of[j]], form[of[first]], n[of[first]]))
+    columns = zip(*out, strict=True) if out else [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["f", "template", "n"])
+
+
+def _templates(lines: DataFrame, alike: float, leaf: int = LEAF) -> DataFrame:
     """f, template of the lines that others' templates took.  `lines` has at, blocks, n, form, tokens and fixed."""
     named: DataFrame | None = None
-    salt = 0
+
+    def follow(moves: DataFrame) -> DataFrame:
+        if named is None:
+            return moves
+        later = moves.select(F.col("f").alias("f2"), F.col("template").alias("t2"))
+        return settle(named.join(later, F.col("template") == F.col("f2"), "left").select("f", F.coalesce("t2", "template").alias("template")).union(moves))
+
+    salt, stuck = 0, None
     while True:
         block = F.pmod(F.xxhash64("form", F.lit(salt)), F.col("blocks")).cast("int")
         dealt = lines.select("at", block.alias("block"), "blocks", "n", "form", "tokens", "fixed")
         out = settle(map_groups(dealt, ["at", "block"], lambda t: _merged(t, alike), "f long, template long, at long, blocks int, n long, tokens binary, fixed binary"))
-        moves = out.filter("f <> template").select("f", "template")
-        if named is None:
-            named = moves
-        else:
-            later = moves.select(F.col("f").alias("f2"), F.col("template").alias("t2"))
-            named = settle(named.join(later, F.col("template") == F.col("f2"), "left").select("f", F.coalesce("t2", "template").alias("template")).union(moves))
+        named = follow(out.filter("f <> template").select("f", "template"))
         top = out.filter("f = template")
         if top.isEmpty():
-            return named
-        # Blocks are halved at least from pass to pass; where templates don't get as few, one pass takes the whole leaf.
-        fewer = F.ceil(F.count(F.lit(1)) / LEAF).cast("int")
-        counts = top.groupBy("at").agg(F.when(fewer <= F.max("blocks") / 2, fewer).otherwise(1).alias("blocks2")).withColumnRenamed("at", "at2")
-        lines = top.join(counts, F.col("at") == F.col("at2")).select("at", F.col("blocks2").alias("blocks"), "n", F.col("f").alias("form"), "tokens", "fixed")
+            break
+        # Blocks are halved at least from pass to pass; templates that don't get as few go on in pairs of blocks.
+        counts = top.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / leaf).cast("int").alias("blocks2"), F.max("blocks").alias("before")).withColumnRenamed("at", "at2")
+        lines = top.join(counts, F.col("at") == F.col("at2")).select("at", F.col("blocks2").alias("blocks"), "before", "n", F.col("f").alias("form"), "tokens", "fixed")
+        few = F.col("blocks") <= F.col("before") / 2
+        stuck = lines.filter(~few) if stuck is None else stuck.unionByName(lines.filter(~few))
+        lines = lines.filter(few)
         salt += 1
-
-
-def recurring(docs: DataFrame, text: str = "text", min_docs: int = 5, min_tokens: int = 4, alike: float = 0.7, long_tokens: int = 50, long_docs: int = 2) -> DataFrame:
-    """form: the lines whose templates recur."""
+    if stuck is None or stuck.isEmpty():
+        return named
+    spread = (
+        stuck.withColumn("block", F.pmod(F.xxhash64("form", F.lit(-1)), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("at", F.least("block", "other").alias("k1"), F.greatest("block", "other").alias("k2"), "block", "n", "form", "tokens", "fixed")
+    )
+    near = map_groups(spread, ["at", "k1", "k2"], lambda t: _nearest(t, alike), "f long, template long, n long")
+    best = near.groupBy("f").agg(F.min(F.struct((-F.col("n")).alias("n"), "template"))["template"].alias("template"))
+    joined = components(best.select(F.col("f").alias("a"), F.col("template").alias("b")))
+    return follow(joined.select(F.col("node").alias("f"), F.col("component").alias("template")).filter("f <> template"))
+
+
+def recurring(docs: DataFrame, text: str = "text", min_docs: int = 5, min_tokens: int = 4, alike: float = 0.7, long_tokens: int = 50, long_docs: int = 2, leaf: int = LEAF) -> DataFrame:
+    """form: the lines whose templates recur.  `leaf`: distinct lines of a block."""
     ids = settle(_ids(docs, text, min_tokens, long_tokens))
     enough = F.when(F.col("long"), long_docs).otherwise(min_docs)
     forms = ids.groupBy("form", "leaf", "long").agg(F.count(F.lit(1)).alias("n"))
     leaves = forms.groupBy("leaf", "long").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("n")).filter((F.col("forms") > 1) & (F.col("n") >= enough))
-    leaves = settle(leaves.select(F.col("leaf").alias("leaf2"), F.ceil(F.col("forms") / LEAF).cast("int").alias("blocks")))
-    few = leaves.count() <= BROADCAST_ROWS
-    within = F.broadcast(leaves) if few else leaves
+    leaves = settle(leaves.select(F.col("leaf").alias("leaf2"), F.ceil(F.col("forms") / leaf).cast("int").alias("blocks")))
+    within = F.broadcast(leaves) if leaves.count() <= BROADCAST_ROWS else leaves
     tokens = _tokens(docs, text, min_tokens).join(within, F.col("leaf") == F.col("leaf2")).groupBy("form").agg(F.first("tokens").alias("tokens"), F.first("blocks").alias("blocks"))
     lines = tokens.join(forms.withColumnRenamed("form", "f2"), F.col("form") == F.col("f2"))
-    templates = _templates(lines.select(F.col("leaf").alias("at"), "blocks", "n", "form", "tokens", F.lit(None).cast("binary").alias("fixed")), alike)
-    named = ids.select("form", "long", "doc").join(templates, F.col("form") == F.col("f"), "left").withColumn("t", F.coalesce("template", "form"))
-    often = named.select("t", "long", "doc").distinct().groupBy("t", "long").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select(F.col("t").alias("t2"))
-    return named.select("t", "form").distinct().join(often, F.col("t") == F.col("t2")).select("form").distinct()
+    moves = _templates(lines.select(F.col("leaf").alias("at"), "blocks", "n", "form", "tokens", F.lit(None).cast("binary").alias("fixed")), alike, leaf)
+    # Lines that share a template with others count the documents of all of them, the rest have their count already.
+    shared = settle(moves.union(moves.select("template", "template")).distinct())
+    alone = forms.join(shared, F.col("form") == F.col("f"), "left_anti").filter(F.col("n") >= enough).select("form")
+    met = ids.join(shared, F.col("form") == F.col("f")).select("template", "long", "doc").distinct()
+    often = met.groupBy("template", "long").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select(F.col("template").alias("t2"))
+    return alone.union(shared.join(often, F.col("template") == F.col("t2")).select("f")).distinct()
 
 
-def drop(docs: DataFrame, text: str = "text", min_docs: int = 5, min_tokens: int = 4, alike: float = 0.7, long_tokens: int = 50, long_docs: int = 2) -> DataFrame:
+def drop(docs: DataFrame, text: str = "text", min_docs: int = 5, min_tokens: int = 4, alike: float = 0.7, long_tokens: int = 50, long_docs: int = 2, leaf: int = LEAF) -> DataFrame:
     """The documents with `text` less its recurring lines; adds n_lines, n_dropped and words_dropped."""
-    bad = settle(recurring(docs, text, min_docs, min_tokens, alike, long_tokens, long_docs))
+    bad = settle(recurring(docs, text, min_docs, min_tokens, alike, long_tokens, long_docs, leaf))
     new = ["n_lines", "n_dropped", "words_dropped"]
     df = docs.drop(*new)
     names = df.columns
@@ -208,8 +255,8 @@ def drop(docs: DataFrame, text: str = "text", min_docs: int = 5, min_tokens: int
     if few:
         given = docs.sparkSession.sparkContext.broadcast(np.array(sorted(r[0] for r in bad.toLocalIterator()), np.int64))
     else:
-        of = _ids(docs, text, min_tokens).join(bad, "form", "left_semi").groupBy("doc").agg(F.collect_set("form").alias("__bad"))
-        df = df.withColumn("__doc", F.xxhash64(text)).join(of, F.col("__doc") == F.col("doc"), "left").select(*names, "__bad")
+        of = _ids(docs, text, min_tokens).join(bad, "form", "left_semi").groupBy(F.col("doc").alias("__of")).agg(F.collect_set("form").alias("__bad"))
+        df = df.withColumn("__doc", F.xxhash64(text)).join(of, F.col("__doc") == F.col("__of"), "left").select(*names, "__bad")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
