@@ -39,6 +39,6 @@ def test_pairs_in_deep_nodes_are_found(spark):
 
     more = lambda df: df.select("u", "low", "high").mapInArrow(signed, "u long, part int, sig binary")
     sets = more(spark.range(2 * PAIRS).select(F.col("id").alias("u"), F.lit(0).alias("low"), F.lit(1).alias("high"))).cache()
-    first, deep = pathjoin._walk(sets, 0.8, pathjoin.runs_for(0.99999, 0.8), 0)
+    first, deep = pathjoin._walk(sets.withColumn("c", F.col("u")), 0.8, pathjoin.runs_for(0.99999, 0.8), 0)
     assert deep is not None and missed(first) > 5
     assert missed(pathjoin.candidates(sets, 0.8, 0.99999, more)) <= 1

@@ -37,9 +37,11 @@ from tidemark.llm.graph import components
 from tidemark.llm.grouped import map_groups
 from tidemark.llm.stage import settle
 
-COORDS, BRUTE = 64, 128
+COORDS, BRUTE = 64, 512
+#: Runs that go to the last depth at once, before the others.
+HEAD = 4
 #: Depths at which nodes are counted.
-DEPTHS = (1, 2, 3, 5, 8, 12)
+DEPTHS = (1, 3, 6, 12)
 #: The depth for which the first runs are enough.
 FIRST = 3
 #: Sets, and bytes of shingles, of a block of a candidate group.
@@ -168,11 +170,15 @@ def candidates(sets: DataFrame, similarity: float, recall: float, more: Callable
     """
     runs = runs_for(recall, similarity)
     need = {d: max(1, parts_for(recall, similarity, d, runs)) for d in DEPTHS if d > FIRST}
-    links, deep = _walk(sets.select("u", F.lit(0).alias("part"), "sig"), similarity, runs, seed)
+    links = settle(_straight(sets.select("u", "sig"), seed))
+    known = components(links, clean=True)
+    found, deep = _walk(_named(sets.select("u", F.lit(0).alias("part"), "sig"), known), similarity, runs, seed)
+    links = links.union(found)
     had: DataFrame | None = None
     while deep is not None:
         links = settle(links)
-        wanted = _apart(deep, components(links)).withColumn("high", F.create_map(*(F.lit(x) for e in need.items() for x in e))[F.col("depth")]).drop("depth")
+        known = components(links, clean=True)
+        wanted = _apart(deep, known).withColumn("high", F.create_map(*(F.lit(x) for e in need.items() for x in e))[F.col("depth")]).drop("depth")
         if had is None:
             wanted = wanted.withColumn("low", F.lit(1))
         else:
@@ -181,11 +187,41 @@ def candidates(sets: DataFrame, similarity: float, recall: float, more: Callable
         if had.isEmpty():
             break
         # A pair that was in one deep node has both of its sets in the same parts, up to the smaller need of the two.
-        found, deep = _walk(settle(more(had)), similarity, runs, seed)
+        found, deep = _walk(settle(_named(more(had), known)), similarity, runs, seed)
         links = links.union(found)
     return links
 
 
+def _named(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """Adds c, the component that a set is in so far."""
+    return sets.join(known.withColumnRenamed("node", "u1"), F.col("u") == F.col("u1"), "left").withColumn("c", F.coalesce("component", "u")).drop("u1", "component")
+
+
+def _straight(sets: DataFrame, seed: int) -> DataFrame:
+    """Links (a, b) of the sets that share a node of the last depth in one of HEAD runs, to which all go at once.
+
+    These are the candidate groups of nodes that no depth splits: groups of near copies are joined before the runs that
+    count their nodes, so that nodes which hold no other sets are passed over there.
+    """
+    roots = np.arange(1, HEAD + 1, dtype=np.uint64) + np.uint64(seed * 1000 + 500)
+
+    def fall(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sig = _sig(batch.column(1))
+                nodes = []
+                for r in roots:
+                    node = np.full(len(sig), r)
+                    for _ in range(DEPTHS[-1]):
+                        node = step(node, sig)
+                    nodes.append(node.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.tile(batch.column(0).to_numpy(), HEAD))], names=["node", "u"])
+
+    at = settle(sets.mapInArrow(fall, "node long, u long"))
+    low = at.groupBy("node").agg(F.min("u").alias("a"), F.max("u").alias("top")).filter("a < top").select(F.col("node").alias("node2"), "a")
+    return at.join(low, F.col("node") == F.col("node2")).select("a", F.col("u").alias("b")).filter("a <> b").distinct()
+
+
 def _apart(deep: DataFrame, joined: DataFrame) -> DataFrame:
     """u and the greatest depth of sets in deep nodes whose sets aren't all in one component yet.
 
@@ -197,55 +233,53 @@ def _apart(deep: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def _walk(sets: DataFrame, similarity: float, runs: int, seed: int) -> tuple[DataFrame, DataFrame | None]:
-    """Links (a, b) of all runs of each part; and node, u and depth of the sets of nodes that went deeper than FIRST.  `sets` has u, part and sig."""
+    """Links (a, b) of all runs of each part; and node, u and depth of the sets of nodes that went deeper than FIRST.  `sets` has u, part, sig and c."""
     # A pair at the threshold agrees in fewer places than this about once in 1e5.
     least = max(1, math.floor(COORDS * similarity - 4.4 * math.sqrt(COORDS * similarity * (1 - similarity))))
     roots = np.arange(1, runs + 1, dtype=np.uint64) + np.uint64(seed * 1000 + 77)
+    places = [f"d{k}" for k in range(len(DEPTHS))]
 
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fall(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig, u, part = _sig(batch.column(2)), batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            nodes = [step(B.mixed(r + part.astype(np.uint64) * np.uint64(1 << 40)), sig).view(np.int64) for r in roots]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.tile(u, runs)), pa.array(np.tile(part, runs), pa.int32())], names=["node", "u", "part"])
-
-    def deeper(levels: int):
-        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                node, sig = batch.column(0).to_numpy().view(np.uint64), _sig(batch.column(3))
-                for _ in range(levels):
-                    node = step(node, sig)
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column(1), batch.column(2)], names=["node", "u", "part"])
-
-        return walk
-
-    at = settle(sets.select("u", "part", "sig").mapInArrow(start, "node long, u long, part int"))
-    links: DataFrame | None = None
+            u, part, c = (batch.column(k).to_numpy() for k in (0, 1, 3))
+            sig, nodes = _sig(batch.column(2)), [[] for _ in places]
+            for r in roots:
+                node, depth = B.mixed(r + part.astype(np.uint64) * np.uint64(1 << 40)), 0
+                for k, d in enumerate(DEPTHS):
+                    for _ in range(d - depth):
+                        node = step(node, sig)
+                    nodes[k].append(node.view(np.int64))
+                    depth = d
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(u, runs)), pa.array(np.tile(part, runs), pa.int32()), pa.array(np.tile(c, runs)), *(pa.array(np.concatenate(x)) for x in nodes)], names=["u", "part", "c", *places])
+
+    left = settle(sets.select("u", "part", "sig", "c").mapInArrow(fall, "u long, part int, c long, " + ", ".join(f"{p} long" for p in places)))
+    small: list[DataFrame] = []
     deep: DataFrame | None = None
-    tokens = sets.select("u", F.col("part").alias("part2"), "sig")
-    same = (F.col("u1") == F.col("u")) & (F.col("part") == F.col("part2"))
+    stars: DataFrame | None = None
     for k, depth in enumerate(DEPTHS):
-        counts = at.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("node").alias("node2"), "n")
-        active = settle(at.join(counts, F.col("node") == F.col("node2")).select("node", "u", "part", "n"))
-        small = active.filter(F.col("n") <= BRUTE).select("node", F.col("u").alias("u1"), "part").join(tokens, same).select("node", "u", "sig")
-        found = map_groups(small, ["node"], lambda t: _alike(t, least), "a long, b long").distinct()
-        links = found if links is None else links.union(found)
-        big = active.filter(F.col("n") > BRUTE).select("node", "u", "part")
-        if big.isEmpty():
-            break
+        # Nodes of one component have nothing to find.
+        counts = left.groupBy(places[k]).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("top"), F.min("u").alias("a")).filter("low < top")
+        left = settle(left.join(counts.select(F.col(places[k]).alias("node"), "n", "a"), F.col(places[k]) == F.col("node")).select("node", "u", "part", "c", "n", "a", *places[k + 1 :]))
+        small.append(left.filter(F.col("n") <= BRUTE).select("node", F.col("u").alias("u1"), "part"))
+        left = left.filter(F.col("n") > BRUTE)
         if k + 1 == len(DEPTHS):
-            low = big.groupBy("node").agg(F.min("u").alias("a")).withColumnRenamed("node", "node2")
-            links = links.union(big.join(low, F.col("node") == F.col("node2")).select("a", F.col("u").alias("b")).filter("a <> b").distinct())
+            stars = left.select("a", F.col("u").alias("b")).filter("a <> b").distinct()
+            break
+        if left.isEmpty():
             break
         if depth >= FIRST:
-            now = big.select("node", "u", F.lit(DEPTHS[k + 1]).alias("depth"))
+            now = left.select("node", "u", F.lit(DEPTHS[k + 1]).alias("depth"))
             deep = now if deep is None else deep.union(now)
-        joined = big.withColumnRenamed("u", "u1").join(tokens, same).select("node", "u", "part", "sig")
-        at = settle(joined.mapInArrow(deeper(DEPTHS[k + 1] - depth), "node long, u long, part int"))
-    return links, deep
+        left = left.select("u", "part", "c", *places[k + 1 :])
+    every = small[0]
+    for more in small[1:]:
+        every = every.union(more)
+    tokens = sets.select("u", F.col("part").alias("part2"), "sig")
+    compared = every.join(tokens, (F.col("u1") == F.col("u")) & (F.col("part") == F.col("part2"))).select("node", "u", "sig")
+    links = map_groups(compared, ["node"], lambda t: _alike(t, least), "a long, b long")
+    return links if stars is None else links.union(stars), deep
 
 
 def _exact(table: pa.Table, similarity: float) -> pa.RecordBatch:
