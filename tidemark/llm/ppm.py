@@ -9,14 +9,17 @@ add up to its score.
 
 The trie is one table of the longest grams (a context and its follower) and their counts; every context's shorter ones
 are suffixes of it, so all counts come from these.  It is dealt by the two symbols before the follower: a part then
-holds every context of two symbols or more that its grams need, and works out their probabilities.  Only the counts of
-pairs of symbols go to all parts; the alphabet bounds them.  A gram has the same probability wherever it stands, so
+holds every context of two symbols or more that its grams need, and works out their probabilities.  A pair with more
+than `HOT` grams is dealt by three symbols, and again by four; such a part gets the followers of its shorter contexts as
+rows of their own, as many as there are symbols at most.  Only the counts of pairs of symbols go to all parts; the
+alphabet bounds them.  A gram has the same probability wherever it stands, so
 texts are taken in batches of about `batch_bytes`, which pass by in chunks: a batch's distinct grams (and words, for the
 unigram score) are joined with their values, and come back to the batch.  The model grows with the corpus and is spread
 like any table.
 
 Defined results: a null text is scored as an empty one: its end alone; a null key or training flag leaves a row out of
-training; without training rows all symbols are equally likely; equal rows are scored alike.
+training; without training rows all symbols are equally likely; equal rows are scored alike; other columns, whatever their
+names, are not read; an empty table gives an empty result.  Words count as known by 64-bit hashes of their bytes.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ CHUNK = 1 << 19
 #: Stands for the end of a text among the hashes of words.
 END_WORD = np.uint64(0x1F3D5B79A2C4E608)
 WORD, GRAM = 0, 1
+#: Grams of one context of two symbols beyond which they are dealt by three, and by four where these have as many.
+HOT = 1 << 20
 
 
 class Table:
@@ -170,30 +175,58 @@ def _items(order: int):
     return each
 
 
+def _followers(item: np.ndarray, n: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts, in order, and of each all that followed, the different followers, and what followed its shorter context of these."""
+    u, at = np.unique(item, return_index=True)
+    new = np.flatnonzero(np.concatenate([[True], (u[1:] >> BITS) != (u[:-1] >> BITS)]))
+    nu = n[at]
+    return (u[new] >> BITS, *(np.add.reduceat(x.astype(np.int64), new) for x in (nu, nu > 0, np.where(nu > 0, shorter[at], 0))))
+
+
+def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value of each wanted key in sorted keys; 0 where there is none."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
+
+
 def _context_values(order: int, pairs: np.ndarray):
-    """item and value from tables of the items (c2, item, n) of whole contexts of two symbols.
+    """item and value from tables of whole groups of the grams (level, context, k, item, n) whose contexts share their `level` latest symbols.
 
-    All grams whose contexts share their two latest symbols are in one table, so it holds every context of two symbols
-    or more that they look up; `pairs` has the counts of followers by the symbol before them.
+    Such a group holds every context of `level` symbols or more that its grams (k is 0) look up.  The followers of its
+    shorter contexts of k symbols, from two on, come with it as rows of their own; `pairs` has the counts of followers by
+    the symbol before them.
     """
     single = pairs.sum(0)
     short = [
         (np.array([single.sum()]), np.array([(single > 0).sum()]), np.zeros(1, np.int64)),
         (pairs.sum(1), (pairs > 0).sum(1), np.where(pairs > 0, single, 0).sum(1)),
     ]
+    low = lambda item, k: item & ((1 << BITS * k) - 1)
 
     def each(table: pa.Table) -> pa.RecordBatch:
-        item, n = table.column("item").to_numpy(), table.column("n").to_numpy()
-        last, before = item & ((1 << BITS) - 1), (item >> BITS) & ((1 << BITS) - 1)
+        level, kind, item, n = (table.column(c).to_numpy() for c in ("level", "k", "item", "n"))
+        given = {k: np.unique(np.stack([item[kind == k], n[kind == k]], 1), axis=0) for k in range(2, int(level.max(initial=2)))}
+        level, item, n = level[kind == 0], item[kind == 0], n[kind == 0]
+        last, before = low(item, 1), low(item >> BITS, 1)
         counts = [single[last], pairs[before, last]]
         found = []
         for k in range(2, order + 1):
-            u, at, inv = np.unique(item & ((1 << BITS * (k + 1)) - 1), return_index=True, return_inverse=True)
+            gram = low(item, k + 1)
+            u, at, inv = np.unique(gram, return_index=True, return_inverse=True)
             nu = np.bincount(inv, n, len(u)).astype(np.int64)
-            new = np.concatenate([[True], (u[1:] >> BITS) != (u[:-1] >> BITS)])
-            first, c = np.flatnonzero(new), (np.cumsum(new) - 1)[inv]
-            found.append(tuple(np.add.reduceat(x.astype(np.int64), first)[c] for x in (nu, nu > 0, np.where(nu > 0, counts[k - 1][at], 0))))
-            counts.append(nu[inv])
+            context, *sums = _followers(u, nu, counts[k - 1][at])
+            mine, triple = nu[inv], [_lookup(context, x, gram >> BITS) for x in sums]
+            if (far := level > k).any():
+                held, of = given[k][:, 0], given[k][:, 1]
+                shorter = pairs[low(held >> BITS, 1), low(held, 1)] if k == 2 else _lookup(*given[k - 1].T, low(held, k))
+                mine[far] = _lookup(held, of, gram[far])
+                context, *sums = _followers(held, of, shorter) if len(held) else (held, of, of, of)
+                for x, y in zip(triple, sums, strict=True):
+                    x[far] = _lookup(context, y, gram[far] >> BITS)
+            counts.append(mine)
+            found.append(triple)
         value, open_ = np.zeros(len(item)), np.ones(len(item), bool)
         ex_n, ex_d = np.zeros(len(item), np.int64), np.zeros(len(item), np.int64)
         for k in range(order, -1, -1):
@@ -210,25 +243,54 @@ def _context_values(order: int, pairs: np.ndarray):
     return each
 
 
-def gram_scores(counts: DataFrame, order: int = ORDER) -> DataFrame:
+def gram_scores(counts: DataFrame, order: int = ORDER, hot: int = HOT) -> DataFrame:
     """item and value: the log10 probability of each gram's last symbol after its context.
 
     `counts` has every gram that is asked for once, with its training count, which may be 0.
     """
-    symbol = F.lit((1 << BITS) - 1)
+    low = lambda k: F.lit((1 << BITS * k) - 1)
+    context = lambda k: F.shiftright("item", BITS).bitwiseAND(low(k))
     pairs = np.zeros((1 << BITS, 1 << BITS), np.int64)
     # At most one row for each two symbols.
-    ends = counts.groupBy(F.shiftright("item", BITS).bitwiseAND(symbol).alias("a"), F.col("item").bitwiseAND(symbol).alias("b")).agg(F.sum("n").alias("n"))
+    ends = counts.groupBy(context(1).alias("a"), F.col("item").bitwiseAND(low(1)).alias("b")).agg(F.sum("n").alias("n"))
     for r in ends.filter("n > 0").collect():
         pairs[r.a, r.b] = r.n
-    by = counts.select(F.shiftright("item", BITS).bitwiseAND(F.lit((1 << 2 * BITS) - 1)).alias("c2"), "item", "n")
-    return map_groups(by, ["c2"], _context_values(order, pairs), "item long, value double")
+    dealt = counts.select(F.lit(2).alias("level"), context(2).alias("context"), F.lit(0).alias("k"), "item", "n")
+    extra: list[tuple[int, DataFrame]] = []
+    for k in range(2, min(4, order)):
+        # Contexts with more than `hot` grams: their number is at most that of all grams over `hot`.
+        sizes = dealt.filter(F.col("level") == k).groupBy(F.col("context").alias("of")).agg(F.count(F.lit(1)).alias("grams"))
+        big = settle(sizes.filter(F.col("grams") > hot).select("of"))
+        if big.isEmpty():
+            break
+        crowded = dealt.filter(F.col("level") == k).join(F.broadcast(big), F.col("context") == F.col("of")).drop("of")
+        extra.append((k, settle(crowded.groupBy(F.col("item").bitwiseAND(low(k + 1)).alias("gram")).agg(F.sum("n").alias("m")).filter("m > 0"))))
+        split = F.col("of").isNotNull()
+        moved = dealt.join(F.broadcast(big), (F.col("level") == k) & (F.col("context") == F.col("of")), "left")
+        dealt = moved.select(F.when(split, k + 1).otherwise(F.col("level")).alias("level"), F.when(split, context(k + 1)).otherwise(F.col("context")).alias("context"), "k", "item", "n")
+    rows = dealt
+    groups = dealt.filter("level > 2").select("level", "context").distinct() if extra else None
+    for k, given in extra:
+        # A context of k symbols has as many rows as there are symbols at most, for each group that extends it.
+        of = groups.filter(F.col("level") > k).join(given, F.col("context").bitwiseAND(low(k)) == F.shiftright("gram", BITS))
+        rows = rows.union(of.select("level", "context", F.lit(k), "gram", "m"))
+    return map_groups(rows, ["level", "context"], _context_values(order, pairs), "item long, value double")
 
 
 def score(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", order: int = ORDER, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """key, train, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
     # Texts are long: small Arrow batches keep the buffers of both sides small.
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set(name, "1000")
+    try:
+        # The scores are written while the setting holds.
+        return settle(_score(docs, train, key, text, order, batch_bytes))
+    finally:
+        conf.set(name, before)
+
+
+def _score(docs: DataFrame, train: Column, key: str, text: str, order: int, batch_bytes: int) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     # Large batches share more grams; every core has a batch unless those get too small.
     cores = docs.sparkSession.sparkContext.defaultParallelism
