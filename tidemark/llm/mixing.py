@@ -13,12 +13,12 @@
    of 0..n-1 that differs by source and by epoch g div n; slots and blocks are joined on (source, block).
 
 The running sums over documents go by (source, hash bucket) and then over buckets, so a source with a third of all rows
-is spread over 16 ** BUCKET_HEX groups.  Only the table of sources, whose size is that of the weights' configuration,
-and the table of shards are ever ordered as a whole.
+is spread over 16 ** BUCKET_HEX groups; those over shards go by runs of RUN shards and then over runs.  Only the table of
+sources, whose size is that of the weights' configuration, is ever ordered as a whole.
 
 Defined results: a null text has no tokens; a null source is a source, ordered last; documents without tokens are never
 taken; repeated rows count as rows of their own; an empty table gives an empty result; no names but `key`, `source` and
-`size` are read.
+`size` are read, other columns are kept, and the columns that are added (ADDED) replace those of their names.
 """
 
 from __future__ import annotations
@@ -35,6 +35,10 @@ BUCKET_HEX = 3
 #: Tokens of a block, and slots of an output shard, unless the caller names others.
 BLOCK, SLOTS = 128, 16_384
 FEWEST = 256
+#: Shards whose running sums one task works out.
+RUN = 4096
+#: Columns that `mix` adds, and `block_size`, which it needs.
+ADDED = ("source_size", "target", "block_size", "row_no", "block", "from", "to", "shard", "epoch")
 
 
 def words(text: Column) -> Column:
@@ -139,6 +143,15 @@ def pack(docs: DataFrame, plan: DataFrame, key: str, source: str, size: str) ->
     )
 
 
+def sum_before(df: DataFrame, by: list[str], order: str, value: str, out: str) -> DataFrame:
+    """Adds the sum of `value` over the rows of `by` with a lower `order` (a whole number, once for each `by`)."""
+    df = df.withColumn("__run", F.floor(F.col(order) / RUN))
+    runs = df.groupBy(*by, "__run").agg(F.sum(value).alias("__s"))
+    runs = runs.withColumn("__s0", F.sum("__s").over(W.partitionBy(*by).orderBy("__run")) - F.col("__s")).drop("__s")
+    inside = W.partitionBy(*by, "__run").orderBy(order)
+    return df.withColumn("__s1", F.sum(value).over(inside) - F.col(value)).join(runs, [*by, "__run"]).withColumn(out, F.col("__s0") + F.col("__s1")).drop("__run", "__s0", "__s1")
+
+
 def draw(plan: DataFrame, source: str, slots: int = SLOTS, seed: int = 0) -> DataFrame:
     """shard, source, epoch, block: one row for each slot.  `plan` is what `targets` gives."""
     quota = (
@@ -164,12 +177,11 @@ def draw(plan: DataFrame, source: str, slots: int = SLOTS, seed: int = 0) -> Dat
         .agg(F.count(F.lit(1)).alias("__c"))
     )
     drawn = settle(drawn)
-    running = W.partitionBy("__k").orderBy("shard")
-    counted = drawn.join(quota.select("__k", "__quota"), "__k").withColumn("__before", F.sum("__c").over(running) - F.col("__c"))
-    kept = counted.withColumn("__keep", F.greatest(F.lit(0).cast("long"), F.least("__c", F.col("__quota") - F.col("__before"))))
+    counted = sum_before(drawn, ["__k"], "shard", "__c", "__before").join(quota.select("__k", "__quota"), "__k")
+    kept = settle(counted.withColumn("__keep", F.greatest(F.lit(0).cast("long"), F.least("__c", F.col("__quota") - F.col("__before")))))
     # What a shard drew beyond a quota, in shard order, against what each source still lacks.
     spare = kept.filter("__c > __keep").groupBy("shard").agg(F.sum(F.col("__c") - F.col("__keep")).alias("__n"))
-    spare = spare.withColumn("__hi", F.sum("__n").over(W.orderBy("shard"))).withColumn("__lo", F.col("__hi") - F.col("__n"))
+    spare = sum_before(spare, [], "shard", "__n", "__lo").withColumn("__hi", F.col("__lo") + F.col("__n"))
     got = drawn.groupBy("__k").agg(F.sum("__c").alias("__got"))
     lack = quota.join(got, "__k", "left").withColumn("__d", F.col("__quota") - F.coalesce("__got", F.lit(0)))
     lack = lack.filter("__d > 0").withColumn("__dhi", F.sum("__d").over(W.orderBy("__k"))).withColumn("__dlo", F.col("__dhi") - F.col("__d"))
@@ -182,11 +194,11 @@ def draw(plan: DataFrame, source: str, slots: int = SLOTS, seed: int = 0) -> Dat
         .select("shard", F.col("__l.k").alias("__k"), (F.least("__hi", F.col("__l.hi")) - F.greatest("__lo", F.col("__l.lo"))).alias("__c"))
     )
     final = kept.select("shard", "__k", F.col("__keep").alias("__c")).union(refill).groupBy("shard", "__k").agg(F.sum("__c").alias("__c"))
+    final = settle(final.filter("__c > 0"))
     return (
-        final.filter("__c > 0")
-        .withColumn("__g0", F.sum("__c").over(running) - F.col("__c"))
+        sum_before(final, ["__k"], "shard", "__c", "__g0")
         .join(quota.select("__k", source, "__blocks"), "__k")
-        .repartition("shard", "__k")
+        .repartition(int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard", "__k")
         .withColumn("__g", F.explode(F.sequence(F.col("__g0"), F.col("__g0") + F.col("__c") - 1)))
         .withColumn("epoch", F.floor(F.col("__g") / F.col("__blocks")).cast("int"))
         .withColumn("block", permuted(F.pmod("__g", F.col("__blocks")), F.col("__blocks"), F.concat_ws(":", F.lit(seed), F.coalesce(source, F.lit("\0")), "epoch")))
@@ -199,6 +211,9 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", size: str
 
     A piece that is taken twice has two rows; a piece that is not taken has one, whose shard is null.
     """
+    if {key, source, size} & {*ADDED}:
+        raise ValueError(f"none of {', '.join(ADDED)} can name the key, the source or the size")
+    docs = docs.drop(*ADDED)
     plan = targets(docs, source, size, most, block, weights)
     slot = draw(plan, source, slots, seed)
     pieces = pack(docs, plan, key, source, size)

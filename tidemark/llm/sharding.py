@@ -5,8 +5,8 @@ shard with the highest one.  A shard that is added therefore takes records only
 gives its own records to the others; no other record moves.
 
 Defined results: a null key hashes like the empty string; rows with equal keys share a shard and keep one slot each; an
-empty table gives an empty result; columns of the input are kept, and a clash with an added column is an error of the
-caller, who can name the added columns.
+empty table gives an empty result; columns of the input are kept, but an added column replaces one of its name (callers
+can name the added columns), and the key can't have the name of one.
 """
 
 from __future__ import annotations
@@ -47,6 +47,8 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 
 def assign(df: DataFrame, key: str, weights: Sequence[float], out: str = "shard") -> DataFrame:
     """Adds the shard of each row; no shuffle."""
+    if key == out:
+        raise ValueError("the key can't be replaced")
     return df.withColumn(out, rendezvous(F.col(key), weights))
 
 
@@ -56,7 +58,9 @@ def with_slots(df: DataFrame, key: str, order: Sequence[str] = (), shard: str =
     Rows are numbered inside (shard, bucket of the hash) groups, so no task holds a whole shard; the groups' sizes, at
     most 16 ** BUCKET_HEX for each shard, give their first numbers.  Rows with the same key are numbered by `order`.
     """
-    h = df.withColumn("__h", key_hash(F.col(key))).withColumn("__b", F.substring("__h", 1, BUCKET_HEX))
+    if out in (key, shard, *order):
+        raise ValueError("slots can't replace what they are made from")
+    h = df.drop(out).withColumn("__h", key_hash(F.col(key))).withColumn("__b", F.substring("__h", 1, BUCKET_HEX))
     first = (
         h.groupBy(shard, "__b")
         .agg(F.count(F.lit(1)).alias("__n"))
@@ -67,6 +71,7 @@ def with_slots(df: DataFrame, key: str, order: Sequence[str] = (), shard: str =
     numbered = h.withColumn("__r", F.row_number().over(inside))
     return (
         numbered.join(first, [shard, "__b"])
+        .select(*df.drop(out).columns, "__first", "__r")
         .withColumn(out, (F.col("__first") + F.col("__r") - 1).cast("long"))
-        .drop("__h", "__b", "__r", "__first")
+        .drop("__r", "__first")
     )
