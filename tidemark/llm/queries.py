@@ -195,23 +195,28 @@ SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM p
 
 
 def _op7() -> str:
-    model = licenses.Templates(licenses.TEMPLATES)
+    model = licenses.Templates(licenses.standard())
     idf = ", ".join(f"('{t}', {x!r}::DOUBLE)" for t, x in sorted(model.idf.items()))
-    unit = ", ".join(f"('{k}', '{t}', {x!r}::DOUBLE)" for k, u in model.unit.items() for t, x in sorted(u.items()))
+    unit = ", ".join(f"('{k}', {i}, '{t}', {x!r}::DOUBLE)" for (k, i), u in model.unit.items() for t, x in sorted(u.items()))
     return rf"""
-WITH idf(w, x) AS (VALUES {idf}), unit(k, w, u) AS (VALUES {unit}),
+WITH idf(w, x) AS (VALUES {idf}), unit(k, i, w, u) AS (VALUES {unit}),
 f AS (
   SELECT row_number() OVER () AS r, doc_id, concat_ws('/', source, lang, doc_id::VARCHAR) AS path, concat_ws('/', source, lang) AS dir, text FROM documents),
-l AS (SELECT r, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM f),
+l AS (
+  SELECT r, 0 AS kind, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM f
+  UNION ALL SELECT r, 1, unnest(string_split_regex(text, '{licenses.BLANK}')), generate_subscripts(string_split_regex(text, '{licenses.BLANK}'), 1) FROM f
+  UNION ALL SELECT r, 2, text, 1 FROM f),
 t AS (
-  SELECT r, line, w, count(*) AS tf FROM (
-    SELECT r, line, unnest(string_split_regex(regexp_replace(regexp_replace(lower(l), '[^a-z0-9.\-]+', ' ', 'g'), '[.]+( |$)|-+( |$)', ' ', 'g'), ' ')) AS w FROM l) WHERE w <> '' GROUP BY ALL),
+  SELECT r, kind, line, w, count(*) AS tf FROM (
+    SELECT r, kind, line, unnest(string_split_regex(regexp_replace(regexp_replace(lower(l), '[^a-z0-9.\-]+', ' ', 'g'), '[.]+( |$)|-+( |$)', ' ', 'g'), ' ')) AS w FROM l) WHERE w <> '' GROUP BY ALL),
 v AS (SELECT t.*, tf * coalesce(x, {model.rare!r}::DOUBLE) AS x FROM t LEFT JOIN idf USING (w)),
-norm AS (SELECT r, line, sqrt(sum(x * x)) AS norm FROM v GROUP BY ALL),
-cosine AS (SELECT r, line, k, floor(sum(x * u) / any_value(norm) * 1e6 + 0.5) / 1e6 AS c FROM v JOIN unit USING (w) JOIN norm USING (r, line) GROUP BY ALL),
-best AS (SELECT r, line, c, k FROM cosine WHERE c >= {licenses.LEAST} QUALIFY row_number() OVER (PARTITION BY r, line ORDER BY c DESC, k) = 1),
-counted AS (SELECT best.*, len(regexp_extract_all(l.l, {SOLID})) AS n FROM best JOIN l USING (r, line)),
-own AS (SELECT r, sum(n) AS n, arg_min(k, (-c, k)) AS license, max(c) AS score FROM counted GROUP BY r),
+norm AS (SELECT r, kind, line, sqrt(sum(x * x)) AS norm FROM v GROUP BY ALL),
+dots AS (SELECT r, kind, line, k, i, sum(x * u) AS d FROM v JOIN unit USING (w) GROUP BY ALL),
+cosine AS (SELECT r, kind, line, k, floor(d / norm * 1e6 + 0.5) / 1e6 AS c FROM dots JOIN norm USING (r, kind, line)),
+best AS (SELECT r, kind, line, c, k FROM cosine WHERE c >= {licenses.LEAST} QUALIFY row_number() OVER (PARTITION BY r, kind, line ORDER BY c DESC, k) = 1),
+counted AS (SELECT best.*, len(regexp_extract_all(l.l, {SOLID})) AS n FROM best JOIN l USING (r, kind, line)),
+kinds AS (SELECT r, kind, sum(n) AS n, min((-c, k)) AS b FROM counted GROUP BY ALL),
+own AS (SELECT r, max(n) AS n, min(b)[2] AS license, -(min(b)[1]) AS score FROM kinds GROUP BY r),
 marked AS (SELECT f.r, doc_id, path, dir, license, score, n, len(regexp_extract_all(text, {SOLID})) AS words FROM f LEFT JOIN own USING (r)),
 holds AS (SELECT dir AS up, arg_min(license, (-score, license)) AS license, max(score) AS score FROM marked WHERE license IS NOT NULL AND n >= {licenses.SHARE} * words GROUP BY dir),
 near AS (
