@@ -25,7 +25,10 @@ def missed(links) -> int:
     return sum(find(2 * k) != find(2 * k + 1) for k in range(PAIRS))
 
 
-def test_pairs_in_deep_nodes_are_found(spark):
+def test_pairs_in_deep_nodes_are_found(spark, monkeypatch):
+    # Nodes of more sets than this go on, as in a table of many more sets.
+    monkeypatch.setattr(pathjoin, "BRUTE", 128)
+
     def of(u, part):
         """Tokens of four values; sets 2k and 2k + 1 agree in about 0.8 of them."""
         own = np.random.default_rng([part, u // 2])
