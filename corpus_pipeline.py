@@ -24,15 +24,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: the one with the smallest id."""
-    kept = settle(pathjoin.join(docs).filter("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n")))
-    ids = F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
-    once = docs.join(ids.filter("__n = 1 or __id is null").select("__id"), same, "left_semi")
-    repeated = kept.filter("__n > 1 and __id is not null")
+    """One document of each class of near copies stays: the one with the smallest id (of texts that share it, the smallest hash)."""
+    key = F.struct(F.col("doc_id").isNull().alias("__none"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash")).alias("key")
+    kept = settle(pathjoin.join(docs.select(key, "text"), "key").filter("kept").groupBy("key.*").agg(F.count(F.lit(1)).alias("__n")))
+    keys = F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    once = docs.join(keys.filter("__n = 1"), same, "left_semi")
+    repeated = kept.filter("__n > 1")
     if repeated.isEmpty():
         return once
-    return once.unionByName(docs.join(repeated.select("__id"), same, "left_semi").dropDuplicates(["doc_id"]))
+    # Rows that are copies in id and text: one of each stays; rows without words are in no class, so all of them do.
+    words = F.col("text").rlike(mixing.WORD)
+    copies = docs.join(repeated, same, "left_semi")
+    return once.unionByName(copies.filter(words).dropDuplicates(["doc_id", "text"])).unionByName(copies.filter(~F.coalesce(words, F.lit(False))))
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
