@@ -37,7 +37,9 @@ from tidemark.llm.graph import components
 from tidemark.llm.grouped import map_groups
 from tidemark.llm.stage import settle
 
-COORDS, BRUTE = 64, 512
+COORDS, BRUTE = 64, 4096
+#: Sets of a node whose pairs are compared all at once.
+FEW = 128
 #: Runs that go to the last depth at once, before the others.
 HEAD = 4
 #: Depths at which nodes are counted.
@@ -133,8 +135,8 @@ def _sig(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _alike(table: pa.Table, least: int) -> pa.RecordBatch:
-    """Forests of the pairs of each node whose signatures agree in `least` places or more."""
-    node, u = table.column("node").to_numpy(), table.column("u").to_numpy()
+    """Forests of the pairs of each node, of different components, whose signatures agree in `least` places or more."""
+    node, u, c = (table.column(k).to_numpy() for k in ("node", "u", "c"))
     sig = _sig(table.column("sig")).astype(np.uint8)
     bounds = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]])
     sizes = np.diff(bounds)
@@ -143,11 +145,16 @@ def _alike(table: pa.Table, least: int) -> pa.RecordBatch:
         if m < 2:
             continue
         starts = bounds[:-1][sizes == m]
+        if m > FEW:
+            out += [found for s in starts.tolist() if len(found := _crowd(sig[s : s + m], u[s : s + m], c[s : s + m], least))]
+            continue
         p, q = np.triu_indices(m, 1)
         per = max(1, (1 << 18) // len(p))
         for k in range(0, len(starts), per):
             a = (starts[k : k + per, None] + p).ravel()
             b = (starts[k : k + per, None] + q).ravel()
+            apart = c[a] != c[b]
+            a, b = a[apart], b[apart]
             near = (sig[a] == sig[b]).sum(1) >= least
             a, b = a[near], b[near]
             if m == 2:
@@ -163,6 +170,22 @@ def _alike(table: pa.Table, least: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def _crowd(sig: np.ndarray, u: np.ndarray, c: np.ndarray, least: int) -> np.ndarray:
+    """The same of one node of many sets: a set is compared only with those of other components, the ones found here included."""
+    top = np.unique(c, return_inverse=True)[1]
+    out: list[tuple[int, int]] = []
+    for i in range(len(u) - 1):
+        rest = np.flatnonzero(top[i + 1 :] != top[i]) + i + 1
+        if not len(rest):
+            continue
+        near = rest[(sig[rest] == sig[i]).sum(1) >= least]
+        _, first = np.unique(top[near], return_index=True)
+        for j in near[first].tolist():
+            out.append((int(u[i]), int(u[j])))
+            top[top == top[j]] = top[i]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
 def candidates(sets: DataFrame, similarity: float, recall: float, more: Callable[[DataFrame], DataFrame], seed: int = 0) -> DataFrame:
     """Links (a, b) whose components hold every pair that the runs bring together.
 
@@ -262,7 +285,7 @@ def _walk(sets: DataFrame, similarity: float, runs: int, seed: int) -> tuple[Dat
         # Nodes of one component have nothing to find.
         counts = left.groupBy(places[k]).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("top"), F.min("u").alias("a")).filter("low < top")
         left = settle(left.join(counts.select(F.col(places[k]).alias("node"), "n", "a"), F.col(places[k]) == F.col("node")).select("node", "u", "part", "c", "n", "a", *places[k + 1 :]))
-        small.append(left.filter(F.col("n") <= BRUTE).select("node", F.col("u").alias("u1"), "part"))
+        small.append(left.filter(F.col("n") <= BRUTE).select("node", F.col("u").alias("u1"), "part", "c"))
         left = left.filter(F.col("n") > BRUTE)
         if k + 1 == len(DEPTHS):
             stars = left.select("a", F.col("u").alias("b")).filter("a <> b").distinct()
@@ -277,7 +300,7 @@ def _walk(sets: DataFrame, similarity: float, runs: int, seed: int) -> tuple[Dat
     for more in small[1:]:
         every = every.union(more)
     tokens = sets.select("u", F.col("part").alias("part2"), "sig")
-    compared = every.join(tokens, (F.col("u1") == F.col("u")) & (F.col("part") == F.col("part2"))).select("node", "u", "sig")
+    compared = every.join(tokens, (F.col("u1") == F.col("u")) & (F.col("part") == F.col("part2"))).select("node", "u", "c", "sig")
     links = map_groups(compared, ["node"], lambda t: _alike(t, least), "a long, b long")
     return links if stars is None else links.union(stars), deep
 
