@@ -26,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays: the one with the smallest id (of texts that share it, the smallest hash)."""
     key = F.struct(F.col("doc_id").isNull().alias("__none"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash")).alias("key")
-    kept = settle(pathjoin.join(docs.select(key, "text"), "key").filter("kept").groupBy("key.*").agg(F.count(F.lit(1)).alias("__n")))
+    kept = settle(pathjoin.join(docs.select(key, "text"), "key").filter("kept").select("key.*").groupBy("__id", "__hash").agg(F.count(F.lit(1)).alias("__n")))
     keys = F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
     once = docs.join(keys.filter("__n = 1"), same, "left_semi")
