@@ -47,8 +47,10 @@ def test_sinks_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).count() == 3
     sinks.csv(df, str(tmp_path / "c"))
     assert spark.read.csv(str(tmp_path / "c"), header=True).columns == df.columns
-    sinks.json_snapshot(df, str(tmp_path / "j"), {"asof": "2024-01-03"})
-    assert {r.metadata.asof for r in spark.read.json(str(tmp_path / "j")).collect()} == {"2024-01-03"}
+    sinks.json_snapshot(df, str(tmp_path / "j"), {"asof": "2024-01-03"}, {"x": "a number"})
+    head = spark.read.json(str(tmp_path / "j/header")).collect()
+    assert [(r.metadata.asof, r.legend.x, r.records) for r in head] == [("2024-01-03", "a number", df.count())]
+    assert spark.read.json(str(tmp_path / "j/records")).count() == df.count()
     sinks.day_report(df, str(tmp_path / "r"), "day", "tag", "seq", "raw")
     text = "".join(p.read_text() for p in (tmp_path / "r" / "day=2024-01-02").glob("*.txt"))
     assert text.splitlines() == ["## EUR", "- b", "## GENERAL", "- c"]

@@ -12,19 +12,44 @@ from tidemark.streaming import jobs
 def test_switching_fit_tells_calm_from_wild():
     rng = np.random.default_rng(0)
     wild = np.repeat([False, True, False, True], 100)
-    x = rng.standard_normal(400) * np.where(wild, 5.0, 1.0)
-    _, dev, move, prob = regimes.switching_fit(x)
-    assert dev[0] < 1.5 < 3 < dev[1]
-    assert np.allclose(move.sum(axis=1), 1) and np.allclose(prob.sum(axis=1), 1)
-    assert ((prob[:, 1] > 0.5) == wild).mean() > 0.9
-    assert np.allclose(regimes.switching_fit(np.ones(50))[3], 0.5)
+    x = np.stack([rng.standard_normal(400) * np.where(wild, 5.0, 1.0), np.ones(400)])
+    got = regimes.switching_fit(x, states=2)
+    assert got.deviation[0, 0] < 1.5 < 3 < got.deviation[0, 1]
+    assert np.allclose(got.move.sum(axis=2), 1) and np.allclose(got.smoothed.sum(axis=2), 1) and np.allclose(got.filtered.sum(axis=2), 1)
+    assert ((got.smoothed[0, :, 1] > 0.5) == wild[1:]).mean() > 0.9
+    # A constant window can't be fitted, and others of its batch don't suffer.
+    assert got.status.tolist() == ["ok", "uniform"] and np.allclose(got.smoothed[1], 0.5)
+
+
+def test_switching_fit_finds_three_states_and_their_lags():
+    rng = np.random.default_rng(1)
+    kind = np.repeat([0, 1, 2, 1, 0, 2], 250)
+    x = np.zeros(len(kind))
+    for t in range(1, len(x)):
+        x[t] = (0.6, 0.0, -0.5)[kind[t]] * x[t - 1] + (0.3, 1.5, 6.0)[kind[t]] * rng.standard_normal()
+    got = regimes.switching_fit(x[None, :], rounds=100)
+    assert got.status[0] == "ok" and (np.diff(got.deviation[0]) > 0).all()
+    assert abs(got.lag[0, 0] - 0.6) < 0.15 and abs(got.lag[0, 2] + 0.5) < 0.2
+    assert (got.smoothed[0].argmax(axis=1) == kind[1:]).mean() > 0.9
+
+
+def test_propagated_states_stay_probabilities():
+    got = regimes.propagated(np.array([1.0, 0.0]), np.array([[0.9, 0.1], [0.2, 0.8]]), 200)
+    assert np.allclose(got[0], [0.9, 0.1]) and np.allclose(got.sum(axis=1), 1) and np.allclose(got[-1], [2 / 3, 1 / 3])
 
 
 def test_rolling_regimes_serve_each_later_row_once(spark):
     rows = [("a", t, t + 1, float(np.sin(t * t))) for t in range(95)] + [("b", t, t + 1, 1.0) for t in range(5)]
     got = regimes.rolling_regimes(spark.createDataFrame(rows, "series_id string, dt int, rn int, x double"), "x", 50, 20).collect()
     assert sorted(r.dt for r in got) == list(range(50, 95))
-    assert {r.fold for r in got} == {0, 1, 2} and all(0 <= r.p_wild <= 1 for r in got)
+    assert {r.fold for r in got} == {0, 1, 2} and all(abs(r.p_ranging + r.p_trending + r.p_crisis - 1) < 1e-9 for r in got)
+
+
+def test_switching_probs_of_each_series(spark):
+    rows = [(k, t, float(np.sin(t * t)) * (1 + 9 * (t > 60))) for k in ("a", "b") for t in range(120)] + [("c", 0, 1.0), ("d", 0, None)]
+    got = regimes.switching_probs(spark.createDataFrame(rows, "series_id string, dt int, x double"), "x", 2).collect()
+    assert sorted((r.series_id, r.dt) for r in got) == [(k, t) for k in ("a", "b") for t in range(1, 120)]
+    assert all((r.p_trending > 0.5) == (r.dt > 60) for r in got if not 55 < r.dt < 66)
 
 
 def test_streamed_positions_equal_batch(spark, tmp_path):

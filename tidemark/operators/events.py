@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.ewm import recurrences
+
 # Base impulse of a severity tier, and (half-life fast, half-life slow in days, fast weight, largest
 # impulse) of an event class; the last class is the default.
 TIERS = {1: 0.25, 2: 0.75, 3: 1.5, 4: 2.5, 5: 3.0}
@@ -22,42 +27,74 @@ def impulse() -> Column:
     return F.floor(F.greatest(-cap, F.least(cap, raw)) * 1e4 + 0.5) / 1e4
 
 
-def decayed_score(days: DataFrame, events: DataFrame, crisis: float = 2.0) -> DataFrame:
+def decayed_score(days: DataFrame, events: DataFrame, crisis: float = 2.0, remaining: float = 0.2) -> DataFrame:
     """dt, score and is_crisis: every event's impulse, decayed by its class, at the begin of each later day.
 
-    An event is carried by prefix: each day adds the impulses of the day before, decayed to its end, to what it inherits;
-    so days and classes are joined by equality and folded, not crossed with events.
+    A day adds the impulses of the day before, decayed to its end, to what it inherits; so days and classes are joined by
+    equality and each sum is one recurrence over a class's days, not a join of days with events.  A day is a crisis if
+    the score is beyond `crisis`, or while an override's slow part has more than `remaining` of its size.
     """
-    import math
-
     table = [(k, math.log(2) / v[0], math.log(2) / v[1], v[2]) for k, v in CLASSES.items()]
     dims = events.sparkSession.createDataFrame(table, "class string, lf double, ls double, wf double")
     known = F.when(F.col("event_class").isin(*CLASSES), F.col("event_class")).otherwise("noise")
     e = events.withColumn("imp", impulse()).filter("imp <> 0").withColumn("class", known).join(F.broadcast(dims), "class")
     left = (F.unix_micros(F.date_add(F.to_date("ts"), 1).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 86400e6
-    daily = e.groupBy("class", F.date_add(F.to_date("ts"), 1).alias("dt")).agg(F.sum(F.col("wf") * F.col("imp") * F.exp(-F.col("lf") * left)).alias("f"), F.sum((1 - F.col("wf")) * F.col("imp") * F.exp(-F.col("ls") * left)).alias("s"))
+    daily = e.groupBy("class", F.date_add(F.to_date("ts"), 1).alias("dt")).agg(
+        F.sum(F.col("wf") * F.col("imp") * F.exp(-F.col("lf") * left)).alias("f"), F.sum((1 - F.col("wf")) * F.col("imp") * F.exp(-F.col("ls") * left)).alias("s"),
+        F.max(F.when(F.col("is_override"), F.col("ts"))).alias("forced"),
+    )
     grid = days.select("dt", F.explode(F.array(*(F.lit(k) for k in CLASSES))).alias("class")).join(F.broadcast(dims), "class")
     rows = grid.join(daily, ["class", "dt"], "left")
-    w = W.partitionBy("class").orderBy("dt").rowsBetween(W.unboundedPreceding, 0)
-    past = F.collect_list(F.when(F.col("f").isNotNull(), F.struct("dt", "f", "s"))).over(w)
-    carry = lambda what, rate: F.aggregate(past, F.lit(0.0), lambda a, p: a + p[what] * F.exp(-F.col(rate) * F.datediff(F.col("dt"), p["dt"])))
-    scored = rows.withColumn("v", carry("f", "lf") + carry("s", "ls"))
-    return scored.groupBy("dt").agg(F.sum("v").alias("score")).withColumn("is_crisis", F.abs("score") > crisis)
+    zero = F.lit(0.0)
+    summed = recurrences(rows, {"fast": (F.coalesce("f", zero), F.exp(-F.col("lf"))), "slow": (F.coalesce("s", zero), F.exp(-F.col("ls")))}, "class", "dt")
+    # Of a class's overrides the latest one has most of its size left.
+    latest = F.max("forced").over(W.partitionBy("class").orderBy("dt").rowsBetween(W.unboundedPreceding, 0))
+    age = (F.unix_micros(F.col("dt").cast("timestamp")) - F.unix_micros(latest.cast("timestamp"))) / 86400e6
+    scored = summed.withColumn("forced", F.coalesce(F.exp(-F.col("ls") * age) > remaining, F.lit(False)))
+    return scored.groupBy("dt").agg(F.sum(F.col("fast") + F.col("slow")).alias("score"), F.max("forced").alias("forced")).select("dt", "score", ((F.abs("score") > crisis) | F.col("forced")).alias("is_crisis"))
 
 
 def dedupe(events: DataFrame, key: Column, order: str, ts: str, hours: float = 6) -> DataFrame:
-    """Of each key's events in arrival order, those at least `hours` after the last one kept.
+    """Of each key's events in arrival order, those at least `hours` after the last one kept; equal orders by time.
 
     An event that late after all before it is kept whatever they are, so each such event begins a group of its own, and a
-    group holds one burst, not all of a key.
+    group holds one burst, not all of a key.  Of a burst the fold keeps only the last time, and the marks of its events.
     """
     gap = int(hours * 3600e6)
+    names = events.columns
     rows = events.withColumn("__k", key).withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp")))
-    arrival = W.partitionBy("__k").orderBy(order)
+    rows = rows.withColumn("__p", F.row_number().over(W.partitionBy("__k").orderBy(order, "__t", *(c for c in names if c not in (order, ts)))))
+    arrival = W.partitionBy("__k").orderBy("__p")
     latest = F.max("__t").over(arrival.rowsBetween(W.unboundedPreceding, -1))
     rows = rows.withColumn("__new", F.coalesce(F.col("__t") - latest >= gap, F.lit(True)).cast("int")).withColumn("__g", F.sum("__new").over(arrival.rowsBetween(W.unboundedPreceding, 0)))
-    packed = rows.groupBy("__k", "__g").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("__t").alias("t")))).alias("__e"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{dict(events.dtypes)[order]}>").alias("kept"))
-    step = lambda a, e: F.when(a["last"].isNull() | (e["t"] - a["last"] >= gap), F.struct(e["t"].alias("last"), F.array_append(a["kept"], e["o"]).alias("kept"))).otherwise(a)
-    kept = packed.select(F.explode(F.aggregate("__e", start, step)["kept"]).alias(order))
-    return events.join(kept, order, "left_semi")
+    # An event that begins a group is kept; another only if it is late enough after the last one kept of its group.
+    packed = rows.groupBy("__k", "__g").agg(F.array_sort(F.collect_list(F.struct(F.col("__p").alias("p"), F.col("__t").alias("t")))).alias("__e"))
+    single = packed.filter(F.size("__e") == 1).select("__k", F.col("__e")[0]["p"].alias("__p"))
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit("").alias("kept"))
+    late = lambda a, e: a["last"].isNull() | (e["t"] - a["last"] >= gap)
+    step = lambda a, e: F.when(late(a, e), F.struct(e["t"].alias("last"), F.concat(a["kept"], F.lit(","), e["p"].cast("string")).alias("kept"))).otherwise(a)
+    found = F.split(F.substring(F.aggregate("__e", start, step)["kept"], 2, 1 << 30), ",")
+    bursts = packed.filter(F.size("__e") > 1).select("__k", F.explode(found.cast("array<int>")).alias("__p"))
+    kept = single.union(bursts).select(F.col("__k").alias("__k2"), F.col("__p").alias("__p2"))
+    return rows.join(kept, F.col("__k").eqNullSafe(F.col("__k2")) & (F.col("__p") == F.col("__p2")), "left_semi").select(*names)
+
+
+FIELDS = "event_class string, direction string, severity_tier int, confidence double, reasoning string"
+
+
+def classified(df: DataFrame, answer: str, overriding: Sequence[str] = (), least: float = 0.4) -> DataFrame:
+    """Adds event_class, direction, tier, confidence and is_override from answers in JSON; what is less sure than `least` goes.
+
+    Confidences are clamped to 0 and 1.  An answer that can't be read or lacks a field is noise without confidence.
+    """
+    j = F.from_json(answer, FIELDS)
+    whole = F.col("__j").isNotNull()
+    for field in FIELDS.split(", "):
+        whole = whole & F.col(f"__j.{field.split()[0]}").isNotNull()
+    df = df.withColumn("__j", j).withColumn("__ok", F.coalesce(whole, F.lit(False)))
+    take = lambda field, missing: F.when(F.col("__ok"), F.col(f"__j.{field}")).otherwise(missing)
+    df = df.withColumns({
+        "event_class": take("event_class", "noise"), "direction": take("direction", "neutral"), "tier": take("severity_tier", 1),
+        "confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0), take("confidence", 0.0))),
+    }).filter(F.col("confidence") >= least)
+    return df.withColumn("is_override", F.col("event_class").isin(*overriding) & (F.col("tier") >= 4)).drop("__j", "__ok")

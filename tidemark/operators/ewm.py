@@ -1,13 +1,16 @@
 """Exponentially weighted means as blocked prefix sums: no row loop and no Python.
 
 y[t] = d * y[t-1] + u[t] is a prefix sum once divided by d ** t, which would overflow on long series.  So rows are cut
-into blocks: inside one, the prefix sum is exact; one row per block carries the last value on; and a fold over the
-short list of blocks gives what enters each.
+into blocks of such a length that d to its power is e ** -REACH: inside a block the prefix sum is exact, and of what lies
+before, only the end of the block before it counts, since older values weigh less than a double can show.  So a row
+needs its block's sums and one carried value, however long the series is.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,6 +18,17 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.rolling import KEY, TIME
 
+REACH = 300.0
+
+
+class Mean(NamedTuple):
+    """An exponentially weighted mean of `x`: adjusted by the weights of the values seen, or started from the first value."""
+
+    x: Column
+    alpha: float
+    adjust: bool = True
+    least: int = 1
+
 
 def span(n: float) -> float:
     return 2 / (n + 1)
@@ -24,40 +38,57 @@ def halflife(h: float) -> float:
     return 1 - math.exp(-math.log(2) / h)
 
 
-def recurrence(df: DataFrame, inputs: dict[str, Column], decay: float, key: str = KEY, time: str = TIME) -> DataFrame:
-    """Adds y[t] = decay * y[t-1] + u[t] for each named u (not null), in the order of `time` within `key`."""
-    size = max(2, min(128, int(300 / max(1e-9, -math.log(decay)))))
+def recurrences(df: DataFrame, inputs: Mapping[str, tuple[Column, float | Column]], key: str = KEY, time: str = TIME) -> DataFrame:
+    """Adds y[t] = decay * y[t-1] + u[t] for each name's (u, decay), in the order of `time` within `key`; u isn't null.
+
+    A decay lies between 0 and 1; it may be a column that is the same for all rows of a key.  Equal numbers share blocks.
+    """
     order = W.partitionBy(key).orderBy(time)
-    df = df.withColumn("__i", F.row_number().over(order) - 1).withColumn("__blk", F.floor(F.col("__i") / size)).withColumn("__o", F.col("__i") % size)
-    inside = W.partitionBy(key, "__blk").orderBy("__o").rowsBetween(W.unboundedPreceding, 0)
-    local = {f"__l_{k}": F.sum(u * F.pow(F.lit(decay), -F.col("__o"))).over(inside) * F.pow(F.lit(decay), F.col("__o")) for k, u in inputs.items()}
-    df = df.withColumns(local)
-    # The last row of every block, as a list in block order; what enters block b is the fold of those before it.
-    ends = W.partitionBy(key).orderBy("__i").rowsBetween(W.unboundedPreceding, -1)
-    last = F.lead("__blk").over(order)
-    df = df.withColumn("__end", (last.isNull()) | (last != F.col("__blk")))
-    for k in inputs:
-        carried = F.collect_list(F.when(F.col("__end"), F.col(f"__l_{k}"))).over(ends)
-        enter = F.aggregate(carried, F.lit(0.0), lambda a, x: a * F.lit(decay**size) + x)
-        df = df.withColumn(k, F.col(f"__l_{k}") + F.pow(F.lit(decay), F.col("__o") + 1) * enter)
-    return df.drop("__i", "__blk", "__o", "__end", *local)
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    decays = {d if isinstance(d, float) else id(d): F.lit(d) if isinstance(d, float) else d for _, d in inputs.values()}
+    place = {d: k for k, d in enumerate(decays)}
+    df = df.withColumn("__i", F.row_number().over(order) - 1)
+    size = {d: F.greatest(F.lit(2), F.floor(REACH / -F.log(c))) for d, c in decays.items()}
+    df = df.withColumns({f"__{part}{place[d]}": f for d, n in size.items() for part, f in (("b", F.floor(F.col("__i") / n)), ("o", F.col("__i") % n), ("e", F.col("__i") % n == n - 1))})
+    sums = {}
+    for name, (u, d) in inputs.items():
+        of = d if isinstance(d, float) else id(d)
+        k, c = place[of], decays[of]
+        inside = W.partitionBy(key, f"__b{k}").orderBy("__i").rowsBetween(W.unboundedPreceding, 0)
+        sums[f"__l_{name}"] = F.sum(u * F.pow(c, -F.col(f"__o{k}"))).over(inside) * F.pow(c, F.col(f"__o{k}"))
+    df = df.withColumns(sums)
+    out = {}
+    for name, (_, d) in inputs.items():
+        of = d if isinstance(d, float) else id(d)
+        k, c = place[of], decays[of]
+        carried = F.last(F.when(F.col(f"__e{k}"), F.col(f"__l_{name}")), ignorenulls=True).over(before)
+        out[name] = F.col(f"__l_{name}") + F.pow(c, F.col(f"__o{k}") + 1) * F.coalesce(carried, F.lit(0.0))
+    return df.withColumns(out).drop("__i", *sums, *(f"__{part}{k}" for k in place.values() for part in "boe"))
 
 
-def ewm(df: DataFrame, x: Column, out: str, alpha: float, adjust: bool = True, least: int = 1, key: str = KEY, time: str = TIME) -> DataFrame:
-    """Adds the exponentially weighted mean of x.
+def ewms(df: DataFrame, means: Mapping[str, Mean], key: str = KEY, time: str = TIME) -> DataFrame:
+    """Adds exponentially weighted means by name, all in one pass over the series.
 
     adjust=True divides by the weights of the values seen (nulls weigh nothing); adjust=False starts from the first
     value and expects none to be null after it.  Rows before `least` values are null.
     """
-    decay = 1 - alpha
     seen = W.partitionBy(key).orderBy(time).rowsBetween(W.unboundedPreceding, 0)
-    df = df.withColumn("__x", x).withColumn("__n", F.count("__x").over(seen))
-    if adjust:
-        has = F.col("__x").isNotNull()
-        df = recurrence(df, {"__s": F.when(has, F.col("__x")).otherwise(0.0), "__w": F.when(has, 1.0).otherwise(0.0)}, decay, key, time)
-        value = F.col("__s") / F.nullif(F.col("__w"), F.lit(0.0))
-    else:
-        first = F.when(F.col("__n") == 1, F.col("__x")).otherwise(alpha * F.col("__x"))
-        df = recurrence(df, {"__s": F.coalesce(first, F.lit(0.0))}, decay, key, time)
-        value = F.col("__s")
-    return df.withColumn(out, F.when(F.col("__n") >= max(1, least), value)).drop("__x", "__n", "__s", "__w")
+    df = df.withColumns({f"__x_{k}": m.x for k, m in means.items()})
+    df = df.withColumns({f"__n_{k}": F.count(f"__x_{k}").over(seen) for k in means})
+    inputs: dict[str, tuple[Column, float]] = {}
+    for k, m in means.items():
+        x, decay = F.col(f"__x_{k}"), float(1 - m.alpha)
+        if m.adjust:
+            inputs[f"__s_{k}"] = F.coalesce(x, F.lit(0.0)), decay
+            inputs[f"__w_{k}"] = F.when(x.isNotNull(), 1.0).otherwise(0.0), decay
+        else:
+            inputs[f"__s_{k}"] = F.coalesce(F.when(F.col(f"__n_{k}") == 1, x).otherwise(m.alpha * x), F.lit(0.0)), decay
+    df = recurrences(df, inputs, key, time)
+    value = {k: F.col(f"__s_{k}") / F.nullif(F.col(f"__w_{k}"), F.lit(0.0)) if m.adjust else F.col(f"__s_{k}") for k, m in means.items()}
+    df = df.withColumns({k: F.when(F.col(f"__n_{k}") >= max(1, m.least), value[k]) for k, m in means.items()})
+    return df.drop(*(f"__{part}_{k}" for k in means for part in "xnsw"))
+
+
+def ewm(df: DataFrame, x: Column, out: str, alpha: float, adjust: bool = True, least: int = 1, key: str = KEY, time: str = TIME) -> DataFrame:
+    """Adds one exponentially weighted mean."""
+    return ewms(df, {out: Mean(x, alpha, adjust, least)}, key, time)

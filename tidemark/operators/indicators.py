@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ewm import ewm, span
+from tidemark.operators.ewm import Mean, ewm, ewms, span
 from tidemark.operators.rolling import lag, roll
 
 
-
 def change() -> Column:
     return F.col("close") - lag(F.col("close"))
 
 
-def rsi(df: DataFrame, n: int = 14, adjust: bool = True, out: str = "rsi") -> DataFrame:
+def rsi(df: DataFrame, n: int = 14, adjust: bool = True, out: str = "rsi", least: int = 1) -> DataFrame:
     """100 - 100 / (1 + gain / loss) with exponentially weighted gains and losses; null where the loss is zero."""
-    df = df.withColumn("__d", change())
-    df = ewm(df, F.greatest("__d", F.lit(0.0)) + F.col("__d") * 0, "__gain", 1 / n, adjust)
-    df = ewm(df, F.greatest(-F.col("__d"), F.lit(0.0)) + F.col("__d") * 0, "__loss", 1 / n, adjust)
-    return df.withColumn(out, 100 - 100 / (1 + F.col("__gain") / F.nullif(F.col("__loss"), F.lit(0.0)))).drop("__d", "__gain", "__loss")
+    return rsis(df, {out: adjust}, n, least)
+
+
+def rsis(df: DataFrame, adjusted: Mapping[str, bool], n: int = 14, least: int = 1) -> DataFrame:
+    """One RSI for each name, adjusted or not, in one pass."""
+    d = F.col("__d")
+    up, down = F.greatest(d, F.lit(0.0)) + d * 0, F.greatest(-d, F.lit(0.0)) + d * 0
+    means = {f"__{side}_{k}": Mean(x, 1 / n, adjust, least) for k, adjust in adjusted.items() for side, x in (("gain", up), ("loss", down))}
+    df = ewms(df.withColumn("__d", change()), means)
+    df = df.withColumns({k: 100 - 100 / (1 + F.col(f"__gain_{k}") / F.nullif(F.col(f"__loss_{k}"), F.lit(0.0))) for k in adjusted})
+    return df.drop("__d", *means)
 
 
 def rsi_simple(n: int = 14) -> Column:
@@ -30,8 +39,7 @@ def rsi_simple(n: int = 14) -> Column:
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    df = ewm(df, F.col("close"), "__fast", span(fast), adjust=False)
-    df = ewm(df, F.col("close"), "__slow", span(slow), adjust=False).withColumn("macd", F.col("__fast") - F.col("__slow"))
+    df = ewms(df, {"__fast": Mean(F.col("close"), span(fast), False), "__slow": Mean(F.col("close"), span(slow), False)}).withColumn("macd", F.col("__fast") - F.col("__slow"))
     return ewm(df, F.col("macd"), "macd_signal", span(signal), adjust=False).withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("__fast", "__slow")
 
 
@@ -40,19 +48,18 @@ def bollinger(n: int = 20, k: float = 2.0) -> dict[str, Column]:
     return {"bb_mid": mid, "bb_upper": mid + k * dev, "bb_lower": mid - k * dev, "bb_pct": (F.col("close") - (mid - k * dev)) / F.nullif(2 * k * dev, F.lit(0.0)), "bb_width": 2 * k * dev / mid}
 
 
-def adx(df: DataFrame, n: int = 14) -> DataFrame:
+def adx(df: DataFrame, n: int = 14, least: int = 1) -> DataFrame:
     """ADX with the asymmetric tie rule: -DM is compared with +DM after that has been zeroed."""
     h, low, before = F.col("high"), F.col("low"), lag(F.col("close"))
     up, down = F.greatest(h - lag(h), F.lit(0.0)) + lag(h) * 0, F.greatest(lag(low) - low, F.lit(0.0)) + lag(low) * 0
     df = df.withColumns({"__up": up, "__dn": down, "__tr": F.greatest(h - low, F.abs(h - before), F.abs(low - before))})
     df = df.withColumn("__p", F.when(F.col("__up") > F.col("__dn"), F.col("__up")).when(F.col("__up").isNotNull(), 0.0))
     df = df.withColumn("__m", F.when(F.col("__dn") > F.col("__p"), F.col("__dn")).when(F.col("__dn").isNotNull(), 0.0))
-    for x, out in (("__tr", "__atr"), ("__p", "__ps"), ("__m", "__ms")):
-        df = ewm(df, F.col(x), out, 1 / n)
+    df = ewms(df, {out: Mean(F.col(x), 1 / n, True, least) for x, out in (("__tr", "__atr"), ("__p", "__ps"), ("__m", "__ms"))})
     plus, minus = (100 * F.col(c) / F.nullif(F.col("__atr"), F.lit(0.0)) for c in ("__ps", "__ms"))
     df = df.withColumns({"__pd": plus, "__md": minus})
     df = df.withColumn("__dx", 100 * F.abs(F.col("__pd") - F.col("__md")) / F.nullif(F.col("__pd") + F.col("__md"), F.lit(0.0)))
-    return ewm(df, F.col("__dx"), "adx", 1 / n).drop("__up", "__dn", "__tr", "__p", "__m", "__atr", "__ps", "__ms", "__pd", "__md", "__dx")
+    return ewm(df, F.col("__dx"), "adx", 1 / n, True, least).drop("__up", "__dn", "__tr", "__p", "__m", "__atr", "__ps", "__ms", "__pd", "__md", "__dx")
 
 
 def estimators(n: int = 21, year: float = 252.0) -> dict[str, Column]:
@@ -64,9 +71,40 @@ def estimators(n: int = 21, year: float = 252.0) -> dict[str, Column]:
     gap = F.col("gap")
     scale = lambda v: F.sqrt(F.greatest(v, F.lit(0.0)) * year) * 100
     yz = roll(gap, n, F.var_samp) + k * roll(co, n, F.var_samp) + (1 - k) * roll(rs, n)
-    import math
-
     return {
         "vol_cc": roll(F.col("r"), n, F.stddev_samp) * math.sqrt(year) * 100, "vol_parkinson": scale(roll(hl * hl, n) / (4 * math.log(2))),
         "vol_gk": scale(roll(0.5 * hl * hl - (2 * math.log(2) - 1) * co * co, n)), "vol_rs": scale(roll(rs, n)), "vol_yz": F.when(yz.isNotNull(), scale(yz)),
     }
+
+
+def rsi_zone(x: Column) -> Column:
+    return F.when(x.isNull(), "N/A").when(x >= 70, "Overbought").when(x <= 30, "Oversold").otherwise("Neutral")
+
+
+def adx_strength(x: Column) -> Column:
+    return F.when(x.isNull(), "N/A").when(x >= 40, "Strong").when(x >= 25, "Trending").otherwise("Weak")
+
+
+def cross_label(fast: Column, slow: Column) -> Column:
+    return F.when(fast.isNull() | slow.isNull(), "N/A").when(fast > slow, "Bull").when(fast < slow, "Bear").otherwise("Flat")
+
+
+def histogram_direction(now: Column, before: Column) -> Column:
+    """Up or down as it grows on its side of zero, ~ as it shrinks; needs two values."""
+    return (
+        F.when(now.isNull() | before.isNull(), "N/A").when((now > 0) & (now > before), "Bullish \u2191").when((now < 0) & (now < before), "Bearish \u2193")
+        .when(now > 0, "Bullish ~").when(now < 0, "Bearish ~").otherwise("Neutral")
+    )
+
+
+def technical(df: DataFrame) -> DataFrame:
+    """Adds every column of the technical board to bars; windows and means all run over the same series order."""
+    close = F.col("close")
+    df = adx(macd(rsi(df, out="rsi_14", least=14)), least=14).withColumnRenamed("adx", "adx_14")
+    df = df.withColumns({"sma_20": roll(close, 20), "sma_50": roll(close, 50), "sma_200": roll(close, 200), "bb_pct_b": bollinger()["bb_pct"], "hist_before": lag(F.col("macd_hist"))})
+    df = df.withColumns({f"roc_{k}": (close / F.nullif(lag(close, n), F.lit(0.0)) - 1) * 100 for k, n in (("1m", 21), ("3m", 63))})
+    df = df.withColumns({f"zscore_{k}": (close - roll(close, n)) / F.nullif(roll(close, n, F.stddev_samp), F.lit(0.0)) for k, n in (("1m", 21), ("3m", 63), ("1y", 252))})
+    return df.withColumns({
+        "rsi_zone": rsi_zone(F.col("rsi_14")), "macd_signal": histogram_direction(F.col("macd_hist"), F.col("hist_before")), "adx_strength": adx_strength(F.col("adx_14")),
+        "sma_20_50": cross_label(F.col("sma_20"), F.col("sma_50")), "sma_50_200": cross_label(F.col("sma_50"), F.col("sma_200")),
+    })

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -77,3 +77,23 @@ def fill(x: Column, cap: int | None = None, back: bool = False, w=None) -> Colum
     far = cap if cap is not None else (W.unboundedFollowing if back else -W.unboundedPreceding)
     span = w.rowsBetween(0, far) if back else w.rowsBetween(-far, 0)
     return (F.first if back else F.last)(x, ignorenulls=True).over(span)
+
+
+def zscore_by_length(df: DataFrame, x: str, length: str, out: str = "z") -> DataFrame:
+    """Adds the z-score over each series' own number of rows, where half of them have values.
+
+    Sums over the last n rows are differences of running sums, which are of values less the series' mean, so that little
+    is lost in them; the running sums of n rows before come by an equality join.
+    """
+    w = series()
+    df = df.withColumn("__i", F.row_number().over(w)).withColumn("__d", F.col(x) - F.avg(x).over(W.partitionBy(KEY)))
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+    zero = F.lit(0.0)
+    df = df.withColumns({"__c": F.count("__d").over(upto), "__s": F.coalesce(F.sum("__d").over(upto), zero), "__q": F.coalesce(F.sum(F.col("__d") * F.col("__d")).over(upto), zero)})
+    old = df.select(F.col(KEY).alias("__k0"), F.col("__i").alias("__i0"), F.col("__c").alias("__c0"), F.col("__s").alias("__s0"), F.col("__q").alias("__q0"))
+    j = df.join(old, (F.col(KEY) == F.col("__k0")) & (F.col("__i") - F.col(length) == F.col("__i0")), "left")
+    n, s, q = (F.col(a) - F.coalesce(F.col(b), F.lit(0)) for a, b in (("__c", "__c0"), ("__s", "__s0"), ("__q", "__q0")))
+    mean = s / n
+    deviation = F.sqrt(F.greatest((q - n * mean * mean) / F.nullif(n - 1, F.lit(0)), zero))
+    z = F.when(n >= F.floor(F.col(length) / 2), (F.col("__d") - mean) / F.nullif(deviation, zero))
+    return j.withColumn(out, z).drop("__i", "__d", "__c", "__s", "__q", "__k0", "__i0", "__c0", "__s0", "__q0")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ def running(w=None):
     return (w or series()).rowsBetween(W.unboundedPreceding, 0)
 
 
-def hysteresis(df: DataFrame, z: Column, entry: float, leave: float, out: str = "position", sign: int = -1) -> DataFrame:
+def hysteresis(df: DataFrame, z: Column, entry: float, leave: float, out: str = "position", sign: int = -1, by: Sequence[str] = ("series_id",)) -> DataFrame:
     """Adds -1, 0 or 1: enters when flat and |z| > entry, holds, leaves when |z| < leave; a null z gives 0 and keeps the state.
 
     sign is the position taken at z > entry.  Between two exits the first entry fixes the side, so the state is the first
@@ -21,9 +23,9 @@ def hysteresis(df: DataFrame, z: Column, entry: float, leave: float, out: str =
     """
     if leave > entry:
         raise ValueError("leave must not exceed entry")
-    df = df.withColumn("__z", z).withColumn("__g", F.sum(F.when(F.abs("__z") < leave, 1).otherwise(0)).over(running()))
+    df = df.withColumn("__z", z).withColumn("__g", F.sum(F.when(F.abs("__z") < leave, 1).otherwise(0)).over(running(W.partitionBy(*by).orderBy("dt"))))
     side = F.when(F.col("__z") > entry, sign).when(F.col("__z") < -entry, -sign)
-    episode = W.partitionBy("series_id", "__g").orderBy("dt").rowsBetween(W.unboundedPreceding, 0)
+    episode = W.partitionBy(*by, "__g").orderBy("dt").rowsBetween(W.unboundedPreceding, 0)
     held = F.coalesce(F.first(side, ignorenulls=True).over(episode), F.lit(0))
     return df.withColumn(out, F.when(F.col("__z").isNull(), 0).otherwise(held)).drop("__z", "__g")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import indicators, rolling, state
+from tidemark.operators.ewm import span
 from tidemark.operators.rolling import lag, roll, series
 from tidemark.plans import sqltext as S
 from tidemark.plans.registry import query
@@ -22,31 +23,39 @@ def last(df, keep):
     return df.withColumn("__r", F.row_number().over(w)).filter("__r = 1").select("series_id", "dt", *keep)
 
 
-_COLS = {"z_21": S.z("close", 21), "z_63": S.z("close", 63), "sma_20": S.roll("close", 20), "roc_21": f"(close / lag(close, 21) {S.W} - 1) * 100", "bb_width": f"4 * ({S.roll('close', 20, 'stddev_samp')}) / ({S.roll('close', 20)})"}
-
-
-@query("bd1_technical_board", f"{B}, t AS (SELECT series_id, dt, close, {', '.join(f'{v} AS {k}' for k, v in _COLS.items())}, count(*) OVER (PARTITION BY series_id) AS n FROM b) SELECT * EXCLUDE (n) FROM t WHERE n >= 60 {LAST}", ["close", *_COLS])
+BOARD = ["rsi_14", "rsi_zone", "macd_signal", "macd_hist", "sma_20_50", "sma_50_200", "roc_1m", "roc_3m", "bb_pct_b", "adx_14", "adx_strength", "zscore_1m", "zscore_3m", "zscore_1y"]
+_CROSS = lambda f, s: f"CASE WHEN {f} IS NULL OR {s} IS NULL THEN 'N/A' WHEN {f} > {s} THEN 'Bull' WHEN {f} < {s} THEN 'Bear' ELSE 'Flat' END"
+_ZONE = lambda x: f"CASE WHEN {x} IS NULL THEN 'N/A' WHEN {x} >= 70 THEN 'Overbought' WHEN {x} <= 30 THEN 'Oversold' ELSE 'Neutral' END"
+
+
+@query("bd1_technical_board", f"""{B}, d AS (SELECT *, CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS u, CASE WHEN d IS NOT NULL THEN greatest(-d, 0) END AS l FROM (SELECT *, close - lag(close) {S.W} AS d FROM b)),
+g AS {S.ewm('d', 'u', 'g', 1 / 14, True, 14)}, s AS {S.ewm('d', 'l', 's', 1 / 14, True, 14)}, rs AS (SELECT series_id, dt, 100 - 100 / (1 + g / nullif(s, 0)) AS rsi_14 FROM g JOIN s USING (series_id, dt)),
+ef AS {S.ewm('b', 'close', 'f', span(12), False)}, es AS {S.ewm('b', 'close', 's', span(26), False)}, mc AS (SELECT series_id, dt, f - s AS macd, row_number() {S.W} AS rn FROM ef JOIN es USING (series_id, dt)),
+sg AS {S.ewm('mc', 'macd', 'sig', span(9), False)}, hi AS (SELECT series_id, dt, macd - sig AS h FROM mc JOIN sg USING (series_id, dt)), hb AS (SELECT *, lag(h) {S.W} AS h0 FROM hi),
+a AS (SELECT *, greatest(high - low, coalesce(abs(high - lag(close) {S.W}), 0), coalesce(abs(low - lag(close) {S.W}), 0)) AS tr, high - lag(high) {S.W} AS du, lag(low) {S.W} - low AS dd FROM b),
+dp AS (SELECT *, CASE WHEN du IS NULL THEN NULL WHEN greatest(du, 0) > greatest(dd, 0) THEN greatest(du, 0) ELSE 0 END AS p FROM a), dm AS (SELECT *, CASE WHEN dd IS NULL THEN NULL WHEN greatest(dd, 0) > p THEN greatest(dd, 0) ELSE 0 END AS m FROM dp),
+t1 AS {S.ewm('dm', 'tr', 'atr', 1 / 14, True, 14)}, t2 AS {S.ewm('dm', 'p', 'ps', 1 / 14, True, 14)}, t3 AS {S.ewm('dm', 'm', 'ms', 1 / 14, True, 14)},
+di AS (SELECT series_id, dt, 100 * ps / nullif(atr, 0) AS pd, 100 * ms / nullif(atr, 0) AS md FROM t1 JOIN t2 USING (series_id, dt) JOIN t3 USING (series_id, dt)),
+dx AS (SELECT *, 100 * abs(pd - md) / nullif(pd + md, 0) AS dx, row_number() {S.W} AS rn FROM di), ax AS {S.ewm('dx', 'dx', 'adx_14', 1 / 14, True, 14)},
+w AS (SELECT series_id, dt, close, {S.roll('close', 20)} AS s20, {S.roll('close', 50)} AS s50, {S.roll('close', 200)} AS s200, {S.roll('close', 20, 'stddev_samp')} AS sd, (close / nullif(lag(close, 21) {S.W}, 0) - 1) * 100 AS roc_1m, (close / nullif(lag(close, 63) {S.W}, 0) - 1) * 100 AS roc_3m,
+  {S.z('close', 21)} AS zscore_1m, {S.z('close', 63)} AS zscore_3m, {S.z('close', 252)} AS zscore_1y, count(*) OVER (PARTITION BY series_id) AS n FROM b)
+SELECT w.series_id, w.dt, close, rsi_14, {_ZONE('rsi_14')} AS rsi_zone, CASE WHEN h IS NULL OR h0 IS NULL THEN 'N/A' WHEN h > 0 AND h > h0 THEN 'Bullish ' || chr(8593) WHEN h < 0 AND h < h0 THEN 'Bearish ' || chr(8595) WHEN h > 0 THEN 'Bullish ~' WHEN h < 0 THEN 'Bearish ~' ELSE 'Neutral' END AS macd_signal,
+  h AS macd_hist, {_CROSS('s20', 's50')} AS sma_20_50, {_CROSS('s50', 's200')} AS sma_50_200, roc_1m, roc_3m, (close - (s20 - 2 * sd)) / nullif(4 * sd, 0) AS bb_pct_b, adx_14,
+  CASE WHEN adx_14 IS NULL THEN 'N/A' WHEN adx_14 >= 40 THEN 'Strong' WHEN adx_14 >= 25 THEN 'Trending' ELSE 'Weak' END AS adx_strength, zscore_1m, zscore_3m, zscore_1y
+FROM w JOIN rs USING (series_id, dt) JOIN hb USING (series_id, dt) JOIN ax USING (series_id, dt) WHERE n >= 60 QUALIFY row_number() OVER (PARTITION BY w.series_id ORDER BY w.dt DESC) = 1""",
+    ["close", "rsi_14", "macd_hist", "roc_1m", "roc_3m", "bb_pct_b", "adx_14", "zscore_1m", "zscore_3m", "zscore_1y"])
 def technical(spark, sf):
     """BD1: the latest indicators of each series with 60 rows or more."""
-    b = bars(spark, sf).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("series_id")))
-    cols = {"z_21": rolling.zscore(F.col("close"), 21), "z_63": rolling.zscore(F.col("close"), 63), "sma_20": roll(F.col("close"), 20), "roc_21": (F.col("close") / lag(F.col("close"), 21) - 1) * 100, "bb_width": indicators.bollinger()["bb_width"]}
-    return last(b.select("series_id", "dt", "close", "n", *(v.alias(k) for k, v in cols.items())).filter("n >= 60"), ["close", *cols])
-
-
-@query("bd2_carry_board", """WITH s AS (SELECT s_nationkey AS k, avg(s_acctbal) AS rate FROM supplier GROUP BY 1), c AS (SELECT c_nationkey AS k, avg(c_acctbal) AS cpi FROM customer GROUP BY 1),
-d AS (SELECT n_nationkey AS k, rate, cpi FROM nation LEFT JOIN s ON s.k = n_nationkey LEFT JOIN c ON c.k = n_nationkey)
-SELECT a.k AS base, b.k AS quote, b.rate - a.rate AS rate_diff, (b.rate - a.rate) - (b.cpi - a.cpi) AS real_carry,
-  CASE WHEN b.rate - a.rate IS NULL THEN 'N/A' WHEN b.rate - a.rate > 1500 THEN 'High' WHEN b.rate - a.rate > 500 THEN 'Mid' WHEN b.rate - a.rate > 0 THEN 'Low' ELSE 'Negative' END AS label FROM d a JOIN d b ON b.k = a.k + 1""", ["rate_diff", "real_carry"], ())
-def carry(spark, sf):
-    """BD2, JN8, PR5: rate differentials of neighbouring nations from a dimension in two roles."""
-    s = views.table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.avg("s_acctbal").alias("rate"))
-    c = views.table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.avg("c_acctbal").alias("cpi"))
-    d = views.table(spark, sf, "nation").select(F.col("n_nationkey").alias("k")).join(s, "k", "left").join(c, "k", "left")
-    a, b = d.select(F.col("k").alias("base"), F.col("rate").alias("r1"), F.col("cpi").alias("c1")), d.select(F.col("k").alias("quote"), F.col("rate").alias("r2"), F.col("cpi").alias("c2"))
-    j = a.join(b, F.col("quote") == F.col("base") + 1).withColumn("rate_diff", F.col("r2") - F.col("r1"))
-    x = F.col("rate_diff")
-    label = F.when(x.isNull(), "N/A").when(x > 1500, "High").when(x > 500, "Mid").when(x > 0, "Low").otherwise("Negative")
-    return j.select("base", "quote", "rate_diff", (x - (F.col("c2") - F.col("c1"))).alias("real_carry"), label.alias("label"))
+    b = indicators.technical(bars(spark, sf).withColumn("n", F.count(F.lit(1)).over(W.partitionBy("series_id"))))
+    return last(b.filter("n >= 60"), ["close", *BOARD])
+
+
+@query("pr5_pr6_labels", f"""{B}, d AS (SELECT *, close - lag(close) {S.W} AS d FROM b), m AS (SELECT series_id, dt, {S.roll('greatest(d, 0) + 0 * d', 14)} AS a, {S.roll('greatest(-d, 0) + 0 * d', 14)} AS c, {S.roll('close', 20)} AS f, {S.roll('close', 50)} AS s FROM d),
+x AS (SELECT *, CASE WHEN c > 0 THEN 100 - 100 / (1 + a / c) WHEN a > 0 THEN 100 END AS x FROM m) SELECT series_id, dt, x AS rsi, {_ZONE('x')} AS zone, {_CROSS('f', 's')} AS cross_label FROM x""", ["rsi"])
+def labels(spark, sf):
+    """PR5, PR6: zones and crosses at every row."""
+    b = bars(spark, sf).withColumn("d", F.col("close") - lag(F.col("close"))).withColumn("rsi", indicators.rsi_simple())
+    return b.select("series_id", "dt", "rsi", indicators.rsi_zone(F.col("rsi")).alias("zone"), indicators.cross_label(roll(F.col("close"), 20), roll(F.col("close"), 50)).alias("cross_label"))
 
 
 _STRATEGY = f"""{B.replace('WITH', 'WITH RECURSIVE', 1)}, s AS (SELECT series_id, dt, rn, close, r, {S.z('close', 60, 30)} AS z FROM b),
@@ -110,16 +119,59 @@ def ranking(spark, sf):
     return last(bars(spark, sf), ["iv"]).select("series_id", "iv", F.rank().over(W.orderBy(F.desc(-F.col("iv")), "series_id")).alias("strength_rank"))
 
 
-@query("st7_regime_weights", f"""{B}, v AS (SELECT series_id, dt, abs(r) AS a, {S.roll('r', 20, 'stddev_samp')} AS s FROM b), p AS (SELECT series_id, dt, 1.0 / (1 + a / s) AS p0, a / s AS q FROM v WHERE s > 0),
-n AS (SELECT series_id, dt, p0 / (p0 + q + q * q) AS ranging, q / (p0 + q + q * q) AS trending, q * q / (p0 + q + q * q) AS crisis FROM p)
-SELECT *, 0.70 * ranging + 0.15 * trending + 0.15 * crisis AS w_mr, 0.20 * ranging + 0.75 * trending + 0.10 * crisis AS w_mom, 0.10 * ranging + 0.10 * trending + 0.75 * crisis AS w_news,
-  CASE WHEN ranging >= trending AND ranging >= crisis THEN 'ranging' WHEN trending >= crisis THEN 'trending' ELSE 'crisis' END AS dominant, crisis > 0.6 AS is_crisis FROM n""", ["ranging", "trending", "crisis", "w_mr", "w_mom", "w_news"])
-def weights(spark, sf):
-    """ST7, ST9, ST10: soft weights of signals from regime probabilities; the first of equal regimes dominates."""
-    b = bars(spark, sf).withColumn("s", roll(F.col("r"), 20, F.stddev_samp)).filter("s > 0").withColumn("q", F.abs("r") / F.col("s"))
-    p0, q = 1.0 / (1 + F.col("q")), F.col("q")
+# Weights of the reversion, momentum and news signals in each regime.
+WEIGHTS = {"ranging": (0.70, 0.20, 0.10), "trending": (0.15, 0.75, 0.10), "crisis": (0.15, 0.10, 0.75)}
+#: Regime probabilities from a move in its own deviations; the annualised volatility is in 100 rows.
+PROBS = f"""v AS (SELECT series_id, dt, close, r, abs(r) AS a, {S.roll('r', 20, 'stddev_samp')} AS s FROM b), p AS (SELECT *, 1.0 / (1 + a / s) AS p0, a / s AS q FROM v WHERE s > 0),
+n AS (SELECT series_id, dt, s * sqrt(252::DOUBLE) AS vol, p0 / (p0 + q + q * q) AS ranging, q / (p0 + q + q * q) AS trending, q * q / (p0 + q + q * q) AS crisis FROM p)"""
+_DOMINANT = "CASE WHEN ranging >= trending AND ranging >= crisis THEN 'ranging' WHEN trending >= crisis THEN 'trending' ELSE 'crisis' END"
+_SOFT = {k: " + ".join(f"{WEIGHTS[g][i]!r} * {g}" for g in WEIGHTS) for i, k in enumerate(("mr", "mom", "news"))}
+_HARD = {k: f"CASE {_DOMINANT} " + " ".join(f"WHEN '{g}' THEN {WEIGHTS[g][i]!r}" for g in WEIGHTS) + " END" for i, k in enumerate(("mr", "mom", "news"))}
+
+
+def regime_probs(b):
+    """Adds ranging, trending and crisis (summing to one) and vol to rows whose deviation is known."""
+    b = b.withColumn("__s", roll(F.col("r"), 20, F.stddev_samp)).filter("__s > 0").withColumn("__q", F.abs("r") / F.col("__s"))
+    p0, q = 1.0 / (1 + F.col("__q")), F.col("__q")
     total = p0 + q + q * q
-    b = b.select("series_id", "dt", (p0 / total).alias("ranging"), (q / total).alias("trending"), (q * q / total).alias("crisis"))
+    return b.withColumns({"vol": F.col("__s") * math.sqrt(252), "ranging": p0 / total, "trending": q / total, "crisis": q * q / total}).drop("__s", "__q")
+
+
+def dominant():
+    """The regime of the largest probability, the first of equal ones."""
     a, t, c = F.col("ranging"), F.col("trending"), F.col("crisis")
-    top = F.when((a >= t) & (a >= c), "ranging").when(t >= c, "trending").otherwise("crisis")
-    return b.select("*", (0.70 * a + 0.15 * t + 0.15 * c).alias("w_mr"), (0.20 * a + 0.75 * t + 0.10 * c).alias("w_mom"), (0.10 * a + 0.10 * t + 0.75 * c).alias("w_news"), top.alias("dominant"), (c > 0.6).alias("is_crisis"))
+    return F.when((a >= t) & (a >= c), "ranging").when(t >= c, "trending").otherwise("crisis")
+
+
+def signal_weights(soft: bool = True, news: bool = True):
+    """Weights by signal: the expectation over regimes or the dominant one's; without news its weight goes to the others pro rata."""
+    raw = {}
+    for i, k in enumerate(("mr", "mom", "news")):
+        if soft:
+            raw[k] = sum((w[i] * F.col(g) for g, w in WEIGHTS.items()), F.lit(0.0))
+        else:
+            named = F.create_map(*(x for g, w in WEIGHTS.items() for x in (F.lit(g), F.lit(w[i]))))
+            raw[k] = named[dominant()]
+    if not news:
+        tech = raw["mr"] + raw["mom"]
+        raw = {"mr": raw["mr"] + raw["news"] * raw["mr"] / tech, "mom": raw["mom"] + raw["news"] * raw["mom"] / tech, "news": F.lit(0.0)}
+    total = raw["mr"] + raw["mom"] + raw["news"]
+    return {k: x / total for k, x in raw.items()}
+
+
+def is_crisis(prob: float = 0.6, vol: float = 0.25):
+    """A crisis by probability or by volatility; unknown is none."""
+    return F.coalesce(F.col("crisis") > prob, F.lit(False)) | F.coalesce(F.col("vol") > vol, F.lit(False))
+
+
+@query("st7_regime_weights", f"""{B}, {PROBS}, w AS (SELECT *, {', '.join(f'{x} AS s_{k}' for k, x in _SOFT.items())}, {', '.join(f'{x} AS h_{k}' for k, x in _HARD.items())} FROM n)
+SELECT series_id, dt, ranging, trending, crisis, {', '.join(f's_{k} / (s_mr + s_mom + s_news) AS w_{k}' for k in _SOFT)}, {', '.join(f'h_{k} / (h_mr + h_mom + h_news) AS hard_{k}' for k in _HARD)}, s_mr / (s_mr + s_mom) AS tech_mr, s_mom / (s_mr + s_mom) AS tech_mom,
+  {_DOMINANT} AS dominant, crisis > 0.6 OR vol > 0.25 AS is_crisis FROM w""", ["ranging", "trending", "crisis", *(f"w_{k}" for k in _SOFT), *(f"hard_{k}" for k in _HARD), "tech_mr", "tech_mom"])
+def weights(spark, sf):
+    """ST7, ST9, ST10: weights of signals from regime probabilities, soft, of the dominant regime, and without news."""
+    b = regime_probs(bars(spark, sf))
+    tech = signal_weights(news=False)
+    return b.select(
+        "series_id", "dt", "ranging", "trending", "crisis", *(x.alias(f"w_{k}") for k, x in signal_weights().items()), *(x.alias(f"hard_{k}") for k, x in signal_weights(soft=False).items()),
+        tech["mr"].alias("tech_mr"), tech["mom"].alias("tech_mom"), dominant().alias("dominant"), is_crisis().alias("is_crisis"),
+    )

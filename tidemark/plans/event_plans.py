@@ -13,7 +13,7 @@ from tidemark.sources import views
 
 TIER = " ".join(f"WHEN {k} THEN {v}" for k, v in events.TIERS.items())
 CAP = " ".join(f"WHEN '{k}' THEN {v[3]}" for k, v in events.CLASSES.items())
-NEWS = f"""WITH n AS (SELECT event_id, ts, event_type AS event_class, CASE user_id % 3 WHEN 0 THEN 'hawkish' WHEN 1 THEN 'dovish' ELSE 'neutral' END AS direction, (event_id % 5 + 1)::INT AS tier, least(value / 100, 1.0) AS confidence FROM events),
+NEWS = f"""WITH n AS (SELECT event_id, ts, event_type AS event_class, CASE user_id % 3 WHEN 0 THEN 'hawkish' WHEN 1 THEN 'dovish' ELSE 'neutral' END AS direction, (event_id % 5 + 1)::INT AS tier, least(value / 100, 1.0) AS confidence, event_id % 50 = 0 AS is_override FROM events),
 i AS (SELECT *, CASE tier {TIER} ELSE 0.25 END * confidence * CASE direction WHEN 'hawkish' THEN 1 WHEN 'dovish' THEN -1 ELSE 0 END AS raw, CASE event_class {CAP} ELSE 0.5 END AS cap FROM n),
 m AS (SELECT *, floor(greatest(-cap, least(cap, raw)) * 1e4 + 0.5) / 1e4 AS impulse FROM i)"""
 
@@ -26,12 +26,12 @@ def impulse(spark, sf):
 _P = ", ".join(f"('{k}', {math.log(2) / v[0]!r}::DOUBLE, {math.log(2) / v[1]!r}::DOUBLE, {v[2]}::DOUBLE)" for k, v in events.CLASSES.items())
 
 
-@query("os2_os3_decayed_score", f"""{NEWS}, p(class, lf, ls, wf) AS (VALUES {_P}), e AS (SELECT ts, impulse, lf, ls, wf FROM m JOIN p ON class = CASE WHEN event_class IN ({', '.join(repr(k) for k in events.CLASSES)}) THEN event_class ELSE 'noise' END WHERE impulse <> 0),
+@query("os2_os3_decayed_score", f"""{NEWS}, p(class, lf, ls, wf) AS (VALUES {_P}), e AS (SELECT ts, impulse, is_override, lf, ls, wf FROM m JOIN p ON class = CASE WHEN event_class IN ({', '.join(repr(k) for k in events.CLASSES)}) THEN event_class ELSE 'noise' END WHERE impulse <> 0),
 d AS (SELECT unnest(generate_series(min(ts)::DATE, max(ts)::DATE + 10, INTERVAL 1 DAY))::DATE AS dt FROM events),
-s AS (SELECT dt, coalesce(sum(impulse * (wf * exp(-lf * x) + (1 - wf) * exp(-ls * x))), 0) AS score FROM (SELECT dt, e.*, epoch_us(dt::TIMESTAMP) / 86400e6 - epoch_us(ts) / 86400e6 AS x FROM d LEFT JOIN e ON ts < dt) GROUP BY dt)
-SELECT dt, score, abs(score) > 2.0 AS is_crisis FROM s""", ["score"])
+s AS (SELECT dt, coalesce(sum(impulse * (wf * exp(-lf * x) + (1 - wf) * exp(-ls * x))), 0) AS score, coalesce(bool_or(is_override AND exp(-ls * x) > 0.2), false) AS forced FROM (SELECT dt, e.*, epoch_us(dt::TIMESTAMP) / 86400e6 - epoch_us(ts) / 86400e6 AS x FROM d LEFT JOIN e ON ts < dt) GROUP BY dt)
+SELECT dt, score, abs(score) > 2.0 OR forced AS is_crisis FROM s""", ["score"])
 def decayed(spark, sf):
-    """OS2, OS3, JN11: the theta join of events and later days, as a fold by class."""
+    """OS2, OS3, JN11: the theta join of events and later days, as recurrences by class; overrides force a crisis."""
     n = views.news(spark, sf)
     days = n.agg(F.to_date(F.min("ts")).alias("a"), F.date_add(F.to_date(F.max("ts")), 10).alias("z")).select(F.explode(F.sequence("a", "z")).alias("dt"))
     return events.decayed_score(days, n)
@@ -60,17 +60,6 @@ def shouty(spark, sf):
     return views.table(spark, sf, "documents").select("doc_id", F.length(letters).cast("long").alias("letters"), text.shouty(F.col("text")).alias("shouty"))
 
 
-_B = " ".join(f"WHEN {' OR '.join(f'contains(lower(s), {w!r})' for w in words)} THEN '{b}'" for b, words in text.BUCKETS.items())
-
-
-@query("tx3_tx4_sentence_buckets", f"""WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS l FROM conversations), s AS (SELECT conv_id, turn, trim(unnest(CASE WHEN contains(l, '|') THEN [l] ELSE string_split(regexp_replace(l, '([.!?]) +', '\\1' || chr(1), 'g'), chr(1)) END)) AS s FROM l)
-SELECT conv_id, CASE {_B} ELSE 'thesis' END AS bucket, count(*) AS n, count(DISTINCT s) AS n_distinct FROM s WHERE s <> '' GROUP BY ALL""", (), ())
-def buckets(spark, sf):
-    """TX3, TX4: sentences of the log by keyword bucket, with how many are distinct."""
-    s = text.sentences(views.table(spark, sf, "conversations"), "text").withColumn("bucket", text.bucket(F.col("sentence")))
-    return s.groupBy("conv_id", "bucket").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sentence").alias("n_distinct"))
-
-
 @query("tx7_filing_log", "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY turn) = count(*) OVER (PARTITION BY conv_id) AS is_last FROM conversations WHERE trim(text) <> ''", (), ())
 def filing(spark, sf):
     """TX7: gapless sequence numbers per log, empty submissions rejected."""

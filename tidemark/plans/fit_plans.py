@@ -61,9 +61,15 @@ def fitted_path(spark, sf):
     return rows.select("series_id", "dt", "y", F.expr(_FITTED).alias("fitted"), (F.col("y") - F.expr(_FITTED)).alias("residual"))
 
 
-@query("st13_st14_rolling_regimes")
+@query("st13_switching_model")
+def switching_model(spark, sf):
+    """ST13: smoothed and filtered probabilities of three states with their own level, lag and deviation; no SQL can express the fit."""
+    return regimes.switching_probs(bars(spark, sf).select("series_id", "dt", "r"), "r")
+
+
+@query("st14_rolling_regimes")
 def rolling_regimes(spark, sf):
-    """ST13, ST14: a switching model refitted as the weeks go on; no SQL can express the fit."""
+    """ST14: the model refitted as the weeks go on, each fit carried over the weeks to the next."""
     b = bars(spark, sf).filter("r is not null").withColumn("rn", F.row_number().over(W.partitionBy("series_id").orderBy("dt")))
     return regimes.rolling_regimes(b.select("series_id", "dt", "rn", "r"), "r", 208, 26)
 

@@ -58,6 +58,6 @@ def scorecard(spark, sf):
     from tidemark.plans.boards import technical
 
     carry = last(bars(spark, sf).withColumn("spread", F.col("iv") - realised_vol(F.col("r"), 21)), ["iv", "spread"])
-    held = technical(spark, sf).select("series_id", F.col("close").alias("spot"), "z_63", "roc_21")
+    held = technical(spark, sf).select("series_id", F.col("close").alias("spot"), F.col("zscore_3m").alias("z_63"), F.col("roc_1m").alias("roc_21"))
     placed = last(scores(spark, sf), ["score"]).drop("dt")
     return carry.join(held, "series_id", "left").join(placed, "series_id", "left").select("series_id", "dt", "spot", "z_63", "roc_21", "iv", "spread", "score")

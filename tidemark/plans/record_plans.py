@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators import align
 from tidemark.plans.registry import query
 from tidemark.sources import readers, views
 from tidemark.sources.views import table
@@ -135,24 +136,25 @@ def holdings(spark, sf):
     return p.select("k", "y", "v", (v - F.lag(v).over(w)).alias("chg"), ((v / F.lag(v).over(w) - 1) * 100).alias("pct"), (F.floor(v / F.col("total") * 1000 + 0.5) / 10).alias("share"), F.row_number().over(W.partitionBy("y").orderBy(F.desc("v"), "k")).alias("place"))
 
 
-@query("bd3_macro_board", f"""WITH {_YEARS}, l AS (SELECT *, x - lag(x) OVER (PARTITION BY k ORDER BY y) AS mom FROM p), f AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY k ORDER BY y DESC) = 1)
-SELECT a.k AS base, b.k AS quote, a.x AS x_base, b.x AS x_quote, a.x - b.x AS diff, a.mom - b.mom AS mom_diff, CASE WHEN a.x - b.x > 0 THEN 'base' WHEN a.x - b.x < 0 THEN 'quote' ELSE 'even' END AS favours FROM f a JOIN f b ON b.k = a.k + 1""", ["x_base", "x_quote", "diff", "mom_diff"], ())
-def macro_board(spark, sf):
-    """BD3: levels, differences and differences of last changes, from one dimension in two roles."""
-    w = W.partitionBy("k").orderBy("y")
-    l = years(spark, sf).withColumn("mom", F.col("x") - F.lag("x").over(w)).withColumn("r", F.row_number().over(W.partitionBy("k").orderBy(F.desc("y")))).filter("r = 1")  # noqa: E741
-    a, b = l.select(F.col("k").alias("base"), F.col("x").alias("x_base"), F.col("mom").alias("m1")), l.select(F.col("k").alias("quote"), F.col("x").alias("x_quote"), F.col("mom").alias("m2"))
-    d = F.col("x_base") - F.col("x_quote")
-    return a.join(b, F.col("quote") == F.col("base") + 1).select("base", "quote", "x_base", "x_quote", d.alias("diff"), (F.col("m1") - F.col("m2")).alias("mom_diff"), F.when(d > 0, "base").when(d < 0, "quote").otherwise("even").alias("favours"))
+_GDP_PEAK = 2.87
+_READING = lambda x: f"CASE WHEN {x} IS NULL THEN 'N/A' WHEN {x} > {_GDP_PEAK * 1.25!r} THEN 'Elevated' WHEN {x} > {_GDP_PEAK!r} THEN 'Rising' ELSE 'Normal' END"
 
 
-@query("bd9_margin_board", """WITH m AS (SELECT date_trunc('month', o_orderdate)::DATE AS dt, sum(o_totalprice) AS debit FROM orders GROUP BY 1), q AS (SELECT date_trunc('quarter', l_shipdate)::DATE AS dt, sum(l_extendedprice) AS gdp FROM lineitem GROUP BY 1),
-j AS (SELECT m.dt, debit, gdp FROM m ASOF LEFT JOIN q ON m.dt >= q.dt) SELECT dt, debit, gdp, debit / nullif(gdp, 0) * 100 AS ratio, debit / max(debit) OVER (ORDER BY dt) AS of_peak, row_number() OVER (ORDER BY dt DESC) = 1 AS is_latest FROM j""", ["debit", "gdp", "ratio", "of_peak"])
+@query("bd9_margin_board", f"""WITH m AS (SELECT date_trunc('month', o_orderdate)::DATE AS dt, sum(o_totalprice) AS debit, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END) + sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice ELSE 0 END) AS credit FROM orders GROUP BY 1),
+q AS (SELECT date_trunc('quarter', l_shipdate)::DATE AS dt, sum(l_extendedprice) * 20 AS gdp, sum(l_extendedprice * (1 - l_discount)) * 15 AS cap FROM lineitem GROUP BY 1),
+j AS (SELECT m.dt, debit, credit, gdp, cap FROM m ASOF LEFT JOIN q ON m.dt >= q.dt), r AS (SELECT *, debit / nullif(gdp, 0) * 100 AS of_gdp, debit / nullif(cap, 0) * 100 AS of_cap, debit / nullif(credit, 0) AS net_leverage FROM j)
+SELECT dt, debit, gdp, cap, of_gdp, of_cap, net_leverage, debit / max(debit) OVER (ORDER BY dt) AS of_peak, {_READING('of_gdp')} AS reading, coalesce(dt = (SELECT max(dt) FROM r WHERE of_gdp IS NOT NULL), false) AS is_latest FROM r""", ["debit", "gdp", "cap", "of_gdp", "of_cap", "net_leverage", "of_peak"])
 def margin_board(spark, sf):
-    """BD9: monthly debit against the last known quarter; one row a month, so its windows see months only."""
-    m = table(spark, sf, "orders").groupBy(F.to_date(F.date_trunc("month", "o_orderdate")).alias("dt")).agg(F.sum("o_totalprice").alias("debit"))
-    q = table(spark, sf, "lineitem").groupBy(F.to_date(F.date_trunc("quarter", "l_shipdate")).alias("dt")).agg(F.sum("l_extendedprice").alias("gdp"))
-    w = W.orderBy("dt")
-    every = m.join(q, "dt", "full").withColumn("gdp", F.last("gdp", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).filter("debit is not null")
-    debit = F.col("debit")
-    return every.select("dt", "debit", "gdp", (debit / F.nullif(F.col("gdp"), F.lit(0.0)) * 100).alias("ratio"), (debit / F.max(debit).over(w)).alias("of_peak"), F.lead("dt").over(w).isNull().alias("is_latest"))
+    """BD9, PR5: monthly debits against the quarter last known, as shares of product and market value, and over free credit; one row a month, so its windows see months only."""
+    price = F.col("o_totalprice")
+    of = lambda flag: F.sum(F.when(F.col("o_orderstatus") == flag, price).otherwise(0.0))
+    m = table(spark, sf, "orders").groupBy(F.to_date(F.date_trunc("month", "o_orderdate")).alias("dt")).agg(F.sum(price).alias("debit"), (of("F") + of("P")).alias("credit"))
+    sold = F.col("l_extendedprice")
+    q = table(spark, sf, "lineitem").groupBy(F.to_date(F.date_trunc("quarter", "l_shipdate")).alias("dt")).agg(F.struct((F.sum(sold) * 20).alias("gdp"), (F.sum(sold * (1 - F.col("l_discount"))) * 15).alias("cap")).alias("known"))
+    j = align.asof(m.withColumn("one", F.lit(1)), q.withColumn("one", F.lit(1)), ["one"], "dt", "known").select("dt", "debit", "credit", "known.*")
+    ratio = lambda x: F.col("debit") / F.nullif(F.col(x), F.lit(0.0))
+    r = j.withColumns({"of_gdp": ratio("gdp") * 100, "of_cap": ratio("cap") * 100, "net_leverage": ratio("credit")})
+    g, w = F.col("of_gdp"), W.orderBy("dt")
+    reading = F.when(g.isNull(), "N/A").when(g > _GDP_PEAK * 1.25, "Elevated").when(g > _GDP_PEAK, "Rising").otherwise("Normal")
+    latest = F.max(F.when(g.isNotNull(), F.col("dt"))).over(W.partitionBy())
+    return r.select("dt", "debit", "gdp", "cap", "of_gdp", "of_cap", "net_leverage", (F.col("debit") / F.max("debit").over(w)).alias("of_peak"), reading.alias("reading"), F.coalesce(F.col("dt") == latest, F.lit(False)).alias("is_latest"))

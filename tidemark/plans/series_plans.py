@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import align, indicators, rolling, state
-from tidemark.operators.ewm import ewm, halflife, span
+from tidemark.operators.ewm import Mean, ewm, ewms, halflife, span
 from tidemark.operators.rolling import lag, roll, series
 from tidemark.plans import sqltext as S
 from tidemark.plans.registry import query
@@ -113,8 +113,8 @@ def ewma_vol(spark, sf):
 
 @query("wn13_ewm_means", f"{B}, a AS {S.ewm('b', 'r', 'trend', halflife(10), True, 10)}, s AS {S.ewm('b', 'close', 'ema', span(12), False)} SELECT a.series_id, a.dt, trend, ema FROM a JOIN s USING (series_id, dt)", ["trend", "ema"])
 def ewm_means(spark, sf):
-    b = ewm(bars(spark, sf), F.col("r"), "trend", halflife(10), True, 10)
-    return ewm(b, F.col("close"), "ema", span(12), adjust=False).select("series_id", "dt", "trend", "ema")
+    means = {"trend": Mean(F.col("r"), halflife(10), True, 10), "ema": Mean(F.col("close"), span(12), False)}
+    return ewms(bars(spark, sf), means).select("series_id", "dt", "trend", "ema")
 
 
 def _rsi_sql(adjust: bool) -> str:
@@ -126,7 +126,7 @@ g AS {S.ewm('d', 'u', 'g', 1 / 14, adjust)}, s AS {S.ewm('d', 'l', 's', 1 / 14,
 SELECT g.series_id, g.dt, 100 - 100 / (1 + g / nullif(s, 0)) AS rsi_ewm, 100 - 100 / (1 + g2 / nullif(s2, 0)) AS rsi_wilder, CASE WHEN c > 0 THEN 100 - 100 / (1 + a / c) WHEN a > 0 THEN 100 END AS rsi_simple
 FROM g JOIN s USING (series_id, dt) JOIN q USING (series_id, dt) JOIN g2 USING (series_id, dt) JOIN s2 USING (series_id, dt)""", ["rsi_ewm", "rsi_wilder", "rsi_simple"])
 def rsi(spark, sf):
-    b = indicators.rsi(indicators.rsi(bars(spark, sf), out="rsi_ewm"), adjust=False, out="rsi_wilder").withColumn("d", F.col("close") - lag(F.col("close")))
+    b = indicators.rsis(bars(spark, sf), {"rsi_ewm": True, "rsi_wilder": False}).withColumn("d", F.col("close") - lag(F.col("close")))
     return b.select("series_id", "dt", "rsi_ewm", "rsi_wilder", indicators.rsi_simple().alias("rsi_simple"))
 
 
@@ -247,9 +247,12 @@ def spine(spark, sf):
     return rows.select("series_id", "dt", "close", rolling.fill(F.col("close")).alias("carried"), rolling.fill(F.col("close"), 2).alias("carried_2"))
 
 
-@query("jn12_walk_forward_folds", f"{B}, n AS (SELECT series_id, max(rn) AS n FROM b GROUP BY ALL), f AS (SELECT series_id, unnest(range(0, 40)) AS fold, n FROM n) SELECT f.series_id, fold, sum(((rn - 1) < fold * 26 + 104)::INT)::BIGINT AS n_train, sum(((rn - 1) >= fold * 26 + 104)::INT)::BIGINT AS n_test, avg(CASE WHEN (rn - 1) < fold * 26 + 104 THEN close END) AS train_mean FROM f JOIN b ON b.series_id = f.series_id AND rn - 1 >= fold * 26 AND rn - 1 < fold * 26 + 130 WHERE fold * 26 + 104 < n GROUP BY ALL", ["train_mean"], ())
+FOLDS = f"""f AS (SELECT series_id, n, fold, 52 + fold * 26 AS pos FROM (SELECT series_id, max(rn) AS n FROM b GROUP BY ALL), LATERAL (SELECT unnest(range(0, greatest(0, (n - 26 - 52) // 26 + 1))) AS fold))"""
+
+
+@query("jn12_walk_forward_folds", f"{B}, {FOLDS} SELECT f.series_id, fold, sum((rn - 1 < pos)::INT)::BIGINT AS n_train, sum((rn - 1 >= pos)::INT)::BIGINT AS n_test, avg(CASE WHEN rn - 1 < pos THEN close END) AS train_mean FROM f JOIN b ON b.series_id = f.series_id AND rn - 1 >= pos - 104 AND rn - 1 < pos + 26 GROUP BY ALL", ["train_mean"], ())
 def folds(spark, sf):
-    """JN12: train 104, test 26, step 26 rows; statistics of each fold."""
+    """JN12: train 104 (52 at least), test 26, step 26 rows; statistics of each fold."""
     f = align.folds(bars(spark, sf).drop("rn"), 104, 26, 26, 52)
     train = F.col("part") == "train"
     return f.groupBy("series_id", "fold").agg(F.count(F.when(train, 1)).alias("n_train"), F.count(F.when(~train, 1)).alias("n_test"), F.avg(F.when(train, F.col("close"))).alias("train_mean"))

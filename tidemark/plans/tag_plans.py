@@ -9,27 +9,32 @@ from tidemark.operators import tags
 from tidemark.plans.registry import query
 from tidemark.sources.views import table
 
-# Texts and their tags, the primary one first.
-CASES = (
-    ("the bulls won the session", ""), ("TRY TO KEEP POWDER DRY", ""), ("EUR/USD", "EUR,USD"), ("USDJPY heavy, dollar offered", "USD,JPY"), ("{BZ} Brazil", "BRL"), ("{GB} GDP data due", "GBP"), ("{JN} JPY article", "JPY"),
-    ("Cable is bid this morning", "GBP"), ("The BoJ kept rates unchanged", "JPY"), ("real money was a buyer", ""), ("MXN peso weakened", "MXN"), ("MPC decision awaited", ""), ("BI held rates steady", "IDR"),
-    ("bi-weekly CPI due Thursday", ""), ("bi held rates steady", ""), ("£ higher against the dollar", "USD,GBP"), ("USDCNH held in a tight range", "USD,CNY"), ("EURCHF broke higher", "EUR,CHF"),
-    ("Sterling extends gains, gilts rally", "GBP"), ("USD index steady", "USD"), ("just USD alone with no other evidence word", "USD"), ("COP started slightly weaker amid outflows", "COP"),
-    ("PESO CRASHES AS COP HITS RECORD LOW", ""), ("PBOC injected liquidity, yuan steady", "CNY"), ("KOSPI rallied on Samsung earnings", "KRW"), ("{SA} ZAR view", "ZAR"), ("{CH} CNH update", "CHF,CNY"), ("no currency content here at all", ""),
-)
-_TEXTS = ", ".join(f"({i}, '{t}', '{w}')" for i, (t, w) in enumerate(CASES))
-_EVENTS = f"c(k, text, tags) AS (VALUES {_TEXTS}), h AS (SELECT event_id, ts, user_id, text, tags FROM events JOIN c ON k = event_id % {len(CASES)})"
+#: Codes, and country codes and names of currencies with what they stand for, that headlines are made of.
+_CODES = [c for c in tags.CODES if c != "CNH"]
+_COUNTRIES = ["GB", "JN", "EC", "SZ", "BZ", "CH", "KO"]
+_NAMES = {"Cable": "GBP", "yen": "JPY", "loonie": "CAD", "kiwi": "NZD", "aussie": "AUD", "rupee": "INR", "baht": "THB"}
+_list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+_EVENTS = f"""c AS (SELECT event_id, ts, user_id, event_type, event_id % 6 AS form, {_list(_CODES)} AS codes, user_id % 7 + 1 AS pick FROM events),
+k AS (SELECT *, codes[1 + user_id % {len(_CODES)}] AS a, codes[1 + (user_id + 7) % {len(_CODES)}] AS z, {_list(_COUNTRIES)}[pick] AS country, {_list(tags.COUNTRIES[c] for c in _COUNTRIES)}[pick] AS of_country, {_list(_NAMES)}[pick] AS word, {_list(_NAMES.values())}[pick] AS of_word FROM c),
+h AS (SELECT event_id, ts, user_id, CASE form WHEN 0 THEN a || '/' || z || ' ' || event_type || ' steady' WHEN 1 THEN a || z || ' holds after a ' || event_type WHEN 2 THEN 'the ' || a || ' on a ' || event_type WHEN 3 THEN '{{' || country || '}} notes on a ' || event_type
+  WHEN 4 THEN word || ' bid after the ' || event_type ELSE 'nothing but a ' || event_type END AS text, CASE form WHEN 0 THEN a || ',' || z WHEN 1 THEN a || ',' || z WHEN 2 THEN a WHEN 3 THEN of_country WHEN 4 THEN of_word ELSE '' END AS tags FROM k)"""
 
 
 def headlines(spark, sf):
-    """event_id, ts, user_id, text: a golden text for each event."""
-    texts = F.array(*(F.lit(t) for t, _ in CASES))
-    return table(spark, sf, "events").select("event_id", "ts", "user_id", F.get(texts, (F.col("event_id") % len(CASES)).cast("int")).alias("text"))
+    """event_id, ts, user_id, text: a headline in one of six forms about the currencies that the event's user trades."""
+    pick = lambda xs, at: F.get(F.array(*map(F.lit, xs)), at.cast("int"))
+    user, form, what = F.col("user_id"), F.col("event_id") % 6, F.col("event_type")
+    a, z = pick(_CODES, user % len(_CODES)), pick(_CODES, (user + 7) % len(_CODES))
+    text = (
+        F.when(form == 0, F.concat(a, F.lit("/"), z, F.lit(" "), what, F.lit(" steady"))).when(form == 1, F.concat(a, z, F.lit(" holds after a "), what)).when(form == 2, F.concat(F.lit("the "), a, F.lit(" on a "), what))
+        .when(form == 3, F.concat(F.lit("{"), pick(_COUNTRIES, user % 7), F.lit("} notes on a "), what)).when(form == 4, F.concat(pick(list(_NAMES), user % 7), F.lit(" bid after the "), what)).otherwise(F.concat(F.lit("nothing but a "), what))
+    )
+    return table(spark, sf, "events").select("event_id", "ts", "user_id", text.alias("text"))
 
 
 @query("tx1_currency_tags", f"WITH {_EVENTS} SELECT event_id, text, tags, nullif(split_part(tags, ',', 1), '') AS first_tag FROM h", (), ())
 def currency_tags(spark, sf):
-    """TX1: the ordered currency tags of each headline."""
+    """TX1: the ordered currency tags of each headline; the golden cases are in the tests."""
     found = headlines(spark, sf).withColumn("found", tags.currencies(F.col("text")))
     return found.select("event_id", "text", F.array_join("found", ",").alias("tags"), F.get("found", F.lit(0)).alias("first_tag"))
 

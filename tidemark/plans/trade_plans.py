@@ -124,30 +124,6 @@ def propagated(spark, sf):
     return p.select("series_id", F.explode(F.sequence(F.lit(1), F.lit(21))).alias("step"), "up", "turn").select("series_id", "step", after(F.col("step")).alias("p_up"))
 
 
-_BANDS = {"1W": 5, "1M": 21, "3M": 63}
-
-
-@query("bd7_iv_rv_board", f"""{B}, t AS (SELECT series_id, dt, iv, {', '.join(f"({S.roll('r', n, 'stddev_samp')}) * sqrt(252::DOUBLE) * 100 AS rv_{n}" for n in _BANDS.values())} FROM b),
-l AS ({' UNION ALL '.join(f"SELECT series_id, dt, '{k}' AS tenor, iv - rv_{n} AS spread FROM t" for k, n in _BANDS.items())}),
-f AS (SELECT *, row_number() OVER (PARTITION BY series_id, tenor ORDER BY dt) AS i, row_number() OVER (PARTITION BY series_id, tenor ORDER BY dt DESC) AS back FROM l WHERE spread IS NOT NULL),
-k AS (SELECT c.series_id, c.tenor, c.dt, c.spread, count(*) AS n, 100.0 * sum((p.spread < c.spread)::INT) / 51 AS rank_1y FROM f c JOIN f p ON p.series_id = c.series_id AND p.tenor = c.tenor AND p.i BETWEEN c.i - 51 AND c.i WHERE c.back = 1 GROUP BY ALL)
-SELECT series_id, tenor, dt, spread, CASE WHEN n = 52 THEN rank_1y END AS rank_1y, CASE WHEN n = 52 AND rank_1y >= 75 THEN 'RICH' WHEN n = 52 AND rank_1y <= 25 THEN 'CHEAP' ELSE 'NEUTRAL' END AS signal FROM k""", ["spread", "rank_1y"])
-def iv_rv(spark, sf):
-    """BD7: implied less realised volatility by tenor, its rank in 52 rows, rich or cheap."""
-    b = bars(spark, sf)
-    t = b.select("series_id", "dt", *((F.col("iv") - rolling.realised_vol(F.col("r"), n)).alias(k) for k, n in _BANDS.items()))
-    f = t.unpivot(["series_id", "dt"], list(_BANDS), "tenor", "spread").filter("spread is not null")
-    w = W.partitionBy("series_id", "tenor")
-    year = w.orderBy("dt").rowsBetween(-51, 0)
-    x = F.col("spread")
-    seen = F.collect_list("spread").over(year)
-    f = f.withColumn("seen", seen).withColumn("back", F.row_number().over(w.orderBy(F.desc("dt")))).filter("back = 1")
-    below = F.size(F.filter("seen", lambda y: y < x)) * 100.0 / 51
-    f = f.withColumn("rank_1y", F.when(F.size("seen") == 52, below))
-    rank = F.col("rank_1y")
-    return f.select("series_id", "tenor", "dt", "spread", "rank_1y", F.when(rank >= 75, "RICH").when(rank <= 25, "CHEAP").otherwise("NEUTRAL").alias("signal"))
-
-
 @query("bd6_squeeze_series", f"""{B}, v AS (SELECT series_id, dt, iv - ({S.roll('r', 20, 'stddev_samp')}) * sqrt(252::DOUBLE) * 100 AS spread, iv FROM b)
 SELECT series_id, dt, spread, iv - lag(iv) {S.W} AS iv_chg, coalesce(spread < 0 AND iv - lag(iv) {S.W} > 0, false) AS squeeze FROM v""", ["spread", "iv_chg"])
 def squeeze_series(spark, sf):

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.events import impulse
+
 
 def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
@@ -35,6 +37,17 @@ def csv(spark: SparkSession, path: str, required: Mapping[str, str], optional: M
     return raw.select(*(F.expr(f"try_cast(`{c}` AS {kind})").alias(c) for c, kind in kinds.items()))
 
 
+def event_log(spark: SparkSession, path: str) -> DataFrame:
+    """A log of events in CSV: ts, headline, event_class, direction, tier, confidence, is_override, and the impulse that follows from them.
+
+    Quoted headlines may hold commas and line breaks; an event without a time, or of a class without a name, is left out.
+    """
+    kinds = {"ts": "timestamp", "headline": "string", "event_class": "string", "direction": "string", "tier": "int", "confidence": "double", "is_override": "boolean"}
+    raw = require(spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"'), list(kinds))
+    typed = raw.select(*(F.expr(f"try_cast(`{c}` AS {kind})").alias(c) for c, kind in kinds.items()))
+    return typed.filter("ts is not null and event_class is not null").withColumn("impulse", impulse())
+
+
 def json_documents(spark: SparkSession, path: str, schema: T.StructType | str, rows: str) -> DataFrame:
     """Documents of one object per file, with the array column `rows` as rows of their own."""
     raw = spark.read.schema(schema).json(path, multiLine=True)

@@ -16,10 +16,16 @@ def csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
-def json_snapshot(df: DataFrame, path: str, metadata: Mapping[str, str]) -> None:
-    """One JSON record per row, each with the snapshot's metadata, so that no task holds all rows."""
+def json_snapshot(df: DataFrame, path: str, metadata: Mapping[str, str], legend: Mapping[str, str] | None = None) -> None:
+    """Two folders: records, a JSON object for each row, and header, one object with the metadata, the legend and the number of records.
+
+    So no task holds all rows, and what holds for all of them is written once.
+    """
+    df.write.mode("overwrite").json(f"{path}/records")
+    n = df.sparkSession.read.schema(df.schema).json(f"{path}/records").agg(F.count(F.lit(1)).alias("records"))
     stamp = F.struct(*(F.lit(v).alias(k) for k, v in metadata.items()))
-    df.select(stamp.alias("metadata"), F.struct(*df.columns).alias("record")).write.mode("overwrite").json(path)
+    notes = F.map_from_arrays(F.array(*map(F.lit, legend)), F.array(*map(F.lit, legend.values()))) if legend else F.lit(None).cast("map<string,string>")
+    n.select(stamp.alias("metadata"), notes.alias("legend"), "records").coalesce(1).write.mode("overwrite").json(f"{path}/header")
 
 
 def day_lines(df: DataFrame, day: str, group: str, seq: str, text: str) -> DataFrame:

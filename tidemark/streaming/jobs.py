@@ -14,9 +14,14 @@ from tidemark.operators.events import CLASSES
 from tidemark.operators.tags import currencies
 
 
+def timed(rows: DataFrame, ts: str = "ts") -> DataFrame:
+    """Watermarks need instants: local times count as those of the session's zone."""
+    return rows.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def ohlc_bars(ticks: DataFrame, width: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Bars of ticks (series_id, ts, price, event_id); a stream gets a watermark and emits bars once they are closed."""
-    rows = ticks.withWatermark("ts", late) if ticks.isStreaming else ticks
+    rows = timed(ticks).withWatermark("ts", late) if ticks.isStreaming else ticks
     at = F.struct("ts", "event_id")
     bars = rows.groupBy("series_id", F.window("ts", width)).agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.count(F.lit(1)).alias("n")
@@ -26,7 +31,7 @@ def ohlc_bars(ticks: DataFrame, width: str = "30 minutes", late: str = "1 hour")
 
 def once_per_key(events: DataFrame, key: str, ts: str = "ts", within: str = "6 hours") -> DataFrame:
     """The first event of each key within a watermark; unlike the batch dedupe, the clock is event time."""
-    return events.withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
+    return timed(events, ts).withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
 
 
 def positions(rows: DataFrame, entry: float, leave: float, sign: int = -1) -> DataFrame:
