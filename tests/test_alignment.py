@@ -116,3 +116,14 @@ def test_keyed_carry_has_all_dates_of_the_keys(spark):
     rows = spark.createDataFrame([("a", day(0), 1.0), ("b", day(2), 2.0), ("a", day(3), None), ("c", day(4), 5.0)], "key string, dt date, value double")
     got = [tuple(r) for r in align.keyed_carry(rows, ["a", "b", "z"]).orderBy("dt").collect()]
     assert got == [(day(0), 1.0, None, None), (day(2), 1.0, 2.0, None), (day(3), 1.0, 2.0, None)]
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1024])
+def test_expanding_ranks_equal_pandas(spark, block):
+    rng = np.random.default_rng(7)
+    series = {"a": pd.Series(rng.integers(0, 12, 150).astype(float)), "b": pd.Series(np.ones(60)), "c": pd.Series(rng.standard_normal(40)).where(rng.random(40) > 0.3), "d": pd.Series([np.nan])}
+    rows = [(k, t, None if x != x else float(x)) for k, s in series.items() for t, x in enumerate(s)]
+    got = rolling.expanding_rank(spark.createDataFrame(rows, "series_id string, dt int, x double"), "x", "p", block).toPandas()
+    for k, s in series.items():
+        mine = got[got.series_id == k].sort_values("dt")["p"].astype(float).to_numpy()
+        assert np.allclose(mine, s.expanding().rank(pct=True), equal_nan=True)

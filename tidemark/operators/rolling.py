@@ -97,3 +97,35 @@ def zscore_by_length(df: DataFrame, x: str, length: str, out: str = "z") -> Data
     deviation = F.sqrt(F.greatest((q - n * mean * mean) / F.nullif(n - 1, F.lit(0)), zero))
     z = F.when(n >= F.floor(F.col(length) / 2), (F.col("__d") - mean) / F.nullif(deviation, zero))
     return j.withColumn(out, z).drop("__i", "__d", "__c", "__s", "__q", "__k0", "__i0", "__c0", "__s0", "__q0")
+
+
+def expanding_rank(df: DataFrame, x: str, out: str, block: int = 1024) -> DataFrame:
+    """Adds the average rank of a value among all values of its series so far, as a share; null where there is no value.
+
+    A value is ranked by how many before it in time are smaller, and as many equal.  Rows have a place in time and one by
+    value; both orders are cut into blocks.  Those of earlier blocks in both orders come from running sums over the grid
+    of blocks; those of the own block in either order from a list of one block.  So a row needs two blocks, not its past.
+    """
+    has = F.col(x).isNotNull()
+    rows = df.filter(has).withColumn("__t", F.row_number().over(series()) - 1).withColumn("__v", F.row_number().over(W.partitionBy(KEY).orderBy(x, TIME)) - 1)
+    # Equal values share the place of the first of them.
+    rows = rows.withColumn("__e", F.min("__v").over(W.partitionBy(KEY, x)))
+    rows = rows.withColumns({"__a": F.floor(F.col("__t") / block), "__b": F.floor(F.col("__e") / block)})
+    grid = rows.groupBy(KEY, "__a", F.floor(F.col("__e") / block).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
+    # Of each block in time: how many of the blocks before it lie in each block by value, summed from the smallest on.
+    spine = grid.select(KEY, "__a").distinct().join(grid.select(KEY, "__g").distinct(), KEY).join(grid, [KEY, "__a", "__g"], "left")
+    earlier = F.coalesce(F.sum("__n").over(W.partitionBy(KEY, "__g").orderBy("__a").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    below = F.coalesce(F.sum("__m").over(W.partitionBy(KEY, "__a").orderBy("__g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = spine.withColumn("__m", earlier).withColumn("__k", below).select(KEY, "__a", F.col("__g").alias("__b"), "__k")
+    first, mine = F.col("__a") * block, F.col("__e")
+    # A list is counted before the next one is made, so that no sort carries lists.
+    in_time = F.collect_list(mine).over(W.partitionBy(KEY, "__a").orderBy("__t").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("__s", F.size(F.filter(in_time, lambda e: e < mine)))
+    # Many equal values may share a block, but no larger one is in it, so those beyond its places count for none.
+    placed = F.when(F.floor(F.col("__v") / block) == F.col("__b"), F.struct(F.col("__t").alias("t"), mine.alias("e")))
+    by_value = F.collect_list(placed).over(W.partitionBy(KEY, "__b"))
+    rows = rows.withColumn("__s", F.col("__s") + F.size(F.filter(by_value, lambda r: (r["t"] < first) & (r["e"] < mine))))
+    ranked = rows.withColumn("__w", F.row_number().over(W.partitionBy(KEY, x).orderBy(TIME)) - 1).join(sums, [KEY, "__a", "__b"])
+    share = (F.col("__s") + F.col("__k") + (F.col("__w") + 2) / 2) / (F.col("__t") + 1)
+    names = df.drop(out).columns
+    return ranked.select(*names, share.alias(out)).unionByName(df.filter(~has).select(*names, F.lit(None).cast("double").alias(out)))

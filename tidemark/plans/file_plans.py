@@ -110,3 +110,30 @@ def streamed_totals(spark, sf):
     """SM4: the decayed total of each class after each event, from two sums and a time."""
     n = views.news(spark, sf).select("event_class", "ts", events.impulse().alias("imp"))
     return streamed(spark, n, jobs.decayed_totals).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@query("src6_json_documents", "SELECT conv_id % 50 AS day, turn, conv_id, length(text)::INT AS n FROM conversations", (), ())
+def json_documents(spark, sf):
+    """SRC6: documents of a day with an array of entries, as rows."""
+    c = table(spark, sf, "conversations").select((F.col("conv_id") % 50).alias("day"), "conv_id", "turn", F.length("text").alias("n"))
+    days = c.groupBy("day").agg(F.collect_list(F.struct("conv_id", "turn", "n")).alias("entries"))
+    days.write.json(path := folder(spark))
+    return readers.json_documents(spark, path, days.schema, "entries", one_each=False).select("day", "turn", "conv_id", "n")
+
+
+@query("src5_located_header", "SELECT o_orderkey::VARCHAR AS n, o_totalprice AS debit, o_orderdate::DATE AS day FROM orders", ["debit"], ("day",))
+def located_header(spark, sf):
+    """SRC5: a sheet whose heading stands below a title and a note, found by its keywords."""
+    o = table(spark, sf, "orders")
+    rows = o.select((F.col("o_orderkey") + 10).alias("row"), F.array(F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string")).alias("cells"))
+    top = spark.createDataFrame([(1, ["Margin statistics", None, None]), (2, [None, "debit", None]), (3, ["Year-Month", "Row Number", "Debit Balances in Accounts"])], "row long, cells array<string>")
+    t = readers.located_header(top.unionByName(rows), "row", "cells", {"day": ("month",), "n": ("row",), "debit": ("debit", "balance")})
+    return t.select("n", F.expr("try_cast(debit AS double)").alias("debit"), F.to_date("day").alias("day"))
+
+
+@query("pr18_costs", f"""{B}, c AS (SELECT series_id, dt, abs(volume - lag(volume) {S.W}) / 100 AS lots, close FROM b) SELECT series_id, dt, lots * 0.85::DOUBLE AS fee, lots * close * 0.0005::DOUBLE / 2 AS half_spread, 2 * (lots * 0.85::DOUBLE + lots * close * 0.0005::DOUBLE / 2) AS round_trip FROM c""", ["fee", "half_spread", "round_trip"])
+def costs(spark, sf):
+    """PR18: fees a side, half the spread, and both ways, of the lots that change hands."""
+    lots = F.abs(F.col("volume") - rolling.lag(F.col("volume"))) / 100
+    fee, half = lots * 0.85, lots * F.col("close") * 0.0005 / 2
+    return views.bars(spark, sf).select("series_id", "dt", fee.alias("fee"), half.alias("half_spread"), (2 * (fee + half)).alias("round_trip"))

@@ -52,7 +52,7 @@ simple("wn34_iv_rv", {"ratio": (lambda: F.col("iv") / F.nullif(rolling.realised_
     "spread": (lambda: F.col("iv") - rolling.realised_vol(F.col("r"), 20), f"iv - ({S.roll('r', 20, 'stddev_samp')}) * sqrt(252::DOUBLE) * 100")})
 simple("ag16_range_position", {"pos": (lambda: F.when(F.count("close").over(series().rowsBetween(-62, 0)) >= 5, F.coalesce((F.col("close") - F.min("close").over(series().rowsBetween(-62, 0))) / F.nullif(F.max("close").over(series().rowsBetween(-62, 0)) - F.min("close").over(series().rowsBetween(-62, 0)), F.lit(0.0)) * 100, F.lit(50.0))),
     f"CASE WHEN count(close) {S.frame(63)} >= 5 THEN coalesce((close - min(close) {S.frame(63)}) / nullif(max(close) {S.frame(63)} - min(close) {S.frame(63)}, 0) * 100, 50) END")})
-simple("pr1_implied_rate", {"rate": (lambda: 100 - F.col("close") / 100, "100 - close / 100")})
+simple("pr1_implied_rate", {"rate": (lambda: F.floor((100 - F.col("close") / 100) * 1e4 + 0.5) / 1e4, "floor((100 - close / 100) * 1e4 + 0.5) / 1e4")})
 from tidemark.plans.registry import ORACLES  # noqa: E402
 
 ORACLES["wn27_forward_mean"] = ORACLES["wn27_forward_mean"].replace(" FROM b) AS q", " FROM b WINDOW f AS (PARTITION BY series_id ORDER BY dt ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)) AS q")
@@ -93,9 +93,10 @@ def bollinger(spark, sf):
 k AS (SELECT c.series_id, c.dt, c.w, (sum(CASE WHEN p.w < c.w THEN 1 ELSE 0 END) + (sum(CASE WHEN p.w = c.w THEN 1 ELSE 0 END) + 1) / 2.0) / count(p.w) * 100 AS pct FROM m c JOIN m p ON p.series_id = c.series_id AND p.rn <= c.rn AND c.w IS NOT NULL GROUP BY ALL)
 SELECT m.series_id, m.dt, m.w AS bb_width, pct AS width_pct, coalesce(pct <= 20, false) AS squeeze FROM m LEFT JOIN k USING (series_id, dt)""", ["bb_width", "width_pct"])
 def squeeze(spark, sf):
+    """WN17, WN20d: the band's width and its rank among all widths so far."""
     b = bars(spark, sf).withColumn("bb_width", indicators.bollinger()["bb_width"])
-    pct = rolling.rank_pct(F.col("bb_width"), None) * 100
-    return b.withColumn("width_pct", pct).select("series_id", "dt", "bb_width", "width_pct", F.coalesce(F.col("width_pct") <= 20, F.lit(False)).alias("squeeze"))
+    b = rolling.expanding_rank(b, "bb_width", "width_pct").withColumn("width_pct", F.col("width_pct") * 100)
+    return b.select("series_id", "dt", "bb_width", "width_pct", F.coalesce(F.col("width_pct") <= 20, F.lit(False)).alias("squeeze"))
 
 
 @query("wn20_rolling_ranks", f"""{B}, k AS (SELECT c.series_id, c.dt, c.rn, (sum((p.close < c.close)::INT) + (sum((p.close = c.close)::INT) + 1) / 2.0) / count(*) AS pct,

@@ -161,16 +161,31 @@ _STATES = {k: _state({"mr": "z_mr", "mom": "z_mom", "blend": "z"}[k], k) for k i
 _FRAME = ["close", "fair", "spread", "z_mr", "z_mom", "z", "contracts", "net", "cum"]
 
 
-@query("bd13_daily_frame", f"""{B.replace('WITH', 'WITH RECURSIVE', 1)}, {_FAIR}, {PROBS.replace(' p AS (', ' pq AS (').replace('FROM p)', 'FROM pq)')},
+_DAILY = f"""{B.replace('WITH', 'WITH RECURSIVE', 1)}, {_FAIR}, {PROBS.replace(' p AS (', ' pq AS (').replace('FROM p)', 'FROM pq)')},
 ou AS (SELECT series_id, spread - lag(spread) {S.W} AS dy, lag(spread) {S.W} AS lx FROM sp), fs AS (SELECT series_id, covar_samp(dy, lx) / var_samp(lx) AS slope, count(dy) AS m, var_samp(CASE WHEN lx IS NOT NULL THEN dy END) AS vy, var_samp(CASE WHEN dy IS NOT NULL THEN lx END) AS vx FROM ou GROUP BY series_id),
 idle AS (SELECT series_id, NOT coalesce(slope / sqrt((vy - slope * slope * vx) / (m - 2) / vx) < -2.86, false) AND (coalesce(CASE WHEN slope < 0 THEN ln(2) / -slope END, 1e9) < 3 OR coalesce(CASE WHEN slope < 0 THEN ln(2) / -slope END, 1e9) > 120) AS idle FROM fs),
 zz AS (SELECT sp.*, {S.z('spread', 60, 30)} AS z_mr FROM sp), {_mom('zz', _S1)}, bl AS (SELECT mz.*, ranging, trending, crisis, row_number() OVER (PARTITION BY mz.series_id ORDER BY mz.dt) AS k FROM mz LEFT JOIN n USING (series_id, dt)), bz AS (SELECT *, {_BLEND} AS z FROM bl),
 wk AS (SELECT series_id, k, {', '.join(f'{v[0]} AS s_{n}' for n, v in _STATES.items())} FROM bz WHERE k = 1 UNION ALL SELECT s.series_id, s.k, {', '.join(v[1] for v in _STATES.values())} FROM wk p JOIN bz s ON s.series_id = p.series_id AND s.k = p.k + 1),
 ps AS (SELECT bz.*, CASE WHEN z_mr IS NULL OR idle THEN 0 ELSE s_mr END AS signal_mr, CASE WHEN z_mom IS NULL THEN 0 ELSE s_mom END AS signal_mom, CASE WHEN z IS NULL THEN 0 ELSE s_blend END AS position, coalesce(crisis > 0.6, false) AS is_crisis FROM bz JOIN wk USING (series_id, k) JOIN idle USING (series_id)), {_gains('ps', _S1)}
-SELECT series_id, dt, close, fair, spread, z_mr, signal_mr, z_mom, signal_mom, z, position, is_crisis, contracts, net, sum(net) {S.ALL} AS cum FROM g""", _FRAME)
+"""
+
+
+@query("bd13_daily_frame", f"""{_DAILY} SELECT series_id, dt, close, fair, spread, z_mr, signal_mr, z_mom, signal_mom, z, position, is_crisis, contracts, net, sum(net) {S.ALL} AS cum FROM g""", _FRAME)
 def daily_frame(spark, sf):
     """BD13: reversion and momentum signals, their blend by regime, and gains, one row for each bar."""
     by = ["series_id"]
+    probs = regime_probs(bars(spark, sf)).select("series_id", "dt", "ranging", "trending", "crisis")
+    s = momentum_z(reversion(spark, sf), by).join(probs, ["series_id", "dt"], "left")
+    entry, leave, sign = BANDS["mom"]
+    s = blended(state.hysteresis(s, F.col("z_mom"), entry, leave, "signal_mom", sign), by)
+    return s.select(
+        "series_id", "dt", "close", "fair", "spread", "z_mr", "signal_mr", "z_mom", "signal_mom", "z", "position", F.coalesce(F.col("crisis") > 0.6, F.lit(False)).alias("is_crisis"), "contracts", "net",
+        F.sum("net").over(state.running()).alias("cum"),
+    )
+
+
+def reversion(spark, sf):
+    """Adds z_mr, half_life and signal_mr to the spreads: idle in series whose fit neither reverts nor has a usable half-life."""
     order = W.partitionBy("series_id").orderBy("dt")
     s = fair_spread(spark, sf)
     x = F.col("spread")
@@ -179,15 +194,15 @@ def daily_frame(spark, sf):
     fit = lagged.groupBy("series_id").agg((F.covar_samp("dy", "lx") / F.var_samp("lx")).alias("slope"), F.count(F.lit(1)).alias("m"), F.var_samp("dy").alias("vy"), F.var_samp("lx").alias("vx"))
     slope = F.col("slope")
     t = slope / F.sqrt((F.col("vy") - slope * slope * F.col("vx")) / (F.col("m") - 2) / F.col("vx"))
-    life = F.coalesce(F.when(slope < 0, math.log(2) / -slope), F.lit(1e9))
-    idle = fit.select("series_id", (~F.coalesce(t < -2.86, F.lit(False)) & ((life < 3) | (life > 120))).alias("idle"))
-    probs = regime_probs(bars(spark, sf)).select("series_id", "dt", "ranging", "trending", "crisis")
-    s = momentum_z(s, by).join(probs, ["series_id", "dt"], "left").join(F.broadcast(idle), "series_id")
-    for name, z in (("mr", "z_mr"), ("mom", "z_mom")):
-        entry, leave, sign = BANDS[name]
-        s = state.hysteresis(s, F.col(z), entry, leave, f"signal_{name}", sign)
-    s = blended(s.withColumn("signal_mr", F.when(F.col("idle"), 0).otherwise(F.col("signal_mr"))), by)
-    return s.select(
-        "series_id", "dt", "close", "fair", "spread", "z_mr", "signal_mr", "z_mom", "signal_mom", "z", "position", F.coalesce(F.col("crisis") > 0.6, F.lit(False)).alias("is_crisis"), "contracts", "net",
-        F.sum("net").over(state.running()).alias("cum"),
-    )
+    half = F.when(slope < 0, math.log(2) / -slope)
+    life = F.coalesce(half, F.lit(1e9))
+    idle = fit.select("series_id", half.alias("half_life"), (~F.coalesce(t < -2.86, F.lit(False)) & ((life < 3) | (life > 120))).alias("idle"))
+    entry, leave, sign = BANDS["mr"]
+    s = state.hysteresis(s.join(F.broadcast(idle), "series_id"), F.col("z_mr"), entry, leave, "signal_mr", sign)
+    return s.withColumn("signal_mr", F.when(F.col("idle"), 0).otherwise(F.col("signal_mr")))
+
+
+@query("st16_reversion_assembly", f"""{_DAILY} SELECT series_id, dt, fair, spread, z_mr AS z, half_life, signal_mr AS position FROM ps JOIN (SELECT series_id, CASE WHEN slope < 0 THEN ln(2) / -slope END AS half_life FROM fs) USING (series_id)""", ["fair", "spread", "z", "half_life"])
+def reversion_assembly(spark, sf):
+    """ST16: spreads off a fair value, their fit, z-scores and positions."""
+    return reversion(spark, sf).select("series_id", "dt", "fair", "spread", F.col("z_mr").alias("z"), "half_life", F.col("signal_mr").alias("position"))

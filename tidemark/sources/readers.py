@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -48,9 +50,9 @@ def event_log(spark: SparkSession, path: str) -> DataFrame:
     return typed.filter("ts is not null and event_class is not null").withColumn("impulse", impulse())
 
 
-def json_documents(spark: SparkSession, path: str, schema: T.StructType | str, rows: str) -> DataFrame:
-    """Documents of one object per file, with the array column `rows` as rows of their own."""
-    raw = spark.read.schema(schema).json(path, multiLine=True)
+def json_documents(spark: SparkSession, path: str, schema: T.StructType | str, rows: str, one_each: bool = True) -> DataFrame:
+    """Documents of one object per file (or per line), with the array column `rows` as rows of their own."""
+    raw = spark.read.schema(schema).json(path, multiLine=one_each)
     return raw.select(*(c for c in raw.columns if c != rows), F.inline(rows))
 
 
@@ -72,6 +74,19 @@ def keyed_header(df: DataFrame, keywords: Mapping[str, Sequence[str]]) -> DataFr
     return df.select(*out)
 
 
+def located_header(df: DataFrame, row: str, cells: str, keywords: Mapping[str, Sequence[str]]) -> DataFrame:
+    """The rows below the first one whose cells hold the keywords of every name, with a column of text for each name.
+
+    `cells` is an array of texts.  One row comes to the driver: the heading.
+    """
+    holds = lambda words: F.exists(cells, lambda c: reduce(and_, (F.coalesce(F.lower(c).contains(w), F.lit(False)) for w in words)))
+    head = df.filter(reduce(and_, map(holds, keywords.values()))).orderBy(row).select(row, cells).first()
+    if head is None:
+        raise ValueError("no row holds all keywords")
+    at = {name: next(i for i, c in enumerate(head[1]) if c is not None and all(w in c.lower() for w in words)) for name, words in keywords.items()}
+    return df.filter(F.col(row) > head[0]).select(*(F.get(cells, F.lit(i)).alias(name) for name, i in at.items()))
+
+
 def panel(long: DataFrame, keys: Sequence[str], field: str, value: str, fields: Sequence[str]) -> DataFrame:
     """(keys, field, value) rows as one column per field; rows without any value are dropped."""
     return long.groupBy(*keys).pivot(field, list(fields)).agg(F.avg(value)).na.drop("all", subset=list(fields))
