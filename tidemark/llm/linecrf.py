@@ -5,8 +5,9 @@ and the shapes of the line before and after; neighbouring labels are tied by lea
 fitted by gradient ascent to labelled documents, whose lines all carry the document's label; a document's score is the
 mean of its lines' forward-backward marginals, weighted by the lines' lengths in bytes.
 
-Fitting uses the labelled rows with the smallest hashes, `sample` at most: only their line features come to the driver,
-and of a document only the label and the lines enter, never its language, source or id.  Scoring reads every text.
+Fitting uses the labelled rows with the smallest hashes, `sample` at most, and of these the documents of `most_lines`
+lines at most: only their line features come to the driver (88 bytes a line), and of a document only the label and the
+lines enter, never its language, source or id.  Scoring reads every text.
 
 Defined results: a null or empty text, or one of line breaks alone, has one empty line, and is scored by that line's
 features like any other; without labelled rows every score is 0.5; repeated rows get equal scores; other columns are kept.
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textbytes as B
 
-#: Labelled documents that a fit takes at most.
-SAMPLE = 4_000
+#: Labelled documents that a fit takes at most, and lines of one of them.
+SAMPLE, MOST_LINES = 4_000, 1_000
 
 
 def _kind(chars: str) -> np.ndarray:
@@ -183,11 +184,12 @@ class Field:
         return np.add.reduceat(p * weight, x.at[:-1]) / np.add.reduceat(weight, x.at[:-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Field | None:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, most_lines: int = MOST_LINES) -> Field | None:
     """A field from the labelled documents with the smallest hashes of their keys."""
     chosen = labels.select(F.col(key).alias("__k"), F.col(label).cast("int").alias("__y")).filter("__y is not null and __k is not null")
     chosen = chosen.groupBy("__k").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__k"), "__k").limit(sample)
     rows = docs.join(F.broadcast(chosen), F.col(key) == F.col("__k")).select("__k", "__y", F.col(text).alias("t"))
+    rows = rows.filter(F.coalesce(F.regexp_count("t", F.lit("\n")), F.lit(0)) < most_lines)
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
