@@ -11,9 +11,10 @@ from tidemark.operators.text import shouty
 
 # Currency codes, currencies of two-letter country codes, names of currencies (as patterns, in the order in
 # which they are looked for), symbols, and codes that are also words.
-CODES = (
-    "USD EUR GBP JPY CHF AUD NZD CAD CNY CNH KRW INR IDR BRL MXN ZAR TRY HUF PLN CZK SEK NOK THB TWD MYR PHP SGD HKD ILS RUB COP PEN UYU ARS CLP"
-).split()
+CODES = [
+    "USD", "EUR", "GBP", "JPY", "CHF", "AUD", "NZD", "CAD", "CNY", "CNH", "KRW", "INR", "IDR", "BRL", "MXN", "ZAR", "TRY", "HUF",
+    "PLN", "CZK", "SEK", "NOK", "THB", "TWD", "MYR", "PHP", "SGD", "HKD", "ILS", "RUB", "COP", "PEN", "UYU", "ARS", "CLP",
+]
 COUNTRIES = {
     "US": "USD", "GB": "GBP", "UK": "GBP", "JN": "JPY", "JP": "JPY", "EC": "EUR", "EU": "EUR", "GE": "EUR", "FR": "EUR", "IT": "EUR", "SP": "EUR", "AU": "AUD", "NZ": "NZD", "CA": "CAD", "SZ": "CHF",
     "CH": "CHF", "CN": "CNY", "KO": "KRW", "KR": "KRW", "IN": "INR", "ID": "IDR", "BZ": "BRL", "BR": "BRL", "MX": "MXN", "SA": "ZAR", "TU": "TRY", "TR": "TRY", "HU": "HUF", "PO": "PLN", "PL": "PLN",
@@ -21,11 +22,35 @@ COUNTRIES = {
     "PE": "PEN", "AR": "ARS", "UR": "UYU", "CL": "CLP", "CO": "COP",
 }
 NAMES = {
-    "GBP": "cable|sterling|gilts?|SONIA|BoE|pound", "EUR": "euro|ECB|Bund|Euribor|eurozone", "JPY": "yen|BoJ|MoF|Tokyo fix", "USD": "dollar|greenback|DXY|Fed|FOMC|SOFR|treasur(?:y|ies)",
-    "CHF": "swiss franc|swissy|SNB", "KRW": "korea|seoul|BoK|KOSPI", "CNY": "china|yuan|renminbi|PBoC", "AUD": "aussie|RBA", "NZD": "kiwi|RBNZ", "CAD": "loonie", "SEK": "riksbank|krona",
-    "NOK": "norges bank", "MXN": "banxico", "BRL": "brazil", "INR": "RBI|rupee", "TRY": "CBRT|lira", "ZAR": "SARB|rand", "PLN": "zloty", "HUF": "forint", "CZK": "koruna", "SGD": "MAS|singapore",
-    "HKD": "HKMA|hong kong", "THB": "baht", "MYR": "ringgit", "PHP": "BSP", "ILS": "shekel", "TWD": "taiwan", "IDR": "indonesia",
-}
+    "GBP": ["cable", "sterling", "gilts?", "SONIA", "BoE", "pound"],
+    "EUR": ["euro", "ECB", "Bund", "Euribor", "eurozone"],
+    "JPY": ["yen", "BoJ", "MoF", "Tokyo fix"],
+    "USD": ["dollar", "greenback", "DXY", "Fed", "FOMC", "SOFR", "treasur(?:y|ies)"],
+    "CHF": ["swiss franc", "swissy", "SNB"],
+    "KRW": ["korea", "seoul", "BoK", "KOSPI"],
+    "CNY": ["china", "yuan", "renminbi", "PBoC"],
+    "AUD": ["aussie", "RBA"],
+    "NZD": ["kiwi", "RBNZ"],
+    "CAD": ["loonie"],
+    "SEK": ["riksbank", "krona"],
+    "NOK": ["norges bank"],
+    "MXN": ["banxico"],
+    "BRL": ["brazil"],
+    "INR": ["RBI", "rupee"],
+    "TRY": ["CBRT", "lira"],
+    "ZAR": ["SARB", "rand"],
+    "PLN": ["zloty"],
+    "HUF": ["forint"],
+    "CZK": ["koruna"],
+    "SGD": ["MAS", "singapore"],
+    "HKD": ["HKMA", "hong kong"],
+    "THB": ["baht"],
+    "MYR": ["ringgit"],
+    "PHP": ["BSP"],
+    "ILS": ["shekel"],
+    "TWD": ["taiwan"],
+    "IDR": ["indonesia"],
+}
 SYMBOLS = {"£": "GBP", "€": "EUR", "¥": "JPY"}
 WORDS = ("TRY", "COP", "PEN", "PHP")
 
@@ -58,7 +83,7 @@ def currencies(text: Column) -> Column:
     compact = _legs(F.regexp_extract_all(rest, F.lit(_COMPACT), 0), 4)
     alone = F.regexp_extract_all(F.regexp_replace(rest, _COMPACT, " "), F.lit(rf"(?U)\b(?:{_ANY})\b"), 0)
     alone = F.filter(alone, lambda c: ~(shouty(t) & c.isin(*WORDS)))
-    named = [F.when(t.rlike(rf"(?iU)\b(?:{words})\b"), code) for code, words in NAMES.items()]
+    named = [F.when(t.rlike(rf"(?iU)\b(?:{'|'.join(words)})\b"), code) for code, words in NAMES.items()]
     bank = F.when(F.regexp_replace(t, r"(?iU)\bbi-weekly\b", "").rlike(r"(?U)\bBI\b"), "IDR")
     symbols = [F.when(t.contains(s), code) for s, code in SYMBOLS.items()]
     found = F.array_distinct(F.concat(braces, slashed, compact, alone, F.array_compact(F.array(*named, bank, *symbols))))

@@ -85,18 +85,28 @@ def pnl(spark, sf):
     return strategy(spark, sf).select("series_id", "dt", "held", "contracts", "gross", "cost", "net", F.sum("net").over(state.running()).alias("cum"))
 
 
-@query("ag7_performance", f"""{_STRATEGY}, c AS (SELECT *, sum(net) {S.ALL} AS cum FROM d), e AS (SELECT *, cum - max(cum) {S.ALL} AS dd FROM c)
-SELECT series_id, sum(net) AS total, avg(net) * 252 AS ann, stddev_samp(net) * sqrt(252::DOUBLE) AS vol, avg(net) / nullif(stddev_samp(net), 0) * sqrt(252::DOUBLE) AS sharpe, avg(net) * 252 / nullif(stddev_samp(CASE WHEN net < 0 THEN net END) * sqrt(252::DOUBLE), 0) AS sortino,
-  min(dd) AS max_dd, avg(CASE WHEN net <> 0 THEN (net > 0)::INT END) AS win_rate, sum(CASE WHEN net > 0 THEN net END) / nullif(-sum(CASE WHEN net < 0 THEN net END), 0) AS profit_factor FROM e GROUP BY series_id""", ["total", "ann", "vol", "sharpe", "sortino", "max_dd", "win_rate", "profit_factor"], ())
+_METRICS = ["total", "ann", "vol", "sharpe", "sortino", "max_dd", "calmar", "win_rate", "avg_win", "avg_loss", "profit_factor"]
+
+
+@query("ag7_performance", f"""{_STRATEGY}, c AS (SELECT *, sum(net) {S.ALL} AS cum FROM d), e AS (SELECT *, cum - max(cum) {S.ALL} AS dd, row_number() {S.W} AS i FROM c),
+u AS (SELECT series_id, dd < 0 AS f, i - row_number() OVER (PARTITION BY series_id, dd < 0 ORDER BY dt) AS g FROM e), l AS (SELECT series_id, coalesce(max(CASE WHEN f THEN k END), 0)::BIGINT AS longest_dd FROM (SELECT series_id, f, g, count(*) AS k FROM u GROUP BY ALL) GROUP BY series_id),
+m AS (SELECT series_id, count(*) AS n_days, count(CASE WHEN cost > 0 THEN 1 END) AS n_trades, sum(net) AS total, avg(net) * 252 AS ann, stddev_samp(net) * sqrt(252::DOUBLE) AS vol, avg(net) / nullif(stddev_samp(net), 0) * sqrt(252::DOUBLE) AS sharpe,
+  avg(net) * 252 / nullif(stddev_samp(CASE WHEN net < 0 THEN net END) * sqrt(252::DOUBLE), 0) AS sortino, min(dd) AS max_dd, avg(net) * 252 / nullif(abs(min(dd)), 0) AS calmar, avg(CASE WHEN cost > 0 THEN (net > 0)::INT END) AS win_rate,
+  avg(CASE WHEN cost > 0 AND net > 0 THEN net END) AS avg_win, avg(CASE WHEN cost > 0 AND net < 0 THEN net END) AS avg_loss, sum(CASE WHEN cost > 0 AND net > 0 THEN net END) / nullif(-sum(CASE WHEN cost > 0 AND net < 0 THEN net END), 0) AS profit_factor FROM e GROUP BY series_id)
+SELECT * FROM m JOIN l USING (series_id)""", _METRICS, ())
 def performance(spark, sf):
+    """AG7: gains, risks, drawdowns and what the days on which contracts change bring."""
     s = strategy(spark, sf).withColumn("cum", F.sum("net").over(state.running()))
     s = s.withColumn("dd", state.drawdown(F.col("cum")))
-    n, year = F.col("net"), math.sqrt(252)
-    return s.groupBy("series_id").agg(
+    n, year, traded = F.col("net"), math.sqrt(252), F.col("cost") > 0
+    when = lambda c: F.when(traded & c, n)
+    m = s.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("n_days"), F.count(F.when(traded, 1)).alias("n_trades"),
         F.sum(n).alias("total"), (F.avg(n) * 252).alias("ann"), (F.stddev_samp(n) * year).alias("vol"), (F.avg(n) / F.nullif(F.stddev_samp(n), F.lit(0.0)) * year).alias("sharpe"),
-        (F.avg(n) * 252 / F.nullif(F.stddev_samp(F.when(n < 0, n)) * year, F.lit(0.0))).alias("sortino"), F.min("dd").alias("max_dd"), F.avg(F.when(n != 0, (n > 0).cast("int"))).alias("win_rate"),
-        (F.sum(F.when(n > 0, n)) / F.nullif(-F.sum(F.when(n < 0, n)), F.lit(0.0))).alias("profit_factor"),
+        (F.avg(n) * 252 / F.nullif(F.stddev_samp(F.when(n < 0, n)) * year, F.lit(0.0))).alias("sortino"), F.min("dd").alias("max_dd"), (F.avg(n) * 252 / F.nullif(F.abs(F.min("dd")), F.lit(0.0))).alias("calmar"),
+        F.avg(F.when(traded, (n > 0).cast("int"))).alias("win_rate"), F.avg(when(n > 0)).alias("avg_win"), F.avg(when(n < 0)).alias("avg_loss"), (F.sum(when(n > 0)) / F.nullif(-F.sum(when(n < 0)), F.lit(0.0))).alias("profit_factor"),
     )
+    return m.join(state.longest_run(s, F.col("dd") < 0).withColumnRenamed("longest", "longest_dd"), "series_id")
 
 
 @query("ag14_fiscal_yoy", "WITH y AS (SELECT o_orderpriority AS name, year(o_orderdate) AS y, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS v FROM orders GROUP BY ALL) SELECT a.name, a.y, a.v, (a.v / nullif(b.v, 0) - 1) * 100 AS yoy FROM y a LEFT JOIN y b ON b.name = a.name AND b.y = a.y - 1", ["v", "yoy"], ())
