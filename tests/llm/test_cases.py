@@ -55,6 +55,20 @@ def test_embeddings_in_a_long_chain_and_repeated_ids(spark):
     assert [(r.n_links, r.component_id, r.kept) for r in got if r.vec_id in (None, 300, 301)] and {r.vec_id: r.component_id for r in got}[300] == 300
 
 
+def test_embeddings_of_a_hot_filter_by_join(spark, monkeypatch):
+    monkeypatch.setattr(capfilter, "BROADCAST_ROWS", 0)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1, 12)) + 0.15 * rng.standard_normal((70, 12))
+    x[60:] = rng.standard_normal((10, 12))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in capfilter.link(spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), block=8).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.9) & ~np.eye(70, dtype=bool)
+    low = np.arange(70)
+    for _ in range(70):
+        low = np.minimum(low, np.where(near, low, 70).min(axis=1))
+    assert got == {i: (int(near[i].sum()), int(low[i])) for i in range(70)}
+
+
 def test_filters_of_ten_billion_vectors_have_numbers():
     words, cap, number = capfilter.codes_for(10**10, 128, 0.9, 48, 32, 1e-5)
     assert capfilter.number_kind(words, number) is (np.int64 if number * words**2 >= 1 << 31 else np.int32)

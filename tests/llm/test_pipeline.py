@@ -86,7 +86,9 @@ def test_quality(spark, folder, rows):
     assert kept == sorted(want, key=str) and all((r in want) == (r[0] < 60) for r in rows[0][:90])
 
 
-def test_near_duplicates(spark, folder, rows):
+@pytest.mark.parametrize("broadcast", [P.BROADCAST_ROWS, 0])
+def test_near_duplicates(spark, folder, rows, broadcast, monkeypatch):
+    monkeypatch.setattr(P, "BROADCAST_ROWS", broadcast)
     sets = []
     for r in rows[0]:
         w = SOLID.findall(low(r[1]))
