@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -55,6 +55,15 @@ def keyed_carry(rows: DataFrame, keys: list[str], key: str = "key", time: str =
     return asof(spine, wanted, [key], time, value, skip_null=True).groupBy(time).pivot(key, keys).agg(F.first(value))
 
 
+def mixed_spine(rows: DataFrame, keys: list[str], start: Column, end: Column, back: int = 5, key: str = "key", time: str = "dt", value: str = "value") -> DataFrame:
+    """Business days from start to end with the last value of each key, whatever its frequency; gaps at the begin are filled from the next `back` days at most."""
+    ends = rows.filter(F.col(key).isin(*keys)).agg(start.alias("__a"), end.alias("__z"))
+    days = business_days(ends, "__a", "__z").select(F.col("dt").alias(time), F.explode(F.array(*map(F.lit, keys))).alias(key))
+    held = asof(days, rows.filter(F.col(key).isin(*keys)), [key], time, value, skip_null=True)
+    ahead = W.partitionBy(key).orderBy(time).rowsBetween(0, back)
+    return held.withColumn(value, F.first(value, ignorenulls=True).over(ahead)).groupBy(time).pivot(key, keys).agg(F.first(value))
+
+
 def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Distinct keys with the smallest `order` at which they stand."""
     return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias(order))

@@ -256,3 +256,18 @@ def full_join(spark, sf):
     b = table(spark, sf, "orders").filter("o_custkey % 3 < 2").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("w"))
     return a.join(b, "k", "full").withColumn("value", F.coalesce("v", "w"))
 
+
+
+_MIXED = """k AS (SELECT 'monthly' AS key, date_trunc('month', o_orderdate)::DATE AS dt, avg(o_totalprice) AS value FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 2 UNION ALL SELECT 'daily', o_orderdate::DATE, max(o_totalprice) FROM orders WHERE o_orderstatus = 'P' GROUP BY 2),
+s AS (SELECT unnest(generate_series((SELECT min(dt) - 10 FROM k), (SELECT max(dt) FROM k), INTERVAL 1 DAY))::DATE AS dt), d AS (SELECT dt FROM s WHERE isodow(dt) < 6),
+m AS (SELECT d.dt, value AS x FROM d ASOF LEFT JOIN (SELECT * FROM k WHERE key = 'monthly') a ON d.dt >= a.dt), y AS (SELECT d.dt, value AS x FROM d ASOF LEFT JOIN (SELECT * FROM k WHERE key = 'daily') a ON d.dt >= a.dt)"""
+_BACK = "first_value({x} IGNORE NULLS) OVER (ORDER BY dt ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)"
+
+
+@query("fr2_mixed_frequencies", f"WITH {_MIXED} SELECT dt, {_BACK.format(x='m.x')} AS monthly, {_BACK.format(x='y.x')} AS daily FROM m JOIN y USING (dt)", ["monthly", "daily"])
+def mixed(spark, sf):
+    """FR2: a monthly and an irregular series on one spine of business days, side by side."""
+    o = table(spark, sf, "orders")
+    month = o.filter("o_orderpriority = '1-URGENT'").groupBy(F.to_date(F.date_trunc("month", "o_orderdate")).alias("dt")).agg(F.avg("o_totalprice").alias("value")).withColumn("key", F.lit("monthly"))
+    daily = o.filter("o_orderstatus = 'P'").groupBy(F.to_date("o_orderdate").alias("dt")).agg(F.max("o_totalprice").alias("value")).withColumn("key", F.lit("daily"))
+    return align.mixed_spine(month.unionByName(daily), ["monthly", "daily"], F.date_sub(F.min("dt"), 10), F.max("dt"))
