@@ -139,14 +139,19 @@ _SOFT = {k: " + ".join(f"{WEIGHTS[g][i]!r} * {g}" for g in WEIGHTS) for i, k in
 _HARD = {k: f"CASE {_DOMINANT} " + " ".join(f"WHEN '{g}' THEN {WEIGHTS[g][i]!r}" for g in WEIGHTS) + " END" for i, k in enumerate(("mr", "mom", "news"))}
 
 
-def regime_probs(b):
-    """Adds ranging, trending and crisis (summing to one) and vol to rows whose deviation is known."""
-    b = b.withColumn("__s", roll(F.col("r"), 20, F.stddev_samp)).filter("__s > 0").withColumn("__q", F.abs("r") / F.col("__s"))
+def prob_columns(b):
+    """Adds ranging, trending and crisis (summing to one) and vol; null where the deviation isn't known or is zero."""
+    b = b.withColumn("__s", F.nullif(roll(F.col("r"), 20, F.stddev_samp), F.lit(0.0))).withColumn("__q", F.abs("r") / F.col("__s"))
     p0, q = 1.0 / (1 + F.col("__q")), F.col("__q")
     total = p0 + q + q * q
     return b.withColumns({"vol": F.col("__s") * math.sqrt(252), "ranging": p0 / total, "trending": q / total, "crisis": q * q / total}).drop("__s", "__q")
 
 
+def regime_probs(b):
+    """Rows whose probabilities are known, with them."""
+    return prob_columns(b).filter("vol is not null")
+
+
 def dominant():
     """The regime of the largest probability, the first of equal ones."""
     a, t, c = F.col("ranging"), F.col("trending"), F.col("crisis")

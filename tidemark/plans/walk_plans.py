@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import align, state
 from tidemark.operators.rolling import fill, roll
 from tidemark.plans import sqltext as S
-from tidemark.plans.boards import PROBS, regime_probs, signal_weights
+from tidemark.plans.boards import PROBS, prob_columns, signal_weights
 from tidemark.plans.registry import query
 from tidemark.plans.series_plans import B, bars
 
@@ -21,8 +21,8 @@ COST, TARGET = 2.5, 0.1
 
 
 def fair_spread(spark, sf):
-    """Bars with the mean of the last whole month as their fair value, and what they are off it."""
-    b = bars(spark, sf).select("series_id", "dt", "close", "r")
+    """Bars with the mean of the last whole month as their fair value, what they are off it, and the probabilities of regimes."""
+    b = prob_columns(bars(spark, sf).select("series_id", "dt", "close", "r")).drop("vol")
     month = b.groupBy("series_id", F.add_months(F.to_date(F.date_trunc("month", "dt")), 1).alias("dt")).agg(F.avg("close").alias("fair"))
     return align.asof(b, month, ["series_id"], "dt", "fair").withColumn("spread", F.col("close") - F.col("fair"))
 
@@ -65,14 +65,13 @@ def folds(spark, sf):
     order = W.partitionBy(*by).orderBy("dt")
     rows = fair_spread(spark, sf).filter("spread is not null")
     many = align.folds(rows, TRAIN, TEST, STEP, LEAST)
-    probs = regime_probs(bars(spark, sf)).select("series_id", "dt", F.struct("ranging", "trending", "crisis").alias("p"))
-    train = many.filter("part = 'train'").join(probs, ["series_id", "dt"], "left")
+    train = many.filter("part = 'train'").withColumn("p", F.when(F.col("crisis").isNotNull(), F.struct("ranging", "trending", "crisis")))
     train = train.withColumns({"x": F.lag("spread").over(order), "y": F.col("spread") - F.lag("spread").over(order)})
     slope = F.col("slope")
     fit = train.groupBy(*by).agg((F.covar_samp("y", "x") / F.var_samp("x")).alias("slope"), F.max_by("p", F.when(F.col("p").isNotNull(), F.col("dt"))).alias("p"))
     fit = fit.withColumn("half_life", F.when(slope < 0, math.log(2) / -slope)).withColumn("w", F.greatest(F.lit(20), F.floor(2 * F.col("half_life"))).cast("int"))
     fit = fit.withColumn("w", F.when(F.col("half_life").isNotNull(), F.least("w", F.lit(TEST))))
-    test = many.filter("part = 'test'").join(fit.select(*by, "half_life", "w", "p.*"), by)
+    test = many.filter("part = 'test'").drop("ranging", "trending", "crisis").join(fit.select(*by, "half_life", "w", "p.*"), by)
     # A fold has TEST rows at most, so a row's window, which is its fold's own, is the end of a short list.
     seen = F.collect_list("spread").over(order.rowsBetween(W.unboundedPreceding, 0))
     test = test.withColumn("__a", F.slice(seen, F.greatest(F.lit(1), F.size(seen) - F.col("w") + 1), F.col("w")))
@@ -174,8 +173,7 @@ ps AS (SELECT bz.*, CASE WHEN z_mr IS NULL OR idle THEN 0 ELSE s_mr END AS signa
 def daily_frame(spark, sf):
     """BD13: reversion and momentum signals, their blend by regime, and gains, one row for each bar."""
     by = ["series_id"]
-    probs = regime_probs(bars(spark, sf)).select("series_id", "dt", "ranging", "trending", "crisis")
-    s = momentum_z(reversion(spark, sf), by).join(probs, ["series_id", "dt"], "left")
+    s = momentum_z(reversion(spark, sf), by)
     entry, leave, sign = BANDS["mom"]
     s = blended(state.hysteresis(s, F.col("z_mom"), entry, leave, "signal_mom", sign), by)
     return s.select(
