@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import textbytes as B
 from tidemark.llm.grouped import map_groups
-from tidemark.llm.stage import settle
+from tidemark.llm.stage import discard, settle
 
 #: Context bytes, bits of a symbol, the symbols of a text's end and of what stands before its begin.
 ORDER, BITS, END, PAD = 5, 9, 256, 257
 SYMBOLS = 257
-BATCH_BYTES, LEAST_BYTES = 64 << 20, 4 << 20
+BATCH_BYTES, LEAST_BYTES = 48 << 20, 4 << 20
 #: Bytes of text whose arrays are in memory at a time.
 CHUNK = 1 << 19
 #: Stands for the end of a text among the hashes of words.
@@ -310,7 +310,9 @@ def _score(docs: DataFrame, train: Column, key: str, text: str, order: int, batc
     tokens, distinct = int(total[0]), int(total[1])
     words = counts.filter(known_words).select("item", F.col("n").cast("double").alias("value"))
     values = gram_scores(counts.filter(F.col("kind") == GRAM).select("item", "n"), order)
-    named = settle(words.withColumn("kind", F.lit(WORD)).union(values.withColumn("kind", F.lit(GRAM))), packed=True).select(F.col("kind").alias("k2"), F.col("item").alias("i2"), "value")
+    named = settle(words.withColumn("kind", F.lit(WORD)).union(values.withColumn("kind", F.lit(GRAM))), packed=True)
+    discard(counts)
+    named = named.select(F.col("kind").alias("k2"), F.col("item").alias("i2"), "value")
     known = items.join(named, (F.col("kind") == F.col("k2")) & (F.col("item") == F.col("i2")))
     nothing = F.lit(None)
     stream = known.select("batch", "kind", "item", "value", nothing.cast(kind).alias("key"), nothing.cast("string").alias("text"), nothing.cast("boolean").alias("train")).union(
