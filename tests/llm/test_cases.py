@@ -184,7 +184,7 @@ def test_decontaminate_clashes_repeats_and_common_windows(spark):
 
 
 LICENSED = {
-    "MIT": lambda t: "# " + t["MIT"][3].replace(". ", ".\n# ").replace(", ", ",\n# ") + "\n\nint main() { return 0; }\n" + "code_line(x, y);\n" * 30,
+    "MIT": lambda t: "# " + t["MIT"][2].replace(". ", ".\n# ").replace(", ", ",\n# ") + "\n\nint main() { return 0; }\n" + "code_line(x, y);\n" * 30,
     "Apache-2.0": lambda t: "/*\n * " + re.sub(r"(\S+ \S+ \S+ \S+ \S+ \S+) ", r"\1\n * ", t["Apache-2.0"][3].replace("\n\n", "\n *\n * ")) + "\n */\nclass A {}\n",
     "GPL-3.0": lambda t: "\n".join("// " + x for x in re.sub(r"(.{40,60}) ", r"\1\n", t["GPL-3.0"][3]).split("\n")) + "\n\nfn main() {}\n",
     "BSD-3-Clause": lambda t: "Copyright 2020 A. Person\n\n" + re.sub(r"(.{50,70}) ", r"\1\n", t["BSD-3-Clause"][3]),
@@ -218,6 +218,8 @@ def test_tokens_that_a_unit_needs_are_needed():
         norm = math.sqrt(sum(x * x for x in v.values())) or 1
         if max(sum(x * u.get(w, 0) for w, x in v.items()) for u in model.unit.values()) / norm >= licenses.LEAST:
             assert cue.search(" ".join(words)) and any(len(set(words) & set(t)) >= most for t, most in model.needs)
+            mine, enough = sum(x * x for w, x in v.items() if w in model.idf), (licenses.LEAST * 0.999) ** 2
+            assert mine * (1 - enough) >= enough * model.rare**2 * len(set(words) - set(model.idf))
 
 
 def test_jaccard_groups_over_blocks_and_joined_keys(spark, monkeypatch):

@@ -6,8 +6,9 @@ header may be wrapped anywhere; a line of comment marks alone is blank), and the
 the counts of its tokens times idf, where idf comes from the licences (a token that none has weighs as the rarest).  A
 unit whose cosine to a template reaches `least` must share tokens that hold `least` squared of the template's squared
 length (Cauchy-Schwarz).  So it has one of any tokens that hold the rest: units without any of the longest such words are
-passed over by one pattern; and it has as many of the template's tokens as it takes at least to hold that much: units
-that have as many of no template go before anything is counted.  Nothing is lost by either.
+passed over by one pattern; it has as many of the template's tokens as it takes at least to hold that much; and tokens
+that some template has hold `least` squared of its own squared length, however rarely the others are repeated.  Units
+that fail one of these go before anything is exploded, and nothing is lost by it.
 
 A file whose words are for `share` or more in units of one kind that reach it is a licence file: its directory and all
 below have its licence, unless they have one that is nearer or the file has its own.  Of a directory's licence files the
@@ -36,16 +37,21 @@ TOKEN = r"[^a-z0-9.\-]+|\.+(?![a-z0-9])|-+(?![a-z0-9])"
 #: A blank line, or one of comment marks alone.
 BLANK = r"\n[ \t\r#*/;%-]*\n"
 LEAST, SHARE = 0.8, 0.1
+#: Words of templates that any text has, and that are cues only where no others are enough.
+COMMON = {"a", "all", "an", "and", "any", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "not", "of", "on", "or", "other", "that", "the", "this", "to", "under", "with", "you", "your"}
 ADDED = ("license", "score", "origin", "origin_dir")
 
 
 @cache
 def standard() -> dict[str, tuple[str, ...]]:
-    """The templates beside this file, by SPDX name: parts of a file that ---- ends; and the tag line of each."""
+    """The templates beside this file, by SPDX name: parts of a file that ---- ends; and the tag line of each whose name is no plain word.
+
+    A plain word (MIT is a German one) would make every line of that word alone a licence.
+    """
     found = {}
     for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
         parts = [t.strip() for t in path.read_text().split("\n----\n")]
-        found[path.stem] = (*parts, f"SPDX-License-Identifier: {path.stem}")
+        found[path.stem] = (*parts, *([] if path.stem.isalpha() else [f"SPDX-License-Identifier: {path.stem}"]))
     return found
 
 
@@ -71,7 +77,7 @@ class Templates:
             self.unit[k] = {t: x / norm for t, x in v.items()}
             enough = (least * 0.999) ** 2
             rest = 1.0
-            for t, x in sorted(self.unit[k].items(), key=lambda e: (e[0] not in cues, -len(e[0]), -self.idf[e[0]], e[0])):
+            for t, x in sorted(self.unit[k].items(), key=lambda e: (e[0] in COMMON, e[0] not in cues, max(0, 6 - len(e[0])), -e[1], e[0])):
                 if rest < enough:
                     break
                 cues.add(t)
@@ -117,12 +123,19 @@ def own(files: DataFrame, key: str, text: str, templates: Mapping[str, str | Seq
         held.select("__k", "__t", F.posexplode(units).alias("__unit", "__u"))
         .select("__k", "__t", "__unit", F.col("__u.kind").alias("__kind"), F.col("__u.x").alias("__l"))
         .filter(F.lower("__l").rlike(cue))
-        .withColumn("__n", F.regexp_count("__l", F.lit(r"[^\x20\x09-\x0D]+")))
     )
     unit = ["__k", "__t", "__unit", "__kind", "__n"]
-    tokens_of = found.withColumn("__ts", line_tokens(F.col("__l"))).withColumn("__vs", F.array_intersect(F.col("__ts"), F.array(*map(F.lit, sorted(model.idf)))))
+    # As generated columns, tokens are made once for each unit, and not again for each condition on them.
+    vocabulary = F.array(*map(F.lit, sorted(model.idf)))
+    found = found.select("*", F.explode(F.array(line_tokens(F.col("__l")))).alias("__ts"))
+    found = found.select("*", F.explode(F.array(F.array_intersect("__ts", vocabulary))).alias("__vs"))
+    idf = F.create_map(*(F.lit(x) for e in model.idf.items() for x in e))
+    own_part = F.aggregate("__vs", F.lit(0.0), lambda a, v: a + F.pow(F.size(F.filter("__ts", lambda t: t == v)) * idf[v], F.lit(2.0)))
+    others = F.size(F.array_distinct("__ts")) - F.size("__vs")
+    enough = (least * 0.999) ** 2
+    found = found.filter((F.size("__vs") > 0) & (own_part * (1 - enough) >= enough * model.rare**2 * others))
     near = [F.size(F.array_intersect("__vs", F.array(*map(F.lit, words)))) >= most for words, most in model.needs]
-    found = tokens_of.filter(reduce(or_, near))
+    found = found.filter(reduce(or_, near)).withColumn("__n", F.regexp_count("__l", F.lit(r"[^\x20\x09-\x0D]+")))
     table = [(t, model.idf[t], [(k, i, u[t]) for (k, i), u in model.unit.items() if t in u]) for t in model.idf]
     weights = spark.createDataFrame(table, "__w string, __idf double, __by array<struct<k:string,i:int,u:double>>")
     counted = found.select(*unit, F.explode("__ts").alias("__w")).groupBy(*unit, "__w").agg(F.count(F.lit(1)).alias("__tf"))
