@@ -34,7 +34,10 @@ def runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def map_groups(df: DataFrame, keys: list[str], f: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
-    """Calls f on tables of whole groups (`keys` must be the first columns); groups of one key are never split."""
-    n = len(keys)
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda it: map(f, runs(it, n)), schema)
+def map_groups(df: DataFrame, keys: list[str], f: Callable[[pa.Table], pa.RecordBatch], schema: str, within: str | None = None) -> DataFrame:
+    """Calls f on tables of whole groups (`keys` must be the first columns); groups of one key are never split.
+
+    With `within`, the first of the keys, groups are those of this key alone, and the others sort its rows.
+    """
+    n = 1 if within else len(keys)
+    return df.repartition(*([within] if within else keys)).sortWithinPartitions(*keys).mapInArrow(lambda it: map(f, runs(it, n)), schema)

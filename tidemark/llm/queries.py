@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import capfilter, decontam, licenses, linecrf, linedrop, mixing, pathjoin, ppm, sharding, urlrules
+from tidemark.llm import capfilter, decontam, filteraudit, licenses, linecrf, linedrop, mixing, pathjoin, ppm, sharding, urlrules
 from tidemark.llm.stage import settle
 
 #: Shards of op8.
@@ -96,6 +96,10 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_lines", "n_dropped", "words_dropped", F.length("text").cast("long").alias("n_chars_left"), F.md5("text").alias("text_md5"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -103,7 +107,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mix_sources, op2_ngram_jaccard_join, op3_ppm_score, op4_decontaminate, op5_line_quality, op6_url_rules, op7_license_scan, op8_rendezvous_shards, op9_cap_filters, op10_line_templates, pipeline)
+    own = (op1_mix_sources, op2_ngram_jaccard_join, op3_ppm_score, op4_decontaminate, op5_line_quality, op6_url_rules, op7_license_scan, op8_rendezvous_shards, op9_cap_filters, op10_line_templates, op11_filter_audit, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -239,10 +243,37 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low, ve
 FROM e LEFT JOIN low ON low.a = r LEFT JOIN per ON per.a = r"""
 
 
+def _op11() -> str:
+    five = ", ".join(f"('{c}', {1 << k})" for k, c in enumerate(filteraudit.LETTERS))
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+first AS (SELECT t, min(doc_id) AS low FROM d GROUP BY t),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY doc_id),
+w AS (SELECT doc_id, part, t, regexp_extract_all(t, {SOLID}) AS ws FROM d),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+    (len(ws) < 100)::INT + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INT + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > low, false)::INT AS mask
+  FROM w JOIN first USING (t) LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, mask, good, bad, count(*) AS n FROM m GROUP BY ALL),
+f(c, bit) AS (VALUES {five}),
+o AS (
+  SELECT a.c || b.c || x.c || y.c || z.c AS filter_order, [a.bit, b.bit, x.bit, y.bit, z.bit] AS bits
+  FROM f a, f b, f x, f y, f z WHERE a.bit | b.bit | x.bit | y.bit | z.bit = 31),
+s AS (SELECT filter_order, step::INT AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (
+  SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n * good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n * bad ELSE 0 END) AS toxic_lost
+  FROM g, s GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that DuckDB can express.
 
     None for op3 (a trie with escapes), op5 (a fitted field), op8 (DuckDB has no crc32) and op10 (templates depend on the
     order in which lines come): tests compare them with brute force.
     """
-    return {"op1_mix_sources": _op1(), "op2_ngram_jaccard_join": _op2(), "op4_decontaminate": _op4(), "op6_url_rules": _op6(), "op7_license_scan": _op7(), "op9_cap_filters": _op9()}
+    return {"op1_mix_sources": _op1(), "op2_ngram_jaccard_join": _op2(), "op4_decontaminate": _op4(), "op6_url_rules": _op6(), "op7_license_scan": _op7(), "op9_cap_filters": _op9(), "op11_filter_audit": _op11()}
