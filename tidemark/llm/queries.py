@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import capfilter, decontam, filteraudit, licenses, linecrf, linedrop, mixing, pathjoin, ppm, sharding, urlrules
+from tidemark.llm import capfilter, decontam, filteraudit, licenses, linecrf, linedrop, mixing, pathjoin, ppm, repeats, sharding, urlrules
 from tidemark.llm.stage import settle
 
 #: Shards of op8.
@@ -100,6 +100,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
 
 
+def op12_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = repeats.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -107,7 +112,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mix_sources, op2_ngram_jaccard_join, op3_ppm_score, op4_decontaminate, op5_line_quality, op6_url_rules, op7_license_scan, op8_rendezvous_shards, op9_cap_filters, op10_line_templates, op11_filter_audit, pipeline)
+    own = (op1_mix_sources, op2_ngram_jaccard_join, op3_ppm_score, op4_decontaminate, op5_line_quality, op6_url_rules, op7_license_scan, op8_rendezvous_shards, op9_cap_filters, op10_line_templates, op11_filter_audit, op12_repeated_bytes, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -270,10 +275,30 @@ SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS remove
   good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r"""
 
 
+def _op12() -> str:
+    return """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+blocks AS (
+  SELECT r, doc_id, b, least(1000, n - 49 - 1000 * b) AS m, substr(h, 2000 * b + 1, 2098) AS h
+  FROM (SELECT *, unnest(range(0, (n - 50) // 1000 + 1)) AS b FROM d WHERE n >= 50)),
+s AS (SELECT r, doc_id, 1000 * b + i AS i, md5(substr(h, 2 * i + 1, 100)) AS k FROM (SELECT *, unnest(range(0, m)) AS i FROM blocks)),
+low AS (SELECT k, min(doc_id) AS low FROM s GROUP BY k),
+hit AS (SELECT r, i FROM s JOIN low USING (k) WHERE low < doc_id),
+marked AS (SELECT r, i, coalesce(i > lag(i) OVER w + 50, true)::INT AS new FROM hit WINDOW w AS (PARTITION BY r ORDER BY i)),
+numbered AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM marked),
+span AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY r, g),
+piece AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS f FROM span),
+kept AS (
+  SELECT r, string_agg(substr(h, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS h, sum(b - a) AS gone, count(*) AS spans
+  FROM piece JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that DuckDB can express.
 
     None for op3 (a trie with escapes), op5 (a fitted field), op8 (DuckDB has no crc32) and op10 (templates depend on the
     order in which lines come): tests compare them with brute force.
     """
-    return {"op1_mix_sources": _op1(), "op2_ngram_jaccard_join": _op2(), "op4_decontaminate": _op4(), "op6_url_rules": _op6(), "op7_license_scan": _op7(), "op9_cap_filters": _op9(), "op11_filter_audit": _op11()}
+    return {"op1_mix_sources": _op1(), "op2_ngram_jaccard_join": _op2(), "op4_decontaminate": _op4(), "op6_url_rules": _op6(), "op7_license_scan": _op7(), "op9_cap_filters": _op9(), "op11_filter_audit": _op11(), "op12_repeated_bytes": _op12()}
