@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import capfilter, decontam, filteraudit, licenses, linecrf, linedrop, mixing, pathjoin, ppm, repeats, sharding, urlrules
+from tidemark.llm import capfilter, decontam, filteraudit, licenses, linecrf, linedrop, mixing, pathjoin, periods, ppm, repeats, sharding, urlrules
 from tidemark.llm.stage import settle
 
 #: Shards of op8.
@@ -105,6 +105,34 @@ def op12_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """The documents with the words that op13's contract repeats in a tenth of them."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    n, g = F.size("words"), F.floor(h / 10)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    again = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")), lambda i: F.get("words", F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+    some = docs.withColumn("words", F.when(h % 10 == 0, words))
+    return some.select("doc_id", F.when(n > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periods.collapse(planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    more = lambda x, y: x["length"] * y["period"] - y["length"] * x["period"]
+    # Runs come by start, then period, so the first of equals stays.
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda x, y: F.when(more(y, x) > 0, y).otherwise(x))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return docs.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col("best")[c].alias(c) for c in ("start", "length", "period")),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2(F.coalesce("collapsed", F.lit("")), 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -112,7 +140,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mix_sources, op2_ngram_jaccard_join, op3_ppm_score, op4_decontaminate, op5_line_quality, op6_url_rules, op7_license_scan, op8_rendezvous_shards, op9_cap_filters, op10_line_templates, op11_filter_audit, op12_repeated_bytes, pipeline)
+    own = (op1_mix_sources, op2_ngram_jaccard_join, op3_ppm_score, op4_decontaminate, op5_line_quality, op6_url_rules, op7_license_scan, op8_rendezvous_shards, op9_cap_filters, op10_line_templates, op11_filter_audit, op12_repeated_bytes, op13_periodic_runs, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -298,7 +326,7 @@ FROM d LEFT JOIN kept USING (r)"""
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that DuckDB can express.
 
-    None for op3 (a trie with escapes), op5 (a fitted field), op8 (DuckDB has no crc32) and op10 (templates depend on the
-    order in which lines come): tests compare them with brute force.
+    None for op3 (a trie with escapes), op5 (a fitted field), op8 and op13 (DuckDB has no crc32) and op10 (templates depend on
+    the order in which lines come): tests compare them with brute force.
     """
     return {"op1_mix_sources": _op1(), "op2_ngram_jaccard_join": _op2(), "op4_decontaminate": _op4(), "op6_url_rules": _op6(), "op7_license_scan": _op7(), "op9_cap_filters": _op9(), "op11_filter_audit": _op11(), "op12_repeated_bytes": _op12()}
