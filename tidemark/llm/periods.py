@@ -200,7 +200,7 @@ def collapse(docs: DataFrame, text: str = "text", least: int = 24, times: int =
     df = docs.drop(*added)
     names = df.columns
     at = names.index(text)
-    schema = df.withColumns({"n_words": F.lit(0).cast("long"), "runs": F.array().cast(RUNS), "collapsed": F.lit("")}).schema
+    schema = df.withColumns({"n_words": F.lit(0).cast("long"), "runs": F.array().cast(RUNS), "collapsed": F.lit(None).cast("string")}).schema
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
