@@ -208,7 +208,7 @@ def collapse(docs: DataFrame, text: str = "text", least: int = 24, times: int =
             for i, j, data, offs in B.chunks(batch.column(at), 2 << 20):
                 w = B.Words(data, offs, B.SOLID, lower=False)
                 rows = j - i
-                own = w.hashes() ^ B.mixed(w.doc.astype(np.uint64) + np.uint64(1))
+                own = B.mixed(w.hashes() + w.doc.astype(np.uint64) * B._R)
                 symbols = np.append(np.unique(own, return_inverse=True)[1], len(own))
                 runs: list[list[dict]] = [[] for _ in range(rows)]
                 gone = np.zeros(len(own) + 1, np.int32)
