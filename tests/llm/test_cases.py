@@ -240,3 +240,16 @@ def test_jaccard_groups_over_blocks_and_joined_keys(spark, monkeypatch):
         want.append((rows[i][0], 0 if links else rows[i][0], len(links)))
     got = pathjoin.join(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, u int, sig int")).collect()
     assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("inline", [0, 5000])
+def test_url_rules_keep_columns_whose_names_clash(spark, inline):
+    rules = [urlrules.Rule("block", "example.com", "/a/"), urlrules.Rule("allow", "www.example.com", "/a/b/"), urlrules.Rule("block", "org", "")]
+    clash = ["size", "pattern", "token", "__token", "__row", "__at", "__a", "at", "row"]
+    rows = [(1, "https://example.com/a/x"), (2, "https://www.example.com/a/b/c"), (3, None), (4, "http://x.org"), (4, "http://x.org"), (5, "nothing")]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.concat(F.lit(c), F.col("page_id")) for c in [*clash, "rule", "host"]})
+    out = urlrules.judge(df, rules, inline=inline)
+    assert sorted(out.columns) == sorted(["page_id", "url", *clash, "host", "path", "rule", "verdict"])
+    got = sorted((r.page_id, r.verdict, r.rule) for r in out.collect())
+    assert got == [(1, "block", "example.com/a/"), (2, "allow", "www.example.com/a/b/"), (3, "allow", None), (4, "block", "org"), (4, "block", "org"), (5, "allow", None)]
+    assert all(r[c] == f"{c}{r.page_id}" for r in out.collect() for c in clash)

@@ -1,10 +1,11 @@
-"""op10's templates against brute force, at any block size and on both ways of dropping lines."""
+"""op10's templates against brute force, near the threshold too, and on both ways of dropping lines."""
 
 from __future__ import annotations
 
 import random
 import re
 from collections import defaultdict
+from itertools import combinations
 
 import pytest
 
@@ -20,34 +21,30 @@ def tokens(line):
     return tuple("#" if re.search("[0-9]", t) else t for t in SOLID.findall(low))
 
 
+def templates(f, alike, lead):
+    """A line's templates, with None where a place is open: up to two pieces behind the leading tokens."""
+    most = int(len(f) * (1 - alike) + 1e-9)
+    size = max(1, most // 2)
+    pieces = [range(i, min(len(f), i + size)) for i in range(lead, len(f), size)]
+    for some in combinations(pieces, min(2, most, len(pieces))):
+        if some:
+            gone = {i for piece in some for i in piece}
+            assert len(gone) <= most
+            yield tuple(None if i in gone else t for i, t in enumerate(f))
+
+
 def brute(texts, min_docs=5, long_docs=2, alike=0.7, lead=3):
-    """Recurring lines where every leaf's lines are apart by far or alike by far, so that the order of search decides nothing."""
-    docs = defaultdict(set)
+    """Lines that recur, or a template of which does."""
+    docs, of = defaultdict(set), defaultdict(set)
     for t in {t for t in texts if t is not None}:
         for line in t.split("\n"):
-            if len(tokens(line)) >= 4:
-                docs[tokens(line)].add(t)
-    leaves = defaultdict(list)
-    for f in docs:
-        leaves[len(f), f[:lead]].append(f)
-    bad = set()
-    for group in leaves.values():
-        top = {f: f for f in group}
-
-        def find(f, top=top):
-            while top[f] != f:
-                f = top[f]
-            return f
-
-        for i, f in enumerate(group):
-            for g in group[:i]:
-                if sum(a == b for a, b in zip(f, g, strict=True)) >= alike * len(f):
-                    top[find(f)] = find(g)
-        for f in group:
-            met = set().union(*(docs[g] for g in group if find(g) == find(f)))
-            if len(met) >= (long_docs if len(f) > 50 else min_docs):
-                bad.add(f)
-    return bad
+            f = tokens(line)
+            if len(f) >= 4:
+                docs[f].add(t)
+                for g in templates(f, alike, lead):
+                    of[g].add(t)
+    enough = lambda f: long_docs if len(f) > 50 else min_docs
+    return {f for f in docs if len(docs[f]) >= enough(f) or any(len(of[g]) >= enough(f) for g in templates(f, alike, lead))}
 
 
 def expected(rows, **options):
@@ -91,9 +88,8 @@ def rows():
     return made()
 
 
-@pytest.mark.parametrize("leaf", [4, 1 << 30])
-def test_lines_equal_brute_force_at_any_block_size(spark, rows, leaf):
-    got = linedrop.drop(spark.createDataFrame(rows, SCHEMA), leaf=leaf).collect()
+def test_lines_equal_brute_force(spark, rows):
+    got = linedrop.drop(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(map(tuple, got), key=str) == expected(rows)
 
 
@@ -106,13 +102,29 @@ def test_lines_by_join_equal_lines_by_broadcast(spark, rows, monkeypatch):
     assert got.filter("doc <> 'kept'").count() == 0
 
 
-def test_many_unlike_lines_of_a_leaf_are_compared_in_pairs_of_blocks(spark):
+@pytest.mark.parametrize("size", [4, 5, 7, 10, 13, 20, 60])
+def test_lines_spread_around_the_threshold(spark, size):
+    rng = random.Random(size)
+    base = [[rng.choice("abcdefgh") * 3 for _ in range(size)] for _ in range(3)]
+    rows = []
+    for i in range(700):
+        line = list(rng.choice(base))
+        for place in rng.sample(range(3, size), min(size - 3, rng.randrange(0, int(size * 0.5) + 1))):
+            line[place] = rng.choice("pqrstuv") * 2
+        rows.append((i, " ".join(line) + f"\nof its own {rng.random()}"))
+    got = sorted(map(tuple, linedrop.drop(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == expected(rows)
+    rng.shuffle(rows)
+    assert sorted(map(tuple, linedrop.drop(spark.createDataFrame(rows, SCHEMA).repartition(7)).collect()), key=str) == got
+
+
+def test_many_unlike_lines_of_a_leaf(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
     unlike = [" ".join(["the", "same", "begin", *(word() for _ in range(7))]) for _ in range(60)]
     planted = "the same begin of a planted line with {} end".format
     rows = [(i, f"{t}\n{planted(word())}" if i % 10 == 0 else t) for i, t in enumerate(unlike)]
-    got = linedrop.drop(spark.createDataFrame(rows, SCHEMA), leaf=4).collect()
+    got = linedrop.drop(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(map(tuple, got), key=str) == expected(rows)
 
 

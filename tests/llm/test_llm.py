@@ -196,7 +196,7 @@ def test_lines(spark, docs, empty):
 
 def test_a_template_of_a_hot_leaf_is_dropped(spark):
     name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
-    rows = [(i, f"failed login for {name(i)} from host a b c d\n{name(i * 7)} {name(i * 11)} {name(i * 13)} {name(i * 17)} {i}") for i in range(2 * linedrop.LEAF + 100)]
+    rows = [(i, f"failed login for {name(i)} from host a b c d\n{name(i * 7)} {name(i * 11)} {name(i * 13)} {name(i * 17)} {i}") for i in range(4196)]
     got = linedrop.drop(spark.createDataFrame(rows, "doc_id long, text string")).agg(F.min("n_dropped"), F.max("n_dropped")).first()
     assert tuple(got) == (1, 1)
 

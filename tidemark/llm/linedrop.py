@@ -1,28 +1,27 @@
 """Line dedup with a log-template tree of fixed depth.
 
 A line's tokens go down a tree: first by their number, then by the `LEAD` leading tokens, where a token with a digit
-counts as a variable.  Lines of a leaf that agree in `alike` or more of their places are one template, whose other
-places become variables.  Templates that recur in `min_docs` or more documents are dropped from all of them; of those
-with more than `long_tokens` tokens, `long_docs` documents are enough, as such passages do not recur by chance.
-
-Equal lines (but for variables) are counted first, so a leaf holds distinct lines only; a leaf in which fewer than
-that many documents meet, or that has one distinct line, needs no tree search.  The lines of a leaf with more than `LEAF`
-distinct lines are dealt by hash to blocks; each block's lines are made into templates in its own task, and the
-templates of all blocks are merged by the same rule, in blocks again while they get fewer.  Those that get no fewer are
-compared in pairs of blocks: each joins the alike one that most documents have, and what is joined is one template.
-So the depth is the same at every size, a template that lies in several blocks is found, and no task holds more than two
-blocks.  Lines of under `min_tokens` tokens are never dropped.  Documents with equal texts count once, as copies of one
-document are no boilerplate.
-
-Defined results: a null text stays null and has no lines, an empty one has one empty line; ties between templates go to
-the older, and templates are made in the order of their lines' document counts, then hashes; repeated rows are documents
-with equal texts; other columns are kept, but n_lines, n_dropped and words_dropped replace columns of these names; an
-empty table gives an empty result.
+counts as a variable.  In a leaf, lines generalise to templates: the places behind the leading tokens are cut into pieces,
+and a template is a line with up to two pieces left open, a share of 1 - `alike` of its places at most.  So every line has
+a fixed set of templates of its own, whatever other lines there are, and lines that differ in up to two fields share one.
+A line is dropped from all documents if it, or one of its templates, recurs in `min_docs` or more; of those with more than
+`long_tokens` tokens, `long_docs` documents are enough, as such passages do not recur by chance.
+
+Templates are hashes, so lines meet in sums by hash and are never compared in pairs; the result does not depend on the
+order or the number of lines.  Equal lines (but for variables) are counted first.  Only leaves with several lines are
+generalised.  A template with one line that recurs by itself recurs too; of the others, which have few documents a line,
+the documents are counted once each.  Lines of under `min_tokens` tokens are never dropped.  Documents with equal texts
+count once, as copies of one document are no boilerplate.
+
+Defined results: a null text stays null and has no lines, an empty one has one empty line; there are no ties; repeated rows
+are documents with equal texts; other columns are kept, but n_lines, n_dropped and words_dropped replace columns of these
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textbytes as B
-from tidemark.llm.graph import components
-from tidemark.llm.grouped import map_groups
-from tidemark.llm.stage import settle
+from tidemark.llm.stage import discard, settle
 
-LEAD, LEAF = 3, 2048
+LEAD = 3
 #: Rows (of 8 or 16 bytes) that are broadcast at most; beyond it, a join does the same.
 BROADCAST_ROWS = 1_000_000
 VARIABLE = np.uint64(0x5BF03635)
@@ -108,145 +105,68 @@ def _tokens(docs: DataFrame, text: str, min_tokens: int) -> DataFrame:
     return docs.filter(F.col(text).isNotNull()).select(text).mapInArrow(emit, "form long, leaf long, tokens binary")
 
 
-def search(lines: list[np.ndarray], alike: float, known: list[np.ndarray] | None = None) -> tuple[list[int], dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """The template of each line of a leaf, as the number of the line that began it, and the tokens and fixed places of each template.
-
-    `known` has the fixed places of lines that are templates themselves.
-    """
-    templates = np.zeros((16, len(lines[0])), np.uint32)
-    fixed = np.zeros((16, len(lines[0])), bool)
-    began: list[int] = []
-    out = []
-    for k, line in enumerate(lines):
-        n = len(began)
-        same = (templates[:n] == line) & fixed[:n]
-        if known is not None:
-            same &= known[k]
-        share = same.mean(axis=1) if n else np.zeros(0)
-        best = int(share.argmax()) if n else 0
-        if n and share[best] >= alike:
-            fixed[best] = same[best]
-            out.append(began[best])
-            continue
-        if n == len(templates):
-            templates, fixed = np.concatenate([templates, templates * 0]), np.concatenate([fixed, fixed & False])
-        templates[n], fixed[n] = line, True if known is None else known[k]
-        began.append(k)
-        out.append(k)
-    return out, {k: (templates[r], fixed[r]) for r, k in enumerate(began)}
-
-
-def _merged(table: pa.Table, alike: float) -> pa.RecordBatch:
-    """f and template of each row; rows of templates whose leaf has more blocks keep what the next pass needs."""
-    at, block = table.column("at").to_numpy(), table.column("block").to_numpy()
-    n, form, blocks = (table.column(c).to_numpy() for c in ("n", "form", "blocks"))
-    tokens, places = table.column("tokens").to_pylist(), table.column("fixed").to_pylist()
-    rows: list[tuple] = []
-    bounds = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), len(at)]
-    for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-        order = sorted(range(s, e), key=lambda r: (-n[r], form[r]))
-        # A hash that two lengths share must not mix them.
-        for size in {len(tokens[r]) for r in order}:
-            of = [r for r in order if len(tokens[r]) == size]
-            known = None if places[of[0]] is None else [np.frombuffer(places[r], bool) for r in of]
-            found, kept = search([np.frombuffer(tokens[r], np.uint32) for r in of], alike, known)
-            total = np.bincount(found, n[of], len(of)).astype(np.int64)
-            for j, (r, k) in enumerate(zip(of, found, strict=True)):
-                if blocks[r] > 1 and j == k:
-                    rows.append((form[r], form[r], at[r], blocks[r], total[k], kept[k][0].tobytes(), kept[k][1].tobytes()))
-                elif j != k:
-                    rows.append((form[r], form[of[k]], at[r], blocks[r], None, None, None))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["f", "template", "at", "blocks", "n", "tokens", "fixed"])
-
-
-def _nearest(table: pa.Table, alike: float) -> pa.RecordBatch:
-    """f and template (another row's form) of the rows of each pair of blocks that an alike row of more documents can take."""
-    at, k1, k2 = (table.column(c).to_numpy() for c in ("at", "k1", "k2"))
-    block, n, form = (table.column(c).to_numpy() for c in ("block", "n", "form"))
-    tokens, places = table.column("tokens").to_pylist(), table.column("fixed").to_pylist()
-    change = (at[1:] != at[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-    bounds = [0, *(np.flatnonzero(change) + 1).tolist(), len(at)]
-    out: list[tuple[int, int, int]] = []
-    for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-        order = sorted(range(s, e), key=lambda r: (-n[r], form[r]))
-        for size in {len(tokens[r]) for r in order}:
-            of = [r for r in order if len(tokens[r]) == size]
-            line = np.stack([np.frombuffer(tokens[r], np.uint32) for r in of])
-            fixed = np.stack([np.frombuffer(places[r], bool) for r in of])
-            one = block[of] == k1[s]
-            for j in range(1, len(of)):
-                share = ((line[:j] == line[j]) & fixed[:j] & fixed[j]).mean(axis=1)
-                share[(one[:j] == one[j]) & (k1[s] != k2[s])] = 0
-                first = int(np.argmax(share >= alike))
-                if share[first] >= alike:
-                    out.append((form[of[j]], form[of[first]], n[of[first]]))
-    columns = zip(*out, strict=True) if out else [()] * 3
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["f", "template", "n"])
-
-
-def _templates(lines: DataFrame, alike: float, leaf: int = LEAF) -> DataFrame:
-    """f, template of the lines that others' templates took.  `lines` has at, blocks, n, form, tokens and fixed."""
-    named: DataFrame | None = None
-
-    def follow(moves: DataFrame) -> DataFrame:
-        if named is None:
-            return moves
-        later = moves.select(F.col("f").alias("f2"), F.col("template").alias("t2"))
-        return settle(named.join(later, F.col("template") == F.col("f2"), "left").select("f", F.coalesce("t2", "template").alias("template")).union(moves))
-
-    salt, stuck = 0, None
-    while True:
-        block = F.pmod(F.xxhash64("form", F.lit(salt)), F.col("blocks")).cast("int")
-        dealt = lines.select("at", block.alias("block"), "blocks", "n", "form", "tokens", "fixed")
-        out = settle(map_groups(dealt, ["at", "block"], lambda t: _merged(t, alike), "f long, template long, at long, blocks int, n long, tokens binary, fixed binary"))
-        named = follow(out.filter("f <> template").select("f", "template"))
-        top = out.filter("f = template")
-        if top.isEmpty():
-            break
-        # Blocks are halved at least from pass to pass; templates that don't get as few go on in pairs of blocks.
-        counts = top.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / leaf).cast("int").alias("blocks2"), F.max("blocks").alias("before")).withColumnRenamed("at", "at2")
-        lines = top.join(counts, F.col("at") == F.col("at2")).select("at", F.col("blocks2").alias("blocks"), "before", "n", F.col("f").alias("form"), "tokens", "fixed")
-        few = F.col("blocks") <= F.col("before") / 2
-        stuck = lines.filter(~few) if stuck is None else stuck.unionByName(lines.filter(~few))
-        lines = lines.filter(few)
-        salt += 1
-    if stuck is None or stuck.isEmpty():
-        return named
-    spread = (
-        stuck.withColumn("block", F.pmod(F.xxhash64("form", F.lit(-1)), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("at", F.least("block", "other").alias("k1"), F.greatest("block", "other").alias("k2"), "block", "n", "form", "tokens", "fixed")
-    )
-    near = map_groups(spread, ["at", "k1", "k2"], lambda t: _nearest(t, alike), "f long, template long, n long")
-    best = near.groupBy("f").agg(F.min(F.struct((-F.col("n")).alias("n"), "template"))["template"].alias("template"))
-    joined = components(best.select(F.col("f").alias("a"), F.col("template").alias("b")))
-    return follow(joined.select(F.col("node").alias("f"), F.col("component").alias("template")).filter("f <> template"))
-
-
-def recurring(docs: DataFrame, text: str = "text", min_docs: int = 5, min_tokens: int = 4, alike: float = 0.7, long_tokens: int = 50, long_docs: int = 2, leaf: int = LEAF) -> DataFrame:
-    """form: the lines whose templates recur.  `leaf`: distinct lines of a block."""
+def openings(n: int, alike: float) -> list[tuple[tuple[int, int], ...]]:
+    """The places that the templates of a line of n tokens leave open, as pieces [from, to)."""
+    most = int(n * (1 - alike) + 1e-9)
+    if n <= LEAD or not most:
+        return []
+    size = max(1, most // 2)
+    pieces = [(i, min(n, i + size)) for i in range(LEAD, n, size)]
+    return list(combinations(pieces, min(2 if most > 1 else 1, len(pieces))))
+
+
+def _generalised(lines: DataFrame, alike: float) -> DataFrame:
+    """template, form, long and n of each line (form, leaf, long, n, tokens)."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            form, leaf, n = (batch.column(k).to_numpy() for k in (0, 1, 3))
+            tokens = batch.column(4)
+            sizes = np.array([len(t) // 4 for t in tokens.to_pylist()]) if len(form) else np.zeros(0, np.int64)
+            for size in np.unique(sizes).tolist():
+                on = np.flatnonzero(sizes == size)
+                ways = openings(size, alike)
+                if not ways:
+                    continue
+                words = np.frombuffer(b"".join(tokens.take(pa.array(on)).to_pylist()), np.uint32).reshape(len(on), size).astype(np.uint64)
+                total = np.zeros((len(on), size + 1), np.uint64)
+                np.cumsum((words + np.uint64(1)) * B.powers(B._Q, size), axis=1, out=total[:, 1:])
+                for k, way in enumerate(ways):
+                    rest = total[:, -1].copy()
+                    for i, j in way:
+                        rest -= total[:, j] - total[:, i]
+                    key = B.mixed(B.mixed(rest) + leaf[on].view(np.uint64) * np.uint64(2 * k + 1)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(form[on]), batch.column(2).take(pa.array(on)), pa.array(n[on])], names=["template", "form", "long", "n"])
+
+    return lines.select("form", "leaf", "long", "n", "tokens").mapInArrow(emit, "template long, form long, long boolean, n long")
+
+
+def recurring(docs: DataFrame, text: str = "text", min_docs: int = 5, min_tokens: int = 4, alike: float = 0.7, long_tokens: int = 50, long_docs: int = 2) -> DataFrame:
+    """form: the lines that recur, or a template of which recurs."""
     ids = settle(_ids(docs, text, min_tokens, long_tokens))
     enough = F.when(F.col("long"), long_docs).otherwise(min_docs)
     forms = ids.groupBy("form", "leaf", "long").agg(F.count(F.lit(1)).alias("n"))
     leaves = forms.groupBy("leaf", "long").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("n")).filter((F.col("forms") > 1) & (F.col("n") >= enough))
-    leaves = settle(leaves.select(F.col("leaf").alias("leaf2"), F.ceil(F.col("forms") / leaf).cast("int").alias("blocks")))
+    leaves = settle(leaves.select(F.col("leaf").alias("leaf2")).distinct())
     within = F.broadcast(leaves) if leaves.count() <= BROADCAST_ROWS else leaves
-    tokens = _tokens(docs, text, min_tokens).join(within, F.col("leaf") == F.col("leaf2")).groupBy("form").agg(F.first("tokens").alias("tokens"), F.first("blocks").alias("blocks"))
-    lines = tokens.join(forms.withColumnRenamed("form", "f2"), F.col("form") == F.col("f2"))
-    moves = _templates(lines.select(F.col("leaf").alias("at"), "blocks", "n", "form", "tokens", F.lit(None).cast("binary").alias("fixed")), alike, leaf)
-    # Lines that share a template with others count the documents of all of them, the rest have their count already.
-    shared = settle(moves.union(moves.select("template", "template")).distinct())
-    alone = forms.join(shared, F.col("form") == F.col("f"), "left_anti").filter(F.col("n") >= enough).select("form")
-    met = ids.join(shared, F.col("form") == F.col("f")).select("template", "long", "doc").distinct()
-    often = met.groupBy("template", "long").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select(F.col("template").alias("t2"))
-    return alone.union(shared.join(often, F.col("template") == F.col("t2")).select("f")).distinct()
-
-
-def drop(docs: DataFrame, text: str = "text", min_docs: int = 5, min_tokens: int = 4, alike: float = 0.7, long_tokens: int = 50, long_docs: int = 2, leaf: int = LEAF) -> DataFrame:
+    tokens = _tokens(docs, text, min_tokens).join(within, F.col("leaf") == F.col("leaf2")).groupBy(F.col("form").alias("f2")).agg(F.first("tokens").alias("tokens"))
+    keys = settle(_generalised(forms.join(tokens, F.col("form") == F.col("f2")), alike))
+    met = keys.groupBy("template", "long").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("met"), F.max("n").alias("most"))
+    met = met.filter((F.col("lines") > 1) & (F.col("met") >= enough)).select(F.col("template").alias("t2"), (F.col("most") >= enough).alias("sure"))
+    some = settle(keys.join(met, F.col("template") == F.col("t2")).select("template", "form", "long", "sure"))
+    open_ = some.filter("not sure").select("template", F.col("form").alias("f2"))
+    each = ids.join(open_, F.col("form") == F.col("f2")).select("template", "long", "doc").distinct()
+    often = each.groupBy("template", "long").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= enough).select(F.col("template").alias("t2"))
+    alone = forms.filter(F.col("n") >= enough).select("form")
+    shared = some.filter("sure").select("form").union(some.filter("not sure").join(often, F.col("template") == F.col("t2"), "left_semi").select("form"))
+    out = settle(alone.union(shared).distinct())
+    discard(ids, leaves, keys, some)
+    return out
+
+
+def drop(docs: DataFrame, text: str = "text", min_docs: int = 5, min_tokens: int = 4, alike: float = 0.7, long_tokens: int = 50, long_docs: int = 2) -> DataFrame:
     """The documents with `text` less its recurring lines; adds n_lines, n_dropped and words_dropped."""
-    bad = settle(recurring(docs, text, min_docs, min_tokens, alike, long_tokens, long_docs, leaf))
+    bad = recurring(docs, text, min_docs, min_tokens, alike, long_tokens, long_docs)
     new = ["n_lines", "n_dropped", "words_dropped"]
     df = docs.drop(*new)
     names = df.columns

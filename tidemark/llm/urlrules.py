@@ -4,7 +4,8 @@ A rule is (verdict, host, path).  It fits its host and every subdomain of it, wh
 path; of the rules that fit, the longest one wins.
 
 Defined results: a null URL, or one without "://", has an empty host and path, fits no rule and gets the default verdict;
-repeated rows are judged alike; an empty table gives an empty result; other columns are kept.
+repeated rows are judged alike; an empty table gives an empty result; other columns are kept, whatever their names, but
+those that are added replace columns of the same name.
 """
 
 from __future__ import annotations
@@ -83,18 +84,19 @@ def judge(df: DataFrame, rules: Sequence[Rule], url: str = "url", default: str =
         best = F.array_max(F.filter(fetched, lambda r: F.regexp_like(address, r["pattern"])))
         found = df.withColumn("__best", best)
     else:
-        spark, keep = df.sparkSession, df.columns
-        book = spark.createDataFrame(
+        keep, own = df.columns, "__"
+        # The book's columns have names that no column of the table begins with.
+        while any(c.startswith(own) for c in keep):
+            own += "_"
+        book = df.sparkSession.createDataFrame(
             [(t, len(r.name), r.name, r.verdict, r.pattern) for t, rs in filed.items() for r in rs],
-            "__token string, size int, rule string, verdict string, pattern string",
+            ", ".join(f"{own}{c}" for c in ("token string", "size int", "rule string", "verdict string", "pattern string")),
         )
-        key = df.withColumn("__row", F.struct(F.monotonically_increasing_id(), F.spark_partition_id()))
-        hits = (
-            key.select(*keep, "__row", F.explode(tokens).alias("__token"), address.alias("__a"))
-            .join(book, "__token", "left")
-            .withColumn("__best", F.when(F.expr("__a rlike pattern"), F.struct("size", "rule", "verdict", "pattern")))
-        )
-        found = hits.groupBy("__row").agg(*(F.first(c).alias(c) for c in keep), F.max("__best").alias("__best")).drop("__row")
+        best = F.struct(*(F.col(own + c).alias(c) for c in ("size", "rule", "verdict", "pattern")))
+        key = df.withColumn(own + "row", F.struct(F.monotonically_increasing_id(), F.spark_partition_id()))
+        hits = key.select(*keep, own + "row", F.explode(tokens).alias(own + "token"), address.alias(own + "at")).join(book, own + "token", "left")
+        fits = F.when(F.regexp_like(own + "at", F.col(own + "pattern")), best)
+        found = hits.groupBy(own + "row").agg(*(F.first(c).alias(c) for c in keep), F.max(fits).alias("__best")).drop(own + "row")
     return (
         found.withColumn("rule", F.col("__best.rule"))
         .withColumn("verdict", F.coalesce("__best.verdict", F.lit(default)))
