@@ -29,7 +29,7 @@ def brute(docs: list[tuple], n: int = 50) -> list[tuple]:
     return sorted(out, key=str)
 
 
-def found(spark, docs: list[tuple], n: int = 50, hot: int = R.HOT) -> list[tuple]:
+def found(spark, docs: list[tuple], n: int = 50, hot: int | None = None) -> list[tuple]:
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("doc", "kept", "whole", "want", "rank")})
     out = R.remove(df, n=n, hot=hot)
     assert {"doc", "whole", "want", "rank"} <= set(out.columns) and len(set(out.columns)) == len(out.columns)
@@ -52,7 +52,7 @@ def corpus(seed: int) -> list[tuple]:
     return docs
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, R.HOT), (2, 3), (3, 40)])
+@pytest.mark.parametrize(("seed", "hot"), [(1, None), (2, 3), (3, 40)])
 def test_removed_bytes_equal_brute_force(spark, seed, hot):
     docs = corpus(seed)
     assert found(spark, docs, hot=hot) == brute(docs)
@@ -75,5 +75,5 @@ def test_hot_passage_in_unlike_documents(spark):
     rng = random.Random(9)
     common = "this passage of more than fifty bytes stands in every one of the documents, "
     docs = [(k, "".join(rng.choices("klmnop", k=40)) + common + "".join(rng.choices("klmnop", k=40))) for k in range(400)]
-    for hot in (R.HOT, 20):
+    for hot in (None, 20):
         assert found(spark, docs, hot=hot) == brute(docs)

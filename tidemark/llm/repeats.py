@@ -13,8 +13,9 @@ anchors, whatever stands around them, so a string whose anchor occurs in one doc
    of 32 bytes at the anchor's side that they all hold, doubled from the anchor's own: those that start up to 16 bytes
    before the anchor by the bytes from there on, the rest by the anchor's bytes and the 16 behind it.  Ranks that one
    document has leave.
-3. Strings of n bytes under a rank are sorted; those whose first document is another one go.  An anchor with over `hot` units
-   sends its strings one by one, to be combined before the shuffle, so that no task holds them.
+3. Strings of n bytes under a rank are sorted; those whose first document is another one go.  An anchor that stands out, with
+   a `SHARE` of all units that are left or more than `MOST`, sends its strings one by one instead, to be combined before the
+   shuffle; so no task holds a hot anchor's units, and none holds more than `MOST` of one anchor.
 
 Texts are read three times and travel twice, to meet what was found in them; no rank is collected.
 
@@ -39,8 +40,8 @@ from tidemark.llm.stage import discard, settle
 
 #: Bytes of an anchor.
 GRAM = 16
-#: Units of an anchor beyond which its strings are sorted one by one.
-HOT = 4096
+#: An anchor with more units than this share of all, or than MOST, has its strings sorted one by one; one with up to LEAST never.
+SHARE, LEAST, MOST = 1 / 1024, 2048, 1 << 17
 _C = np.uint64(0x9FB21C651E98DF25)
 _D = np.uint64(0xD6E8FEB86659FD93)
 
@@ -149,8 +150,8 @@ def _units(docs: DataFrame, n: int) -> DataFrame:
 GONE, FIRST = 0, 1
 
 
-def _shared(units: DataFrame, hot: int) -> DataFrame:
-    """doc, whole, kind, ask (whether an earlier document has the anchor) and hot, of units whose anchor several documents have."""
+def _shared(units: DataFrame) -> DataFrame:
+    """doc, whole, kind, ask (whether an earlier document has the anchor) and size (units of the anchor), of units whose anchor several documents have."""
     dealt = units.repartition("rank")
     anchor, unit = Window.partitionBy("rank"), Window.partitionBy("rank", "whole")
     last = F.when(F.col("docs").isNull(), F.col("doc")).otherwise(F.element_at("docs", -1))
@@ -159,11 +160,11 @@ def _shared(units: DataFrame, hot: int) -> DataFrame:
         F.min("doc").over(anchor).alias("low"),
         F.max(last).over(anchor).alias("high"),
         (F.min("whole").over(anchor) < F.max("whole").over(anchor)).alias("mixed"),
-        (F.count(F.lit(1)).over(anchor) > hot).alias("hot"),
+        F.count(F.lit(1)).over(anchor).alias("size"),
     ).filter("low < high")
-    each = seen.select("whole", "first", "low", "mixed", "hot", F.explode(F.coalesce("docs", F.array("doc"))).alias("doc"))
+    each = seen.select("whole", "first", "low", "mixed", "size", F.explode(F.coalesce("docs", F.array("doc"))).alias("doc"))
     return each.filter("doc > first or mixed").select(
-        "doc", "whole", F.when(F.col("doc") > F.col("first"), GONE).otherwise(FIRST).cast("byte").alias("kind"), (F.col("low") < F.col("doc")).alias("ask"), "hot"
+        "doc", "whole", F.when(F.col("doc") > F.col("first"), GONE).otherwise(FIRST).cast("byte").alias("kind"), (F.col("low") < F.col("doc")).alias("ask"), "size"
     )
 
 
@@ -264,13 +265,17 @@ def _earlier(table: pa.Table, n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(whole[hit]), pa.array(mask[hit])], names=["doc", "whole", "mask"])
 
 
-def find(docs: DataFrame, text: str = "text", doc: str = "doc_id", n: int = 50, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """doc, whole and mask of units that lose strings: bit k stands for the string at place k of the unit, -1 for all of them; and a table to discard afterwards."""
+def find(docs: DataFrame, text: str = "text", doc: str = "doc_id", n: int = 50, hot: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """doc, whole and mask of units that lose strings: bit k stands for the string at place k of the unit, -1 for all of them; and a table to discard afterwards.
+
+    `hot`: units of an anchor beyond which its strings are sorted one by one, instead of what SHARE, LEAST and MOST give.
+    """
     if not 3 * GRAM <= n <= 62 + GRAM:
         raise ValueError("n must be from 48 to 78")
     given = docs.filter(F.col(doc).isNotNull() & (F.octet_length(text) >= n)).select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
-    seen = settle(_shared(_units(given, n), hot))
-    firsts = seen.filter(F.col("kind") == FIRST)
+    seen = settle(_shared(_units(given, n)))
+    most = min(MOST, max(LEAST, int(seen.count() * SHARE))) if hot is None else hot
+    firsts = seen.filter(F.col("kind") == FIRST).withColumn("hot", F.col("size") > most)
     alike = map_groups(_strings(given, firsts, n, False), ["rank"], lambda t: _earlier(t, n), "doc long, whole long, mask long")
     parts = [seen.filter(F.col("kind") == GONE).select("doc", "whole", F.lit(-1).cast("long").alias("mask")), alike]
     if not firsts.filter("hot").isEmpty():
@@ -284,7 +289,7 @@ def find(docs: DataFrame, text: str = "text", doc: str = "doc_id", n: int = 50,
     return out, seen
 
 
-def remove(docs: DataFrame, text: str = "text", doc: str = "doc_id", n: int = 50, hot: int = HOT) -> DataFrame:
+def remove(docs: DataFrame, text: str = "text", doc: str = "doc_id", n: int = 50, hot: int | None = None) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes left) to the documents."""
     added = ["n_bytes", "n_removed", "n_spans", "kept"]
     df = docs.drop(*added)
