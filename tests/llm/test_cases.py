@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import math
 import re
+import time
+import tracemalloc
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import capfilter, decontam, graph, licenses, mixing, pathjoin, ppm, sharding, urlrules
+from tidemark.llm import capfilter, decontam, graph, licenses, linecrf, mixing, pathjoin, ppm, sharding, urlrules
 
 SOLID = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -253,3 +257,88 @@ def test_url_rules_keep_columns_whose_names_clash(spark, inline):
     got = sorted((r.page_id, r.verdict, r.rule) for r in out.collect())
     assert got == [(1, "block", "example.com/a/"), (2, "allow", "www.example.com/a/b/"), (3, "allow", None), (4, "block", "org"), (4, "block", "org"), (5, "allow", None)]
     assert all(r[c] == f"{c}{r.page_id}" for r in out.collect() for c in clash)
+
+
+#: Whole licences as distributions ship them, and what they are.
+WHOLE = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+
+
+@pytest.mark.skipif(not all(Path("/usr/share/common-licenses", n).exists() for n in WHOLE), reason="no whole licences here")
+def test_whole_licence_files_are_inherited(spark):
+    rows = []
+    for n in WHOLE:
+        text = Path("/usr/share/common-licenses", n).read_text()
+        rows += [(f"{n}/LICENSE", text), (f"{n}/src/a.py", "x = 1"), (f"{n}/README", "all about " + n)]
+    rows += [("own/a.txt", "Copyright 2020 Foo.\nAll rights reserved."), ("own/b.txt", "plain"), ("own/COPYING", "All rights reserved."), ("prose/b.txt", "plain"), ("prose/long.md", "Released under the MIT License.\n" + "word " * 400)]
+    got = {r.path: (r.license, r.origin) for r in licenses.scan(spark.createDataFrame([(k, t, p) for k, (p, t) in enumerate(rows)], "doc_id long, text string, path string")).collect()}
+    for n, name in WHOLE.items():
+        assert got[f"{n}/LICENSE"] == (name, "own") and got[f"{n}/src/a.py"] == got[f"{n}/README"] == (name, "inherited"), n
+    assert got["own/a.txt"] == ("Proprietary", "own") and got["own/b.txt"] == (None, "none") and got["own/COPYING"] == ("Proprietary", "own")
+    assert got["prose/long.md"] == ("MIT", "own") and got["prose/b.txt"] == (None, "none")
+
+
+def test_a_prompt_that_thousands_of_items_share_costs_as_one(spark):
+    prompt = " ".join(f"shared{k}" for k in range(60))
+    docs = pa.array([f"own {k} {prompt} end {k}" for k in range(200)])
+
+    def took(items):
+        block = decontam.Block(items, 13)
+        began = time.perf_counter()
+        _, spans, found = decontam._scan(block, docs)
+        return time.perf_counter() - began, spans, found
+
+    many = [(f"i{k}", f"{prompt} question number {k} of them") for k in range(2000)]
+    one = min(took(many[:1])[0] for _ in range(3))
+    all_, spans, found = min((took(many) for _ in range(3)), key=lambda x: x[0])
+    assert all_ < 2 * one + 0.1
+    assert all(s == [(2, 62)] for s in spans) and all(f == sorted(i for i, _ in many) for f in found)
+
+
+def test_blocks_of_a_benchmark_find_what_one_block_finds(spark):
+    rng = np.random.default_rng(2)
+    word = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 400, n))
+    items = [(f"i{k}", word(int(rng.integers(0, 40)))) for k in range(60)] + [("i1", word(20)), (None, word(15)), ("none", None)]
+    texts = [f"{word(5)} {items[k % 60][1]} {word(3)} {items[(k * 7) % 60][1]}" for k in range(80)] + [None, "", items[3][1], items[3][1]]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, h1 string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    whole = [decontam.find(docs, bench, block_bytes=n, cut=c) for n in (1 << 24, 300) for c in (False, True)]
+    rows = [{r.doc_id: r for r in w.collect()} for w in whole]
+    assert rows[0] == rows[2] and rows[1] == rows[3] and whole[2].columns == ["doc_id", "text", "h1", "n_words", "hits", "items"]
+    assert any(r["items"] for r in rows[0].values()) and rows[0][80]["n_words"] == 0
+
+
+def test_the_fit_of_a_full_sample_is_bounded():
+    rng = np.random.default_rng(0)
+    n, docs = linecrf.ALL_LINES, linecrf.SAMPLE
+    x = linecrf.Lines(rng.random((n, 21)), np.ones(n), np.arange(docs + 1) * (n // docs))
+    tracemalloc.start()
+    linecrf.Field(66).fit(x, rng.integers(0, 2, docs), steps=2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most + x.shape.nbytes + 88 * n < 1e9
+
+
+def test_the_fit_takes_inputs_of_neighbours(spark):
+    rng = np.random.default_rng(1)
+    x = linecrf.Lines(rng.random((50, 21)), np.ones(50), np.array([0, 1, 4, 20, 50]))
+    y = np.array([0, 1, 0, 1])
+    field = linecrf.Field(66).fit(x, y, steps=40)
+    # The same steps, on all inputs at once.
+    z, slow = linecrf.inputs(x), linecrf.Field(66)
+    label, weight = np.repeat(y, np.diff(x.at)).astype(float), np.repeat(1 / np.sqrt(np.diff(x.at)), np.diff(x.at))
+    weight /= weight.sum()
+    inner = np.setdiff1d(np.arange(50), x.at[1:] - 1)
+    wanted, m1, m2 = np.zeros((2, 2)), np.zeros(70), np.zeros(70)
+    np.add.at(wanted, (label[inner].astype(int), label[inner + 1].astype(int)), weight[inner])
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for k in range(1, 41):
+        e = z @ slow.w
+        p, left, right = slow.marginals(e, x.at)
+        s, r, m = sig(left[inner]), sig(e[inner + 1] + right[inner + 1]), np.exp(slow.t)
+        joint = np.stack([(1 - s) * m[0, 0] * (1 - r), (1 - s) * m[0, 1] * r, s * m[1, 0] * (1 - r), s * m[1, 1] * r])
+        got = (joint / joint.sum(0) * weight[inner]).sum(1).reshape(2, 2)
+        g = np.concatenate([z.T @ (weight * (label - p)) - 1e-4 * slow.w, (wanted - got - 1e-4 * slow.t).ravel()])
+        m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
+        step = 0.1 * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.999**k)) + 1e-9)
+        slow.w, slow.t = slow.w + step[:-4], slow.t + step[-4:].reshape(2, 2)
+    assert np.allclose(field.w, slow.w, atol=1e-6) and np.allclose(field.t, slow.t, atol=1e-6)

@@ -1,10 +1,13 @@
 """Benchmark decontamination: n-gram windows of test items, found in documents, verified and removed.
 
 The windows of the items are hashed into a set that goes to the executors; documents' windows are looked up in it, and
-each hit is compared by its bytes.  Items are taken in blocks of at most `block_bytes` of UTF-8 text (or one item), each
-with its own set, so what is broadcast at once and held by a worker is bounded however large the benchmark is: the driver
-makes one block after the other, and a worker that has passed a batch of documents through a block drops it before it
-loads the next.  Documents pass through one scan, without a shuffle.
+each hit is compared by its bytes.  A window is held once, however many items have it, with the number of its list of
+items; windows of a passage that many items share have the same list, so a hit costs the same as one of a single item.
+
+A benchmark of at most `block_bytes` of UTF-8 text is one such set, and documents pass through one scan, without a shuffle.
+A larger one is taken in blocks of that size (or one item): each is broadcast, looked up in all documents, what is found is
+written as a table, and the block goes before the next is made.  So what is broadcast at once and held by a worker is
+bounded however large the benchmark is; the tables are joined to the documents by their texts' hashes.
 
 Words are runs of digits, lower-cased letters and characters above ASCII.  A window is n words; an item of fewer words
 (but not none) is one window.
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,20 +30,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textbytes as B
+from tidemark.llm.stage import settle
 
 BLOCK_BYTES = 16 << 20
 
 
 class Block:
-    """The windows of some items as arrays: by length, sorted hashes, and the item and the place of each.
+    """The windows of some items as arrays: by length, sorted hashes, and the place and the list of items of each.
 
-    `text` has the items' words, lower-cased and parted by single spaces, so a window is a slice of it.  An item's
-    repeats of a window are one.  A window takes 16 bytes (18 while they are made), so a block of n bytes of text, with
-    a window for each four bytes at most, takes about 5 n.
+    `text` has the items' words, lower-cased and parted by single spaces, so a window is a slice of it.  A window takes 20
+    bytes (more while they are made), so a block of n bytes of text, with a window for each four bytes at most, takes
+    about 6 n.
     """
 
     def __init__(self, items: list[tuple[str, str]], n: int):
-        self.names = sorted({i for i, _ in items})
+        self.names = np.array(sorted({i for i, _ in items}), object)
         number = {i: k for k, i in enumerate(self.names)}
         texts, found, base = [], defaultdict(list), 0
         for i, j, data, offs in B.chunks(pa.array([t for _, t in items], pa.large_string()), 1 << 20) if items else ():
@@ -47,39 +52,55 @@ class Block:
             if not len(w.begin):
                 continue
             spaced, begin = w.spaced()
-            size_of = np.minimum(w.count, n)
+            size_of, words = np.minimum(w.count, n), w.hashes()
             for size in np.unique(size_of[size_of > 0]).tolist():
-                first, h = B.windows(w.hashes(), w.doc, size)
+                first, h = B.windows(words, w.doc, size)
+                _, h2 = B.windows(B.mixed(words + np.uint64(size)), w.doc, size)
                 mine = size_of[w.doc[first]] == size
-                first, h = first[mine], h[mine]
+                first, h, h2 = first[mine], h[mine], h2[mine]
                 who = np.array([number[items[i + d][0]] for d in range(j - i)], np.uint32)[w.doc[first]]
-                found[size].append((h, who, (base + begin[first]).astype(np.uint32)))
+                found[size].append((h, h2, who, (base + begin[first]).astype(np.uint32)))
             texts.append(spaced)
             base += len(spaced)
         self.text = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
         self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.seen: dict[int, np.ndarray] = {}
+        self.lists: list[np.ndarray] = []
+        known: dict[tuple, int] = {}
         for size, parts in found.items():
-            h, who, at = (np.concatenate([p[k] for p in parts]) for k in range(3))
+            h, h2, who, at = (np.concatenate([p[k] for p in parts]) for k in range(4))
             parts.clear()
-            order = np.lexsort((who, h))
-            h, who, at = h[order], who[order], at[order]
-            once = np.ones(len(h), bool)
-            once[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
-            self.windows[size] = h[once], who[once], at[once]
+            order = np.lexsort((who, h2, h))
+            h, h2, who, at = h[order], h2[order], who[order], at[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
+            once = new.copy()
+            once[1:] |= who[1:] != who[:-1]
+            start = np.flatnonzero(new[once])
+            own = who[once]
+            # Lists are told apart by their length and two sums over hashes of their items.
+            marks = B.mixed(own.astype(np.uint64) + np.uint64(1))
+            sums = np.add.reduceat(marks, start), np.add.reduceat(B.mixed(marks), start), np.diff(np.append(start, len(own)))
+            of = np.empty(len(start), np.int32)
+            for k, key in enumerate(zip(*(x.tolist() for x in sums), strict=True)):
+                if key not in known:
+                    known[key] = len(self.lists)
+                    self.lists.append(own[start[k] : start[k] + key[2]].copy())
+                of[k] = known[key]
+            self.windows[size] = h[new], at[new], of
             self.seen[size] = np.zeros(1 << 20, bool)
             self.seen[size][(h >> np.uint64(44)).astype(np.int64)] = True
 
-    def scan(self, w: B.Words) -> tuple[dict[int, list[tuple[int, int]]], dict[int, set[str]]]:
-        """By row: windows that occur (first word, word after the last; of the row), and ids of their items."""
+    def scan(self, w: B.Words) -> tuple[dict[int, list[tuple[int, int]]], dict[int, set[int]]]:
+        """By row: windows that occur (first word, word after the last; of the row), and the lists of their items."""
         spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        ids: dict[int, set[str]] = defaultdict(set)
+        lists: dict[int, set[int]] = defaultdict(set)
         if not self.windows or not len(w.begin):
-            return spans, ids
+            return spans, lists
         h = w.hashes()
         spaced, begin = w.spaced()
         end = begin + w.end - w.begin
-        for size, (table, who, at) in self.windows.items():
+        for size, (table, at, of) in self.windows.items():
             first, got = B.windows(h, w.doc, size)
             maybe = self.seen[size][(got >> np.uint64(44)).astype(np.int64)]
             first, got = first[maybe], got[maybe]
@@ -87,13 +108,18 @@ class Block:
             on = np.flatnonzero(high > low)
             for x, lo, hi in zip(first[on].tolist(), low[on].tolist(), high[on].tolist(), strict=True):
                 text = spaced[begin[x] : end[x + size - 1]]
-                same = [k for k in range(lo, hi) if np.array_equal(self.text[at[k] : at[k] + len(text)], text) and (at[k] + len(text) == len(self.text) or self.text[at[k] + len(text)] == 32)]
-                if same:
-                    d = int(w.doc[x])
-                    x0 = x - int(w.at[d])
-                    spans[d].append((x0, x0 + size))
-                    ids[d].update(self.names[who[k]] for k in same)
-        return spans, ids
+                for k in range(lo, hi):
+                    stop = int(at[k]) + len(text)
+                    if np.array_equal(self.text[at[k] : stop], text) and (stop == len(self.text) or self.text[stop] == 32):
+                        d = int(w.doc[x])
+                        x0 = x - int(w.at[d])
+                        spans[d].append((x0, x0 + size))
+                        lists[d].add(int(of[k]))
+        return spans, lists
+
+    def items(self, lists: set[int]) -> list[str]:
+        """The ids in some lists, sorted as text."""
+        return self.names[np.unique(np.concatenate([self.lists[k] for k in lists]))].tolist()
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -122,6 +148,48 @@ def item_blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterat
         yield rows
 
 
+_SPANS = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+
+
+def _scan(block: Block | None, column: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[str]]]:
+    """Of each text: number of words, merged spans and items."""
+    counts, spans, items = np.zeros(len(column), np.int64), [[] for _ in range(len(column))], [[] for _ in range(len(column))]
+    for i, j, data, offs in B.chunks(column):
+        w = B.Words(data, offs, B.ALNUM)
+        counts[i:j] = w.count
+        found, lists = block.scan(w) if block is not None else ({}, {})
+        for d, s in found.items():
+            spans[i + d], items[i + d] = merged(s), block.items(lists[d])
+    return counts, spans, items
+
+
+def _as_spans(spans: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"from": x, "to": y} for x, y in s] for s in spans], _SPANS)
+
+
+def _by_blocks(docs: DataFrame, blocks: Iterator[list[tuple[str, str]]], text: str, n: int) -> DataFrame:
+    """h1 and h2 (hashes of a text), and spans and items of all blocks, of the texts in which anything is found."""
+    tables = []
+    texts = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h1"), F.md5(text).alias("h2"), F.col(text).alias("text"))
+    for rows in blocks:
+        block = docs.sparkSession.sparkContext.broadcast(Block(rows, n))
+
+        def look(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                _, spans, items = _scan(block.value, batch.column(2))
+                on = pa.array([k for k, s in enumerate(spans) if s], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(on), batch.column(1).take(on), _as_spans(spans).take(on), pa.array(items, pa.list_(pa.string())).take(on)], names=["h1", "h2", "spans", "items"])
+
+        schema = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.StringType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
+        tables.append(settle(texts.mapInArrow(look, schema).dropDuplicates(["h1", "h2"])))
+        block.destroy()
+    every = tables[0]
+    for t in tables[1:]:
+        every = every.unionByName(t)
+    # A text has a row a block at most.
+    return every.groupBy("h1", "h2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 13, block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
     """Adds n_words, hits (merged spans of words inside occurring windows) and items (ids, sorted as text).
 
@@ -130,33 +198,25 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     df = docs.drop("n_words", "hits", "items")
     names = df.columns
     schema = df.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast(SPANS), "items": F.array().cast("array<string>")}).schema
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(Block(rows, n)) for rows in item_blocks(benchmark, item, item_text, block_bytes)]
-    kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+    blocks = item_blocks(benchmark, item, item_text, block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        whole, given = docs.sparkSession.sparkContext.broadcast(Block(first, n)), df
+    else:
+        whole = None
+        found = _by_blocks(df, chain((first, second), blocks), text, n)
+        found = found.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("spans").alias("__spans"), F.col("items").alias("__items"))
+        given = df.join(found, (F.xxhash64(text) == F.col("__h1")) & (F.md5(text) == F.col("__h2")), "left").select(*names, "__spans", "__items")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = np.zeros(batch.num_rows, np.int64)
-            hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            items: dict[int, set[str]] = defaultdict(set)
-            for b in blocks or [None]:
-                block = b.value if b is not None else None
-                for i, j, data, offs in B.chunks(batch.column(names.index(text))):
-                    w = B.Words(data, offs, B.ALNUM)
-                    counts[i:j] = w.count
-                    spans, ids = block.scan(w) if block is not None else ({}, {})
-                    for d, s in spans.items():
-                        hits[i + d] = merged(hits[i + d] + s)
-                        items[i + d] |= ids[d]
-                if len(blocks) > 1:
-                    del block
-                    # The worker keeps what it has loaded: with more than one block, the next use loads it anew.
-                    b.__dict__.pop("_value", None)
-            found = pa.array([[{"from": x, "to": y} for x, y in hits[r]] if r in hits else [] for r in range(batch.num_rows)], kind)
-            named = pa.array([sorted(items[r]) if r in items else [] for r in range(batch.num_rows)], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts), found, named], names=[*names, "n_words", "hits", "items"])
-
-    df = df.mapInArrow(scan, schema)
+            counts, spans, items = _scan(whole.value if whole is not None else None, batch.column(names.index(text)))
+            if whole is None:
+                spans = [merged([(x["from"], x["to"]) for x in s or ()]) for s in batch.column(len(names)).to_pylist()]
+                items = [sorted(x or ()) for x in batch.column(len(names) + 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(counts), _as_spans(spans), pa.array(items, pa.list_(pa.string()))], names=[*names, "n_words", "hits", "items"])
+
+    df = given.mapInArrow(scan, schema)
     return df.mapInArrow(lambda it: map(lambda b: cut_spans(b, text), it), schema) if cut else df
 
 

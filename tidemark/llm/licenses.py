@@ -10,9 +10,11 @@ passed over by one pattern; it has as many of the template's tokens as it takes
 that some template has hold `least` squared of its own squared length, however rarely the others are repeated.  Units
 that fail one of these go before anything is exploded, and nothing is lost by it.
 
-A file whose words are for `share` or more in units of one kind that reach it is a licence file: its directory and all
-below have its licence, unless they have one that is nearer or the file has its own.  Of a directory's licence files the
-one with the highest score counts, then the smallest licence name.
+A file whose words are for `share` or more in units of one kind that reach it is a licence file, and so is one that has such
+a unit and a name that says so (`NAMED`), as whole licences are longer than the parts of them that are templates.  Its
+directory and all below have its licence, unless they have one that is nearer or the file has its own.  Of a directory's
+licence files the one with the highest score counts, then the smallest licence name.  A phrase that stands in texts of any
+licence (`WEAK`) names a file's licence only where nothing else does, and never that of a directory.
 
 Defined results: a null text or one without such a unit has no licence of its own; a null path has no directory and
 inherits nothing; equal (key, text) rows get the same result; the columns license, score, origin and origin_dir replace
@@ -39,6 +41,10 @@ BLANK = r"\n[ \t\r#*/;%-]*\n"
 LEAST, SHARE = 0.8, 0.1
 #: Words of templates that any text has, and that are cues only where no others are enough.
 COMMON = {"a", "all", "an", "and", "any", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "not", "of", "on", "or", "other", "that", "the", "this", "to", "under", "with", "you", "your"}
+#: Names of licence files, without their directory.
+NAMED = r"(?i)^(licen[cs]es?|copying|copyright|notice|unlicense)([._-].*)?$"
+#: Licences whose template stands in texts of others.
+WEAK = ("Proprietary",)
 ADDED = ("license", "score", "origin", "origin_dir")
 
 
@@ -143,7 +149,7 @@ def own(files: DataFrame, key: str, text: str, templates: Mapping[str, str | Seq
     norms = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("__x") * F.col("__x"))).alias("__norm"), F.flatten(F.collect_list(F.transform("__by", lambda b: F.struct(b["k"].alias("k"), b["i"].alias("i"), (b["u"] * F.col("__x")).alias("d"))))).alias("__d"))
     cosines = norms.select(*unit, "__norm", F.explode("__d").alias("__e")).groupBy(*unit, F.col("__e.k").alias("license"), F.col("__e.i").alias("__i")).agg((F.sum("__e.d") / F.first("__norm")).alias("score"))
     # Scores are compared to six places, so that the order of summing decides nothing.
-    ranked = F.struct((-F.col("score")).alias("s"), F.col("license").alias("k"))
+    ranked = F.struct(F.col("license").isin(*WEAK).alias("weak"), (-F.col("score")).alias("s"), F.col("license").alias("k"))
     best = cosines.withColumn("score", F.floor(F.col("score") * 1e6 + 0.5) / 1e6).filter(F.col("score") >= least).groupBy(*unit).agg(F.min(ranked).alias("__best"))
     kinds = best.groupBy("__k", "__t", "__kind").agg(F.min("__best").alias("__best"), F.sum("__n").alias("__n"))
     whole = kinds.groupBy("__k", "__t").agg(F.min("__best").alias("__best"), F.max("__n").alias("__words"))
@@ -170,7 +176,7 @@ def scan(files: DataFrame, key: str = "doc_id", text: str = "text", path: str =
     )
     holds = (
         marked.filter("__license is not null and __dir is not null")
-        .filter(F.col("__words") >= share * F.col("__all"))
+        .filter(~F.col("__license").isin(*WEAK) & ((F.col("__words") >= share * F.col("__all")) | F.regexp_replace(path, "^.*/", "").rlike(NAMED)))
         .groupBy("__dir")
         .agg(F.min(F.struct((-F.col("__score")).alias("s"), F.col("__license").alias("k"))).alias("__h"))
         .select(F.col("__dir").alias("__up"), F.col("__h.k").alias("k"), (-F.col("__h.s")).alias("s"))

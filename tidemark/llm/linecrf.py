@@ -5,11 +5,12 @@ and the shapes of the line before and after; neighbouring labels are tied by lea
 fitted by gradient ascent to labelled documents, whose lines all carry the document's label; a document's score is the
 mean of its lines' forward-backward marginals, weighted by the lines' lengths in bytes.
 
-Fitting uses the labelled rows with the smallest hashes, `sample` at most, and of these the documents of `most_lines`
-lines at most: only their line features come to the driver (88 bytes a line), and of a document only the label and the
-lines enter, never its language, source or id.  Scoring reads every text.
+Fitting uses the labelled rows with the smallest hashes, `sample` at most, of these the documents of `most_lines` lines at
+most, and of these, from the smallest hash on, as many as have `all_lines` lines together.  Only their line features come
+to the driver (88 bytes a line, and about 400 while the field is fitted), and of a document only the label and the lines
+enter, never its language, source or id.  Scoring reads every text.
 
-Defined results: a null or empty text, or one of line breaks alone, has one empty line, and is scored by that line's
+Defined results: rows that share an id count as the one whose text has the smallest hash; a null or empty text, or one of line breaks alone, has one empty line, and is scored by that line's
 features like any other; without labelled rows every score is 0.5; repeated rows get equal scores; other columns are kept.
 """
 
@@ -21,12 +22,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import textbytes as B
 
-#: Labelled documents that a fit takes at most, and lines of one of them.
-SAMPLE, MOST_LINES = 4_000, 1_000
+#: Labelled documents that a fit takes at most, lines of one of them, and lines of all.
+SAMPLE, MOST_LINES, ALL_LINES = 4_000, 1_000, 1_000_000
 
 
 def _kind(chars: str) -> np.ndarray:
@@ -151,10 +153,15 @@ class Field:
             right[i - 1] = np.log((1 - s) * m[1, 0] + s * m[1, 1]) - np.log((1 - s) * m[0, 0] + s * m[0, 1])
         return sig(left + right), left, right
 
-    def fit(self, x: np.ndarray, at: np.ndarray, label: np.ndarray, steps: int = 250, rate: float = 0.1, decay: float = 1e-4) -> Field:
-        """Adam on the documents' mean log likelihood."""
+    def fit(self, x: Lines, label: np.ndarray, steps: int = 250, rate: float = 0.1, decay: float = 1e-4) -> Field:
+        """Adam on the documents' mean log likelihood.
+
+        Inputs of neighbours are those of the line before or behind, so a line's own shape is all that is held of it.
+        """
+        at, parts = x.at, x.shape.shape[1]
+        own, first, last = x.shape, x.at[:-1], x.at[1:] - 1
         y = np.repeat(label, np.diff(at)).astype(float)
-        inner = np.ones(len(x), bool)
+        inner = np.ones(len(own), bool)
         inner[at[1:] - 1] = False
         a = np.flatnonzero(inner)
         weight = np.repeat(1 / np.sqrt(np.diff(at)), np.diff(at))
@@ -164,13 +171,22 @@ class Field:
         m1, m2 = np.zeros(len(self.w) + 4), np.zeros(len(self.w) + 4)
         sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         for k in range(1, steps + 1):
-            e = x @ self.w
+            mine, before, after = (self.w[i * parts : (i + 1) * parts] for i in range(3))
+            e = own @ mine + self.w[-1]
+            e[a + 1] += (own @ before)[a]
+            e[a] += (own @ after)[a + 1]
+            e[first] += self.w[-3]
+            e[last] += self.w[-2]
             p, left, right = self.marginals(e, at)
             s, r, m = sig(left[a]), sig(e[a + 1] + right[a + 1]), np.exp(self.t)
             joint = np.stack([(1 - s) * m[0, 0] * (1 - r), (1 - s) * m[0, 1] * r, s * m[1, 0] * (1 - r), s * m[1, 1] * r])
             joint /= joint.sum(0)
             got = (joint * weight[a]).sum(1).reshape(2, 2)
-            g = np.concatenate([x.T @ (weight * (y - p)) - decay * self.w, (wanted - got - decay * self.t).ravel()])
+            off = weight * (y - p)
+            to_next, to_last = np.zeros(len(off)), np.zeros(len(off))
+            to_next[a], to_last[a + 1] = off[a + 1], off[a]
+            pull = np.concatenate([own.T @ off, own.T @ to_next, own.T @ to_last, [off[first].sum(), off[last].sum(), off.sum()]])
+            g = np.concatenate([pull - decay * self.w, (wanted - got - decay * self.t).ravel()])
             m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
             step = rate * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.999**k)) + 1e-9)
             self.w += step[:-4]
@@ -184,12 +200,17 @@ class Field:
         return np.add.reduceat(p * weight, x.at[:-1]) / np.add.reduceat(weight, x.at[:-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, most_lines: int = MOST_LINES) -> Field | None:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, most_lines: int = MOST_LINES, all_lines: int = ALL_LINES) -> Field | None:
     """A field from the labelled documents with the smallest hashes of their keys."""
     chosen = labels.select(F.col(key).alias("__k"), F.col(label).cast("int").alias("__y")).filter("__y is not null and __k is not null")
-    chosen = chosen.groupBy("__k").agg(F.max("__y").alias("__y")).orderBy(F.xxhash64("__k"), "__k").limit(sample)
-    rows = docs.join(F.broadcast(chosen), F.col(key) == F.col("__k")).select("__k", "__y", F.col(text).alias("t"))
-    rows = rows.filter(F.coalesce(F.regexp_count("t", F.lit("\n")), F.lit(0)) < most_lines)
+    chosen = chosen.groupBy("__k").agg(F.max("__y").alias("__y")).withColumn("__o", F.xxhash64("__k")).orderBy("__o", "__k").limit(sample)
+    rows = docs.join(F.broadcast(chosen), F.col(key) == F.col("__k")).select("__k", "__y", "__o", F.xxhash64(text).alias("__h"), F.col(text).alias("t"))
+    count = F.coalesce(F.regexp_count("t", F.lit("\n")), F.lit(0)) + 1
+    sizes = rows.filter(count <= most_lines).groupBy("__k", "__o").agg(F.min(F.struct("__h", count.alias("n"))).alias("__one"))
+    # One row for each chosen label, so a window over all of them is small.
+    so_far = F.sum("__one.n").over(W.orderBy("__o", "__k"))
+    taken = sizes.withColumn("__sum", so_far).filter(F.col("__sum") <= all_lines).select(F.col("__k").alias("__k2"), F.col("__one.__h").alias("__h2"))
+    rows = rows.join(F.broadcast(taken), (F.col("__k") == F.col("__k2")) & (F.col("__h") == F.col("__h2"))).select("__k", "__y", "t")
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,14 +220,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 out += [(str(keys[i + d]), ys[i + d], x.shape[x.at[d] : x.at[d + 1]].astype(np.float32).tobytes(), x.size[x.at[d] : x.at[d + 1]].tobytes()) for d in range(j - i)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["k", "y", "shape", "size"])
 
-    got = rows.mapInArrow(shapes, "k string, y int, shape binary, size binary").toPandas().sort_values(["k", "y", "shape"], kind="stable").drop_duplicates("k")
+    got = rows.mapInArrow(shapes, "k string, y int, shape binary, size binary").dropDuplicates(["k"]).toPandas().sort_values("k", kind="stable")
     if not len(got):
         return None
     size = [np.frombuffer(s) for s in got["size"]]
     shape = [np.frombuffer(s, np.float32).reshape(len(n), -1) for s, n in zip(got["shape"], size, strict=True)]
     x = Lines(np.concatenate(shape).astype(float), np.concatenate(size), np.concatenate([[0], np.cumsum([len(s) for s in size])]))
-    z = inputs(x)
-    return Field(z.shape[1]).fit(z, x.at, got["y"].to_numpy())
+    label = got["y"].to_numpy()
+    del got, shape, size
+    return Field(3 * x.shape.shape[1] + 3).fit(x, label)
 
 
 def score(docs: DataFrame, field: Field | None, text: str = "text", out: str = "score") -> DataFrame:

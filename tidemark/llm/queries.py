@@ -234,6 +234,7 @@ SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM p
 def _op7() -> str:
     model = licenses.Templates(licenses.standard())
     idf = ", ".join(f"('{t}', {x!r}::DOUBLE)" for t, x in sorted(model.idf.items()))
+    weak = ", ".join(f"'{k}'" for k in licenses.WEAK)
     unit = ", ".join(f"('{k}', {i}, '{t}', {x!r}::DOUBLE)" for (k, i), u in model.unit.items() for t, x in sorted(u.items()))
     return rf"""
 WITH idf(w, x) AS (VALUES {idf}), unit(k, i, w, u) AS (VALUES {unit}),
@@ -250,12 +251,12 @@ v AS (SELECT t.*, tf * coalesce(x, {model.rare!r}::DOUBLE) AS x FROM t LEFT JOIN
 norm AS (SELECT r, kind, line, sqrt(sum(x * x)) AS norm FROM v GROUP BY ALL),
 dots AS (SELECT r, kind, line, k, i, sum(x * u) AS d FROM v JOIN unit USING (w) GROUP BY ALL),
 cosine AS (SELECT r, kind, line, k, floor(d / norm * 1e6 + 0.5) / 1e6 AS c FROM dots JOIN norm USING (r, kind, line)),
-best AS (SELECT r, kind, line, c, k FROM cosine WHERE c >= {licenses.LEAST} QUALIFY row_number() OVER (PARTITION BY r, kind, line ORDER BY c DESC, k) = 1),
+best AS (SELECT r, kind, line, c, k FROM cosine WHERE c >= {licenses.LEAST} QUALIFY row_number() OVER (PARTITION BY r, kind, line ORDER BY k IN ({weak}), c DESC, k) = 1),
 counted AS (SELECT best.*, len(regexp_extract_all(l.l, {SOLID})) AS n FROM best JOIN l USING (r, kind, line)),
-kinds AS (SELECT r, kind, sum(n) AS n, min((-c, k)) AS b FROM counted GROUP BY ALL),
-own AS (SELECT r, max(n) AS n, min(b)[2] AS license, -(min(b)[1]) AS score FROM kinds GROUP BY r),
+kinds AS (SELECT r, kind, sum(n) AS n, min((k IN ({weak}), -c, k)) AS b FROM counted GROUP BY ALL),
+own AS (SELECT r, max(n) AS n, min(b)[3] AS license, -(min(b)[2]) AS score FROM kinds GROUP BY r),
 marked AS (SELECT f.r, doc_id, path, dir, license, score, n, len(regexp_extract_all(text, {SOLID})) AS words FROM f LEFT JOIN own USING (r)),
-holds AS (SELECT dir AS up, arg_min(license, (-score, license)) AS license, max(score) AS score FROM marked WHERE license IS NOT NULL AND n >= {licenses.SHARE} * words GROUP BY dir),
+holds AS (SELECT dir AS up, arg_min(license, (-score, license)) AS license, max(score) AS score FROM marked WHERE license NOT IN ({weak}) AND (n >= {licenses.SHARE} * words OR regexp_matches(regexp_replace(path, '^.*/', ''), '{licenses.NAMED}')) GROUP BY dir),
 near AS (
   SELECT m.dir, arg_max(h.up, length(h.up)) AS up, arg_max(h.license, length(h.up)) AS license, arg_max(h.score, length(h.up)) AS score
   FROM (SELECT DISTINCT dir FROM marked) m JOIN holds h ON m.dir = h.up OR starts_with(m.dir, h.up || '/') GROUP BY m.dir)
