@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.indicators import rsi_simple
-from tidemark.operators.rolling import fill, lag, rank_pct, roll, zscore
+from tidemark.operators.rolling import fill, lag, roll, rolling_rank, zscore
 
 # Coefficients of the rational approximation of the normal quantile (relative error below 1.2e-9), highest
 # power first: numerator and denominator of the middle, then of the tails, and where the tails begin.
@@ -49,13 +49,13 @@ def scores(df: DataFrame, window: int = 252, level: int = 1260, change: int = 20
     df = df.withColumns({f"__{c}": fill(F.col(c), cap) for c in ("spot", "rr_short", "rr_long", "net")})
     df = df.withColumn("d", F.col("__spot") - lag(F.col("__spot")))
     df = df.withColumns({"__rsi": rsi_simple(), "__d20": F.col("__spot") - roll(F.col("__spot"), 20), "__d100": F.col("__spot") - roll(F.col("__spot"), 100), "__chg": F.col("__net") - lag(F.col("__net"), change)})
-    rank = rank_pct(F.col("__net"), level, int(level * share))
-    df = df.withColumn("__p", F.when(rank.isNotNull(), F.greatest(F.lit(0.001), F.least(F.lit(0.999), rank))))
+    df = rolling_rank(df, "__net", level, "__rank", int(level * share))
+    df = df.withColumn("__p", F.when(F.col("__rank").isNotNull(), F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.col("__rank")))))
     df = df.withColumns({f"__z{c}": z(F.col(f"__{c}")) for c in ("rr_short", "rr_long", "rsi", "d20", "d100", "chg")})
     df = df.withColumns({"rr": 0.4 * F.col("__zrr_short") + 0.6 * F.col("__zrr_long"), "trend": mean_of("__zrsi", "__zd20", "__zd100")})
     df = df.withColumn("net_score", 0.7 * F.when(F.col("__p").isNotNull(), F.expr(normal_quantile("__p"))) + 0.3 * F.col("__zchg"))
     df = df.withColumn("composite", (F.col("rr") + F.col("trend") + F.col("net_score")) / 3)
-    df = df.withColumn("score", (rank_pct(F.col("composite"), window, least) - 0.5) * 100)
+    df = rolling_rank(df, "composite", window, "__share", least).withColumn("score", (F.col("__share") - 0.5) * 100)
     return df.drop("d", *(c for c in df.columns if c.startswith("__")))
 
 

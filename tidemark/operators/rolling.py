@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,45 +26,86 @@ def roll(x: Column, n: int, agg: Callable[[Column], Column] = F.avg, least: int
     return F.when(F.count(x).over(over) >= (n if least is None else least), agg(x).over(over))
 
 
-def zscore(x: Column, n: int, least: int | None = None) -> Column:
-    return (x - roll(x, n, F.avg, least)) / F.nullif(roll(x, n, F.stddev_samp, least), F.lit(0.0))
+def zscore(x: Column, n: int, least: int | None = None, w=None) -> Column:
+    return (x - roll(x, n, F.avg, least, w)) / F.nullif(roll(x, n, F.stddev_samp, least, w), F.lit(0.0))
 
 
-def lag(x: Column, n: int = 1) -> Column:
-    return F.lag(x, n).over(series())
+def lag(x: Column, n: int = 1, w=None) -> Column:
+    return F.lag(x, n).over(w or series())
 
 
-def log_return(x: Column, n: int = 1) -> Column:
-    return F.log(x / lag(x, n))
+def log_return(x: Column, n: int = 1, w=None) -> Column:
+    return F.log(x / lag(x, n, w))
 
 
-def realised_vol(x: Column, n: int, year: float = 252.0) -> Column:
+def realised_vol(x: Column, n: int, year: float = 252.0, w=None) -> Column:
     """Annualised rolling deviation of log returns, in percent; x holds the returns."""
-    return roll(x, n, F.stddev_samp) * F.sqrt(F.lit(year)) * 100
+    return roll(x, n, F.stddev_samp, w=w) * F.sqrt(F.lit(year)) * 100
 
 
-def autocorr(x: Column, before: Column, n: int, k: int = 1) -> Column:
+def autocorr(x: Column, before: Column, n: int, k: int = 1, w=None) -> Column:
     """Correlation of x with its k-th lag inside windows of n rows; `before` is that lag."""
-    over = series().rowsBetween(-(n - 1 - k), 0)
+    over = (w or series()).rowsBetween(-(n - 1 - k), 0)
     return F.when(F.count(F.when(x.isNotNull() & before.isNotNull(), 1)).over(over) >= n - k, F.corr(x, before).over(over))
 
 
-def _window(x: Column, n: int | None) -> Column:
-    w = series()
-    return F.collect_list(x).over(w.rowsBetween(W.unboundedPreceding if n is None else -(n - 1), 0))
-
-
-def rank_pct(x: Column, n: int | None, least: int = 1) -> Column:
-    """Average rank of the current value among the last n rows (all, if None), as a share; ties share their ranks."""
-    values = _window(x, n)
-    less, same = F.size(F.filter(values, lambda y: y < x)), F.size(F.filter(values, lambda y: y == x))
-    return F.when(x.isNotNull() & (F.size(values) >= least), (less + (same + 1) / 2) / F.size(values))
+def window_counts(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each value (NaN: none): how many of the last n are smaller, how many are equal, and how many there are, itself included.
 
-
-def rank_below(x: Column, n: int, least: int | None = None) -> Column:
-    """Percentage of the n - 1 rows before that are strictly less than the current value."""
-    before = F.collect_list(x).over(series().rowsBetween(-(n - 1), -1))
-    return F.when(F.size(before) >= (n - 1 if least is None else least), 100.0 * F.size(F.filter(before, lambda y: y < x)) / F.size(before))
+    Values become their ranks.  From the highest bit of the ranks on, values are parted by each bit, which leaves a window
+    two windows, one in each part; those with a smaller bit than the value's are smaller.  So it takes the bits of a rank,
+    whatever n is.
+    """
+    there = ~np.isnan(values)
+    rank = np.zeros(len(values), np.int64)
+    known, rank[there] = np.unique(values[there], return_inverse=True)
+    rank[~there] = len(known)
+    hi = np.arange(1, len(values) + 1)
+    lo = np.maximum(0, hi - n)
+    total = np.concatenate([[0], np.cumsum(there)])
+    less, x, v = np.zeros(len(values), np.int64), rank, rank
+    a, b = lo, hi
+    for bit in range(int(len(known)).bit_length() - 1, -1, -1):
+        one = (v >> bit & 1).astype(bool)
+        zeros = np.concatenate([[0], np.cumsum(~one)])
+        up = (x >> bit & 1).astype(bool)
+        less += np.where(up, zeros[b] - zeros[a], 0)
+        a, b = np.where(up, zeros[-1] + a - zeros[a], zeros[a]), np.where(up, zeros[-1] + b - zeros[b], zeros[b])
+        v = np.concatenate([v[~one], v[one]])
+    # What is left of a window has the value's own rank.
+    return np.where(there, less, 0), np.where(there, b - a, 0), total[hi] - total[lo]
+
+
+def rolling_rank(df: DataFrame, x: str, n: int, out: str, least: int = 1, below: bool = False, key: str = KEY, time: str = TIME, size: int = 1 << 14) -> DataFrame:
+    """Adds the average rank of x among the last n rows as a share, or with `below` the percentage of the n - 1 rows before that are less.
+
+    Nulls have no rank and don't count; ties share their ranks; there is a value once `least` rows have one (with `below`,
+    of the rows before).  A series is cut into blocks of `size` rows, each with the last n - 1 rows of the one before, so a
+    task holds a block, and a row costs the bits of a rank and no list.  Places come from the column __place, if there is
+    one (as from hot.placed), else from the order of the series.
+    """
+    size = max(size, n)
+    given = "__place" in df.columns
+    rows = df if given else df.withColumn("__place", F.row_number().over(series(key, time)) - 1)
+    own = F.floor(F.col("__place") / size)
+    copied = F.when(F.col("__place") % size >= size - (n - 1), F.array(own, own + 1)).otherwise(F.array(own)) if n > 1 else F.array(own)
+    many = rows.withColumn("__b", F.explode(copied))
+    schema = many.withColumn(out, F.lit(None).cast("double")).schema
+
+    def ranks(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__place")
+        values = table.column(x).cast(pa.float64()).to_numpy()
+        less, same, seen = window_counts(values, n)
+        there = ~np.isnan(values)
+        if below:
+            seen = seen - there
+            share, ok = 100.0 * less / np.maximum(seen, 1), seen >= max(1, least)
+        else:
+            share, ok = (less + (same + 1) / 2) / np.maximum(seen, 1), there & (seen >= least)
+        return table.append_column(out, pa.array(share, mask=~ok))
+
+    found = many.groupBy(key, "__b").applyInArrow(ranks, schema).filter(F.floor(F.col("__place") / size) == F.col("__b")).drop("__b")
+    return found if given else found.drop("__place")
 
 
 def forward_mean(x: Column, n: int) -> Column:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import indicators, rolling, state
+from tidemark.operators import hot, indicators, rolling, state
 from tidemark.operators.ewm import span
 from tidemark.operators.rolling import lag, roll, series
 from tidemark.plans import sqltext as S
@@ -120,7 +120,10 @@ def fiscal(spark, sf):
 
 @query("ag18_robust_limits", f"{B} SELECT series_id, greatest(quantile_cont(abs(r), 0.85), 1e-6) AS lim, quantile_cont(iv, 0.1) AS p10, quantile_cont(iv, 0.9) AS p90 FROM b GROUP BY series_id", ["lim", "p10", "p90"], ())
 def limits(spark, sf):
-    return bars(spark, sf).groupBy("series_id").agg(F.greatest(F.percentile(F.abs("r"), 0.85), F.lit(1e-6)).alias("lim"), F.percentile("iv", 0.1).alias("p10"), F.percentile("iv", 0.9).alias("p90"))
+    """AG18: the limit of moves, and the tenths of implied volatility; no task holds the values of a series."""
+    b = bars(spark, sf).select("series_id", "iv", F.abs("r").alias("move"))
+    lim = hot.quantiles(b, "move", [0.85]).select("series_id", F.greatest("q0", F.lit(1e-6)).alias("lim"))
+    return lim.join(hot.quantiles(b, "iv", [0.1, 0.9]).withColumnsRenamed({"q0": "p10", "q1": "p90"}), "series_id")
 
 
 @query("bd12_ranking", f"{B}, l AS (SELECT * FROM b {LAST}) SELECT series_id, iv, rank() OVER (ORDER BY -iv DESC, series_id) AS strength_rank FROM l", ["iv"], ())

@@ -35,7 +35,7 @@ def query(name: str, sql: str | None = None, doubles: Sequence[str] = (), dates:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from tidemark.plans import align_plans, boards, event_plans, file_plans, fit_plans, monitor_plans, news_plans, pair_plans, positioning_plans, record_plans, series_plans, tag_plans, trade_plans, vol_plans, walk_plans  # noqa: F401
+    from tidemark.plans import align_plans, boards, event_plans, file_plans, fit_plans, hot_plans, monitor_plans, news_plans, pair_plans, positioning_plans, record_plans, series_plans, tag_plans, trade_plans, vol_plans, walk_plans  # noqa: F401
 
     return dict(QUERIES)
 

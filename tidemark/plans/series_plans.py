@@ -103,7 +103,8 @@ def squeeze(spark, sf):
   CASE WHEN count(*) = 52 THEN 100.0 * sum((p.close < c.close)::INT) / 51 END AS below FROM b c JOIN b p ON p.series_id = c.series_id AND p.rn BETWEEN c.rn - 51 AND c.rn GROUP BY ALL)
 SELECT series_id, dt, CASE WHEN rn >= 52 THEN pct END AS rank_pct, below AS rank_below FROM k""", ["rank_pct", "rank_below"])
 def ranks(spark, sf):
-    return bars(spark, sf).select("series_id", "dt", rolling.rank_pct(F.col("close"), 52, 52).alias("rank_pct"), rolling.rank_below(F.col("close"), 52).alias("rank_below"))
+    b = rolling.rolling_rank(bars(spark, sf).select("series_id", "dt", "close"), "close", 52, "rank_pct", 52)
+    return rolling.rolling_rank(b, "close", 52, "rank_below", 51, below=True).drop("close")
 
 
 @query("wn12_ewma_vol", f"{B}, x AS (SELECT series_id, dt, r * r AS x, row_number() {S.W} AS rn FROM b WHERE r IS NOT NULL), e AS {S.ewm('x', 'x', 'v', 1 - 0.94, False)} SELECT series_id, dt, sqrt(v * 252) * 100 AS ewma_vol FROM e", ["ewma_vol"])
