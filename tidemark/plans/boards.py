@@ -137,8 +137,12 @@ WEIGHTS = {"ranging": (0.70, 0.20, 0.10), "trending": (0.15, 0.75, 0.10), "crisi
 #: Regime probabilities from a move in its own deviations; the annualised volatility is in 100 rows.
 PROBS = f"""v AS (SELECT series_id, dt, close, r, abs(r) AS a, {S.roll('r', 20, 'stddev_samp')} AS s FROM b), p AS (SELECT *, 1.0 / (1 + a / s) AS p0, a / s AS q FROM v WHERE s > 0),
 n AS (SELECT series_id, dt, s * sqrt(252::DOUBLE) AS vol, p0 / (p0 + q + q * q) AS ranging, q / (p0 + q + q * q) AS trending, q * q / (p0 + q + q * q) AS crisis FROM p)"""
+#: The same, with names that recursive walks leave free.
+REGIMES = PROBS.replace(" p AS (", " pq AS (").replace("FROM p)", "FROM pq)")
+#: A crisis by volatility: that of these tables' prices is about a hundred times that of rates, where it is 0.25.
+CRISIS_VOL = 38.0
 _DOMINANT = "CASE WHEN ranging >= trending AND ranging >= crisis THEN 'ranging' WHEN trending >= crisis THEN 'trending' ELSE 'crisis' END"
-_SOFT = {k: " + ".join(f"{WEIGHTS[g][i]!r} * {g}" for g in WEIGHTS) for i, k in enumerate(("mr", "mom", "news"))}
+SOFT = {k: " + ".join(f"{WEIGHTS[g][i]!r} * {g}" for g in WEIGHTS) for i, k in enumerate(("mr", "mom", "news"))}
 _HARD = {k: f"CASE {_DOMINANT} " + " ".join(f"WHEN '{g}' THEN {WEIGHTS[g][i]!r}" for g in WEIGHTS) + " END" for i, k in enumerate(("mr", "mom", "news"))}
 
 
@@ -182,9 +186,9 @@ def is_crisis(prob: float = 0.6, vol: float = 0.25):
     return F.coalesce(F.col("crisis") > prob, F.lit(False)) | F.coalesce(F.col("vol") > vol, F.lit(False))
 
 
-@query("st7_regime_weights", f"""{B}, {PROBS}, w AS (SELECT *, {', '.join(f'{x} AS s_{k}' for k, x in _SOFT.items())}, {', '.join(f'{x} AS h_{k}' for k, x in _HARD.items())} FROM n)
-SELECT series_id, dt, ranging, trending, crisis, {', '.join(f's_{k} / (s_mr + s_mom + s_news) AS w_{k}' for k in _SOFT)}, {', '.join(f'h_{k} / (h_mr + h_mom + h_news) AS hard_{k}' for k in _HARD)}, s_mr / (s_mr + s_mom) AS tech_mr, s_mom / (s_mr + s_mom) AS tech_mom,
-  {_DOMINANT} AS dominant, crisis > 0.6 OR vol > 0.25 AS is_crisis FROM w""", ["ranging", "trending", "crisis", *(f"w_{k}" for k in _SOFT), *(f"hard_{k}" for k in _HARD), "tech_mr", "tech_mom"])
+@query("st7_regime_weights", f"""{B}, {PROBS}, w AS (SELECT *, {', '.join(f'{x} AS s_{k}' for k, x in SOFT.items())}, {', '.join(f'{x} AS h_{k}' for k, x in _HARD.items())} FROM n)
+SELECT series_id, dt, ranging, trending, crisis, {', '.join(f's_{k} / (s_mr + s_mom + s_news) AS w_{k}' for k in SOFT)}, {', '.join(f'h_{k} / (h_mr + h_mom + h_news) AS hard_{k}' for k in _HARD)}, s_mr / (s_mr + s_mom) AS tech_mr, s_mom / (s_mr + s_mom) AS tech_mom,
+  {_DOMINANT} AS dominant, crisis > 0.6 OR vol > 0.25 AS is_crisis FROM w""", ["ranging", "trending", "crisis", *(f"w_{k}" for k in SOFT), *(f"hard_{k}" for k in _HARD), "tech_mr", "tech_mom"])
 def weights(spark, sf):
     """ST7, ST9, ST10: weights of signals from regime probabilities, soft, of the dominant regime, and without news."""
     b = regime_probs(bars(spark, sf))

@@ -23,10 +23,10 @@ def impulse(spark, sf):
     return views.news(spark, sf).select("event_id", "event_class", events.impulse().alias("impulse"))
 
 
-_P = ", ".join(f"('{k}', {math.log(2) / v[0]!r}::DOUBLE, {math.log(2) / v[1]!r}::DOUBLE, {v[2]}::DOUBLE)" for k, v in events.CLASSES.items())
+CLASS_RATES = ", ".join(f"('{k}', {math.log(2) / v[0]!r}::DOUBLE, {math.log(2) / v[1]!r}::DOUBLE, {v[2]}::DOUBLE)" for k, v in events.CLASSES.items())
 
 
-@query("os2_os3_decayed_score", f"""{NEWS}, p(class, lf, ls, wf) AS (VALUES {_P}), e AS (SELECT ts, impulse, is_override, lf, ls, wf FROM m JOIN p ON class = CASE WHEN event_class IN ({', '.join(repr(k) for k in events.CLASSES)}) THEN event_class ELSE 'noise' END WHERE impulse <> 0),
+@query("os2_os3_decayed_score", f"""{NEWS}, p(class, lf, ls, wf) AS (VALUES {CLASS_RATES}), e AS (SELECT ts, impulse, is_override, lf, ls, wf FROM m JOIN p ON class = CASE WHEN event_class IN ({', '.join(repr(k) for k in events.CLASSES)}) THEN event_class ELSE 'noise' END WHERE impulse <> 0),
 d AS (SELECT unnest(generate_series(min(ts)::DATE, max(ts)::DATE + 10, INTERVAL 1 DAY))::DATE AS dt FROM events),
 s AS (SELECT dt, coalesce(sum(impulse * (wf * exp(-lf * x) + (1 - wf) * exp(-ls * x))), 0) AS score, coalesce(bool_or(is_override AND exp(-ls * x) > 0.2), false) AS forced FROM (SELECT dt, e.*, epoch_us(dt::TIMESTAMP) / 86400e6 - epoch_us(ts) / 86400e6 AS x FROM d LEFT JOIN e ON ts < dt) GROUP BY dt)
 SELECT dt, score, abs(score) > 2.0 OR forced AS is_crisis FROM s""", ["score"])

@@ -217,8 +217,8 @@ def ticker_texts(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.format_string("%s%sV%dM Curve", F.upper(F.split_part(b, F.lit("#"), F.lit(1))), F.split_part(b, F.lit("#"), F.lit(2)), (F.col("p_size") % 12 + 1).cast("int")).alias("ticker"))
 
 
-_FAIR = {"midpoint": "CASE WHEN upper IS NOT NULL AND lower IS NOT NULL THEN (upper + lower) / 2 ELSE effective END", "upper": "upper", "fixing": "fixing"}
-_BOUNDS = """m AS (SELECT o_orderpriority AS name, date_trunc('month', o_orderdate)::DATE AS mdt, avg(o_totalprice) AS v FROM orders GROUP BY ALL),
+FAIR = {"midpoint": "CASE WHEN upper IS NOT NULL AND lower IS NOT NULL THEN (upper + lower) / 2 ELSE effective END", "upper": "upper", "fixing": "fixing"}
+BOUNDS = """m AS (SELECT o_orderpriority AS name, date_trunc('month', o_orderdate)::DATE AS mdt, avg(o_totalprice) AS v FROM orders GROUP BY ALL),
 wide AS (SELECT mdt, max(CASE WHEN name LIKE '1%' THEN v END) AS upper, max(CASE WHEN name LIKE '2%' AND month(mdt) % 5 > 0 THEN v END) AS lower, max(CASE WHEN name LIKE '3%' THEN v END) AS effective, max(CASE WHEN name LIKE '5%' THEN v END) AS fixing FROM m GROUP BY mdt),
 dts AS (SELECT DISTINCT dt FROM b), fair AS (SELECT dts.dt, upper, lower, effective, fixing FROM dts ASOF LEFT JOIN wide ON dts.dt >= wide.mdt)"""
 
@@ -239,10 +239,10 @@ def fair_value(source: str):
     return F.col({"upper": "upper", "fixing": "fixing"}[source])
 
 
-@query("pr17_fair_values", f"{B}, {_BOUNDS} SELECT dt, {', '.join(f'{q} AS {k}_value' for k, q in _FAIR.items())} FROM fair", [f"{k}_value" for k in _FAIR])
+@query("pr17_fair_values", f"{B}, {BOUNDS} SELECT dt, {', '.join(f'{q} AS {k}_value' for k, q in FAIR.items())} FROM fair", [f"{k}_value" for k in FAIR])
 def fair_values(spark, sf):
     """PR17: each choice of fair value at every week."""
     f = bounds(spark, sf, views.bars(spark, sf).select("dt").distinct())
-    return f.select("dt", *(fair_value(k).alias(f"{k}_value") for k in _FAIR))
+    return f.select("dt", *(fair_value(k).alias(f"{k}_value") for k in FAIR))
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import align, indicators, rolling, state
+from tidemark.operators import align, indicators, rolling, state, stats
 from tidemark.operators.ewm import Mean, ewm, ewms, halflife, span
 from tidemark.operators.rolling import lag, roll, series
 from tidemark.plans import sqltext as S
@@ -148,13 +148,13 @@ def adx(spark, sf):
     return indicators.adx(bars(spark, sf)).select("series_id", "dt", "adx")
 
 
-def _walk(z: str, entry: float, leave: float, sign: int) -> str:
-    """Positions by a recursive walk, row after row."""
-    return f"""{B.replace('WITH', 'WITH RECURSIVE', 1)}, s AS (SELECT series_id, dt, rn, {z} AS z FROM b),
+def _walk(z: str, entry: float, leave: float, sign: int, more: str = "", src: str = "b", keep: str = "") -> str:
+    """Positions by a recursive walk, row after row; `more`: CTEs after the bars, of which `src` has rn, what z needs and what is kept."""
+    return f"""{B.replace('WITH', 'WITH RECURSIVE', 1)}{more}, s AS (SELECT series_id, dt, rn, {z} AS z FROM {src}),
 p AS (SELECT series_id, dt, rn, z, CASE WHEN z > {entry} THEN {sign} WHEN z < -{entry} THEN -({sign}) ELSE 0 END AS state FROM s WHERE rn = 1
   UNION ALL SELECT s.series_id, s.dt, s.rn, s.z, CASE WHEN s.z IS NULL THEN p.state WHEN p.state = 0 AND s.z > {entry} THEN {sign} WHEN p.state = 0 AND s.z < -{entry} THEN -({sign}) WHEN p.state <> 0 AND abs(s.z) < {leave} THEN 0 ELSE p.state END
   FROM p JOIN s ON s.series_id = p.series_id AND s.rn = p.rn + 1)
-SELECT series_id, dt, z, CASE WHEN z IS NULL THEN 0 ELSE state END AS position FROM p"""
+SELECT p.series_id, p.dt, p.z{keep and ', ' + keep}, CASE WHEN p.z IS NULL THEN 0 ELSE state END AS position FROM p{f' JOIN {src} ON {src}.series_id = p.series_id AND {src}.rn = p.rn' if keep else ''}"""
 
 
 @query("st1_reversion_position", _walk(S.z("close", 60, 30), 1.5, 0.5, -1), ["z"])
@@ -199,14 +199,17 @@ def underwater(spark, sf):
 m AS (SELECT series_id, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM f GROUP BY series_id),
 s AS (SELECT series_id, n, mx, my, sum((x - mx) * (x - mx)) AS sxx, sum((x - mx) * (y - my)) AS sxy, sum((y - my) * (y - my)) AS syy FROM f JOIN m USING (series_id) GROUP BY ALL)
 SELECT series_id, n, sxy / sxx AS slope, my - sxy / sxx * mx AS intercept, sxy * sxy / (sxx * syy) AS r2, sqrt((syy - sxy * sxy / sxx) / (n - 1)) AS resid_std, (sxy / sxx) / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx) AS t_stat,
-  -(sxy / sxx) * 252 AS kappa, -(my - sxy / sxx * mx) / (sxy / sxx) AS mu, CASE WHEN sxy < 0 THEN ln(2) / -(sxy / sxx) END AS half_life FROM s WHERE n >= 30""", ["slope", "intercept", "r2", "resid_std", "t_stat", "kappa", "mu", "half_life"], ())
+  {S.t_p_value('(sxy / sxx) / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx)', 'n - 2')} AS p_value, sxy < 0 AND {S.t_p_value('(sxy / sxx) / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx)', 'n - 2')} < 0.10 AS reverts,
+  -(sxy / sxx) * 252 AS kappa, -(my - sxy / sxx * mx) / (sxy / sxx) AS mu, CASE WHEN sxy < 0 THEN ln(2) / -(sxy / sxx) END AS half_life FROM s WHERE n >= 30""", ["slope", "intercept", "r2", "resid_std", "t_stat", "p_value", "kappa", "mu", "half_life"], ())
 def ou_fit(spark, sf):
     """OU parameters from the regression of changes on levels, one aggregate per series."""
     p = bars(spark, sf).select("series_id", (F.col("close") - lag(F.col("close"))).alias("y"), lag(F.col("close")).alias("x")).filter("x is not null")
     s = p.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"), F.regr_sxy("y", "x").alias("sxy")).filter("n >= 30")
     sse = F.col("syy") - F.col("slope") * F.col("sxy")
     b = F.col("slope")
-    return s.select("series_id", "n", "slope", "intercept", "r2", F.sqrt(sse / (F.col("n") - 1)).alias("resid_std"), (b / F.sqrt(sse / (F.col("n") - 2) / F.col("sxx"))).alias("t_stat"), (-b * 252).alias("kappa"), (-F.col("intercept") / b).alias("mu"), F.when(b < 0, math.log(2) / -b).alias("half_life"))
+    s = s.withColumn("t_stat", b / F.sqrt(sse / (F.col("n") - 2) / F.col("sxx"))).withColumn("p_value", stats.t_p_value(F.col("t_stat"), F.col("n") - 2))
+    reverts = ((b < 0) & (F.col("p_value") < 0.10)).alias("reverts")
+    return s.select("series_id", "n", "slope", "intercept", "r2", F.sqrt(sse / (F.col("n") - 1)).alias("resid_std"), "t_stat", "p_value", reverts, (-b * 252).alias("kappa"), (-F.col("intercept") / b).alias("mu"), F.when(b < 0, math.log(2) / -b).alias("half_life"))
 
 
 @query("ag6_trend", f"""{B}, y AS (SELECT series_id, year(dt) AS y, avg(close) AS v FROM b GROUP BY ALL), c AS (SELECT *, v / lag(v) OVER (PARTITION BY series_id ORDER BY y) - 1 AS g FROM y)

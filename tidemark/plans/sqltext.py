@@ -41,3 +41,11 @@ def ewm(src: str, x: str, out: str, alpha: float, adjust: bool = True, least: in
         value = f"sum(CASE WHEN p.k = 1 THEN 1 ELSE {alpha!r}::DOUBLE END * p.{x} * pow({d!r}::DOUBLE, c.rn - p.rn))"
     return f"""(SELECT c.series_id, c.dt, CASE WHEN count(p.{x}) >= {least} THEN {value} END AS {out}
       FROM {src} c JOIN (SELECT *, count({x}) {ALL} AS k FROM {src}) p ON p.series_id = c.series_id AND p.rn <= c.rn GROUP BY ALL)"""
+
+
+def t_p_value(t: str, n: str, steps: int = 2000) -> str:
+    """Two-sided p-value of Student's t with n degrees of freedom: Simpson's rule over the density's angle."""
+    top = f"atan(abs({t}) / sqrt(({n})::DOUBLE))"
+    weight = f"CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    area = f"list_sum(list_transform(range(0, {steps + 1}), lambda i: ({weight}) * pow(cos({top} * i / {float(steps)}), ({n})::DOUBLE - 1))) * {top} / {float(3 * steps)}"
+    return f"(1 - 2 * exp(lgamma((({n})::DOUBLE + 1) / 2) - lgamma(({n})::DOUBLE / 2)) / sqrt(pi()) * {area})"

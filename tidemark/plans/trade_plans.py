@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.operators import indicators, rolling, state
 from tidemark.operators.rolling import lag, roll
 from tidemark.plans import sqltext as S
+from tidemark.plans.boards import CRISIS_VOL, REGIMES, SOFT, is_crisis, prob_columns, signal_weights
 from tidemark.plans.registry import query
 from tidemark.plans.series_plans import B, _walk, bars
+from tidemark.plans.vol_plans import MOMENTUM, dispersion_momentum
 
 ENTER, COVER = 75, 55
 
@@ -75,32 +77,31 @@ def attribution(spark, sf):
     return held.groupBy("series_id", "component", "regime").agg(F.count("pnl").alias("n"), F.coalesce(F.sum("pnl"), F.lit(0.0)).alias("pnl"))
 
 
-_Z, _ZV = S.z("close", 26, 13), S.z("volume", 52, 26)
+_PARTS = f""", {MOMENTUM}, mw AS (SELECT mo.*, b.rn, b.volume, (fast_mom + slow_mom) / 2 AS m FROM mo JOIN b USING (series_id, dt))"""
+_ZM, _ZV = S.z("m", 26, 13), S.z("volume", 26, 13)
 
 
-@query("st17_momentum", _walk(f"CASE WHEN {_ZV} IS NULL THEN {_Z} ELSE 0.7::DOUBLE * {_Z} + 0.3::DOUBLE * {_ZV} END", 1.2, 0.4, 1), ["z"])
+@query("st17_momentum", _walk(f"0.7::DOUBLE * ({_ZM}) + 0.3::DOUBLE * ({_ZV})", 1.2, 0.4, 1, _PARTS, "mw"), ["z"])
 def momentum(spark, sf):
-    """ST17: the price's z, with the positions' z for 0.3 of it where there is one, then held with hysteresis."""
-    z, v = rolling.zscore(F.col("close"), 26, 13), rolling.zscore(F.col("volume"), 52, 26)
-    b = bars(spark, sf).withColumn("z", F.when(v.isNull(), z).otherwise(0.7 * z + 0.3 * v))
+    """ST17: the z of the blended momentum, with the positions' z in the same window for 0.3 of it, then held with hysteresis."""
+    b = dispersion_momentum(bars(spark, sf))
+    b = b.withColumn("z", 0.7 * rolling.zscore(F.col("blended_mom"), 26, 13) + 0.3 * rolling.zscore(F.col("volume"), 26, 13))
     return state.hysteresis(b, F.col("z"), 1.2, 0.4, sign=1).select("series_id", "dt", "z", "position")
 
 
-_Q = f"(abs(r) / nullif({S.roll('r', 20, 'stddev_samp')}, 0))"
-_SUM = f"(1 / (1 + {_Q}) + {_Q} + {_Q} * {_Q})"
-_MR, _TR, _CR = f"(1 / (1 + {_Q}) / {_SUM})", f"({_Q} / {_SUM})", f"({_Q} * {_Q} / {_SUM})"
+_TECH = [f"(({SOFT[k]}) / (({SOFT['mr']}) + ({SOFT['mom']})))" for k in ("mr", "mom")]
+_ENSEMBLE = f""", {MOMENTUM}, {REGIMES}, zs AS (SELECT b.series_id, b.dt, b.rn, {S.z('close', 60, 30)} AS z_mr, {S.z('m', 26, 13)} AS z_mom FROM b JOIN (SELECT *, (fast_mom + slow_mom) / 2 AS m FROM mo) mo USING (series_id, dt)),
+en AS (SELECT zs.*, {_TECH[0]} AS w_mr, {_TECH[1]} AS w_mom, coalesce(crisis > 0.6, false) OR coalesce(vol > {CRISIS_VOL}, false) AS is_crisis FROM zs LEFT JOIN n USING (series_id, dt))"""
 
 
-@query("st8_ensemble", _walk(f"""CASE WHEN {_CR} > 0.6 THEN 0 ELSE -(0.70 * {_MR} + 0.15 * {_TR} + 0.15 * {_CR}) * {S.z('close', 60, 30)} + (0.20 * {_MR} + 0.75 * {_TR} + 0.10 * {_CR}) * {_ZV} END""", 0.6, 0.2, 1), ["z"])
+@query("st8_ensemble", _walk("CASE WHEN is_crisis THEN 0 ELSE w_mr * z_mr + w_mom * z_mom END", 1.3, 0.5, 1, _ENSEMBLE, "en", "w_mr, w_mom, is_crisis"), ["z", "w_mr", "w_mom"])
 def ensemble(spark, sf):
-    """ST8: signals blended by regime weights, nothing in a crisis, then held with hysteresis."""
-    b = bars(spark, sf).withColumn("q", F.abs("r") / F.nullif(roll(F.col("r"), 20, F.stddev_samp), F.lit(0.0)))
-    p0, q = 1 / (1 + F.col("q")), F.col("q")
-    total = p0 + q + q * q
-    a, t, c = p0 / total, q / total, q * q / total
-    blend = -(0.70 * a + 0.15 * t + 0.15 * c) * rolling.zscore(F.col("close"), 60, 30) + (0.20 * a + 0.75 * t + 0.10 * c) * rolling.zscore(F.col("volume"), 52, 26)
-    b = b.withColumn("z", F.when(c > 0.6, 0.0).otherwise(blend))
-    return state.hysteresis(b, F.col("z"), 0.6, 0.2, sign=1).select("series_id", "dt", "z", "position")
+    """ST8: reversion and momentum blended by regime weights, nothing in a crisis (by probability or volatility), then held with hysteresis."""
+    b = dispersion_momentum(prob_columns(bars(spark, sf)))
+    w = signal_weights(news=False)
+    b = b.withColumns({"z_mr": rolling.zscore(F.col("close"), 60, 30), "z_mom": rolling.zscore(F.col("blended_mom"), 26, 13), "w_mr": w["mr"], "w_mom": w["mom"], "is_crisis": is_crisis(vol=CRISIS_VOL)})
+    b = b.withColumn("z", F.when(F.col("is_crisis"), 0.0).otherwise(F.col("w_mr") * F.col("z_mr") + F.col("w_mom") * F.col("z_mom")))
+    return state.hysteresis(b, F.col("z"), 1.3, 0.5, sign=1).select("series_id", "dt", "z", "w_mr", "w_mom", "is_crisis", "position")
 
 
 @query("st11_state_labels", f"""{B}, m AS (SELECT series_id, (month(dt) % 3)::INT AS state, stddev_samp(r) AS sigma FROM b GROUP BY ALL)

@@ -149,7 +149,7 @@ def calibration(spark, sf):
     return s.withColumn("winner", F.when(F.col("yz_rmse") < F.col("ewma_rmse"), "Yang-Zhang").otherwise("EWMA"))
 
 
-_MOM = f"""rt AS (SELECT series_id, dt, (100 - close / 100 - lag(100 - close / 100) {S.W}) * 100 AS c FROM b), mv AS (SELECT *, nullif(({S.roll('c', 20, 'stddev_samp')}) * sqrt(252::DOUBLE), 0) AS v FROM rt),
+MOMENTUM = f"""rt AS (SELECT series_id, dt, (100 - close / 100 - lag(100 - close / 100) {S.W}) * 100 AS c FROM b), mv AS (SELECT *, nullif(({S.roll('c', 20, 'stddev_samp')}) * sqrt(252::DOUBLE), 0) AS v FROM rt),
 mo AS (SELECT series_id, dt, -({S.roll('c', 5)}) / v AS fast_mom, -({S.roll('c', 21)}) / v AS slow_mom FROM mv)"""
 
 
@@ -161,7 +161,7 @@ def dispersion_momentum(b, fast: int = 5, slow: int = 21, window: int = 20):
     return b.withColumn("blended_mom", (F.col("fast_mom") + F.col("slow_mom")) / 2).drop("__rate", "__c")
 
 
-@query("wn21_dispersion_momentum", f"{B}, {_MOM} SELECT *, (fast_mom + slow_mom) / 2 AS blended_mom FROM mo", ["fast_mom", "slow_mom", "blended_mom"])
+@query("wn21_dispersion_momentum", f"{B}, {MOMENTUM} SELECT *, (fast_mom + slow_mom) / 2 AS blended_mom FROM mo", ["fast_mom", "slow_mom", "blended_mom"])
 def momentum(spark, sf):
     """WN21: momentum of the implied rate at two horizons, and their mean."""
     return dispersion_momentum(bars(spark, sf)).select("series_id", "dt", "fast_mom", "slow_mom", "blended_mom")

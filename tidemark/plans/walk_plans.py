@@ -7,12 +7,15 @@ import math
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import align, state
+from tidemark.operators import align, events, rolling, state, stats
 from tidemark.operators.rolling import fill, roll
 from tidemark.plans import sqltext as S
-from tidemark.plans.boards import PROBS, prob_columns, signal_weights
+from tidemark.plans.boards import CRISIS_VOL, REGIMES, SOFT, is_crisis, prob_columns, signal_weights
+from tidemark.plans.event_plans import CLASS_RATES, NEWS
+from tidemark.plans.pair_plans import BOUNDS, FAIR, bounds, fair_value
 from tidemark.plans.registry import query
 from tidemark.plans.series_plans import B, bars
+from tidemark.sources import views
 
 TRAIN, TEST, STEP, LEAST = 104, 52, 26, 52
 #: Entry and exit of the reversion, momentum and blended signals.
@@ -20,11 +23,28 @@ BANDS = {"mr": (1.5, 0.5, -1), "mom": (1.2, 0.4, 1), "blend": (1.3, 0.5, 1)}
 COST, TARGET = 2.5, 0.1
 
 
+#: What the fair value is taken from, and the unit in which it is a rate.
+SOURCE, UNIT = "midpoint", 1e4
+#: News of a month are spread over the years of the bars.
+NEWS_FROM, NEWS_TIMES = "1995-01-02", 80
+
+
 def fair_spread(spark, sf):
-    """Bars with the mean of the last whole month as their fair value, what they are off it, and the probabilities of regimes."""
-    b = prob_columns(bars(spark, sf).select("series_id", "dt", "close", "r")).drop("vol")
-    month = b.groupBy("series_id", F.add_months(F.to_date(F.date_trunc("month", "dt")), 1).alias("dt")).agg(F.avg("close").alias("fair"))
-    return align.asof(b, month, ["series_id"], "dt", "fair").withColumn("spread", F.col("close") - F.col("fair"))
+    """Bars with their rate, its fair value by PR17's choice, what it is off that, and the probabilities of regimes."""
+    b = prob_columns(bars(spark, sf).select("series_id", "dt", "close", "r"))
+    known = bounds(spark, sf, b.select("dt").distinct()).select("dt", (fair_value(SOURCE) / UNIT).alias("fair"))
+    return b.join(known, "dt", "left").withColumn("spread", 100 - F.col("close") / 100 - F.col("fair"))
+
+
+def news_z(spark, sf):
+    """dt and z_news: the z-score of the decayed score of news, day by day, 0 where it isn't known."""
+    n = views.news(spark, sf)
+    first = n.agg(F.min("ts").alias("__first"))
+    moved = F.timestamp_seconds(F.unix_seconds(F.lit(NEWS_FROM).cast("timestamp")) + F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("__first").cast("timestamp"))) * NEWS_TIMES / 1e6))
+    n = n.join(first, F.lit(True)).withColumn("ts", moved)
+    days = n.agg(F.to_date(F.min("ts")).alias("a"), F.date_add(F.to_date(F.max("ts")), 10).alias("z")).select(F.explode(F.sequence("a", "z")).alias("dt"))
+    scored = events.decayed_score(days, n).withColumn("series_id", F.lit("news"))
+    return scored.select("dt", F.coalesce(rolling.zscore(F.col("score"), 63, 10), F.lit(0.0)).alias("z_news"))
 
 
 def gains(df, by):
@@ -50,17 +70,23 @@ def momentum_z(df, by):
     return df.withColumn("z_mom", z).drop("__c", "__m")
 
 
-def blended(df, by):
-    """Adds z, position and gains from z_mr, z_mom and the probabilities of regimes; nothing in a crisis."""
-    w = signal_weights(news=False)
-    mix = w["mr"] * F.coalesce("z_mr", F.lit(0.0)) + w["mom"] * F.coalesce("z_mom", F.lit(0.0))
-    df = df.withColumn("z", F.when(F.col("crisis") > 0.6, 0.0).otherwise(mix))
+def blended(df, by, crisis, news=None):
+    """Adds z, position and gains from z_mr, z_mom, the probabilities of regimes and news (a column, 0 where unknown), if there are any.
+
+    In a crisis news alone count.  Where a signal has no z, neither has the blend: it holds no position, but keeps its state.
+    """
+    w = signal_weights(news=news is not None)
+    tech = w["mr"] * F.col("z_mr") + w["mom"] * F.col("z_mom")
+    df = df.withColumn("z", F.when(crisis, 0.0).otherwise(tech) + (w["news"] * news if news is not None else F.lit(0.0)))
     entry, leave, sign = BANDS["blend"]
     return gains(state.hysteresis(df, F.col("z"), entry, leave, sign=sign, by=by), by)
 
 
 def folds(spark, sf):
-    """Test rows of all folds with the signals that each fold's training rows give them, and their gains."""
+    """Test rows of all folds with the signals that each fold's training rows give them, and their gains.
+
+    A fold's regimes are those of its last training row, and its crises end with it; news go on.
+    """
     by = ["series_id", "fold"]
     order = W.partitionBy(*by).orderBy("dt")
     rows = fair_spread(spark, sf).filter("spread is not null")
@@ -71,7 +97,7 @@ def folds(spark, sf):
     fit = train.groupBy(*by).agg((F.covar_samp("y", "x") / F.var_samp("x")).alias("slope"), F.max_by("p", F.when(F.col("p").isNotNull(), F.col("dt"))).alias("p"))
     fit = fit.withColumn("half_life", F.when(slope < 0, math.log(2) / -slope)).withColumn("w", F.greatest(F.lit(20), F.floor(2 * F.col("half_life"))).cast("int"))
     fit = fit.withColumn("w", F.when(F.col("half_life").isNotNull(), F.least("w", F.lit(TEST))))
-    test = many.filter("part = 'test'").drop("ranging", "trending", "crisis").join(fit.select(*by, "half_life", "w", "p.*"), by)
+    test = many.filter("part = 'test'").drop("ranging", "trending", "crisis", "vol").join(fit.select(*by, "half_life", "w", "p.*"), by)
     # A fold has TEST rows at most, so a row's window, which is its fold's own, is the end of a short list.
     seen = F.collect_list("spread").over(order.rowsBetween(W.unboundedPreceding, 0))
     test = test.withColumn("__a", F.slice(seen, F.greatest(F.lit(1), F.size(seen) - F.col("w") + 1), F.col("w")))
@@ -80,12 +106,17 @@ def folds(spark, sf):
     test = test.withColumn("__mean", mean)
     dev = F.sqrt(total(lambda s, x: s + (x - F.col("__mean")) * (x - F.col("__mean"))) / F.nullif(n - 1, F.lit(0)))
     test = test.withColumn("z_mr", F.when(n >= F.floor(F.col("w") / 2), (F.col("spread") - F.col("__mean")) / F.nullif(dev, F.lit(0.0)))).drop("__a", "__mean")
-    return blended(momentum_z(test, by), by)
+    told = momentum_z(test, by).join(news_z(spark, sf), "dt", "left")
+    return blended(told, by, F.lit(False), F.coalesce("z_news", F.lit(0.0)))
 
 
 _WF = "PARTITION BY series_id, fold ORDER BY dt"
-_FAIR = f"""mon AS (SELECT series_id, (date_trunc('month', dt) + INTERVAL 1 MONTH)::DATE AS mdt, avg(close) AS fair FROM b GROUP BY ALL),
-sp AS (SELECT b.series_id, b.dt, b.close, b.r, fair, b.close - fair AS spread FROM b ASOF LEFT JOIN mon ON b.series_id = mon.series_id AND b.dt >= mon.mdt)"""
+_FAIR = f"""{BOUNDS}, sp AS (SELECT b.series_id, b.dt, b.close, b.r, ({FAIR[SOURCE]}) / {UNIT} AS fair, 100 - b.close / 100 - ({FAIR[SOURCE]}) / {UNIT} AS spread FROM b LEFT JOIN fair USING (dt))"""
+_NEWS = f"""{NEWS.removeprefix('WITH ').replace('WITH n AS', 'n AS').replace('n AS (SELECT event_id, ts,', "nw AS (SELECT event_id, TIMESTAMP '" + NEWS_FROM + "' + to_seconds(floor((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) * " + str(NEWS_TIMES) + " / 1e6)::BIGINT) AS ts,").replace('FROM n)', 'FROM nw)').replace('i AS (', 'ni AS (').replace('m AS (SELECT *, floor', 'nm AS (SELECT *, floor').replace('FROM i)', 'FROM ni)')},
+nc(class, lf, ls, wf) AS (VALUES {CLASS_RATES}), ne AS (SELECT ts, impulse, lf, ls, wf FROM nm JOIN nc ON class = CASE WHEN event_class IN ({', '.join(repr(k) for k in events.CLASSES)}) THEN event_class ELSE 'noise' END WHERE impulse <> 0),
+nd AS (SELECT unnest(generate_series(min(ts)::DATE, max(ts)::DATE + 10, INTERVAL 1 DAY))::DATE AS dt FROM nw),
+ns AS (SELECT dt, coalesce(sum(impulse * (wf * exp(-lf * x) + (1 - wf) * exp(-ls * x))), 0) AS score FROM (SELECT dt, ne.*, epoch_us(dt::TIMESTAMP) / 86400e6 - epoch_us(ts) / 86400e6 AS x FROM nd LEFT JOIN ne ON ts < dt) GROUP BY dt),
+nz AS (SELECT dt, coalesce((score - avg(score) OVER w) / nullif(stddev_samp(score) OVER w, 0), 0) * (count(score) OVER w >= 10)::INT AS z_news FROM ns WINDOW w AS (ORDER BY dt ROWS BETWEEN 62 PRECEDING AND CURRENT ROW))"""
 
 
 def _roll(x: str, n: int, agg: str = "avg", least: int | None = None, part: str = _WF) -> str:
@@ -99,8 +130,10 @@ mm AS (SELECT *, -(({_roll('c', 5, part=part)}) + ({_roll('c', 21, part=part)}))
 mz AS (SELECT *, (m - ({_roll('m', 26, 'avg', 13, part)})) / nullif({_roll('m', 26, 'stddev_samp', 13, part)}, 0) AS z_mom FROM mm)"""
 
 
-_W2 = "(0.70 * ranging + 0.15 * trending + 0.15 * crisis)", "(0.20 * ranging + 0.75 * trending + 0.10 * crisis)"
-_BLEND = f"CASE WHEN crisis > 0.6 THEN 0 ELSE ({_W2[0]} * coalesce(z_mr, 0) + {_W2[1]} * coalesce(z_mom, 0)) / ({_W2[0]} + {_W2[1]}) END"
+_ALL3 = f"(({SOFT['mr']}) + ({SOFT['mom']}) + ({SOFT['news']}))"
+_TWO = f"(({SOFT['mr']}) * z_mr + ({SOFT['mom']}) * z_mom) / (({SOFT['mr']}) + ({SOFT['mom']}))"
+_THREE = f"(({SOFT['mr']}) * z_mr + ({SOFT['mom']}) * z_mom) / {_ALL3} + ({SOFT['news']}) / {_ALL3} * coalesce(z_news, 0)"
+_CRISIS = f"(coalesce(crisis > 0.6, false) OR coalesce(vol > {CRISIS_VOL}, false))"
 
 
 def _state(z: str, name: str) -> tuple[str, str]:
@@ -119,7 +152,7 @@ g AS (SELECT *, coalesce(contracts * (close - lag(close) OVER ({part})), 0) - {C
 
 
 _ENTER, _ON = _state("z", "blend")
-_FOLDS = f"""{B.replace('WITH', 'WITH RECURSIVE', 1)}, {_FAIR}, {PROBS.replace(' p AS (', ' pq AS (').replace('FROM p)', 'FROM pq)')},
+_FOLDS = f"""{B.replace('WITH', 'WITH RECURSIVE', 1)}, {_FAIR}, {_NEWS}, {REGIMES},
 y AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY dt) - 1 AS i FROM sp WHERE spread IS NOT NULL),
 f AS (SELECT series_id, fold, {LEAST} + fold * {STEP} AS pos FROM (SELECT series_id, max(i) + 1 AS rows FROM y GROUP BY 1), LATERAL (SELECT unnest(range(0, greatest(0, (rows - {TEST} - {LEAST}) // {STEP} + 1))) AS fold)),
 tr AS (SELECT f.series_id, fold, y.dt, spread - lag(spread) OVER w AS dy, lag(spread) OVER w AS lx FROM f JOIN y ON y.series_id = f.series_id AND i < pos AND i >= pos - {TRAIN} WINDOW w AS (PARTITION BY f.series_id, fold ORDER BY y.dt)),
@@ -129,7 +162,7 @@ fh AS (SELECT series_id, fold, ranging, trending, crisis, CASE WHEN slope < 0 TH
 oos AS (SELECT f.series_id, f.fold, y.dt, close, r, spread, ranging, trending, crisis, half_life, CASE WHEN half_life IS NOT NULL THEN least({TEST}, greatest(20, floor(2 * half_life))) END::INT AS w, row_number() OVER (PARTITION BY f.series_id, f.fold ORDER BY y.dt) AS k
   FROM f JOIN y ON y.series_id = f.series_id AND i >= pos AND i < pos + {TEST} JOIN fh ON fh.series_id = f.series_id AND fh.fold = f.fold),
 zs AS (SELECT a.series_id, a.fold, a.k, CASE WHEN count(*) >= any_value(a.w) // 2 THEN (any_value(a.spread) - avg(c.spread)) / nullif(stddev_samp(c.spread), 0) END AS z_mr FROM oos a JOIN oos c ON c.series_id = a.series_id AND c.fold = a.fold AND c.k > a.k - a.w AND c.k <= a.k GROUP BY ALL),
-oz AS (SELECT * FROM oos LEFT JOIN zs USING (series_id, fold, k)), {_mom('oz', _WF)}, bl AS (SELECT *, {_BLEND} AS z FROM mz),
+oz AS (SELECT * FROM oos LEFT JOIN zs USING (series_id, fold, k)), {_mom('oz', _WF)}, bl AS (SELECT mz.*, {_THREE} AS z FROM mz LEFT JOIN nz USING (dt)),
 wk AS (SELECT series_id, fold, k, {_ENTER} AS s_blend FROM bl WHERE k = 1 UNION ALL SELECT s.series_id, s.fold, s.k, {_ON} FROM wk p JOIN bl s ON s.series_id = p.series_id AND s.fold = p.fold AND s.k = p.k + 1),
 ps AS (SELECT bl.*, CASE WHEN z IS NULL THEN 0 ELSE s_blend END AS position FROM bl JOIN wk USING (series_id, fold, k)), {_gains('ps', _WF)}"""
 
@@ -160,12 +193,18 @@ _STATES = {k: _state({"mr": "z_mr", "mom": "z_mom", "blend": "z"}[k], k) for k i
 _FRAME = ["close", "fair", "spread", "z_mr", "z_mom", "z", "contracts", "net", "cum"]
 
 
-_DAILY = f"""{B.replace('WITH', 'WITH RECURSIVE', 1)}, {_FAIR}, {PROBS.replace(' p AS (', ' pq AS (').replace('FROM p)', 'FROM pq)')},
-ou AS (SELECT series_id, spread - lag(spread) {S.W} AS dy, lag(spread) {S.W} AS lx FROM sp), fs AS (SELECT series_id, covar_samp(dy, lx) / var_samp(lx) AS slope, count(dy) AS m, var_samp(CASE WHEN lx IS NOT NULL THEN dy END) AS vy, var_samp(CASE WHEN dy IS NOT NULL THEN lx END) AS vx FROM ou GROUP BY series_id),
-idle AS (SELECT series_id, NOT coalesce(slope / sqrt((vy - slope * slope * vx) / (m - 2) / vx) < -2.86, false) AND (coalesce(CASE WHEN slope < 0 THEN ln(2) / -slope END, 1e9) < 3 OR coalesce(CASE WHEN slope < 0 THEN ln(2) / -slope END, 1e9) > 120) AS idle FROM fs),
-zz AS (SELECT sp.*, {S.z('spread', 60, 30)} AS z_mr FROM sp), {_mom('zz', _S1)}, bl AS (SELECT mz.*, ranging, trending, crisis, row_number() OVER (PARTITION BY mz.series_id ORDER BY mz.dt) AS k FROM mz LEFT JOIN n USING (series_id, dt)), bz AS (SELECT *, {_BLEND} AS z FROM bl),
+_T = "slope / sqrt((vy - slope * slope * vx) / (m - 2) / vx)"
+_DAILY = f"""{B.replace('WITH', 'WITH RECURSIVE', 1)}, {_FAIR}, {REGIMES},
+ou AS (SELECT series_id, spread - lag(spread) {S.W} AS dy, lag(spread) {S.W} AS lx FROM sp), fs AS (SELECT series_id, covar_samp(dy, lx) / var_samp(CASE WHEN dy IS NOT NULL THEN lx END) AS slope, count(dy) AS m, var_samp(CASE WHEN lx IS NOT NULL THEN dy END) AS vy, var_samp(CASE WHEN dy IS NOT NULL THEN lx END) AS vx FROM ou GROUP BY series_id),
+ff AS (SELECT *, CASE WHEN slope < 0 THEN ln(2) / -slope END AS half_life, coalesce(slope < 0 AND {S.t_p_value(_T, 'm - 2')} < 0.10, false) AS reverts FROM fs),
+idle AS (SELECT series_id, half_life, CASE WHEN half_life IS NOT NULL THEN greatest(20, floor(2 * half_life)) END::INT AS w, NOT reverts AND (coalesce(half_life, 1e9) < 3 OR coalesce(half_life, 1e9) > 120) AS idle FROM ff),
+sk AS (SELECT sp.*, half_life, w, idle, row_number() {S.W} AS k FROM sp JOIN idle USING (series_id)),
+zz AS (SELECT a.series_id, a.dt, any_value(a.close) AS close, any_value(a.r) AS r, any_value(a.fair) AS fair, any_value(a.spread) AS spread, any_value(a.half_life) AS half_life, any_value(a.idle) AS idle,
+  CASE WHEN NOT any_value(a.idle) AND count(c.spread) >= any_value(a.w) // 2 THEN (any_value(a.spread) - avg(c.spread)) / nullif(stddev_samp(c.spread), 0) END AS z_mr FROM sk a JOIN sk c ON c.series_id = a.series_id AND c.k > a.k - coalesce(a.w, 1) AND c.k <= a.k GROUP BY a.series_id, a.dt),
+{_mom('zz', _S1)}, bl AS (SELECT mz.*, ranging, trending, crisis, {_CRISIS} AS is_crisis, row_number() OVER (PARTITION BY mz.series_id ORDER BY mz.dt) AS k FROM mz LEFT JOIN n USING (series_id, dt)),
+bz AS (SELECT *, CASE WHEN is_crisis THEN 0 ELSE {_TWO} END AS z FROM bl),
 wk AS (SELECT series_id, k, {', '.join(f'{v[0]} AS s_{n}' for n, v in _STATES.items())} FROM bz WHERE k = 1 UNION ALL SELECT s.series_id, s.k, {', '.join(v[1] for v in _STATES.values())} FROM wk p JOIN bz s ON s.series_id = p.series_id AND s.k = p.k + 1),
-ps AS (SELECT bz.*, CASE WHEN z_mr IS NULL OR idle THEN 0 ELSE s_mr END AS signal_mr, CASE WHEN z_mom IS NULL THEN 0 ELSE s_mom END AS signal_mom, CASE WHEN z IS NULL THEN 0 ELSE s_blend END AS position, coalesce(crisis > 0.6, false) AS is_crisis FROM bz JOIN wk USING (series_id, k) JOIN idle USING (series_id)), {_gains('ps', _S1)}
+ps AS (SELECT bz.*, CASE WHEN z_mr IS NULL THEN 0 ELSE s_mr END AS signal_mr, CASE WHEN z_mom IS NULL THEN 0 ELSE s_mom END AS signal_mom, CASE WHEN z IS NULL THEN 0 ELSE s_blend END AS position FROM bz JOIN wk USING (series_id, k)), {_gains('ps', _S1)}
 """
 
 
@@ -175,32 +214,35 @@ def daily_frame(spark, sf):
     by = ["series_id"]
     s = momentum_z(reversion(spark, sf), by)
     entry, leave, sign = BANDS["mom"]
-    s = blended(state.hysteresis(s, F.col("z_mom"), entry, leave, "signal_mom", sign), by)
+    s = state.hysteresis(s, F.col("z_mom"), entry, leave, "signal_mom", sign).withColumn("is_crisis", is_crisis(vol=CRISIS_VOL))
+    s = blended(s, by, F.col("is_crisis"))
     return s.select(
-        "series_id", "dt", "close", "fair", "spread", "z_mr", "signal_mr", "z_mom", "signal_mom", "z", "position", F.coalesce(F.col("crisis") > 0.6, F.lit(False)).alias("is_crisis"), "contracts", "net",
+        "series_id", "dt", "close", "fair", "spread", "z_mr", "signal_mr", "z_mom", "signal_mom", "z", "position", "is_crisis", "contracts", "net",
         F.sum("net").over(state.running()).alias("cum"),
     )
 
 
 def reversion(spark, sf):
-    """Adds z_mr, half_life and signal_mr to the spreads: idle in series whose fit neither reverts nor has a usable half-life."""
+    """Adds z_mr, half_life and signal_mr to the spreads.
+
+    A fit reverts if its slope is negative with a p-value under 0.10.  A series whose fit doesn't, and whose half-life is
+    under 3 or over 120 rows, has no z and no position; else z is over two half-lives, 20 rows at least.
+    """
     order = W.partitionBy("series_id").orderBy("dt")
     s = fair_spread(spark, sf)
-    x = F.col("spread")
-    s = s.withColumn("z_mr", (x - roll(x, 60, F.avg, 30)) / F.nullif(roll(x, 60, F.stddev_samp, 30), F.lit(0.0)))
+    x, slope = F.col("spread"), F.col("slope")
     lagged = s.select("series_id", F.lag(x).over(order).alias("lx"), (x - F.lag(x).over(order)).alias("dy")).filter("lx is not null and dy is not null")
     fit = lagged.groupBy("series_id").agg((F.covar_samp("dy", "lx") / F.var_samp("lx")).alias("slope"), F.count(F.lit(1)).alias("m"), F.var_samp("dy").alias("vy"), F.var_samp("lx").alias("vx"))
-    slope = F.col("slope")
     t = slope / F.sqrt((F.col("vy") - slope * slope * F.col("vx")) / (F.col("m") - 2) / F.col("vx"))
-    half = F.when(slope < 0, math.log(2) / -slope)
-    life = F.coalesce(half, F.lit(1e9))
-    idle = fit.select("series_id", half.alias("half_life"), (~F.coalesce(t < -2.86, F.lit(False)) & ((life < 3) | (life > 120))).alias("idle"))
+    fit = fit.withColumn("half_life", F.when(slope < 0, math.log(2) / -slope)).withColumn("reverts", F.coalesce((slope < 0) & (stats.t_p_value(t, F.col("m") - 2) < 0.10), F.lit(False)))
+    life = F.coalesce("half_life", F.lit(1e9))
+    fit = fit.select("series_id", "half_life", F.greatest(F.lit(20), F.floor(2 * F.col("half_life"))).cast("int").alias("w"), (~F.col("reverts") & ((life < 3) | (life > 120))).alias("idle"))
+    s = rolling.zscore_by_length(s.join(fit, "series_id"), "spread", "w", "z_mr").withColumn("z_mr", F.when(~F.col("idle"), F.col("z_mr")))
     entry, leave, sign = BANDS["mr"]
-    s = state.hysteresis(s.join(F.broadcast(idle), "series_id"), F.col("z_mr"), entry, leave, "signal_mr", sign)
-    return s.withColumn("signal_mr", F.when(F.col("idle"), 0).otherwise(F.col("signal_mr")))
+    return state.hysteresis(s, F.col("z_mr"), entry, leave, "signal_mr", sign)
 
 
-@query("st16_reversion_assembly", f"""{_DAILY} SELECT series_id, dt, fair, spread, z_mr AS z, half_life, signal_mr AS position FROM ps JOIN (SELECT series_id, CASE WHEN slope < 0 THEN ln(2) / -slope END AS half_life FROM fs) USING (series_id)""", ["fair", "spread", "z", "half_life"])
+@query("st16_reversion_assembly", f"""{_DAILY} SELECT series_id, dt, fair, spread, z_mr AS z, half_life, signal_mr AS position FROM ps""", ["fair", "spread", "z", "half_life"])
 def reversion_assembly(spark, sf):
     """ST16: spreads off a fair value, their fit, z-scores and positions."""
     return reversion(spark, sf).select("series_id", "dt", "fair", "spread", F.col("z_mr").alias("z"), "half_life", F.col("signal_mr").alias("position"))
