@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators import hot
 from tidemark.operators.ewm import recurrences
 
 # Base impulse of a severity tier, and (half-life fast, half-life slow in days, fast weight, largest
@@ -55,28 +58,69 @@ def decayed_score(days: DataFrame, events: DataFrame, crisis: float = 2.0, remai
 
 
 def dedupe(events: DataFrame, key: Column, order: str, ts: str, hours: float = 6) -> DataFrame:
-    """Of each key's events in arrival order, those at least `hours` after the last one kept; equal orders by time.
-
-    An event that late after all before it is kept whatever they are, so each such event begins a group of its own, and a
-    group holds one burst, not all of a key.  Of a burst the fold keeps only the last time, and the marks of its events.
+    """Of each key's events in arrival order, those at least `hours` after the last one kept; equal orders by time, then by the other columns.
+
+    What is kept is later than all that came before it, so only such events count, and among them the arrival order is
+    that of time.  They are laid out in ranges of (key, time); each range works out what it keeps from the time last kept
+    before it, and hands on the last that it keeps itself.  At first each range takes it that nothing was kept before; as
+    long as what is handed on differs from what was taken, the ranges concerned are worked out again.  A range mostly
+    hands on the same whatever it takes, so two or three passes are the rule; ranges are right from the first one on, so
+    it ends.  No task holds a key.  Events without a time are never kept.
     """
     gap = int(hours * 3600e6)
     names = events.columns
-    rows = events.withColumn("__k", key).withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp")))
-    rows = rows.withColumn("__p", F.row_number().over(W.partitionBy("__k").orderBy(order, "__t", *(c for c in names if c not in (order, ts)))))
-    arrival = W.partitionBy("__k").orderBy("__p")
-    latest = F.max("__t").over(arrival.rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("__new", F.coalesce(F.col("__t") - latest >= gap, F.lit(True)).cast("int")).withColumn("__g", F.sum("__new").over(arrival.rowsBetween(W.unboundedPreceding, 0)))
-    # An event that begins a group is kept; another only if it is late enough after the last one kept of its group.
-    packed = rows.groupBy("__k", "__g").agg(F.array_sort(F.collect_list(F.struct(F.col("__p").alias("p"), F.col("__t").alias("t")))).alias("__e"))
-    single = packed.filter(F.size("__e") == 1).select("__k", F.col("__e")[0]["p"].alias("__p"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit("").alias("kept"))
-    late = lambda a, e: a["last"].isNull() | (e["t"] - a["last"] >= gap)
-    step = lambda a, e: F.when(late(a, e), F.struct(e["t"].alias("last"), F.concat(a["kept"], F.lit(","), e["p"].cast("string")).alias("kept"))).otherwise(a)
-    found = F.split(F.substring(F.aggregate("__e", start, step)["kept"], 2, 1 << 30), ",")
-    bursts = packed.filter(F.size("__e") > 1).select("__k", F.explode(found.cast("array<int>")).alias("__p"))
-    kept = single.union(bursts).select(F.col("__k").alias("__k2"), F.col("__p").alias("__p2"))
-    return rows.join(kept, F.col("__k").eqNullSafe(F.col("__k2")) & (F.col("__p") == F.col("__p2")), "left_semi").select(*names)
+    rows = events.withColumn("__k", key).withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp"))).filter("__t is not null")
+    rows = rows.withColumn("__o", F.struct(order, "__t", *(c for c in names if c not in (order, ts))))
+    so_far = hot.running(hot.placed(rows, "__k", "__o"), {"__top": ("max", F.col("__t"))}, "__k", "__o").withColumnRenamed("__place", "__p")
+    # Of equal times at the top so far the first to arrive is the one that reached it.
+    first = so_far.filter(F.col("__t") == F.col("__top")).groupBy("__k", "__t").agg(F.min("__p").alias("__p"))
+    times = hot.laid(first, "__k", "__t")
+    kept = hot.settled(_chain(times, gap)).select(F.col("__k").alias("__k2"), F.col("__p").alias("__p2"))
+    return so_far.join(kept, F.col("__k").eqNullSafe(F.col("__k2")) & (F.col("__p") == F.col("__p2")), "left_semi").select(*names)
+
+
+def _hops(times: np.ndarray, last: int | None, gap: int) -> list[int]:
+    """Places in sorted times of those kept, if `last` was kept before."""
+    at = 0 if last is None else int(np.searchsorted(times, last + gap))
+    out = []
+    while at < len(times):
+        out.append(at)
+        at = int(np.searchsorted(times, times[at] + gap))
+    return out
+
+
+def _chain(times: DataFrame, gap: int) -> DataFrame:
+    """__k and __p of the times kept, from (__k, __t, __p, __part)."""
+    of = W.partitionBy("__k").orderBy("__part")
+    kind = times.schema["__k"].dataType.simpleString()
+
+    def worked(taken: DataFrame, every: bool) -> DataFrame:
+        """What ranges hand on, or all that they keep, from what they take."""
+
+        def work(table: pa.Table) -> pa.Table:
+            table = table.sort_by("__t")
+            t, last = table.column("__t").to_numpy(), table.column("__last")[0].as_py()
+            found = _hops(t, last, gap)
+            if every:
+                return table.select(["__k", "__p"]).take(pa.array(found, pa.int64()))
+            return table.select(["__k", "__part"]).slice(0, 1).append_column("__next", pa.array([int(t[found[-1]]) if found else last], pa.int64()))
+
+        given = taken.select(F.col("__k").alias("__k3"), F.col("__part").alias("__part3"), "__last")
+        met = times.join(given, F.col("__k").eqNullSafe(F.col("__k3")) & (F.col("__part") == F.col("__part3")))
+        out = f"__k {kind}, __p long" if every else f"__k {kind}, __part int, __next long"
+        return met.select("__k", "__part", "__t", "__p", "__last").groupBy("__k", "__part").applyInArrow(work, out)
+
+    state = hot.settled(times.select("__k", "__part").distinct().withColumn("__last", F.lit(None).cast("long")))
+    state = hot.settled(worked(state, False).withColumn("__last", F.lit(None).cast("long")))
+    while True:
+        told = state.withColumn("__told", F.lag("__next").over(of))
+        differ = ~F.col("__told").eqNullSafe(F.col("__last"))
+        again = hot.settled(told.filter(differ).select("__k", "__part", F.col("__told").alias("__last")))
+        if again.isEmpty():
+            return worked(state, True)
+        renewed = worked(again, False).select(F.col("__k").alias("__k4"), F.col("__part").alias("__part4"), F.col("__next").alias("__next4"))
+        both = told.join(renewed, F.col("__k").eqNullSafe(F.col("__k4")) & (F.col("__part") == F.col("__part4")), "left")
+        state = hot.settled(both.select("__k", "__part", F.when(differ, F.col("__next4")).otherwise(F.col("__next")).alias("__next"), F.when(differ, F.col("__told")).otherwise(F.col("__last")).alias("__last")))
 
 
 FIELDS = "event_class string, direction string, severity_tier int, confidence double, reasoning string"

@@ -30,13 +30,18 @@ ROWS = 1 << 16
 PLACE = "__place"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read again."""
+    path = scratch.folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def laid(df: DataFrame, *order: str) -> DataFrame:
     """The rows as a table in ranges of `order`, with the number of each row's range."""
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    path = scratch.folder(spark)
-    df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
-    return spark.read.parquet(path)
+    return settled(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
 
 
 def _offsets(rows: DataFrame, key: str) -> DataFrame:
