@@ -68,12 +68,13 @@ def day_report(spark, sf):
     return lines.groupBy(F.col("day").cast("int").alias("day")).agg(F.count(F.lit(1)).alias("n_lines"), heading.alias("n_groups"), F.md5(F.array_join(F.array_sort(F.collect_list("value")), "\n")).alias("lines_md5"))
 
 
-def streamed(spark, rows, job, schema=None):
-    """What a streaming job makes of rows that come as files, once it has taken all there are."""
+def streamed(spark, rows, job, schema=None, batches=()):
+    """What a streaming job makes of rows that come as files, once it has taken all there are; `batches`: conditions on the rows of one micro-batch after the other."""
     path = folder(spark)
-    rows.write.parquet(f"{path}/in")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
-    out = job(stream)
+    for part in batches or (F.lit(True),):
+        (rows.filter(part).coalesce(1) if batches else rows).write.mode("append").parquet(f"{path}/in")
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1) if batches else spark.readStream.schema(rows.schema)
+    out = job(reader.parquet(f"{path}/in"))
     run = out.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/out")
     run.awaitTermination()
     return spark.read.schema(schema or out.schema).parquet(f"{path}/out")
@@ -87,11 +88,30 @@ def streamed_bars(spark, sf):
     return got.withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("sm2_streamed_dedupe", "SELECT DISTINCT user_id % 20 AS k FROM events", (), ())
+@query("sm2_streamed_dedupe", """WITH RECURSIVE e AS (SELECT event_id, ts, user_id % 20 AS k, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS rn FROM events),
+w AS (SELECT event_id, ts, k, rn, ts AS last, true AS keep FROM e WHERE rn = 1 UNION ALL
+  SELECT e.event_id, e.ts, e.k, e.rn, CASE WHEN e.ts - w.last >= INTERVAL 6 HOUR THEN e.ts ELSE w.last END, e.ts - w.last >= INTERVAL 6 HOUR FROM w JOIN e ON e.k = w.k AND e.rn = w.rn + 1)
+SELECT event_id, k FROM w WHERE keep""", (), ())
 def streamed_dedupe(spark, sf):
-    """SM2: of what comes at one time, each key once."""
+    """SM2: the dedupe of OS4 over a stream of four micro-batches; its watermark lies behind all events, so none is late."""
     e = table(spark, sf, "events").select((F.col("user_id") % 20).alias("k"), "ts", "event_id")
-    return streamed(spark, e, lambda s: jobs.once_per_key(s, "k")).select("k")
+    top = e.agg(F.max("event_id")).first()[0]
+    cuts = [(F.col("event_id") > top * k / 4) & (F.col("event_id") <= top * (k + 1) / 4) if k else F.col("event_id") <= top / 4 for k in range(4)]
+    return streamed(spark, e, lambda s: jobs.kept_apart(s, "k", "event_id", late="400 days"), batches=cuts).select("event_id", "k")
+
+
+@query("sm5_streamed_filings", """WITH c AS (SELECT conv_id, turn, text, conv_id % 10 AS day, conv_id * 1000 + turn AS ord FROM conversations), h AS (SELECT max(conv_id) * 500 AS cut FROM conversations),
+f AS (SELECT *, day IN (3, 7) AND ord > cut AS late FROM c, h WHERE trim(text, ' ') <> '' AND (NOT (day IN (3, 7) AND ord > cut) OR day = 7 OR turn % 2 = 1))
+SELECT conv_id, turn, day, row_number() OVER (PARTITION BY day ORDER BY ord) AS seq, CASE WHEN late THEN 'closed' ELSE 'open' END AS status, late FROM f""", (), ())
+def streamed_filings(spark, sf):
+    """SM5, TX7: filings of a stream of four micro-batches; two days are closed half-way, one of them to all but forced filings."""
+    c = table(spark, sf, "conversations").select((F.col("conv_id") % 10).alias("day"), (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("ord"), F.col("text").alias("raw"), F.lit("file").alias("kind"), (F.col("turn") % 2 == 1).alias("flag"))
+    top = c.agg(F.max("ord")).first()[0] // 1000
+    closing = spark.createDataFrame([(3, False), (7, True)], "day long, flag boolean").select("day", F.lit(top * 500).cast("long").alias("ord"), F.lit(None).cast("string").alias("raw"), F.lit("close").alias("kind"), "flag")
+    every = c.withColumn("day", F.col("day").cast("long")).unionByName(closing)
+    place = F.floor(F.col("ord") * 4 / ((top + 1) * 1000))
+    got = streamed(spark, every, jobs.filing_log, batches=[place == k for k in range(4)])
+    return got.select(F.floor(F.col("ord") / 1000).cast("long").alias("conv_id"), (F.col("ord") % 1000).cast("long").alias("turn"), "day", "seq", "status", "late")
 
 
 @query("sm3_streamed_positions", _walk(S.z("close", 60, 30), 1.5, 0.5, -1), ["z"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,86 @@ def once_per_key(events: DataFrame, key: str, ts: str = "ts", within: str = "6 h
     return timed(events, ts).withWatermark(ts, within).dropDuplicatesWithinWatermark([key])
 
 
+def _micros(times: pd.Series) -> np.ndarray:
+    return times.to_numpy("datetime64[us]").astype(np.int64)
+
+
+def kept_apart(events: DataFrame, key: str, order: str, ts: str = "ts", hours: float = 6, late: str = "1 day") -> DataFrame:
+    """Of a stream, each key's events at least `hours` after the last one kept, in arrival order: events.dedupe, batch by batch.
+
+    The state of a key is the time last kept.  Once the watermark (`late` behind the latest event) is past the time at
+    which any event would be kept anyway, a timer drops it, so keys that have gone quiet cost nothing.  A micro-batch is
+    taken in the order of `order`, then time; events without a time are never kept.
+    """
+    gap = int(hours * 3600e6)
+    rows = timed(events, ts).filter(F.col(ts).isNotNull()).withWatermark(ts, late)
+    kinds = dict(rows.dtypes)
+
+    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        part = pd.concat(list(parts)).sort_values([order, ts], kind="stable")
+        t = _micros(part[ts])
+        last = state.get[0] if state.exists else None
+        # Only what is later than all before it in the batch can be kept.
+        top = np.maximum.accumulate(t)
+        first = np.flatnonzero(np.concatenate([[True], top[1:] > top[:-1]]))
+        at, found = 0 if last is None else int(np.searchsorted(t[first], last + gap)), []
+        while at < len(first):
+            found.append(first[at])
+            last = int(t[first[at]])
+            at = int(np.searchsorted(t[first], last + gap))
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + gap) // 1000, state.getCurrentWatermarkMs()) + 1)
+        yield part.iloc[found][list(kinds)]
+
+    schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items())
+    return rows.groupBy(key).applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def filing_log(commands: DataFrame, day: str = "day", order: str = "ord") -> DataFrame:
+    """Numbered filings of a stream of (day, ord, raw, kind, flag), each day in the order of `ord` within a micro-batch.
+
+    kind `file` files raw, late if its day is closed; flag forces it in then.  kind `close` closes the day, and flag says
+    whether late filings are allowed.  Blank filings, and late ones that are neither allowed nor forced, are rejected.
+    The state of a day is how many it has, and whether and how it was closed; numbers have no gaps over micro-batches.
+    """
+    kinds = dict(commands.dtypes)
+
+    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        count, closed, allowed = state.get if state.exists else (0, False, False)
+        part = pd.concat(list(parts)).sort_values(order, kind="stable")
+        close, flag = (part["kind"] == "close").to_numpy(), part["flag"].fillna(False).to_numpy(bool)
+        # For each row the last close before it, in this batch or in the state.
+        at = np.maximum.accumulate(np.where(close, np.arange(len(part)), -1))
+        late = closed | (at >= 0)
+        may = np.where(at >= 0, flag[np.maximum(at, 0)], allowed)
+        text = part["raw"].fillna("").str.strip(" ")
+        taken = ~close & (text != "").to_numpy() & (~late | may | flag)
+        seq = count + np.cumsum(taken)
+        state.update((int(seq[-1]), bool(late[-1]), bool(may[-1])))
+        out = part[taken]
+        yield pd.DataFrame({day: out[day], order: out[order], "raw": out["raw"], "seq": seq[taken], "status": np.where(late[taken], "closed", "open"), "late": late[taken]})
+
+    schema = f"{day} {kinds[day]}, {order} {kinds[order]}, raw string, seq long, status string, late boolean"
+    filed_ = commands.groupBy(day).applyInPandasWithState(step, schema, "count long, closed boolean, allowed boolean", "append", GroupStateTimeout.NoTimeout)
+    return filed_.withColumn("tags", currencies(F.col("raw")))
+
+
+def held_positions(z: np.ndarray, held: int, entry: float, leave: float, sign: int) -> tuple[np.ndarray, int]:
+    """Positions of rows in order, from the position held before them, and the one after them; NaN gives 0 and keeps it."""
+    rows = np.arange(len(z))
+    with np.errstate(invalid="ignore"):
+        out = np.maximum.accumulate(np.where(np.abs(z) < leave, rows, -1)) if len(z) else rows
+        enter = np.flatnonzero(np.abs(z) > entry)
+    # The first entry since the last exit decides, if it is not behind the row.
+    first = np.append(enter, len(z))[np.searchsorted(enter, np.maximum(out, 0))] if len(z) else rows
+    side = np.append(np.where(z > 0, sign, -sign), 0)
+    now = np.where((out < 0) & (held != 0), held, np.where(first <= rows, side[first], 0))
+    return np.where(np.isnan(z), 0, now).astype(int), int(now[-1]) if len(z) else held
+
+
 def positions(rows: DataFrame, entry: float, leave: float, sign: int = -1) -> DataFrame:
     """series_id, dt, z and position of a stream of (series_id, dt, z), each series in the order of dt within a batch.
 
@@ -41,20 +122,10 @@ def positions(rows: DataFrame, entry: float, leave: float, sign: int = -1) -> Da
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else 0
         part = pd.concat(list(parts)).sort_values("dt")
-        out = []
-        for z in part["z"]:
-            if pd.isna(z):
-                out.append(0)
-                continue
-            if held and abs(z) < leave:
-                held = 0
-            elif not held and abs(z) > entry:
-                held = sign if z > 0 else -sign
-            out.append(held)
+        got, held = held_positions(part["z"].to_numpy(float), state.get[0] if state.exists else 0, entry, leave, sign)
         state.update((held,))
-        yield pd.DataFrame({"series_id": key[0], "dt": part["dt"], "z": part["z"], "position": out})
+        yield pd.DataFrame({"series_id": key[0], "dt": part["dt"], "z": part["z"], "position": got})
 
     kinds = dict(rows.dtypes)
     schema = f"series_id {kinds['series_id']}, dt {kinds['dt']}, z double, position int"
@@ -68,6 +139,21 @@ def filed(submissions: DataFrame, closed: DataFrame) -> DataFrame:
     return rows.join(marks, "day", "left").withColumn("late", F.coalesce("late", F.lit(False)))
 
 
+def decayed_sums(at: np.ndarray, x: np.ndarray, last: float, since: float, rate: float, reach: float = 300.0) -> np.ndarray:
+    """Of sorted times, the sum of all x so far, each decayed by `rate` since its time, and of `last`, decayed since `since`.
+
+    A stretch over which the decay is e ** -reach at most is one cumulative sum of x grown back to its begin.
+    """
+    out = np.empty(len(at))
+    i = 0
+    while i < len(at):
+        j = int(np.searchsorted(at, at[i] + reach / rate, "right"))
+        grown = np.exp(rate * (at[i:j] - at[i]))
+        out[i:j] = (last * math.exp(-rate * (at[i] - since)) + np.cumsum(x[i:j] * grown)) / grown
+        last, since, i = float(out[j - 1]), float(at[j - 1]), j
+    return out
+
+
 def decayed_totals(events: DataFrame) -> DataFrame:
     """event_class, ts and score after each event of a stream of (event_class, ts, imp), each class in the order of ts.
 
@@ -80,16 +166,13 @@ def decayed_totals(events: DataFrame) -> DataFrame:
         fast, slow, weight, _ = CLASSES.get(key[0], CLASSES["noise"])
         f, s, at = state.get if state.exists else (0.0, 0.0, None)
         part = pd.concat(list(parts)).dropna(subset=["ts"]).sort_values("ts")
-        out = []
-        for ts, imp in zip(part["ts"], part["imp"].fillna(0.0), strict=True):
-            now = ts.value / 86400e9
-            days = max(0.0, now - at) if at is not None else 0.0
-            at = now if at is None else max(at, now)
-            f = f * math.exp(-math.log(2) / fast * days) + weight * imp
-            s = s * math.exp(-math.log(2) / slow * days) + (1 - weight) * imp
-            out.append(f + s)
-        if out:
-            state.update((f, s, at))
-        yield pd.DataFrame({"event_class": key[0], "ts": part["ts"], "score": out})
+        if not len(part):
+            return
+        days = part["ts"].to_numpy("datetime64[ns]").astype(np.int64) / 86400e9
+        days = np.maximum(days, days[0] if at is None else at)
+        imp = part["imp"].fillna(0.0).to_numpy(float)
+        sums = [decayed_sums(days, imp * w, last, days[0] if at is None else at, math.log(2) / half) for w, last, half in ((weight, f, fast), (1 - weight, s, slow))]
+        state.update((float(sums[0][-1]), float(sums[1][-1]), float(days[-1])))
+        yield pd.DataFrame({"event_class": key[0], "ts": part["ts"], "score": sums[0] + sums[1]})
 
     return events.groupBy("event_class").applyInPandasWithState(step, "event_class string, ts timestamp, score double", "f double, s double, at double", "append", GroupStateTimeout.NoTimeout)
