@@ -41,8 +41,15 @@ def halflife(h: float) -> float:
 def recurrences(df: DataFrame, inputs: Mapping[str, tuple[Column, float | Column]], key: str = KEY, time: str = TIME) -> DataFrame:
     """Adds y[t] = decay * y[t-1] + u[t] for each name's (u, decay), in the order of `time` within `key`; u isn't null.
 
-    A decay lies between 0 and 1; it may be a column that is the same for all rows of a key.  Equal numbers share blocks.
+    A decay lies between 0 and 1, or is 0, and y is u then; it may be a column that is the same for all rows of a key.
+    Equal numbers share blocks.
     """
+    gone = {name: F.lit(d == 0.0) if isinstance(d, float) else d == 0.0 for name, (_, d) in inputs.items()}
+    at_once = {name: u for name, (u, _) in inputs.items()}
+    half = F.lit(0.5)
+    # Any decay does where none is used.
+    safe = {id(d): F.when(d == 0.0, half).otherwise(d) for _, d in inputs.values() if not isinstance(d, float)}
+    inputs = {name: (u, (d or 0.5) if isinstance(d, float) else safe[id(d)]) for name, (u, d) in inputs.items()}
     order = W.partitionBy(key).orderBy(time)
     before = order.rowsBetween(W.unboundedPreceding, -1)
     decays = {d if isinstance(d, float) else id(d): F.lit(d) if isinstance(d, float) else d for _, d in inputs.values()}
@@ -62,7 +69,8 @@ def recurrences(df: DataFrame, inputs: Mapping[str, tuple[Column, float | Column
         of = d if isinstance(d, float) else id(d)
         k, c = place[of], decays[of]
         carried = F.last(F.when(F.col(f"__e{k}"), F.col(f"__l_{name}")), ignorenulls=True).over(before)
-        out[name] = F.col(f"__l_{name}") + F.pow(c, F.col(f"__o{k}") + 1) * F.coalesce(carried, F.lit(0.0))
+        value = F.col(f"__l_{name}") + F.pow(c, F.col(f"__o{k}") + 1) * F.coalesce(carried, F.lit(0.0))
+        out[name] = F.when(gone[name], at_once[name]).otherwise(value)
     return df.withColumns(out).drop("__i", *sums, *(f"__{part}{k}" for k in place.values() for part in "boe"))
 
 

@@ -53,7 +53,7 @@ def roles(pairs: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     out = pairs
     for role, name in (("b", "base"), ("q", "quote")):
         side = dim.select(F.col(key).alias(f"__{role}"), *(F.col(c).alias(f"{role}_{c}") for c in dim.columns if c != key))
-        out = out.join(F.broadcast(side), F.col(name) == F.col(f"__{role}"), "left").drop(f"__{role}")
+        out = out.join(side, F.col(name) == F.col(f"__{role}"), "left").drop(f"__{role}")
     return out
 
 
@@ -90,7 +90,7 @@ def cross_scores(scores: DataFrame, pairs: DataFrame, code: str = "code", time:
     """base, quote, dt and score of pairs from the scores of their legs against one base: half of quote's less base's."""
     one = scores.select(F.col(code).alias("base"), time, F.col(score).alias("__b"))
     two = scores.select(F.col(code).alias("quote"), time, F.col(score).alias("__q"))
-    return F.broadcast(pairs).join(one, "base").join(two, ["quote", time]).select("base", "quote", time, ((F.col("__q") - F.col("__b")) / 2).alias(score))
+    return pairs.join(one, "base").join(two, ["quote", time]).select("base", "quote", time, ((F.col("__q") - F.col("__b")) / 2).alias(score))
 
 
 def vol_target(score: Column, log_return: Column, target: float = 0.10, window: int = 63, cap: float = 2.0, year: float = 252.0) -> Column:

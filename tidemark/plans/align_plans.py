@@ -30,25 +30,26 @@ def capped(spark, sf):
     return align.asof(b.select("series_id", "dt", "close"), r, ["series_id"], "dt", "net", skip_null=True, cap=_CAP)
 
 
-_KEYED = """k AS (SELECT o_orderpriority AS key, date_trunc('day', o_orderdate)::DATE AS dt, avg(o_totalprice) AS value FROM orders WHERE o_orderkey % 5 = length(o_orderpriority) % 5 GROUP BY ALL)"""
+_KEYED = """k AS (SELECT key, dt, CASE WHEN day(dt) % 5 <> length(key) % 5 THEN v END AS value FROM (SELECT o_orderpriority AS key, o_orderdate::DATE AS dt, avg(o_totalprice) AS v FROM orders GROUP BY ALL))"""
 
 
 def keyed(spark, sf):
-    o = table(spark, sf, "orders").filter(F.col("o_orderkey") % 5 == F.length("o_orderpriority") % 5)
-    return o.groupBy(F.col("o_orderpriority").alias("key"), F.to_date("o_orderdate").alias("dt")).agg(F.avg("o_totalprice").alias("value"))
+    """Daily means of each key; on some days a key has none."""
+    o = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("key"), F.to_date("o_orderdate").alias("dt")).agg(F.avg("o_totalprice").alias("value"))
+    return o.withColumn("value", F.when(F.dayofmonth("dt") % 5 != F.length("key") % 5, F.col("value")))
 
 
 @query("jn6_keyed_carry", f"""WITH {_KEYED}, d AS (SELECT DISTINCT dt FROM k WHERE key IN ('1-URGENT', '2-HIGH', '5-LOW')) SELECT d.dt, a.value AS "1-URGENT", b.value AS "2-HIGH", c.value AS "5-LOW"
-FROM d ASOF LEFT JOIN (SELECT * FROM k WHERE key = '1-URGENT') a ON d.dt >= a.dt ASOF LEFT JOIN (SELECT * FROM k WHERE key = '2-HIGH') b ON d.dt >= b.dt ASOF LEFT JOIN (SELECT * FROM k WHERE key = '5-LOW') c ON d.dt >= c.dt""", ['"1-URGENT"', '"2-HIGH"', '"5-LOW"'])
+FROM d ASOF LEFT JOIN (SELECT * FROM k WHERE key = '1-URGENT' AND value IS NOT NULL) a ON d.dt >= a.dt ASOF LEFT JOIN (SELECT * FROM k WHERE key = '2-HIGH' AND value IS NOT NULL) b ON d.dt >= b.dt ASOF LEFT JOIN (SELECT * FROM k WHERE key = '5-LOW' AND value IS NOT NULL) c ON d.dt >= c.dt""", ['"1-URGENT"', '"2-HIGH"', '"5-LOW"'])
 def keyed_carry(spark, sf):
     """JN6: the named series on all their dates, each carried on."""
     return align.keyed_carry(keyed(spark, sf), ["1-URGENT", "2-HIGH", "5-LOW"])
 
 
-@query("jn7_exact_date_spread", f"WITH {_KEYED} SELECT a.dt, (a.value - b.value) * 100 AS spread_bps FROM k a JOIN k b ON a.dt = b.dt AND a.key = '1-URGENT' AND b.key = '5-LOW'", ["spread_bps"])
+@query("jn7_exact_date_spread", f"WITH {_KEYED} SELECT a.dt, (a.value - b.value) * 100 AS spread_bps FROM k a JOIN k b ON a.dt = b.dt AND a.key = '1-URGENT' AND b.key = '5-LOW' WHERE a.value IS NOT NULL AND b.value IS NOT NULL", ["spread_bps"])
 def exact_spread(spark, sf):
     """JN7: two series' difference on the dates that both have."""
-    k = keyed(spark, sf)
+    k = keyed(spark, sf).filter("value is not null")
     one, two = (k.filter(F.col("key") == n).select("dt", F.col("value").alias(v)) for n, v in (("1-URGENT", "a"), ("5-LOW", "b")))
     return one.join(two, "dt").select("dt", ((F.col("a") - F.col("b")) * 100).alias("spread_bps"))
 
@@ -67,7 +68,7 @@ def candidates(spark, sf):
     hits = hits.groupBy("country", "metric", "ticker").agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("ord"))
     brand = F.split_part("p_brand", F.lit("#"), F.lit(2)).cast("int")
     values = table(spark, sf, "part").groupBy(F.col("p_brand").alias("ticker"), brand.alias("n")).agg(F.avg("p_retailprice").alias("value")).filter("n % 4 > 0")
-    found = hits.join(F.broadcast(values), "ticker").groupBy("country", "metric").agg(F.min_by("ticker", F.struct("ord", "ticker")).alias("ticker"))
+    found = hits.join(values, "ticker").groupBy("country", "metric").agg(F.min_by("ticker", F.struct("ord", "ticker")).alias("ticker"))
     wide = found.groupBy("country").pivot("metric", [0, 1, 2, 3]).agg(F.first("ticker"))
     held = sum((F.col(str(k)).isNotNull().cast("long") for k in range(4)), F.lit(0))
     return wide.select("country", *(F.col(str(k)).alias(f"m{k}") for k in range(4)), held.alias("resolved"))
@@ -246,14 +247,14 @@ def half_life_window(spark, sf):
     p = b.select("series_id", (F.col("close") - lag(F.col("close"))).alias("y"), lag(F.col("close")).alias("x"))
     slope = F.covar_samp("y", "x") / F.var_samp("x")
     w = p.groupBy("series_id").agg(F.when(slope < 0, F.greatest(F.lit(20), F.floor(2 * math.log(2) / -slope))).otherwise(60).cast("int").alias("window_rows"))
-    return rolling.zscore_by_length(b.join(F.broadcast(w), "series_id"), "close", "window_rows").select("series_id", "dt", "window_rows", "z")
+    return rolling.zscore_by_length(b.join(w, "series_id"), "close", "window_rows").select("series_id", "dt", "window_rows", "z")
 
 
-@query("src10_full_join", "WITH a AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 3 > 0), b AS (SELECT o_custkey AS k, max(o_totalprice) AS w FROM orders WHERE o_custkey % 3 < 2 GROUP BY 1) SELECT k, v, w, coalesce(v, w) AS value FROM a FULL JOIN b USING (k)", ["v", "w", "value"], ())
+@query("src10_full_join", "WITH a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END AS v FROM customer), b AS (SELECT o_custkey AS k, max(o_totalprice) AS w FROM orders GROUP BY 1) SELECT k, v, w, coalesce(v, w) AS value FROM a FULL JOIN b USING (k)", ["v", "w", "value"], ())
 def full_join(spark, sf):
     """JN2, SRC10: two keyed series side by side, and the first one's value where it has one."""
-    a = table(spark, sf, "customer").filter("c_custkey % 3 > 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-    b = table(spark, sf, "orders").filter("o_custkey % 3 < 2").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("w"))
+    a = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_acctbal")).alias("v"))
+    b = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("w"))
     return a.join(b, "k", "full").withColumn("value", F.coalesce("v", "w"))
 
 

@@ -37,7 +37,7 @@ def classified(spark, sf):
 def net_positions(spark, sf):
     """OS6: reports of all markets whose name holds a fragment, summed by date; net over open interest, none where that is zero."""
     n = table(spark, sf, "nation").filter(F.upper("n_name").contains("_1")).select(F.col("n_nationkey").alias("s_nationkey"))
-    s = table(spark, sf, "supplier").join(F.broadcast(n), "s_nationkey", "left_semi").select(F.col("s_suppkey").alias("l_suppkey"))
+    s = table(spark, sf, "supplier").join(n, "s_nationkey", "left_semi").select(F.col("s_suppkey").alias("l_suppkey"))
     l = table(spark, sf, "lineitem").join(s, "l_suppkey", "left_semi")  # noqa: E741
     of = lambda *flags: F.sum(F.when(F.col("l_returnflag").isin(*flags), F.col("l_quantity")).otherwise(0.0))
     g = l.groupBy(F.to_date(F.date_trunc("week", "l_shipdate")).alias("dt")).agg(of("R").alias("long"), of("A").alias("short"), of("R", "A").alias("oi"))
@@ -63,12 +63,12 @@ def digest(spark, sf):
     return text.digest(d, "doc_id", "text").select("doc_id", "bucket", "n_sentences", F.md5("lines").alias("digest_md5"))
 
 
-@query("tx7_filing_rules", """WITH c AS (SELECT conv_id, turn, text, (conv_id % 10) AS day FROM conversations), f AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY conv_id, turn) AS seq FROM c WHERE trim(text, ' ') <> '' AND (day <> 3 OR turn % 2 = 1))
-SELECT conv_id, turn, day, seq, CASE WHEN day IN (3, 7) THEN 'closed' ELSE 'open' END AS status, day IN (3, 7) AS late FROM f""", (), ())
+@query("tx7_filing_rules", """WITH c AS (SELECT conv_id, turn, text, conv_id // 10 AS day FROM conversations), f AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY conv_id, turn) AS seq FROM c WHERE trim(text, ' ') <> '' AND (day % 10 <> 3 OR turn % 2 = 1))
+SELECT conv_id, turn, day, seq, CASE WHEN day % 10 IN (3, 7) THEN 'closed' ELSE 'open' END AS status, day % 10 IN (3, 7) AS late FROM f""", (), ())
 def filing_rules(spark, sf):
     """TX7: filings numbered by day; blank ones are rejected, and those on a closed day unless they are allowed there."""
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "text", (F.col("conv_id") % 10).alias("day"))
-    closed = c.sparkSession.createDataFrame([(3, False), (7, True)], "day long, allowed boolean")
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text", F.floor(F.col("conv_id") / 10).alias("day"))
+    closed = c.select("day").distinct().filter("day % 10 in (3, 7)").withColumn("allowed", F.col("day") % 10 == 7)
     kept = text.filed(c.withColumn("forced", F.col("turn") % 2 == 1), closed, "day", "text", F.col("forced"))
     seq = F.row_number().over(W.partitionBy("day").orderBy("conv_id", "turn"))
     return kept.select("conv_id", "turn", "day", seq.alias("seq"), "status", "late")

@@ -123,7 +123,7 @@ def differentials(spark, sf):
     return j.select("base", "quote", pairs.leg_differential(F.col("base"), F.col("quote"), F.col("b_rate"), F.col("q_rate")).alias("diff"))
 
 
-_SPOT = f"""{_LEGS}, own AS (SELECT code, dt, usd_px FROM usd UNION ALL SELECT 'USD', dt, 1.0 FROM (SELECT DISTINCT dt FROM usd)), {_DIM}, {_PAIRS},
+SPOT = f"""{_LEGS}, own AS (SELECT code, dt, usd_px FROM usd UNION ALL SELECT 'USD', dt, 1.0 FROM (SELECT DISTINCT dt FROM usd)), {_DIM}, {_PAIRS},
 spot AS (SELECT base, quote, base || quote AS series_id, a.dt, z.usd_px / a.usd_px AS px FROM p JOIN own a ON a.code = base JOIN own z ON z.code = quote AND z.dt = a.dt),
 ret AS (SELECT *, ln(px / lag(px) {S.W}) AS r FROM spot)"""
 
@@ -134,7 +134,7 @@ def spots(spark, sf):
     own = usd.unionByName(usd.select(F.lit("USD").alias("code"), "dt", F.lit(1.0).alias("usd_px")).distinct())
     one = own.select(F.col("code").alias("base"), "dt", F.col("usd_px").alias("__b"))
     two = own.select(F.col("code").alias("quote"), "dt", F.col("usd_px").alias("__q"))
-    j = F.broadcast(regional(spark, sf)).join(one, "base").join(two, ["quote", "dt"])
+    j = regional(spark, sf).join(one, "base").join(two, ["quote", "dt"])
     return j.select("base", "quote", F.concat("base", "quote").alias("series_id"), "dt", (F.col("__q") / F.col("__b")).alias("px"))
 
 
@@ -142,10 +142,13 @@ _VOL = lambda n: f"({S.roll('r', n, 'stddev_samp')}) * sqrt(252::DOUBLE) * 100"
 _MEANVOL = S.roll("v", 126)
 
 
-@query("bd2_carry_board", f"""{_SPOT}, vol AS (SELECT *, {_VOL(21)} AS v, {_VOL(63)} AS v63 FROM ret), reg AS (SELECT *, {_MEANVOL} AS mean FROM vol {LAST}),
+BD2 = f"""{SPOT}, vol AS (SELECT *, {_VOL(21)} AS v, {_VOL(63)} AS v63 FROM ret), reg AS (SELECT *, {_MEANVOL} AS mean FROM vol {LAST}),
 j AS (SELECT p.base, p.quote, a.rate AS rate_base, z.rate AS rate_quote, (z.rate - a.rate) * 100 AS rate_diff, z.cpi - a.cpi AS cpi_diff, v AS rvol_1m, v63 AS rvol_3m, mean FROM p LEFT JOIN dim a ON a.code = p.base LEFT JOIN dim z ON z.code = p.quote LEFT JOIN reg ON reg.base = p.base AND reg.quote = p.quote)
 SELECT base, quote, rate_base, rate_quote, rate_diff, cpi_diff, rate_diff - cpi_diff * 100 AS real_carry, rvol_1m, rvol_3m, rate_diff / nullif(rvol_1m * 100, 0) AS carry_vol_1m, rate_diff / nullif(rvol_3m * 100, 0) AS carry_vol_3m,
-  CASE WHEN rvol_1m / nullif(mean, 0) IS NULL THEN 'N/A' WHEN rvol_1m / nullif(mean, 0) > 1.3 THEN 'High' WHEN rvol_1m / nullif(mean, 0) < 0.7 THEN 'Low' ELSE 'Normal' END AS vol_regime FROM j""",
+  CASE WHEN rvol_1m / nullif(mean, 0) IS NULL THEN 'N/A' WHEN rvol_1m / nullif(mean, 0) > 1.3 THEN 'High' WHEN rvol_1m / nullif(mean, 0) < 0.7 THEN 'Low' ELSE 'Normal' END AS vol_regime FROM j"""
+
+
+@query("bd2_carry_board", BD2,
     ["rate_base", "rate_quote", "rate_diff", "cpi_diff", "real_carry", "rvol_1m", "rvol_3m", "carry_vol_1m", "carry_vol_3m"], ())
 def carry_board(spark, sf):
     """BD2, JN8, PR16, WN36: rate and real differentials of pairs, over realised volatility, and its regime."""
@@ -175,9 +178,12 @@ _PMI = "CASE WHEN a.pmi - z.pmi IS NULL THEN 'N/A' WHEN a.pmi - z.pmi > 2 THEN '
 _BD3 = ["pmi_base", "pmi_quote", "pmi_diff", "pmi_mom_diff", "cpi_base", "cpi_quote", "cpi_diff", "cpi_mom_diff", "policy_diff"]
 
 
-@query("bd3_activity_board", f"""WITH {_DIM}, {_PAIRS} SELECT base, quote, a.pmi AS pmi_base, z.pmi AS pmi_quote, a.pmi - z.pmi AS pmi_diff, {_PMI} AS pmi_signal, a.pmi_mom - z.pmi_mom AS pmi_mom_diff, a.cpi AS cpi_base, z.cpi AS cpi_quote, a.cpi - z.cpi AS cpi_diff, a.cpi_mom - z.cpi_mom AS cpi_mom_diff,
+BD3 = f"""WITH {_DIM}, {_PAIRS} SELECT base, quote, a.pmi AS pmi_base, z.pmi AS pmi_quote, a.pmi - z.pmi AS pmi_diff, {_PMI} AS pmi_signal, a.pmi_mom - z.pmi_mom AS pmi_mom_diff, a.cpi AS cpi_base, z.cpi AS cpi_quote, a.cpi - z.cpi AS cpi_diff, a.cpi_mom - z.cpi_mom AS cpi_mom_diff,
   {_NAME('a.bias')} AS bias_base, {_NAME('z.bias')} AS bias_quote, coalesce(a.bias, 0) - coalesce(z.bias, 0) AS bias_diff, {_NAME('a.bias')} || ' vs ' || {_NAME('z.bias')} AS bias_label, (a.policy - z.policy) * 100 AS policy_diff
-FROM p LEFT JOIN dim a ON a.code = base LEFT JOIN dim z ON z.code = quote""", _BD3, ())
+FROM p LEFT JOIN dim a ON a.code = base LEFT JOIN dim z ON z.code = quote"""
+
+
+@query("bd3_activity_board", BD3, _BD3, ())
 def activity_board(spark, sf):
     """BD3, PR5, PR7: levels, differences and last changes of activity and prices, policy biases and rates of pairs."""
     j = pairs.roles(regional(spark, sf), dimension(spark, sf), "code")
