@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.operators import regimes, state
+from tidemark.operators import events, regimes, state
 from tidemark.streaming import jobs
 
 
@@ -70,3 +72,65 @@ def test_filed_marks_late_days(spark):
     sub = spark.createDataFrame([("d1", 1, "a"), ("d1", 2, "  "), ("d2", 3, "b"), (None, 4, "c")], "day string, ts int, raw string")
     closed = spark.createDataFrame([("d1",), ("d1",)], "day string")
     assert sorted((r.ts, r.late) for r in jobs.filed(sub, closed).collect()) == [(1, True), (3, False), (4, False)]
+
+
+def streamed(spark, tmp_path, name, parts, job):
+    """Rows of a stream whose micro-batches are the given frames."""
+    for n, part in enumerate(parts):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    run = job(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start()
+    run.awaitTermination(300)
+    assert len([p for p in run.recentProgress if p["numInputRows"]]) == len(parts)
+    return spark.table(name).collect()
+
+
+def test_streamed_dedupe_equals_batch(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(k, int(rng.integers(0, 3)), base + dt.timedelta(minutes=int(k * 9 + rng.integers(-300, 300)))) for k in range(300)] + [(300, 1, None), (301, 9, base)]
+    df = spark.createDataFrame(rows, "id long, k long, ts timestamp")
+    got = streamed(spark, tmp_path, "apart", [df.filter(F.floor(F.col("id") / 101) == n) for n in range(3)], lambda s: jobs.kept_apart(s, "k", "id", late="100 days"))
+    want = events.dedupe(df, F.col("k"), "id", "ts").collect()
+    assert sorted(r.id for r in got) == sorted(r.id for r in want) and len(want) > 10
+
+
+def test_quiet_keys_are_forgotten_by_a_timer(spark, tmp_path):
+    day = lambda d, k, i: (i, k, dt.datetime(2024, 1, d))
+    parts = [[day(1, 1, 0), day(1, 2, 1)], [day(9, 2, 2)], [day(20, 2, 3)], [day(20, 1, 4), (5, 1, dt.datetime(2024, 1, 20, 1))]]
+    frames = [spark.createDataFrame(p, "id long, k long, ts timestamp") for p in parts]
+    assert sorted(r.id for r in streamed(spark, tmp_path, "quiet", frames, lambda s: jobs.kept_apart(s, "k", "id", late="1 day"))) == [0, 1, 2, 3, 4]
+
+
+def test_filing_log_over_batches(spark, tmp_path):
+    rows = [("d1", 1, "EUR up", "file", False), ("d1", 2, "  ", "file", False), ("d2", 3, "b", "file", False), ("d1", 4, "c", "file", None),
+            ("d1", 5, None, "close", False), ("d1", 6, "late", "file", False), ("d1", 7, "forced", "file", True), ("d2", 8, None, "close", True),
+            ("d2", 9, "late but allowed", "file", False), ("d1", 10, "late too", "file", False), ("d1", 11, "forced again", "file", True), ("d1", 12, None, "file", True)]
+    frames = [spark.createDataFrame(rows[a:b], "day string, ord long, raw string, kind string, flag boolean") for a, b in ((0, 4), (4, 8), (8, 12))]
+    got = sorted((r.day, r.ord, r.seq, r.status, r.late) for r in streamed(spark, tmp_path, "filings", frames, jobs.filing_log))
+    assert got == [("d1", 1, 1, "open", False), ("d1", 4, 2, "open", False), ("d1", 7, 3, "closed", True), ("d1", 11, 4, "closed", True), ("d2", 3, 1, "open", False), ("d2", 9, 2, "closed", True)]
+    one = streamed(spark, tmp_path, "at_once", [spark.createDataFrame(rows, frames[0].schema)], jobs.filing_log)
+    assert sorted((r.day, r.ord, r.seq, r.status, r.late) for r in one) == got
+
+
+def test_vectorised_steps_equal_loops():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        z = np.where(rng.random(40) < 0.1, np.nan, rng.standard_normal(40) * 2)[: rng.integers(0, 41)]
+        held = start = int(rng.integers(-1, 2))
+        want = []
+        for v in z:
+            if np.isnan(v):
+                want.append(0)
+                continue
+            if held and abs(v) < 0.5:
+                held = 0
+            elif not held and abs(v) > 1.5:
+                held = -1 if v > 0 else 1
+            want.append(held)
+        got, after = jobs.held_positions(z, start, 1.5, 0.5, -1)
+        assert got.tolist() == want and after == held
+    at, x = np.sort(rng.random(200) * 4000), rng.standard_normal(200)
+    got = jobs.decayed_sums(at, x, 2.0, 0.0, 0.7)
+    want = [2 * np.exp(-0.7 * t) + (x[: k + 1] * np.exp(-0.7 * (t - at[: k + 1]))).sum() for k, t in enumerate(at)]
+    assert np.allclose(got, want, atol=1e-12)

@@ -47,7 +47,7 @@ def test_positions_match_a_loop(walk):
 
 def test_rank_and_fill_match_pandas(walk):
     frame, df = walk
-    got = df.select("series_id", "dt", rolling.rank_pct(F.col("close"), 30, 30).alias("p"), rolling.fill(F.col("close"), 2).alias("f")).toPandas().sort_values(["series_id", "dt"])
+    got = rolling.rolling_rank(df, "close", 30, "p", 30).select("series_id", "dt", "p", rolling.fill(F.col("close"), 2).alias("f")).toPandas().sort_values(["series_id", "dt"])
     want = frame.groupby("series_id")["close"].transform(lambda s: s.rolling(30).rank(pct=True))
     assert np.allclose(got["p"].astype(float), want, equal_nan=True)
     assert np.allclose(got["f"].astype(float), frame.groupby("series_id")["close"].transform(lambda s: s.ffill(limit=2)), equal_nan=True)

@@ -38,11 +38,11 @@ def day_lines(df: DataFrame, day: str, group: str, seq: str, text: str) -> DataF
 def day_report(df: DataFrame, path: str, day: str, group: str, seq: str, text: str, rows: int = 1_000_000) -> None:
     """One folder per day of Markdown lines, in the order of its files' names and their lines.
 
-    Lines are dealt in ranges of (day, group, number), so a long day is written by many tasks, and a file has `rows` lines at
-    most; Spark numbers the files by range, then within it.
+    Lines are dealt in ranges of (day, group, number) of about `rows` lines, so a long day is written by many tasks, and a
+    file has `rows` lines at most; Spark numbers the files by range, then within it.
     """
     lines = day_lines(df, day, group, seq, text)
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    parts = max(1, -(-lines.count() // rows))
     order = "day", "grp", F.asc_nulls_first("seq")
     laid = lines.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     laid.select("day", "line").write.mode("overwrite").option("maxRecordsPerFile", rows).partitionBy("day").text(path)
