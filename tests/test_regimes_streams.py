@@ -7,7 +7,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.operators import events, regimes, state
+from tidemark.operators import events, longregimes, regimes, state
 from tidemark.streaming import jobs
 
 
@@ -134,3 +134,22 @@ def test_vectorised_steps_equal_loops():
     got = jobs.decayed_sums(at, x, 2.0, 0.0, 0.7)
     want = [2 * np.exp(-0.7 * t) + (x[: k + 1] * np.exp(-0.7 * (t - at[: k + 1]))).sum() for k, t in enumerate(at)]
     assert np.allclose(got, want, atol=1e-12)
+
+
+def test_switching_model_over_blocks_equals_the_whole_fit(spark):
+    rng = np.random.default_rng(1)
+    kind = np.repeat([0, 1, 2, 1, 0, 2], 20)
+    x = np.zeros(len(kind))
+    for t in range(1, len(x)):
+        x[t] = (0.6, 0.0, -0.5)[kind[t]] * x[t - 1] + (0.3, 1.5, 6.0)[kind[t]] * rng.standard_normal()
+    rows = [("a", t, float(v)) for t, v in enumerate(x)] + [("flat", t, 1.0) for t in range(20)] + [("short", t, float(t)) for t in range(4)] + [("a", 999, None)]
+    df = spark.createDataFrame(rows, "series_id string, dt int, x double")
+    want = regimes.switching_fit(x[None, :], 3, rounds=3)
+    # Blocks of 31 rows, so that borders are crossed.
+    got = longregimes.switching_probs(df, "x", 3, rounds=3, size=31).toPandas().sort_values(["series_id", "dt"])
+    mine = got[got["series_id"] == "a"]
+    assert mine["dt"].tolist() == list(range(1, len(x))) and set(mine["status"]) == {want.status[0]} == {"ok"}
+    for c, p in (("p", want.smoothed), ("f", want.filtered)):
+        assert np.allclose(mine[[f"{c}_{n}" for n in regimes.NAMES]], p[0], atol=1e-10)
+    rest = got[got["series_id"] != "a"]
+    assert len(rest) == 19 + 3 and set(rest["status"]) == {"uniform"} and np.allclose(rest.filter(like="p_"), 1 / 3)
