@@ -12,7 +12,7 @@ anchors, whatever stands around them, so a string whose anchor occurs in one doc
 2. What is left are first occurrences of units whose anchor also occurs in other units.  Their strings are dealt by the rank
    of 32 bytes at the anchor's side that they all hold, doubled from the anchor's own: those that start up to 16 bytes
    before the anchor by the bytes from there on, the rest by the anchor's bytes and the 16 behind it.  Ranks that one
-   document has leave.
+   document has leave.  What goes with a rank is only what its strings hold besides these 32 bytes.
 3. Strings of n bytes under a rank are sorted; those whose first document is another one go.  An anchor that stands out, with
    a `SHARE` of all units that are left or more than `MOST`, sends its strings one by one instead, to be combined before the
    shuffle; so no task holds a hot anchor's units, and none holds more than `MOST` of one anchor.
@@ -181,8 +181,10 @@ def _pick(u: Units, row: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _strings(docs: DataFrame, firsts: DataFrame, n: int, single: bool) -> DataFrame:
-    """Of first occurrences of units: rank32, doc, whole, ask, off (place of the first string in the unit), count and bytes.  `single`: every string by its own."""
-    half = GRAM
+    """Of first occurrences of units: rank, doc, whole, ask, off (place of the first string in the unit), lead (bytes before those of the rank) and bytes (all but those of the rank).
+
+    `single`: every string by its own rank.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,18 +216,18 @@ def _strings(docs: DataFrame, firsts: DataFrame, n: int, single: bool) -> DataFr
                 # Strings that start at `cut` or later hold the anchor and the 16 bytes behind it, earlier ones the 16 before it.
                 anchor = u.anchors(at)
                 cut = np.clip(anchor + 2 * GRAM - n, begin, end + 1)
-                for side, (s, e, c) in enumerate(((cut, end, anchor), (begin, cut - 1, anchor - half))):
+                for side, (s, e, c) in enumerate(((cut, end, anchor), (begin, cut - 1, anchor - GRAM))):
                     k = np.flatnonzero(s <= e)
                     if not len(k):
                         continue
                     rank = (u.hashes(c[k], c[k] + 2 * GRAM) ^ np.uint64(side)).view(np.int64)
-                    texts = [data[x:y].tobytes() for x, y in zip(s[k].tolist(), (e[k] + n).tolist(), strict=True)]
+                    texts = [data[x:m].tobytes() + data[m + 2 * GRAM : y].tobytes() for x, m, y in zip(s[k].tolist(), c[k].tolist(), (e[k] + n).tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(rank), pa.array(doc[k]), pa.array(u.whole[at[k]]), pa.array(ask[k]), pa.array((s - begin)[k].astype(np.int32)), pa.array(texts, pa.binary())], names=["rank", "doc", "whole", "ask", "off", "bytes"]
+                        [pa.array(rank), pa.array(doc[k]), pa.array(u.whole[at[k]]), pa.array(ask[k]), pa.array((s - begin)[k].astype(np.int32)), pa.array((c - s)[k].astype(np.int32)), pa.array(texts, pa.binary())], names=["rank", "doc", "whole", "ask", "off", "lead", "bytes"]
                     )
 
     wanted = firsts.filter(F.col("hot") if single else ~F.col("hot")).groupBy("doc").agg(F.collect_list(F.struct("whole", "ask")).alias("want"))
-    schema = "rank long, doc long, whole long, ask boolean, off int" + ("" if single else ", bytes binary")
+    schema = "rank long, doc long, whole long, ask boolean, off int" + ("" if single else ", lead int, bytes binary")
     return _found(docs, wanted, "inner").select("doc", "text", "want").mapInArrow(emit, schema)
 
 
@@ -239,17 +241,22 @@ def _earlier(table: pa.Table, n: int) -> pa.RecordBatch:
     start = np.flatnonzero(new)
     size = np.diff(np.append(start, len(rank)))
     keep = np.repeat((np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start)) & np.logical_or.reduceat(ask, start), size)
-    table, doc, whole, off, ask = table.filter(pa.array(keep)), doc[keep], whole[keep], off[keep], ask[keep]
+    table, rank, doc, whole, off, ask = table.filter(pa.array(keep)), rank[keep], doc[keep], whole[keep], off[keep], ask[keep]
+    lead = table.column("lead").to_numpy()
     column = table.column("bytes").combine_chunks()
+    rest = n - 2 * GRAM
     hashes, owner, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i, j, data, offs in B.chunks(column, 2 << 20) if len(doc) else ():
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * B.powers(B._R, len(data)), out=sums[1:])
-        count = np.diff(offs) - n + 1
+        count = np.diff(offs) - rest + 1
         k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         p = np.repeat(offs[:-1], count) + k
-        hashes.append(B.mixed((sums[p + n] - sums[p]) * B.powers(B._RI, len(data) + 1)[p]).view(np.int64))
-        owner.append(np.repeat(np.arange(i, j), count))
+        row = np.repeat(np.arange(i, j), count)
+        # Strings are alike if they have the rank, its place in them and all other bytes in common.
+        others = B.mixed((sums[p + rest] - sums[p]) * B.powers(B._RI, len(data) + 1)[p])
+        hashes.append(B.mixed(others + rank[row].view(np.uint64) * _C + (lead[row] - k).astype(np.uint64) * _D).view(np.int64))
+        owner.append(row)
         place.append(k)
     h, row, k = np.concatenate(hashes), np.concatenate(owner), np.concatenate(place)
     order = np.lexsort((doc[row], h))
