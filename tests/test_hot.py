@@ -62,6 +62,14 @@ def test_running_values_and_states(spark, walk, size):
         hot.hysteresis(walk, z, 1, 2)
 
 
+@pytest.mark.parametrize("size", [3, 50])
+def test_exponential_means_over_blocks(spark, walk, size):
+    c = F.col("close")
+    filled = walk.filter("close is not null")
+    for df, means in ((walk, {"a": Mean(c, 0.2), "b": Mean(c, 0.05, True, 10), "one": Mean(c, 1.0)}), (filled, {"c": Mean(c, 0.1, False), "one": Mean(c, 1.0, False)})):
+        same(hot.ewms(df, means, size=size), ewms(df, means), exact=False)
+
+
 def test_positions_held_over_many_blocks(spark):
     z = [2.0, *[1.0] * 30, None, *[1.0] * 9, 0.1, *[0.7] * 10, -3.0, *[None] * 12, 5.0, 0.0, 0.9]
     df = spark.createDataFrame([("a", t, v) for t, v in enumerate(z)], "series_id string, dt int, z double")

@@ -74,15 +74,21 @@ def recurrences(df: DataFrame, inputs: Mapping[str, tuple[Column, float | Column
     return df.withColumns(out).drop("__i", *sums, *(f"__{part}{k}" for k in place.values() for part in "boe"))
 
 
-def ewms(df: DataFrame, means: Mapping[str, Mean], key: str = KEY, time: str = TIME) -> DataFrame:
+def _seen(df: DataFrame, values: Mapping[str, Column], key: str, time: str) -> DataFrame:
+    """Adds how many values there are so far, by name."""
+    so_far = W.partitionBy(key).orderBy(time).rowsBetween(W.unboundedPreceding, 0)
+    return df.withColumns({k: F.count(x).over(so_far) for k, x in values.items()})
+
+
+def ewms(df: DataFrame, means: Mapping[str, Mean], key: str = KEY, time: str = TIME, seen=_seen, recur=recurrences) -> DataFrame:
     """Adds exponentially weighted means by name, all in one pass over the series.
 
     adjust=True divides by the weights of the values seen (nulls weigh nothing); adjust=False starts from the first
-    value and expects none to be null after it.  Rows before `least` values are null.
+    value and expects none to be null after it.  Rows before `least` values are null.  `seen` and `recur` count values
+    and solve recurrences; hot.ewms has those for series of any length.
     """
-    seen = W.partitionBy(key).orderBy(time).rowsBetween(W.unboundedPreceding, 0)
     df = df.withColumns({f"__x_{k}": m.x for k, m in means.items()})
-    df = df.withColumns({f"__n_{k}": F.count(f"__x_{k}").over(seen) for k in means})
+    df = seen(df, {f"__n_{k}": F.col(f"__x_{k}") for k in means}, key, time)
     inputs: dict[str, tuple[Column, float]] = {}
     for k, m in means.items():
         x, decay = F.col(f"__x_{k}"), float(1 - m.alpha)
@@ -91,7 +97,7 @@ def ewms(df: DataFrame, means: Mapping[str, Mean], key: str = KEY, time: str = T
             inputs[f"__w_{k}"] = F.when(x.isNotNull(), 1.0).otherwise(0.0), decay
         else:
             inputs[f"__s_{k}"] = F.coalesce(F.when(F.col(f"__n_{k}") == 1, x).otherwise(m.alpha * x), F.lit(0.0)), decay
-    df = recurrences(df, inputs, key, time)
+    df = recur(df, inputs, key, time)
     value = {k: F.col(f"__s_{k}") / F.nullif(F.col(f"__w_{k}"), F.lit(0.0)) if m.adjust else F.col(f"__s_{k}") for k, m in means.items()}
     df = df.withColumns({k: F.when(F.col(f"__n_{k}") >= max(1, m.least), value[k]) for k, m in means.items()})
     return df.drop(*(f"__{part}_{k}" for k in means for part in "xnsw"))

@@ -5,6 +5,7 @@ each series' rows in each of them give every row its place in the series.  Place
 
 - a rolling window needs the last rows of the block before: they are copied into the next block (`in_blocks`);
 - a running value is that of the block, combined with what the blocks before it come to (`running`);
+- a recurrence y[t] = d * y[t-1] + u[t] adds to a block's own values what it is entered with, decayed (`recurrences`, `ewms`);
 - a position with hysteresis maps the state in which a block is entered to the one in which it is left: a block with an
   exit forgets how it was entered, another keeps a position, and opens its own first entry if there was none.  These maps
   are composed over the blocks of a series, and each block starts from what they give (`hysteresis`).
@@ -22,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from tidemark.operators import ewm
 from tidemark.operators.rolling import KEY, TIME
 from tidemark.sources import scratch
 
@@ -105,6 +107,27 @@ def running(df: DataFrame, values: Mapping[str, tuple[str, Column]], key: str =
     return out.drop(*drop)
 
 
+def recurrences(df: DataFrame, inputs: Mapping[str, tuple[Column, float]], key: str = KEY, time: str = TIME, size: int = ROWS) -> DataFrame:
+    """As ewm.recurrences, with decays that are numbers."""
+    rows = _with_places(df, key, time).withColumn("__b", F.floor(F.col(PLACE) / size)).withColumn("__kb", F.struct(key, "__b"))
+    local = ewm.recurrences(rows, inputs, "__kb", PLACE)
+    ends = local.groupBy(F.col(key).alias("of"), F.col("__b").alias("at")).agg(*(F.max_by(name, PLACE).alias(f"__e_{name}") for name in inputs))
+    # From block to block the same recurrence holds, as all blocks but the last are of one length.
+    ends = ewm.recurrences(ends, {f"__y_{name}": (F.col(f"__e_{name}"), float(d**size)) for name, (_, d) in inputs.items()}, "of", "at")
+    before = W.partitionBy("of").orderBy("at")
+    blocks = ends.select(F.col("of").alias("__k1"), F.col("at").alias("__b1"), *(F.coalesce(F.lag(f"__y_{name}").over(before), F.lit(0.0)).alias(f"__y_{name}") for name in inputs))
+    out = _joined(local, blocks, key).withColumns({name: F.col(name) + F.pow(F.lit(d), F.col(PLACE) % size + 1) * F.col(f"__y_{name}") for name, (_, d) in inputs.items()})
+    return out.drop("__b", "__kb", *(f"__y_{name}" for name in inputs), *([] if PLACE in df.columns else [PLACE]))
+
+
+def ewms(df: DataFrame, means: Mapping[str, ewm.Mean], key: str = KEY, time: str = TIME, size: int = ROWS) -> DataFrame:
+    """As ewm.ewms."""
+    counts = lambda rows, values, key, time: running(rows, {k: ("count", x) for k, x in values.items()}, key, time, size)
+    recur = lambda rows, inputs, key, time: recurrences(rows, inputs, key, time, size)
+    out = ewm.ewms(_with_places(df, key, time), means, key, time, counts, recur)
+    return out if PLACE in df.columns else out.drop(PLACE)
+
+
 def hysteresis(df: DataFrame, z: Column, entry: float, leave: float, out: str = "position", sign: int = -1, key: str = KEY, time: str = TIME, size: int = ROWS) -> DataFrame:
     """As state.hysteresis."""
     if leave > entry:
