@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ewm import Mean, ewm, ewms, span
+from tidemark.operators.ewm import Mean, ewms, span
 from tidemark.operators.rolling import lag, roll
 
 
@@ -21,14 +21,21 @@ def rsi(df: DataFrame, n: int = 14, adjust: bool = True, out: str = "rsi", least
     return rsis(df, {out: adjust}, n, least)
 
 
-def rsis(df: DataFrame, adjusted: Mapping[str, bool], n: int = 14, least: int = 1) -> DataFrame:
-    """One RSI for each name, adjusted or not, in one pass."""
+def _rsi_means(adjusted: Mapping[str, bool], n: int, least: int) -> dict[str, Mean]:
     d = F.col("__d")
     up, down = F.greatest(d, F.lit(0.0)) + d * 0, F.greatest(-d, F.lit(0.0)) + d * 0
-    means = {f"__{side}_{k}": Mean(x, 1 / n, adjust, least) for k, adjust in adjusted.items() for side, x in (("gain", up), ("loss", down))}
-    df = ewms(df.withColumn("__d", change()), means)
-    df = df.withColumns({k: 100 - 100 / (1 + F.col(f"__gain_{k}") / F.nullif(F.col(f"__loss_{k}"), F.lit(0.0))) for k in adjusted})
-    return df.drop("__d", *means)
+    return {f"__{side}_{k}": Mean(x, 1 / n, adjust, least) for k, adjust in adjusted.items() for side, x in (("gain", up), ("loss", down))}
+
+
+def _rsi_values(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    names = list(names)
+    df = df.withColumns({k: 100 - 100 / (1 + F.col(f"__gain_{k}") / F.nullif(F.col(f"__loss_{k}"), F.lit(0.0))) for k in names})
+    return df.drop("__d", *(f"__{side}_{k}" for k in names for side in ("gain", "loss")))
+
+
+def rsis(df: DataFrame, adjusted: Mapping[str, bool], n: int = 14, least: int = 1) -> DataFrame:
+    """One RSI for each name, adjusted or not, in one pass."""
+    return _rsi_values(ewms(df.withColumn("__d", change()), _rsi_means(adjusted, n, least)), adjusted)
 
 
 def rsi_simple(n: int = 14) -> Column:
@@ -38,9 +45,23 @@ def rsi_simple(n: int = 14) -> Column:
     return F.when(loss > 0, 100 - 100 / (1 + F.try_divide(gain, loss))).when(gain > 0, 100.0)
 
 
+# MACD and ADX are means of means: what is averaged first, what is made of it, and what is averaged then.  technical() takes
+# the first level of all indicators in one pass over a series, and the second in another.
+def _macd_first(fast: int = 12, slow: int = 26) -> dict[str, Mean]:
+    return {"__fast": Mean(F.col("close"), span(fast), False), "__slow": Mean(F.col("close"), span(slow), False)}
+
+
+def _macd_line(df: DataFrame) -> DataFrame:
+    return df.withColumn("macd", F.col("__fast") - F.col("__slow")).drop("__fast", "__slow")
+
+
+def _macd_second(signal: int = 9) -> dict[str, Mean]:
+    return {"macd_signal": Mean(F.col("macd"), span(signal), False)}
+
+
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    df = ewms(df, {"__fast": Mean(F.col("close"), span(fast), False), "__slow": Mean(F.col("close"), span(slow), False)}).withColumn("macd", F.col("__fast") - F.col("__slow"))
-    return ewm(df, F.col("macd"), "macd_signal", span(signal), adjust=False).withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("__fast", "__slow")
+    df = ewms(_macd_line(ewms(df, _macd_first(fast, slow))), _macd_second(signal))
+    return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 
 def bollinger(n: int = 20, k: float = 2.0) -> dict[str, Column]:
@@ -48,18 +69,32 @@ def bollinger(n: int = 20, k: float = 2.0) -> dict[str, Column]:
     return {"bb_mid": mid, "bb_upper": mid + k * dev, "bb_lower": mid - k * dev, "bb_pct": (F.col("close") - (mid - k * dev)) / F.nullif(2 * k * dev, F.lit(0.0)), "bb_width": 2 * k * dev / mid}
 
 
-def adx(df: DataFrame, n: int = 14, least: int = 1) -> DataFrame:
-    """ADX with the asymmetric tie rule: -DM is compared with +DM after that has been zeroed."""
+def _adx_moves(df: DataFrame) -> DataFrame:
     h, low, before = F.col("high"), F.col("low"), lag(F.col("close"))
     up, down = F.greatest(h - lag(h), F.lit(0.0)) + lag(h) * 0, F.greatest(lag(low) - low, F.lit(0.0)) + lag(low) * 0
     df = df.withColumns({"__up": up, "__dn": down, "__tr": F.greatest(h - low, F.abs(h - before), F.abs(low - before))})
     df = df.withColumn("__p", F.when(F.col("__up") > F.col("__dn"), F.col("__up")).when(F.col("__up").isNotNull(), 0.0))
-    df = df.withColumn("__m", F.when(F.col("__dn") > F.col("__p"), F.col("__dn")).when(F.col("__dn").isNotNull(), 0.0))
-    df = ewms(df, {out: Mean(F.col(x), 1 / n, True, least) for x, out in (("__tr", "__atr"), ("__p", "__ps"), ("__m", "__ms"))})
+    return df.withColumn("__m", F.when(F.col("__dn") > F.col("__p"), F.col("__dn")).when(F.col("__dn").isNotNull(), 0.0))
+
+
+def _adx_first(n: int, least: int) -> dict[str, Mean]:
+    return {out: Mean(F.col(x), 1 / n, True, least) for x, out in (("__tr", "__atr"), ("__p", "__ps"), ("__m", "__ms"))}
+
+
+def _adx_index(df: DataFrame) -> DataFrame:
     plus, minus = (100 * F.col(c) / F.nullif(F.col("__atr"), F.lit(0.0)) for c in ("__ps", "__ms"))
     df = df.withColumns({"__pd": plus, "__md": minus})
     df = df.withColumn("__dx", 100 * F.abs(F.col("__pd") - F.col("__md")) / F.nullif(F.col("__pd") + F.col("__md"), F.lit(0.0)))
-    return ewm(df, F.col("__dx"), "adx", 1 / n, True, least).drop("__up", "__dn", "__tr", "__p", "__m", "__atr", "__ps", "__ms", "__pd", "__md", "__dx")
+    return df.drop("__up", "__dn", "__tr", "__p", "__m", "__atr", "__ps", "__ms", "__pd", "__md")
+
+
+def _adx_second(n: int, least: int) -> dict[str, Mean]:
+    return {"adx": Mean(F.col("__dx"), 1 / n, True, least)}
+
+
+def adx(df: DataFrame, n: int = 14, least: int = 1) -> DataFrame:
+    """ADX with the asymmetric tie rule: -DM is compared with +DM after that has been zeroed."""
+    return ewms(_adx_index(ewms(_adx_moves(df), _adx_first(n, least))), _adx_second(n, least)).drop("__dx")
 
 
 def estimators(n: int = 21, year: float = 252.0) -> dict[str, Column]:
@@ -98,9 +133,14 @@ def histogram_direction(now: Column, before: Column) -> Column:
 
 
 def technical(df: DataFrame) -> DataFrame:
-    """Adds every column of the technical board to bars; windows and means all run over the same series order."""
+    """Adds every column of the technical board to bars; windows and means all run over the same series order.
+
+    The means of RSI, MACD and ADX are taken in two passes over a series, one a level.
+    """
     close = F.col("close")
-    df = adx(macd(rsi(df, out="rsi_14", least=14)), least=14).withColumnRenamed("adx", "adx_14")
+    df = ewms(_adx_moves(df.withColumn("__d", change())), _rsi_means({"rsi_14": True}, 14, 14) | _macd_first() | _adx_first(14, 14))
+    df = ewms(_adx_index(_macd_line(_rsi_values(df, ["rsi_14"]))), _macd_second() | _adx_second(14, 14))
+    df = df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("__dx").withColumnRenamed("adx", "adx_14")
     df = df.withColumns({"sma_20": roll(close, 20), "sma_50": roll(close, 50), "sma_200": roll(close, 200), "bb_pct_b": bollinger()["bb_pct"], "hist_before": lag(F.col("macd_hist"))})
     df = df.withColumns({f"roc_{k}": (close / F.nullif(lag(close, n), F.lit(0.0)) - 1) * 100 for k, n in (("1m", 21), ("3m", 63))})
     df = df.withColumns({f"zscore_{k}": (close - roll(close, n)) / F.nullif(roll(close, n, F.stddev_samp), F.lit(0.0)) for k, n in (("1m", 21), ("3m", 63), ("1y", 252))})

@@ -50,6 +50,12 @@ def drawdown(x: Column) -> Column:
     return x - F.max(x).over(running())
 
 
+def run_length(df: DataFrame, flag: Column, out: str = "run") -> DataFrame:
+    """Adds how many rows in a row have had the flag, up to each row."""
+    rows = df.withColumn("__f", F.coalesce(flag, F.lit(False))).withColumn("__g", F.sum(F.when(F.col("__f"), 0).otherwise(1)).over(running()))
+    return rows.withColumn(out, F.sum(F.col("__f").cast("long")).over(running(W.partitionBy("series_id", "__g").orderBy("dt")))).drop("__f", "__g")
+
+
 def longest_run(df: DataFrame, flag: Column) -> DataFrame:
     """series_id and the length of its longest run of rows with the flag."""
     rows = df.withColumn("__f", F.coalesce(flag, F.lit(False))).withColumn("__g", F.sum(F.when(F.col("__f"), 0).otherwise(1)).over(running()))

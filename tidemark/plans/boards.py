@@ -97,16 +97,15 @@ SELECT * FROM m JOIN l USING (series_id)""", _METRICS, ())
 def performance(spark, sf):
     """AG7: gains, risks, drawdowns and what the days on which contracts change bring."""
     s = strategy(spark, sf).withColumn("cum", F.sum("net").over(state.running()))
-    s = s.withColumn("dd", state.drawdown(F.col("cum")))
+    s = state.run_length(s.withColumn("dd", state.drawdown(F.col("cum"))), F.col("dd") < 0)
     n, year, traded = F.col("net"), math.sqrt(252), F.col("cost") > 0
     when = lambda c: F.when(traded & c, n)
-    m = s.groupBy("series_id").agg(
-        F.count(F.lit(1)).alias("n_days"), F.count(F.when(traded, 1)).alias("n_trades"),
+    return s.groupBy("series_id").agg(
+        F.max("run").alias("longest_dd"), F.count(F.lit(1)).alias("n_days"), F.count(F.when(traded, 1)).alias("n_trades"),
         F.sum(n).alias("total"), (F.avg(n) * 252).alias("ann"), (F.stddev_samp(n) * year).alias("vol"), (F.avg(n) / F.nullif(F.stddev_samp(n), F.lit(0.0)) * year).alias("sharpe"),
         (F.avg(n) * 252 / F.nullif(F.stddev_samp(F.when(n < 0, n)) * year, F.lit(0.0))).alias("sortino"), F.min("dd").alias("max_dd"), (F.avg(n) * 252 / F.nullif(F.abs(F.min("dd")), F.lit(0.0))).alias("calmar"),
         F.avg(F.when(traded, (n > 0).cast("int"))).alias("win_rate"), F.avg(when(n > 0)).alias("avg_win"), F.avg(when(n < 0)).alias("avg_loss"), (F.sum(when(n > 0)) / F.nullif(-F.sum(when(n < 0)), F.lit(0.0))).alias("profit_factor"),
     )
-    return m.join(state.longest_run(s, F.col("dd") < 0).withColumnRenamed("longest", "longest_dd"), "series_id")
 
 
 @query("ag14_fiscal_yoy", "WITH y AS (SELECT o_orderpriority AS name, year(o_orderdate) AS y, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS v FROM orders GROUP BY ALL) SELECT a.name, a.y, a.v, (a.v / nullif(b.v, 0) - 1) * 100 AS yoy FROM y a LEFT JOIN y b ON b.name = a.name AND b.y = a.y - 1", ["v", "yoy"], ())
