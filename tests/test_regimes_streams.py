@@ -153,3 +153,15 @@ def test_switching_model_over_blocks_equals_the_whole_fit(spark):
         assert np.allclose(mine[[f"{c}_{n}" for n in regimes.NAMES]], p[0], atol=1e-10)
     rest = got[got["series_id"] != "a"]
     assert len(rest) == 19 + 3 and set(rest["status"]) == {"uniform"} and np.allclose(rest.filter(like="p_"), 1 / 3)
+
+
+def test_folds_take_the_last_state_of_their_training_rows(spark):
+    rng = np.random.default_rng(4)
+    calm, wild = rng.standard_normal(60), rng.standard_normal(60) * 8
+    rows = [("a", k, t, float(v)) for k, x in enumerate((np.r_[calm, wild], np.r_[wild, calm])) for t, v in enumerate(x)] + [("b", 0, t, 1.0) for t in range(5)] + [("a", 0, 999, None)]
+    got = {(r.series_id, r.fold): r for r in regimes.fold_regimes(spark.createDataFrame(rows, "series_id string, fold int, dt int, r double"), "r", states=2).collect()}
+    assert set(got) == {("a", 0), ("a", 1), ("b", 0)} and got["b", 0].status == "uniform" and got["b", 0].ranging == 0.5
+    for (k, fold), x in {("a", 0): np.r_[calm, wild], ("a", 1): np.r_[wild, calm]}.items():
+        want = regimes.switching_fit(x[None, :], 2)
+        assert np.allclose([got[k, fold].ranging, got[k, fold].trending], want.smoothed[0, -1])
+    assert got["a", 0].trending > 0.9 > 0.1 > got["a", 1].trending

@@ -8,6 +8,7 @@ ends with equal probabilities; `status` says which it was.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -132,6 +133,20 @@ def switching_probs(df: DataFrame, x: str, states: int = 3) -> DataFrame:
     return rows.groupBy("series_id").applyInPandas(fit, f"series_id {kinds['series_id']}, dt {kinds['dt']}, {_columns(states)}, {filtered}, status string")
 
 
+def fold_regimes(train: DataFrame, x: str, by: Sequence[str] = ("series_id", "fold"), states: int = 3) -> DataFrame:
+    """The keys of each fold with the smoothed probability of each state in its last training row, and status; a group is one window."""
+
+    def fit(keys: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        found = switching_fit(part.sort_values("dt", kind="stable")["x"].to_numpy(float)[None, :], states)
+        last = found.smoothed[0][-1] if found.smoothed.shape[1] else np.full(states, 1 / states)
+        return pd.DataFrame([(*keys, *last.tolist(), found.status[0])], columns=[*by, *NAMES[:states], "status"])
+
+    kinds = dict(train.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), *(f"{n} double" for n in NAMES[:states]), "status string"])
+    rows = train.filter(F.col(x).isNotNull()).select(*by, "dt", F.col(x).alias("x"))
+    return rows.groupBy(*by).applyInPandas(fit, schema)
+
+
 def rolling_regimes(df: DataFrame, x: str, train: int = 504, step: int = 21, states: int = 3) -> DataFrame:
     """series_id, dt, fold, the probability of each state and status of rows after each training window.
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import align, events, rolling, state, stats
+from tidemark.operators import align, events, regimes, rolling, state, stats
 from tidemark.operators.rolling import fill, roll
 from tidemark.plans import sqltext as S
 from tidemark.plans.boards import CRISIS_VOL, REGIMES, SOFT, is_crisis, prob_columns, signal_weights
@@ -39,9 +39,9 @@ def fair_spread(spark, sf):
 def news_z(spark, sf):
     """dt and z_news: the z-score of the decayed score of news, day by day, 0 where it isn't known."""
     n = views.news(spark, sf)
-    first = n.agg(F.min("ts").alias("__first"))
+    first = n.agg(F.min("ts").alias("__first")).withColumn("one", F.lit(1))
     moved = F.timestamp_seconds(F.unix_seconds(F.lit(NEWS_FROM).cast("timestamp")) + F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("__first").cast("timestamp"))) * NEWS_TIMES / 1e6))
-    n = n.join(first, F.lit(True)).withColumn("ts", moved)
+    n = n.withColumn("one", F.lit(1)).join(F.broadcast(first), "one").withColumn("ts", moved)
     days = n.agg(F.to_date(F.min("ts")).alias("a"), F.date_add(F.to_date(F.max("ts")), 10).alias("z")).select(F.explode(F.sequence("a", "z")).alias("dt"))
     scored = events.decayed_score(days, n).withColumn("series_id", F.lit("news"))
     return scored.select("dt", F.coalesce(rolling.zscore(F.col("score"), 63, 10), F.lit(0.0)).alias("z_news"))
@@ -82,9 +82,11 @@ def blended(df, by, crisis, news=None):
     return gains(state.hysteresis(df, F.col("z"), entry, leave, sign=sign, by=by), by)
 
 
-def folds(spark, sf):
+def folds(spark, sf, refit=False):
     """Test rows of all folds with the signals that each fold's training rows give them, and their gains.
 
+    Probabilities of regimes are given ones, or with `refit` those of a switching model of each fold's training returns.
+
     A fold's regimes are those of its last training row, and its crises end with it; news go on.
     """
     by = ["series_id", "fold"]
@@ -97,7 +99,11 @@ def folds(spark, sf):
     fit = train.groupBy(*by).agg((F.covar_samp("y", "x") / F.var_samp("x")).alias("slope"), F.max_by("p", F.when(F.col("p").isNotNull(), F.col("dt"))).alias("p"))
     fit = fit.withColumn("half_life", F.when(slope < 0, math.log(2) / -slope)).withColumn("w", F.greatest(F.lit(20), F.floor(2 * F.col("half_life"))).cast("int"))
     fit = fit.withColumn("w", F.when(F.col("half_life").isNotNull(), F.least("w", F.lit(TEST))))
-    test = many.filter("part = 'test'").drop("ranging", "trending", "crisis", "vol").join(fit.select(*by, "half_life", "w", "p.*"), by)
+    fit = fit.select(*by, "half_life", "w", "p.*")
+    if refit:
+        names = ["ranging", "trending", "crisis"]
+        fit = fit.drop(*names).join(regimes.fold_regimes(train.select(*by, "dt", "r"), "r", by).select(*by, *names), by, "left")
+    test = many.filter("part = 'test'").drop("ranging", "trending", "crisis", "vol").join(fit, by)
     # A fold has TEST rows at most, so a row's window, which is its fold's own, is the end of a short list.
     seen = F.collect_list("spread").over(order.rowsBetween(W.unboundedPreceding, 0))
     test = test.withColumn("__a", F.slice(seen, F.greatest(F.lit(1), F.size(seen) - F.col("w") + 1), F.col("w")))
@@ -175,6 +181,13 @@ def walk_forward(spark, sf):
     return stitched.select("series_id", "dt", "fold", "half_life", "z_mr", "z_mom", "z", "position", "contracts", "net", F.sum("net").over(state.running()).alias("cum"))
 
 
+@query("st15_walk_forward_refitted")
+def walk_forward_refitted(spark, sf):
+    """ST15, ST14: the same with regimes refitted on each fold's training rows; no SQL can express the fit."""
+    stitched = align.latest_fold(folds(spark, sf, refit=True), ["series_id", "dt"])
+    return stitched.select("series_id", "dt", "fold", "half_life", "ranging", "trending", "crisis", "z_mr", "z_mom", "z", "position", "contracts", "net", F.sum("net").over(state.running()).alias("cum"))
+
+
 _SHARPE = "avg(net) / nullif(stddev_samp(net), 0) * sqrt(252)"
 
 
