@@ -14,7 +14,8 @@ A file whose words are for `share` or more in units of one kind that reach it is
 a unit and a name that says so (`NAMED`), as whole licences are longer than the parts of them that are templates.  Its
 directory and all below have its licence, unless they have one that is nearer or the file has its own.  Of a directory's
 licence files the one with the highest score counts, then the smallest licence name.  A phrase that stands in texts of any
-licence (`WEAK`) names a file's licence only where nothing else does, and never that of a directory.
+licence (`WEAK`) names a file's licence only where nothing else does, and that of a directory
+only if the file is a licence file by both its words and its name.
 
 Defined results: a null text or one without such a unit has no licence of its own; a null path has no directory and
 inherits nothing; equal (key, text) rows get the same result; the columns license, score, origin and origin_dir replace
@@ -174,9 +175,10 @@ def scan(files: DataFrame, key: str = "doc_id", text: str = "text", path: str =
         .join(found, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__t") == F.col("__t2")), "left")
         .drop("__k", "__t", "__t2")
     )
+    named, much = F.regexp_replace(path, "^.*/", "").rlike(NAMED), F.col("__words") >= share * F.col("__all")
     holds = (
         marked.filter("__license is not null and __dir is not null")
-        .filter(~F.col("__license").isin(*WEAK) & ((F.col("__words") >= share * F.col("__all")) | F.regexp_replace(path, "^.*/", "").rlike(NAMED)))
+        .filter(F.when(F.col("__license").isin(*WEAK), named & much).otherwise(named | much))
         .groupBy("__dir")
         .agg(F.min(F.struct((-F.col("__score")).alias("s"), F.col("__license").alias("k"))).alias("__h"))
         .select(F.col("__dir").alias("__up"), F.col("__h.k").alias("k"), (-F.col("__h.s")).alias("s"))

@@ -255,8 +255,8 @@ best AS (SELECT r, kind, line, c, k FROM cosine WHERE c >= {licenses.LEAST} QUAL
 counted AS (SELECT best.*, len(regexp_extract_all(l.l, {SOLID})) AS n FROM best JOIN l USING (r, kind, line)),
 kinds AS (SELECT r, kind, sum(n) AS n, min((k IN ({weak}), -c, k)) AS b FROM counted GROUP BY ALL),
 own AS (SELECT r, max(n) AS n, min(b)[3] AS license, -(min(b)[2]) AS score FROM kinds GROUP BY r),
-marked AS (SELECT f.r, doc_id, path, dir, license, score, n, len(regexp_extract_all(text, {SOLID})) AS words FROM f LEFT JOIN own USING (r)),
-holds AS (SELECT dir AS up, arg_min(license, (-score, license)) AS license, max(score) AS score FROM marked WHERE license NOT IN ({weak}) AND (n >= {licenses.SHARE} * words OR regexp_matches(regexp_replace(path, '^.*/', ''), '{licenses.NAMED}')) GROUP BY dir),
+marked AS (SELECT f.r, doc_id, path, dir, license, score, n, len(regexp_extract_all(text, {SOLID})) AS words, regexp_matches(regexp_replace(path, '^.*/', ''), '{licenses.NAMED}') AS named FROM f LEFT JOIN own USING (r)),
+holds AS (SELECT dir AS up, arg_min(license, (-score, license)) AS license, max(score) AS score FROM marked WHERE license IS NOT NULL AND CASE WHEN license IN ({weak}) THEN named AND n >= {licenses.SHARE} * words ELSE named OR n >= {licenses.SHARE} * words END GROUP BY dir),
 near AS (
   SELECT m.dir, arg_max(h.up, length(h.up)) AS up, arg_max(h.license, length(h.up)) AS license, arg_max(h.score, length(h.up)) AS score
   FROM (SELECT DISTINCT dir FROM marked) m JOIN holds h ON m.dir = h.up OR starts_with(m.dir, h.up || '/') GROUP BY m.dir)
