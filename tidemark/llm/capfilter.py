@@ -14,9 +14,12 @@ one code share codewords, so a pair may well share none of them: a code's chance
 threshold, for these very numbers, and codes with rotations and codebooks of their own are added until the chance that
 all of them miss a pair is under `miss`.
 
-Equal vectors are filed once, by their bytes.  A filter with more than `block` vectors is split into blocks, and every pair of
-blocks is one group, so that no task holds a hot filter and none is cut short.  Groups give no pairs: only each
-vector's count of links whose first common filter is this one, and the links of a spanning forest.
+Equal vectors are filed once, by their bytes.  Filters are dealt in rounds, range after range of their numbers, since a vector
+goes to each of its filters: a round holds about `COPIES` of each vector (with the numbers of its filters before this one), and
+its shuffle is deleted before the next one begins, so disk follows the vectors and not their filters.  A filter with more than
+`block` vectors is split into blocks, and every pair of blocks is one group, so that no task holds a hot filter and none is cut
+short.  Groups give no pairs: only each vector's count of links whose first common filter is this one, and the links of a
+spanning forest.
 
 Defined results: a vector that is null, zero, or holds null or non-finite components links with nothing, itself
 included, and is kept; vectors link only with vectors of their own length; repeated ids count as vectors of their own, and
@@ -36,10 +39,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.graph import components
 from tidemark.llm.grouped import map_groups
-from tidemark.llm.stage import settle
+from tidemark.llm.stage import discard, settle
 
 #: Hot filters that are broadcast at most; beyond it, a join does the same.
 BROADCAST_ROWS = 200_000
+#: Copies of a vector in a round of filters, and copies of all vectors that a round has at least.
+COPIES, DEALT = 2, 1 << 18
 #: Codes at least, filters of a vector on average at most, and filters at most, as codebooks must stay small: with vectors
 #: beyond that, filters hold more of them.
 CODES, FILED, MOST = 16, 256, 1 << 29
@@ -163,6 +168,21 @@ def codes_for(count: int, dim: int, threshold: float, per_filter: float, shared:
     return words, cap, max(CODES, math.ceil(math.log(miss) / math.log(p)))
 
 
+def rounds(counts: dict[int, int], dims: dict[int, tuple[int, float, int]]) -> list[tuple[int, int]]:
+    """Ranges of filter numbers to be dealt one after the other, from the number of vectors and the codes of each dimension."""
+    every = sum(c * dims[d][2] * dims[d][0] ** 2 * tail(dims[d][1], d) for d, c in counts.items())
+    number = max(1, min(math.ceil(every / max(1, sum(counts.values())) / COPIES), int(every // DEALT)))
+    top = max((words**2 * codes for words, _, codes in dims.values()), default=1)
+    ends = [top * k // number for k in range(number + 1)]
+    return [(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True) if a < b]
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; rows are scaled by their largest component first, as squares of very large or small ones aren't numbers."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between nodes 0..n-1."""
     top = np.arange(n)
@@ -218,56 +238,61 @@ def compare(number: int, k1: int, k2: int, k: np.ndarray, u: np.ndarray, n: np.n
     return np.concatenate([u[some], u[tree[:, 0]]]), np.concatenate([u[some], u[tree[:, 1]]]), np.concatenate([links[some], np.zeros(len(tree), np.int64)])
 
 
-def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, per_filter: float = 48, shared: float = 32, block: int = 1024, seed: int = 0, miss: float = 1e-5) -> DataFrame:
-    """key, n_links, component_id and kept of every row."""
+def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, per_filter: float = 200, shared: float = 32, block: int = 1024, seed: int = 0, miss: float = 1e-5) -> DataFrame:
+    """key, n_links, component_id and kept of every row; `df` is read twice."""
     good = F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = good & F.exists(vector, lambda x: x != 0)
-    rows = df.select(F.col(key).alias("id"), F.when(sound, F.col(vector).cast("array<double>")).alias("v"))
-    rows = rows.withColumn("h", F.when(F.col("v").isNotNull(), F.sha2(F.to_json(F.struct("v")), 256)))
-    rows = settle(rows)
+    # Floats stay floats where they are kept or dealt; all arithmetic is on doubles.
+    single = dict(df.dtypes)[vector] == "array<float>"
+    rows = df.select(F.col(key).alias("id"), F.when(sound, F.col(vector) if single else F.col(vector).cast("array<double>")).alias("v"))
+    rows = rows.withColumn("h", F.when(F.col("v").isNotNull(), F.unhex(F.sha2(F.to_json(F.struct("v")), 256))))
     reps = rows.filter("h is not null").groupBy("h").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
-    reps = settle(reps.withColumn("u", F.xxhash64("h")))
-    dims = {r["d"]: codes_for(r["c"], r["d"], threshold, per_filter, shared, miss) for r in reps.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    reps = settle(reps.select("h", "rep", "n", F.xxhash64("h").alias("u"), "v"), clear=True)
+    counts = {r["d"]: r["c"] for r in reps.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    dims = {d: codes_for(c, d, threshold, per_filter, shared, miss) for d, c in counts.items()}
 
     wide = any(number_kind(words, number) is np.int64 for words, _, number in dims.values())
     kind, width = (pa.int64(), np.int64) if wide else (pa.int32(), np.int32)
+    raw = np.float32 if single else np.float64
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, Codes] = {}
         for batch in batches:
             vectors = [np.asarray(v, float) for v in batch.column("v").to_pylist()]
-            u, n = batch.column("u"), batch.column("n")
             for d in {len(v) for v in vectors}:
                 at = [r for r, v in enumerate(vectors) if len(v) == d]
                 if d not in codes:
                     codes[d] = Codes(d, *dims[d], seed)
                 for s in range(0, len(at), 512):
                     part = at[s : s + 512]
-                    x = np.stack([vectors[r] / np.abs(vectors[r]).max() for r in part])
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    found = codes[d].decode(x)
+                    x = np.stack([vectors[r] for r in part])
+                    found = codes[d].decode(unit(x))
                     ends = np.cumsum([0, *(len(f) for f in found)]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(width), kind))
+                    kept = [batch.column(c).take(pa.array(part)) for c in ("h", "rep", "n", "u")]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), d, np.int32)), u.take(pa.array(part)), n.take(pa.array(part)), pa.array([v.tobytes() for v in x], pa.binary()), lists],
-                        names=["d", "u", "n", "v", "fs"],
+                        [*kept, pa.array(np.full(len(part), d, np.int32)), pa.array([v.tobytes() for v in x.astype(raw)], pa.binary()), lists],
+                        names=["h", "rep", "n", "u", "d", "v", "fs"],
                     )
 
     # Vectors are filed once; what follows reads their lists.
-    coded = settle(reps.select("u", "n", "v").mapInArrow(file, f"d int, u long, n long, v binary, fs array<{'long' if wide else 'int'}>"))
-    filed = coded.select("d", F.explode("fs").alias("f"), "u", "n", "v", "fs")
+    coded = settle(reps.mapInArrow(file, f"h binary, rep {dict(reps.dtypes)['rep']}, n long, u long, d int, v binary, fs array<{'long' if wide else 'int'}>"), clear=True)
+    discard(reps)
     # Only filters that need more than one block are looked up: one for each `block` filed rows at most.
     hot = coded.select("d", F.explode("fs").alias("f")).groupBy("d", "f").count().filter(F.col("count") > block)
-    hot = settle(hot.select(F.col("d").alias("d2"), F.col("f").alias("f2"), F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    hot = settle(hot.select(F.col("d").alias("d2"), F.col("f").alias("f2"), F.ceil(F.col("count") / block).cast("int").alias("blocks")), clear=True)
     hot = F.broadcast(hot) if hot.count() <= BROADCAST_ROWS else hot
-    # A vector of block k meets every block: groups (min, max) of block numbers.
-    spread = (
-        filed.join(hot, (F.col("d") == F.col("d2")) & (F.col("f") == F.col("f2")), "left")
-        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        .withColumn("k", F.pmod(F.xxhash64("u", "f"), F.col("blocks")).cast("int"))
-        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("d", "f", F.least("k", "o").alias("k1"), F.greatest("k", "o").alias("k2"), "k", "u", "n", "v", "fs")
-    )
+
+    def dealt(low: int, high: int) -> DataFrame:
+        """The vectors of the filters from `low` to `high`, a vector of block k with every block: groups (min, max) of block numbers."""
+        filed = coded.select("d", F.posexplode("fs").alias("p", "f"), "u", "n", "v", "fs").filter((F.col("f") >= low) & (F.col("f") < high))
+        return (
+            filed.join(hot, (F.col("d") == F.col("d2")) & (F.col("f") == F.col("f2")), "left")
+            .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+            .withColumn("k", F.pmod(F.xxhash64("u", "f"), F.col("blocks")).cast("int"))
+            .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("d", "f", F.least("k", "o").alias("k1"), F.greatest("k", "o").alias("k2"), "k", "u", "n", "v", F.slice("fs", 1, F.col("p")).alias("fs"))
+        )
 
     def whole(table: pa.Table) -> pa.RecordBatch:
         """Compares every group of a table of whole groups."""
@@ -279,15 +304,20 @@ def link(df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshol
         parts = []
         for s, e in zip([0, *new.tolist()], [*new.tolist(), len(f)], strict=True):
             if e - s > 1:
-                x = np.frombuffer(b"".join(v[s:e])).reshape(e - s, -1)
+                x = unit(np.frombuffer(b"".join(v[s:e]), raw).reshape(e - s, -1).astype(float))
                 parts.append(compare(int(f[s]), int(k1[s]), int(k2[s]), k[s:e], u[s:e], n[s:e], x, fs[s:e], threshold))
         columns = [np.concatenate([np.zeros(0, np.int64), *(p[c] for p in parts)]) for c in range(3)]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "links"])
 
-    found = settle(map_groups(spread, ["d", "f", "k1", "k2"], whole, "a long, b long, links long").groupBy("a", "b").agg(F.sum("links").alias("links")))
+    found = None
+    for low, high in rounds(counts, dims):
+        part = map_groups(dealt(low, high), ["d", "f", "k1", "k2"], whole, "a long, b long, links long").groupBy("a", "b").agg(F.sum("links").alias("links"))
+        part = settle(part, clear=True)
+        found = part if found is None else found.unionByName(part)
+    found = settle(found.groupBy("a", "b").agg(F.sum("links").alias("links")), clear=True)
     counts = found.filter("a = b").select(F.col("a").alias("cu"), "links")
     # Components go by vector, as different vectors may share an id; each is named by its smallest id.
-    named = reps.join(components(found.filter("a <> b").select("a", "b")), F.col("u") == F.col("node"), "left").withColumn("c", F.coalesce("component", "u"))
+    named = coded.select("h", "rep", "n", "u").join(components(found.filter("a <> b").select("a", "b")), F.col("u") == F.col("node"), "left").withColumn("c", F.coalesce("component", "u"))
     names = named.groupBy(F.col("c").alias("c2")).agg(F.min("rep").alias("component_id"))
     per = (
         named.join(names, F.col("c") == F.col("c2"))
