@@ -197,7 +197,7 @@ _CONTRACTS = """c AS (SELECT series_id, printf('%04d%d', year(dt), quarter(dt))
 @query("wn33_continuous_contract", f"""{B}, {_CONTRACTS}, f AS (SELECT series_id, contract, min(dt) AS start FROM c GROUP BY ALL), n AS (SELECT *, lead(start) OVER (PARTITION BY series_id ORDER BY contract) AS until FROM f),
 s AS (SELECT c.series_id, c.contract, c.dt, c.close FROM c JOIN n USING (series_id, contract) WHERE until IS NULL OR c.dt < until),
 e AS (SELECT series_id, contract, arg_min(close, dt) AS first_close, arg_max(close, dt) AS last_close FROM s GROUP BY ALL), g AS (SELECT series_id, contract, coalesce(lead(first_close) OVER w / nullif(last_close, 0), 1) AS ratio FROM e WINDOW w AS (PARTITION BY series_id ORDER BY contract)),
-h AS (SELECT series_id, contract, (SELECT product(ratio) FROM g k WHERE k.series_id = g.series_id AND k.contract >= g.contract) AS factor FROM g) SELECT series_id, contract, dt, close, close * factor AS adjusted FROM s JOIN h USING (series_id, contract)""", ["close", "adjusted"])
+h AS (SELECT series_id, contract, (SELECT product(ratio ORDER BY k.contract) FROM g k WHERE k.series_id = g.series_id AND k.contract >= g.contract) AS factor FROM g) SELECT series_id, contract, dt, close, close * factor AS adjusted FROM s JOIN h USING (series_id, contract)""", ["close", "adjusted"])
 def continuous(spark, sf):
     """WN33: each contract until the next one starts, all earlier prices by the ratios of later rolls."""
     b = views.bars(spark, sf).select("series_id", "dt", "close")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,10 +16,15 @@ def rounded(df: DataFrame) -> DataFrame:
     cols = []
     for name, kind in df.dtypes:
         c = F.col(name)
-        cols.append((F.floor(c * 1e6 + 0.5) / 1e6).alias(name) if kind == "double" else c.cast("string").alias(name) if kind == "date" else c)
+        cols.append((_floor(c * 1e6 + 0.5) / 1e6).alias(name) if kind == "double" else c.cast("string").alias(name) if kind == "date" else c)
     return df.select(*cols)
 
 
+def _floor(x: Column) -> Column:
+    """As a double: Spark's floor is a long, which holds neither large numbers nor NaN.  From 2 ** 53 on, doubles are whole."""
+    return F.when(F.abs(x) < float(1 << 53), F.floor(x).cast("double")).otherwise(x)
+
+
 def query(name: str, sql: str | None = None, doubles: Sequence[str] = (), dates: Sequence[str] = ("dt",)):
     """Registers a query; the SQL's named columns are rounded, or made text, like the query's."""
 
