@@ -1,7 +1,8 @@
 """Series of any length: places, rolling windows, running values and states, and quantiles, without a task that holds a series.
 
-Rows are laid out once by ranges of (key, time), which Spark samples, so a hot series lies in many partitions.  Counts of
-each series' rows in each of them give every row its place in the series.  Places are cut into blocks of `ROWS`, and
+Rows are laid out once by ranges of (key, time), which Spark samples, so a hot series lies in many partitions.  They are
+written sorted, each with its number in its range; what earlier ranges hold of its series makes that its place in the series,
+without another shuffle.  Places are cut into blocks of `ROWS`, and
 
 - a rolling window needs the last rows of the block before: they are copied into the next block (`in_blocks`);
 - a running value is that of the block, combined with what the blocks before it come to (`running`);
@@ -10,7 +11,8 @@ each series' rows in each of them give every row its place in the series.  Place
   exit forgets how it was entered, another keeps a position, and opens its own first entry if there was none.  These maps
   are composed over the blocks of a series, and each block starts from what they give (`hysteresis`).
 
-Tables of blocks have one row per series and ROWS rows, so windows over the blocks of one series stay small.  Results are
+Tables of blocks have one row per series and ROWS rows, so windows over the blocks of one series stay small.  They are made
+first, and broadcast if they are found to have BROADCAST_ROWS at most, so that rows are not dealt again to meet them.  Results are
 those of the windows over whole series in `rolling` and `state`, but for the order in which doubles are summed in running sums.
 """
 
@@ -30,6 +32,8 @@ from tidemark.sources import scratch
 #: Rows of a block.
 ROWS = 1 << 16
 PLACE = "__place"
+#: Rows of a table of blocks or ranges that is broadcast at most; beyond it, a join does the same.
+BROADCAST_ROWS = 200_000
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -39,6 +43,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(table: DataFrame) -> DataFrame:
+    """The table, made now, to be broadcast if it has few rows."""
+    table = settled(table)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def laid(df: DataFrame, *order: str) -> DataFrame:
     """The rows as a table in ranges of `order`, with the number of each row's range."""
     spark = df.sparkSession
@@ -54,23 +64,36 @@ def _offsets(rows: DataFrame, key: str) -> DataFrame:
     return counts.select("*", before.alias("__before"), F.sum("__here").over(of).alias("__all"))
 
 
-def placed(df: DataFrame, key: str = KEY, time: str = TIME) -> DataFrame:
-    """Adds __place, the number of each row in its series from 0 on; `time` must be a total order within a series."""
-    rows = laid(df, key, time)
-    inside = F.row_number().over(W.partitionBy(key, "__part").orderBy(time)) - 1
-    found = rows.withColumn(PLACE, inside).join(_offsets(rows, key), F.col(key).eqNullSafe(F.col("__k0")) & (F.col("__part") == F.col("__p0")))
-    return found.withColumn(PLACE, F.col(PLACE) + F.col("__before")).drop("__part", "__k0", "__p0", "__before", "__here", "__all")
+def placed(df: DataFrame, key: str = KEY, time: str = TIME, columns: Sequence[str] | None = None) -> DataFrame:
+    """Adds __place, the number of each row in its series from 0 on; `time` must be a total order within a series.
+
+    With `columns`, only these (and the key) are written and kept; a wide `time` need not go further than the sort.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    columns = [*dict.fromkeys([key, *(df.columns if columns is None else columns)])]
+    rows = df.select(*dict.fromkeys([*columns, time])).repartitionByRange(parts, key, time).sortWithinPartitions(key, time)
+    # The number that increases holds the partition in its upper bits, and the row in the lower 33.
+    number, low = F.monotonically_increasing_id(), (1 << 33) - 1
+    rows = rows.withColumn("__n", number).withColumns({"__part": F.shiftright("__n", 33).cast("int"), "__at": F.col("__n").bitwiseAND(F.lit(low)).cast("int")}).drop("__n")
+    rows = settled(rows.select(*columns, "__part", "__at"))
+    counts = rows.groupBy(F.col(key).alias("__k0"), F.col("__part").alias("__p0")).agg(F.count(F.lit(1)).alias("__here"), F.min("__at").alias("__first"))
+    before = F.coalesce(F.sum("__here").over(W.partitionBy("__k0").orderBy("__p0").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = small(counts.select("__k0", "__p0", (before - F.col("__first")).alias("__before")))
+    found = rows.join(starts, F.col(key).eqNullSafe(F.col("__k0")) & (F.col("__part") == F.col("__p0")))
+    return found.withColumn(PLACE, F.col("__at") + F.col("__before")).drop("__part", "__at", "__k0", "__p0", "__before")
 
 
 def _with_places(df: DataFrame, key: str, time: str) -> DataFrame:
     return df if PLACE in df.columns else placed(df, key, time)
 
 
-def in_blocks(df: DataFrame, reach: int, steps: Sequence[Callable[[WindowSpec], Mapping[str, Column]]], key: str = KEY, time: str = TIME, size: int = ROWS) -> DataFrame:
+def in_blocks(df: DataFrame, reach: int, steps: Sequence[Callable[[WindowSpec], Mapping[str, Column]]], key: str = KEY, time: str = TIME, size: int = ROWS, keep: bool = False) -> DataFrame:
     """Adds columns over windows that look back `reach` rows at most, all steps together.
 
     Each step gets the window of a block (partitioned, and ordered in time) and returns columns, which may use those of
-    the steps before it.  A block's windows see `reach` rows of the block before, so frames must be bounded by it.
+    the steps before it.  A block's windows see `reach` rows of the block before, so frames must be bounded by it.  With
+    `keep`, the number of the block stays as __b, and `hysteresis` of blocks of the same size doesn't deal the rows again.
     """
     size = max(size, reach)
     rows = _with_places(df, key, time)
@@ -80,13 +103,14 @@ def in_blocks(df: DataFrame, reach: int, steps: Sequence[Callable[[WindowSpec],
     w = W.partitionBy(key, "__b").orderBy(PLACE)
     for step in steps:
         rows = rows.withColumns(dict(step(w)))
-    rows = rows.filter(own == F.col("__b")).drop("__b")
+    rows = rows.filter(own == F.col("__b"))
+    rows = rows if keep else rows.drop("__b")
     return rows if PLACE in df.columns else rows.drop(PLACE)
 
 
 def _joined(rows: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
     """Rows with what is known of their block (__k1, __b1, ...)."""
-    return rows.join(blocks, F.col(key).eqNullSafe(F.col("__k1")) & (F.col("__b") == F.col("__b1"))).drop("__k1", "__b1")
+    return rows.join(small(blocks), F.col(key).eqNullSafe(F.col("__k1")) & (F.col("__b") == F.col("__b1"))).drop("__k1", "__b1")
 
 
 HOW = {"sum": (F.sum, lambda a, b: a + b), "count": (F.count, lambda a, b: a + b), "max": (F.max, F.greatest), "min": (F.min, F.least)}
@@ -132,7 +156,8 @@ def hysteresis(df: DataFrame, z: Column, entry: float, leave: float, out: str =
     """As state.hysteresis."""
     if leave > entry:
         raise ValueError("leave must not exceed entry")
-    rows = _with_places(df, key, time).withColumn("__b", F.floor(F.col(PLACE) / size)).withColumn("__z", z)
+    rows = df if "__b" in df.columns else _with_places(df, key, time).withColumn("__b", F.floor(F.col(PLACE) / size))
+    rows = rows.withColumn("__z", z)
     inside = W.partitionBy(key, "__b").orderBy(PLACE).rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("__g", F.sum(F.when(F.abs("__z") < leave, 1).otherwise(0)).over(inside))
     side = F.when(F.col("__z") > entry, sign).when(F.col("__z") < -entry, -sign)

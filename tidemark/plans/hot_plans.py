@@ -26,6 +26,11 @@ def prints(spark, sf):
     )
 
 
+def placed(spark, sf, *columns):
+    """The prints in their places, with these columns and the print's own number; the order by which they are sorted stays behind."""
+    return hot.placed(prints(spark, sf), columns=["l_orderkey", "l_linenumber", *columns])
+
+
 @query("wn1_wn16_hot_windows", f"""{_P}, r AS (SELECT *, ln(close / lag(close) OVER {_W}) AS r FROM p)
 SELECT series_id, l_orderkey, l_linenumber, r AS log_return, {_roll('close', 50)} AS sma_50, (close - ({_roll('close', 60, 'avg', 30)})) / nullif({_roll('close', 60, 'stddev_samp', 30)}, 0) AS z, ({_roll('r', 20, 'stddev_samp')}) * sqrt(252::DOUBLE) * 100 AS rv_20 FROM r""",
     ["log_return", "sma_50", "z", "rv_20"], ())
@@ -36,14 +41,14 @@ def windows(spark, sf):
         lambda w: {"log_return": rolling.log_return(c, w=w)},
         lambda w: {"sma_50": rolling.roll(c, 50, w=w), "z": rolling.zscore(c, 60, 30, w), "rv_20": rolling.realised_vol(F.col("log_return"), 20, w=w)},
     ]
-    return hot.in_blocks(prints(spark, sf), 60, steps).select(*_ID, "log_return", "sma_50", "z", "rv_20")
+    return hot.in_blocks(placed(spark, sf, "close"), 60, steps).select(*_ID, "log_return", "sma_50", "z", "rv_20")
 
 
 @query("wn20_hot_ranks", f"""{_P}, k AS (SELECT c.series_id, c.rn, (sum((p.close < c.close)::INT) + (sum((p.close = c.close)::INT) + 1) / 2.0) / count(*) AS pct FROM p c JOIN p ON p.series_id = c.series_id AND p.rn BETWEEN c.rn - 251 AND c.rn GROUP BY ALL)
 SELECT series_id, l_orderkey, l_linenumber, CASE WHEN rn >= 252 THEN pct END AS rank_pct FROM k JOIN p USING (series_id, rn)""", ["rank_pct"], ())
 def ranks(spark, sf):
     """WN20 over hot series: ranks among 252 rows."""
-    return rolling.rolling_rank(hot.placed(prints(spark, sf)), "close", 252, "rank_pct", 252).select(*_ID, "rank_pct")
+    return rolling.rolling_rank(placed(spark, sf, "close"), "close", 252, "rank_pct", 252).select(*_ID, "rank_pct")
 
 
 @query("st1_hot_positions", f"""{_P}, z AS (SELECT *, (close - ({_roll('close', 60, 'avg', 30)})) / nullif({_roll('close', 60, 'stddev_samp', 30)}, 0) AS z FROM p),
@@ -51,7 +56,7 @@ g AS (SELECT *, sum((coalesce(abs(z) < 0.5, false))::INT) OVER {_W} AS g, CASE W
 SELECT series_id, l_orderkey, l_linenumber, z, CASE WHEN z IS NULL THEN 0 ELSE coalesce(first_value(side IGNORE NULLS) OVER (PARTITION BY series_id, g ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) END AS position FROM g""", ["z"], ())
 def positions(spark, sf):
     """ST1 over hot series: positions from maps of states, composed over blocks."""
-    b = hot.in_blocks(hot.placed(prints(spark, sf)), 60, [lambda w: {"z": rolling.zscore(F.col("close"), 60, 30, w)}])
+    b = hot.in_blocks(placed(spark, sf, "close"), 60, [lambda w: {"z": rolling.zscore(F.col("close"), 60, 30, w)}], keep=True)
     return hot.hysteresis(b, F.col("z"), 1.5, 0.5).select(*_ID, "z", "position")
 
 
@@ -66,7 +71,7 @@ def running(spark, sf):
 SELECT series_id, coalesce(max(CASE WHEN f THEN n END), 0)::BIGINT AS longest FROM (SELECT series_id, f, g, count(*) AS n FROM g GROUP BY ALL) GROUP BY series_id""", (), ())
 def underwater(spark, sf):
     """WN32 over hot series: the longest run below the running maximum."""
-    below = hot.drawdown(hot.placed(prints(spark, sf)), F.col("close"))
+    below = hot.drawdown(placed(spark, sf, "close"), F.col("close"))
     return hot.longest_run(below, F.col("drawdown") < 0)
 
 
