@@ -63,7 +63,7 @@ def positions(spark, sf):
 @query("wn31_hot_running", f"""{_P}, c AS (SELECT *, sum(volume) OVER {_W} AS volume_so_far, max(close) OVER {_W} AS top FROM p) SELECT series_id, l_orderkey, l_linenumber, volume_so_far, close - top AS drawdown FROM c""", ["volume_so_far", "drawdown"], ())
 def running(spark, sf):
     """WN31 over hot series: running sums and drawdowns."""
-    b = hot.running(prints(spark, sf), {"volume_so_far": ("sum", F.col("volume")), "top": ("max", F.col("close"))})
+    b = hot.running(placed(spark, sf, "close", "volume"), {"volume_so_far": ("sum", F.col("volume")), "top": ("max", F.col("close"))})
     return b.select(*_ID, "volume_so_far", (F.col("close") - F.col("top")).alias("drawdown"))
 
 
