@@ -127,7 +127,11 @@ SELECT a.event_class, strftime(a.ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, sum(b.impuls
 def streamed_totals(spark, sf):
     """SM4: the decayed total of each class after each event, from two sums and a time."""
     n = views.news(spark, sf).select("event_class", "ts", events.impulse().alias("imp"))
-    return streamed(spark, n, jobs.decayed_totals).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    n.write.parquet(f"{(path := folder(spark))}/in")
+    stream = spark.readStream.schema(n.schema).parquet(f"{path}/in").writeStream.foreachBatch(jobs.totals_of_batches(path))
+    stream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema("event_class string, ts timestamp, score double").parquet(f"{path}/totals").drop("n")
+    return got.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 @query("src6_json_documents", "SELECT conv_id // 5 AS day, turn, conv_id, length(text)::INT AS n FROM conversations", (), ())

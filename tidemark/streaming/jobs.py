@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators import hot
 from tidemark.operators.events import CLASSES
 from tidemark.operators.tags import currencies
 
@@ -159,7 +160,7 @@ def decayed_totals(events: DataFrame) -> DataFrame:
 
     The state of a class is its fast and slow sums and the time they stand for: an event decays both to its own time and
     adds its weighted impulse, so nothing of the past is kept.  Events of a later batch that are older than the state
-    are added as if they came at its time.
+    are added as if they came at its time.  A class's part of a micro-batch is one task's; see totals_of_batches for large ones.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -176,3 +177,77 @@ def decayed_totals(events: DataFrame) -> DataFrame:
         yield pd.DataFrame({"event_class": key[0], "ts": part["ts"], "score": sums[0] + sums[1]})
 
     return events.groupBy("event_class").applyInPandasWithState(step, "event_class string, ts timestamp, score double", "f double, s double, at double", "append", GroupStateTimeout.NoTimeout)
+
+
+def _of_class(value: Callable[[tuple], float]) -> Column:
+    """A number of each event's class, or of noise."""
+    out = F.lit(float(value(CLASSES["noise"])))
+    for name, of in CLASSES.items():
+        out = F.when(F.col("event_class") == name, float(value(of))).otherwise(out)
+    return out
+
+
+def _carried(part: pd.DataFrame) -> pd.DataFrame:
+    """What each block of a class is entered with (f0, s0 as of at0) and left with (f, s as of at), from the state and the blocks' own sums."""
+    part = part.sort_values("__part")
+    ends, at = part["end"].to_numpy(float), part["at"].iloc[0]
+    since = part["start"].iloc[0] if pd.isna(at) else at
+    out = {"event_class": part["event_class"], "__part": part["__part"], "at0": np.concatenate([[since], ends[:-1]]), "at": ends}
+    for k in "fs":
+        last = 0.0 if pd.isna(at) else part[k].iloc[0]
+        out[k] = decayed_sums(ends, part[f"sum_{k}"].to_numpy(float), last, since, part[f"rate_{k}"].iloc[0])
+        out[f"{k}0"] = np.concatenate([[last], out[k][:-1]])
+    return pd.DataFrame(out)
+
+
+def _scores(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Scores of rows sorted by class, block and time, chunk after chunk; only the last sums are held."""
+    key, held = None, {}
+    for part in parts:
+        of, block, days = part["event_class"].to_numpy(object), part["__part"].to_numpy(), part["days"].to_numpy(float)
+        score = np.zeros(len(part))
+        new = np.flatnonzero((of[1:] != of[:-1]) | (block[1:] != block[:-1])) + 1
+        for a, b in zip([0, *new.tolist()], [*new.tolist(), len(part)], strict=True):
+            if a == b:
+                continue
+            if key != (of[a], block[a]):
+                key, held = (of[a], block[a]), {k: (part[f"{k}0"].iloc[a], part["at0"].iloc[a]) for k in "fs"}
+            for k in "fs":
+                sums = decayed_sums(days[a:b], part[f"x_{k}"].to_numpy(float)[a:b], *held[k], part[f"rate_{k}"].iloc[a])
+                held[k] = sums[-1], days[b - 1]
+                score[a:b] += sums
+        yield pd.DataFrame({"event_class": part["event_class"], "ts": part["ts"], "score": score})
+
+
+def totals_of_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """decayed_totals for micro-batches of any size, with foreachBatch: scores in `path`/totals, the state of all classes in `path`/sums.
+
+    A batch is laid out in ranges of (class, time).  A range's sums, decayed to its end, give what the next one is entered
+    with, so no task holds a class: rows pass in chunks.  A batch that is run again overwrites what it has written.
+    """
+
+    def step(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        kind = "event_class string, f double, s double, at double"
+        state = spark.read.schema(kind).parquet(f"{path}/sums/n={n - 1}") if n else spark.createDataFrame([], kind)
+        state = F.broadcast(state.withColumnRenamed("event_class", "of"))
+        rows = timed(batch).filter(F.col("ts").isNotNull()).select("event_class", "ts", F.coalesce("imp", F.lit(0.0)).alias("imp"))
+        rows = hot.laid(rows, "event_class", "ts", "imp").join(state, F.col("event_class").eqNullSafe(F.col("of")), "left").drop("of")
+        weight = _of_class(lambda c: c[2])
+        rows = rows.withColumns({"days": F.greatest(F.unix_micros("ts") / 86400e6, "at"), "x_f": F.col("imp") * weight, "x_s": F.col("imp") * (1 - weight)})
+        rows = rows.withColumns({"rate_f": _of_class(lambda c: math.log(2) / c[0]), "rate_s": _of_class(lambda c: math.log(2) / c[1])})
+        ends = rows.groupBy(F.col("event_class").alias("c1"), F.col("__part").alias("p1")).agg(F.max("days").alias("end"), F.min("days").alias("start"))
+        sums = rows.join(hot.small(ends), F.col("event_class").eqNullSafe(F.col("c1")) & (F.col("__part") == F.col("p1"))).groupBy("event_class", "__part").agg(
+            *(F.first(c).alias(c) for c in ("end", "start", "f", "s", "at", "rate_f", "rate_s")),
+            *(F.sum(F.col(f"x_{k}") * F.exp(-F.col(f"rate_{k}") * (F.col("end") - F.col("days")))).alias(f"sum_{k}") for k in "fs"),
+        )
+        carried = hot.settled(sums.groupBy("event_class").applyInPandas(_carried, "event_class string, __part int, at0 double, f0 double, s0 double, at double, f double, s double"))
+        into = hot.small(carried.select(F.col("event_class").alias("c1"), F.col("__part").alias("p1"), "at0", "f0", "s0"))
+        rows = rows.drop("f", "s", "at").join(into, F.col("event_class").eqNullSafe(F.col("c1")) & (F.col("__part") == F.col("p1")))
+        rows = rows.select("event_class", "__part", "ts", "days", "x_f", "x_s", "rate_f", "rate_s", "at0", "f0", "s0").repartition("event_class", "__part").sortWithinPartitions("event_class", "__part", "ts", "x_f")
+        rows.mapInPandas(_scores, "event_class string, ts timestamp, score double").write.mode("overwrite").parquet(f"{path}/totals/n={n}")
+        last = carried.groupBy("event_class").agg(*(F.max_by(c, "__part").alias(c) for c in ("f", "s", "at")))
+        gone = state.join(last, F.col("of").eqNullSafe(F.col("event_class")), "left_anti").select(F.col("of").alias("event_class"), "f", "s", "at")
+        last.unionByName(gone).coalesce(1).write.mode("overwrite").parquet(f"{path}/sums/n={n}")
+
+    return step
