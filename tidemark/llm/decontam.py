@@ -154,7 +154,7 @@ _SPANS = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
 def _scan(block: Block | None, column: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[str]]]:
     """Of each text: number of words, merged spans and items."""
     counts, spans, items = np.zeros(len(column), np.int64), [[] for _ in range(len(column))], [[] for _ in range(len(column))]
-    for i, j, data, offs in B.chunks(column):
+    for i, j, data, offs in B.chunks(column, B.PIECE):
         w = B.Words(data, offs, B.ALNUM)
         counts[i:j] = w.count
         found, lists = block.scan(w) if block is not None else ({}, {})
@@ -209,7 +209,8 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
         given = df.join(found, (F.xxhash64(text) == F.col("__h1")) & (F.md5(text) == F.col("__h2")), "left").select(*names, "__spans", "__items")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # What goes back at once is a piece, not a whole batch of texts.
+        for batch in chain.from_iterable(B.slices(b, names.index(text)) for b in batches):
             counts, spans, items = _scan(whole.value if whole is not None else None, batch.column(names.index(text)))
             if whole is None:
                 spans = [merged([(x["from"], x["to"]) for x in s or ()]) for s in batch.column(len(names)).to_pylist()]

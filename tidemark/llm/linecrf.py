@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -215,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, ys, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for i, j, data, offs in B.chunks(batch.column(2)):
+            for i, j, data, offs in B.chunks(batch.column(2), B.PIECE):
                 x = lines(data, offs)
                 out += [(str(keys[i + d]), ys[i + d], x.shape[x.at[d] : x.at[d + 1]].astype(np.float32).tobytes(), x.size[x.at[d] : x.at[d + 1]].tobytes()) for d in range(j - i)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["k", "y", "shape", "size"])
@@ -238,10 +239,11 @@ def score(docs: DataFrame, field: Field | None, text: str = "text", out: str = "
     model = docs.sparkSession.sparkContext.broadcast(field)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # What goes back at once is a piece, not a whole batch of texts.
+        for batch in chain.from_iterable(B.slices(b, names.index(text)) for b in batches):
             found = np.full(batch.num_rows, 0.5)
             if model.value is not None:
-                for i, j, data, offs in B.chunks(batch.column(names.index(text))):
+                for i, j, data, offs in B.chunks(batch.column(names.index(text)), B.PIECE):
                     found[i:j] = model.value.score(lines(data, offs))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.clip(found, 0, 1))], names=[*names, out])
 

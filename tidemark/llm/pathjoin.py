@@ -115,7 +115,7 @@ def _features(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offs in B.chunks(batch.column(1), 2 << 20):
+            for i, j, data, offs in B.chunks(batch.column(1), B.PIECE):
                 s = Sets(data, offs, n)
                 none = s.words == 0
                 sig = s.signatures()
@@ -357,7 +357,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, s
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offs in B.chunks(batch.column(3), 2 << 20):
+            for i, j, data, offs in B.chunks(batch.column(3), B.PIECE):
                 s = Sets(data, offs, n)
                 u, low, high = (batch.column(k).slice(i, j - i).to_numpy() for k in range(3))
                 at = np.flatnonzero(s.words > 0)
@@ -378,7 +378,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, s
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offs in B.chunks(batch.column(3), 2 << 20):
+            for i, j, data, offs in B.chunks(batch.column(3), B.PIECE):
                 s = Sets(data, offs, n)
                 sets = [np.unique(s.hash[a:b]).tobytes() for a, b in zip(s.at[:-1].tolist(), s.at[1:].tolist(), strict=True)]
                 own = pa.array(s.whole == batch.column(1).slice(i, j - i).to_numpy())
